@@ -1,0 +1,103 @@
+"""DuckDB oracle text for every registered query.
+
+Each statement derives the raw meter tables from the pre-registered test
+views with the same formulas the Spark side uses (``view_sql``), then states
+the operator in plain SQL. Dialect notes: DuckDB ``try_cast('12.3' as
+bigint)`` rounds, so integer ids are guarded by a digits-only regex; regex
+back-references are ``\\1``; weekday numbers start at Sunday = 0.
+"""
+
+from __future__ import annotations
+
+from wattle.sources.fixtures import view_sql
+
+INT_TEXT = "'^[+-]?[0-9]+$'"
+
+
+def _bigint(x: str) -> str:
+    return (f"(case when regexp_matches(trim(cast({x} as varchar)), {INT_TEXT}) "
+            f"then try_cast(trim(cast({x} as varchar)) as bigint) end)")
+
+
+def _nise(x: str) -> str:
+    return _bigint(f"regexp_replace(trim(cast({x} as varchar)), '^(\\d+),0+$', '\\1')")
+
+
+def _hour(ts: str) -> str:
+    return (f"((hour({ts})*cast(3600 as double) + minute({ts})*cast(60 as double) "
+            f"+ second({ts})) / cast(3600 as double))")
+
+
+def _epoch(ts: str) -> str:
+    return f"cast(epoch(date_trunc('second', {ts})) as bigint)"
+
+
+CLEAN_CONSUMPTION = f"""
+select seq, {_bigint('MEDIDOR')} as MEDIDOR, {_bigint('LOCALIZACION_REAL')} as LOCALIZACION_REAL,
+  SGDA, TIPO_CONSUMO, lower(CONTADOR) as CONTADOR, OPERACION, UNIDAD,
+  try_cast(VALOR_LECTURA as double) as VALOR_LECTURA, TIPO_SECTOR, MULTIPLICADOR,
+  FECHA_LECTURA_REAL, {_nise('LOCALIZACION')} as NISE, FECHA_LECTURA_REAL as FECHA_LECTURA,
+  {_hour('FECHA_LECTURA_REAL')} as Hour
+from consumption_raw"""
+
+CUSTOMER_METERS = "(SGDA is null or SGDA = 'Bidireccional')"
+ENERGY_BASE = (f"{CUSTOMER_METERS} and OPERACION in ('Delivered', 'Received') "
+               "and CONTADOR = 'total' and TIPO_CONSUMO <> 'FPO'")
+PHASES = "('a', 'b', 'c', 'A', 'B', 'C')"
+PHASE_ROWS = f"{CUSTOMER_METERS} and CONTADOR in {PHASES} and OPERACION in {PHASES}"
+
+
+def _with(**ctes: str) -> str:
+    return "with " + ",\n".join(f"{k} as ({v})" for k, v in ctes.items()) + "\n"
+
+
+def _consumption(extra: dict | None = None, window: tuple[str, str] | None = None) -> str:
+    raw = view_sql("consumption_raw")
+    if window:
+        raw = (f"select * from ({raw}) where FECHA_LECTURA_REAL >= timestamp '{window[0]}' "
+               f"and FECHA_LECTURA_REAL < timestamp '{window[1]}'")
+    return _with(consumption_raw=raw, clean=CLEAN_CONSUMPTION, **(extra or {}))
+
+
+ENE = f"select * from clean where {ENERGY_BASE} and contains(TIPO_CONSUMO, 'ENE')"
+MDE = f"select * from clean where {ENERGY_BASE} and contains(TIPO_CONSUMO, 'MDE')"
+
+
+def _first(op: str, value: str, tie: str = "seq") -> str:
+    return (f"arg_min({value}, {tie}) filter (where OPERACION = '{op}' "
+            f"and {value} is not null)")
+
+
+PIVOT = f"""select MEDIDOR, FECHA_LECTURA, Hour,
+  {_first('Delivered', 'VALOR_LECTURA')} as Delivered,
+  {_first('Received', 'VALOR_LECTURA')} as Received
+from ene where MEDIDOR is not null and FECHA_LECTURA is not null and Hour is not null
+group by MEDIDOR, FECHA_LECTURA, Hour
+having Delivered is not null or Received is not null"""
+
+DELTAS = f"""select MEDIDOR, FECHA_LECTURA, Hour, Delivered, Received,
+  {_epoch('FECHA_LECTURA')} - {_epoch('lag(FECHA_LECTURA) over w')} as Period,
+  Delivered - lag(Delivered) over w as "Daily Sent",
+  Received - lag(Received) over w as "Daily Gotten"
+from piv window w as (partition by MEDIDOR order by FECHA_LECTURA)"""
+
+
+def _phase(types: str) -> str:
+    return _consumption() + f"select * from clean where {PHASE_ROWS} and TIPO_CONSUMO in {types}"
+
+
+ORACLE: dict[str, str] = {
+    "clean_consumption": _consumption() + "select * from clean",
+    "time_window": _consumption(window=("2026-03-03", "2026-03-10")) + "select * from clean",
+    "ene_readings": _consumption() + ENE,
+    "mde_readings": _consumption() + MDE,
+    "phase_power": _phase("('kW', 'kVAR', 'kVA')"),
+    "phase_voltage": _phase("('Voltage', 'Voltage Angle')"),
+    "phase_current": _phase("('Current', 'Current Angle')"),
+    "phase_pf": _phase("('Power Factor', 'Power Factor Angle')"),
+    "n_phases": _consumption({"pv": f"select * from clean where {PHASE_ROWS} and TIPO_CONSUMO in "
+                                    "('Voltage', 'Voltage Angle')"})
+    + "select MEDIDOR, count(distinct CONTADOR) as n_phases from pv group by MEDIDOR",
+    "energy_pivot": _consumption({"ene": ENE}) + PIVOT,
+    "energy_deltas": _consumption({"ene": ENE, "piv": PIVOT}) + DELTAS,
+}
