@@ -101,3 +101,86 @@ ORACLE: dict[str, str] = {
     "energy_pivot": _consumption({"ene": ENE}) + PIVOT,
     "energy_deltas": _consumption({"ene": ENE, "piv": PIVOT}) + DELTAS,
 }
+
+# ---------------------------------------------------------------- power / voltage
+
+CLEAN_POWER = f"""
+select {_bigint('MEDIDOR')} as MEDIDOR, {_bigint('LOCALIZACION_REAL')} as LOCALIZACION_REAL,
+  SGDA, OPERACION, UNIDAD, INTERVALO, CONSTANTE, DEMANDA, ENERGIA,
+  try_cast(VALOR_LECTURA as double) as VALOR_LECTURA, FECHA_LECTURA_REAL,
+  {_nise('LOCALIZACION')} as NISE, FECHA_LECTURA_REAL as FECHA_LECTURA
+from power_raw"""
+
+CLEAN_VOLTAGE = f"""
+select {_bigint('MEDIDOR')} as MEDIDOR, LOCALIZACION_REAL, cast(UNIDAD as varchar) as UNIDAD,
+  try_cast(VALOR_LECTURA as double) as VALOR_LECTURA, FECHA_LECTURA_REAL,
+  {_nise('LOCALIZACION')} as NISE, FECHA_LECTURA_REAL as FECHA_LECTURA
+from voltages_raw where UNIDAD in ('Phase A Average RMS Voltage')"""
+
+INTERVAL_COLS = ("MEDIDOR, NISE, LOCALIZACION_REAL, OPERACION, INTERVALO, FECHA_LECTURA, "
+                 "ENERGIA, DEMANDA")
+
+
+def _power(extra: dict | None = None) -> str:
+    return _with(power_raw=view_sql("power_raw"), cleanp=CLEAN_POWER, **(extra or {}))
+
+
+def _interval(unit: str) -> str:
+    return (f"select {INTERVAL_COLS} from cleanp where {CUSTOMER_METERS} "
+            f"and OPERACION in ('Delivered', 'Received') and UNIDAD = '{unit}'")
+
+
+def _profile(p: str, src: str) -> str:
+    return f"""select MEDIDOR as node, FECHA_LECTURA as ts,
+  min(DEMANDA) filter (where OPERACION = 'Delivered' and DEMANDA is not null) as {p}_{p}dem,
+  min(DEMANDA) filter (where OPERACION = 'Received' and DEMANDA is not null) as {p}_{p}gen,
+  min(ENERGIA) filter (where OPERACION = 'Delivered' and ENERGIA is not null) as E_Edem,
+  min(ENERGIA) filter (where OPERACION = 'Received' and ENERGIA is not null) as E_Egen
+from {src} where MEDIDOR is not null and FECHA_LECTURA is not null
+group by MEDIDOR, FECHA_LECTURA
+having {p}_{p}dem is not null or {p}_{p}gen is not null or E_Edem is not null
+  or E_Egen is not null"""
+
+
+ACTIVE = _profile("P", "kwh")
+SEASON_CASE = ("case month(ts) when 1 then 'III' when 2 then 'III' when 3 then 'I' "
+               "when 4 then 'I' when 5 then 'I' when 6 then 'I' when 7 then 'V' "
+               "when 8 then 'II' when 9 then 'II' when 10 then 'II' when 11 then 'II' "
+               "when 12 then 'V' end")
+LABELLED = f"""select node, ts, P_Pdem as P,
+  case when dayofweek(ts) in (0, 6) then 'weekend' else 'weekday' end as day,
+  {SEASON_CASE} as season, cast(ts as date) as date
+from active"""
+COUNTS = "select node, date, count(*) as samples from labelled group by node, date"
+DAYS = ("select l.* from labelled l where exists (select 1 from counts c where c.node = l.node "
+        "and c.date = l.date and c.samples = 96)")
+
+
+def _scen(extra: dict | None = None) -> str:
+    return _power({"kwh": _interval("kWh"), "active": ACTIVE, "labelled": LABELLED,
+                   "counts": COUNTS, "days": DAYS, **(extra or {})})
+
+
+STEPS = ("select *, row_number() over (partition by node, date order by ts) - 1 as timestep "
+         "from days where day = '{day}'")
+
+ORACLE.update({
+    "clean_power": _power() + "select * from cleanp",
+    "clean_voltage": _with(voltages_raw=view_sql("voltages_raw"), cleanv=CLEAN_VOLTAGE)
+    + "select * from cleanv",
+    "kwh_data": _power() + _interval("kWh"),
+    "kvarh_data": _power() + _interval("kVARh"),
+    "active_profile": _power({"kwh": _interval("kWh")}) + ACTIVE,
+    "reactive_profile": _power({"kvarh": _interval("kVARh")}) + _profile("Q", "kvarh"),
+    "flatten_active": _power({"kwh": _interval("kWh")}) + ACTIVE,
+    "voltage_profile": _with(voltages_raw=view_sql("voltages_raw"), cleanv=CLEAN_VOLTAGE)
+    + "select MEDIDOR as node, FECHA_LECTURA as ts, UNIDAD as phase, VALOR_LECTURA as V "
+      "from cleanv",
+    "calendar_labels": _scen() + "select * from labelled",
+    "samples_per_day": _scen() + "select * from counts",
+    "complete_days": _scen() + "select * from days",
+    "weekend_curve": _scen({"steps": STEPS.format(day="weekend")})
+    + "select node, timestep, avg(P) as P from steps group by node, timestep",
+    "season_curves": _scen({"steps": STEPS.format(day="weekday")})
+    + "select season, node, timestep, avg(P) as P from steps group by season, node, timestep",
+})

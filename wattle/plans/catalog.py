@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattle.operators import cleaning, energy, measures
+from wattle.operators import cleaning, energy, measures, power, scenarios
 from wattle.sources.fixtures import build_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,73 @@ def energy_deltas(spark, sf):
     return energy.energy_deltas(measures.ene_readings(_consumption(spark, sf)))
 
 
+def _power(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.clean_power(build_view(spark, sf, "power_raw"))
+
+
+def _voltage(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.clean_voltage(build_view(spark, sf, "voltages_raw"))
+
+
+def clean_power(spark, sf):
+    return _power(spark, sf)
+
+
+def clean_voltage(spark, sf):
+    return _voltage(spark, sf)
+
+
+def kwh_data(spark, sf):
+    return measures.kwh_data(_power(spark, sf))
+
+
+def kvarh_data(spark, sf):
+    return measures.kvarh_data(_power(spark, sf))
+
+
+def active_profile(spark, sf):
+    return power.active_profile(measures.kwh_data(_power(spark, sf)))
+
+
+def reactive_profile(spark, sf):
+    return power.reactive_profile(measures.kvarh_data(_power(spark, sf)))
+
+
+def flatten_active(spark, sf):
+    nested = power.active_profile(measures.kwh_data(_power(spark, sf)), nested=True)
+    return power.flatten(nested)
+
+
+def voltage_profile(spark, sf):
+    return measures.voltage_profile(_voltage(spark, sf))
+
+
+def _scenario_input(spark: SparkSession, sf: str) -> DataFrame:
+    """node, ts, P (= demand delivered) from the active profile."""
+    act = power.active_profile(measures.kwh_data(_power(spark, sf)))
+    return act.select("node", "ts", act["P_Pdem"].alias("P"))
+
+
+def calendar_labels(spark, sf):
+    return scenarios.calendar_labels(_scenario_input(spark, sf))
+
+
+def samples_per_day(spark, sf):
+    return scenarios.samples_per_day(scenarios.calendar_labels(_scenario_input(spark, sf)))
+
+
+def complete_days(spark, sf):
+    return scenarios.complete_days(_scenario_input(spark, sf))
+
+
+def weekend_curve(spark, sf):
+    return scenarios.weekend_curve(scenarios.complete_days(_scenario_input(spark, sf)))
+
+
+def season_curves(spark, sf):
+    return scenarios.season_curves(scenarios.complete_days(_scenario_input(spark, sf)))
+
+
 QUERIES: dict[str, Query] = {
     "clean_consumption": clean_consumption,
     "time_window": time_window,
@@ -77,4 +144,17 @@ QUERIES: dict[str, Query] = {
     "n_phases": n_phases,
     "energy_pivot": energy_pivot,
     "energy_deltas": energy_deltas,
+    "clean_power": clean_power,
+    "clean_voltage": clean_voltage,
+    "kwh_data": kwh_data,
+    "kvarh_data": kvarh_data,
+    "active_profile": active_profile,
+    "reactive_profile": reactive_profile,
+    "flatten_active": flatten_active,
+    "voltage_profile": voltage_profile,
+    "calendar_labels": calendar_labels,
+    "samples_per_day": samples_per_day,
+    "complete_days": complete_days,
+    "weekend_curve": weekend_curve,
+    "season_curves": season_curves,
 }

@@ -205,6 +205,10 @@ def build_view(spark: SparkSession, sf_dir: str, spec: ViewSpec | str) -> DataFr
     df = spark.read.parquet(f"{sf_dir}/{spec.table}.parquet").select(
         F.col(spec.key).alias(spec.alias)
     )
+    if spec.ranges:
+        # A key table is small (often one row group); spread the keys before
+        # the expansion so the generated rows are produced by every core.
+        df = df.repartition(spark.sparkContext.defaultParallelism, spec.alias)
     for name, n in spec.ranges:
         df = df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     if spec.keep != "true":
