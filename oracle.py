@@ -184,3 +184,112 @@ ORACLE.update({
     "season_curves": _scen({"steps": STEPS.format(day="weekday")})
     + "select season, node, timestep, avg(P) as P from steps group by season, node, timestep",
 })
+
+# ---------------------------------------------------------------- audits, customers
+
+CUSTOMER_DATES = ("FEC_INST_NISE", "FECHA_LECTURA", "FECHA_HASTA", "FECHA_CONEXION_RED",
+                  "FEC_INST_MED", "FECHA_INTER")
+CLEAN_CUSTOMERS = ("select " + ", ".join(
+    f"cast(try_strptime({c}, '%Y%m%d') as date) as {c}" for c in CUSTOMER_DATES)
+    + f", {_nise('NISE')} as NISE, DESCSECTOR from customers_raw")
+
+
+def _customers(extra: dict | None = None) -> str:
+    return _with(consumption_raw=view_sql("consumption_raw"), clean=CLEAN_CONSUMPTION,
+                 customers_raw=view_sql("customers_raw"), custc=CLEAN_CUSTOMERS,
+                 **(extra or {}))
+
+
+def _domain(drop_nulls: bool = True) -> str:
+    where = "where NISE is not null" if drop_nulls else ""
+    return f"""select NISE, bool_or(a) as in_consumption, bool_or(b) as in_customers,
+  case when bool_or(a) and bool_or(b) then 'in_both' when bool_or(a) then 'only_in_consumption'
+       else 'only_in_customers' end as domain_status
+from (select cast(NISE as varchar) as NISE, true as a, false as b from clean
+      union all select cast(NISE as varchar), false, true from custc) {where}
+group by NISE"""
+
+
+# (column, regex, audit_key, include_nulls) per dataset, same rules as the Spark side.
+_INT, _DEC = r"^[+-]?\d+$", r"^[+-]?\d+([.]\d+)?$"
+_RULES = {
+    "consumption_raw": [
+        ("LOCALIZACION", _INT, "NISE", False), ("MEDIDOR", _INT, None, False),
+        ("LOCALIZACION_REAL", _INT, None, False), ("VALOR_LECTURA", _DEC, None, True),
+        ("TIPO_SECTOR", r"^(Comercial|Residencial|Industrial|SIN TARIFA)$", None, False),
+        ("UNIDAD", r"(?i)^(kWh|Voltage|kW|kVAR|kVARh)$", None, False),
+        ("CONTADOR", r"(?i)^(total|[abc]|tier[abcd])$", None, False),
+        ("MULTIPLICADOR", r"^[01]$", None, False),
+        ("OPERACION", r"^(Delivered|Received|Sum|A|B|C|a|b|c)$", None, False),
+    ],
+    "voltages_raw": [
+        ("LOCALIZACION", _INT, "NISE", False), ("MEDIDOR", _INT, None, False),
+        ("LOCALIZACION_REAL", _INT, None, False), ("VALOR_LECTURA", _DEC, None, True),
+        ("UNIDAD", r"^Phase [ABC] Average RMS Voltage$", None, False),
+    ],
+    "power_raw": [
+        ("LOCALIZACION", _INT, "NISE", False), ("MEDIDOR", _INT, None, False),
+        ("LOCALIZACION_REAL", _INT, None, False), ("VALOR_LECTURA", _DEC, None, True),
+        ("UNIDAD", r"(?i)^(kWh|kW|kVAR|kVARh)$", None, False),
+        ("CONSTANTE", _INT, None, False),
+        ("OPERACION", r"^(Delivered|Received|Sum)$", None, False),
+    ],
+}
+
+
+def _audit_one(table: str, col: str, regex: str, key: str | None, nulls: bool,
+               source: str | None = None) -> str:
+    raw = f"cast({col} as varchar)"
+    bad = (f"({raw} is null or not regexp_matches({raw}, '{regex}'))" if nulls
+           else f"({raw} is not null and not regexp_matches({raw}, '{regex}'))")
+    src = f", '{source}' as source_name" if source else ""
+    return (f"select '{key or col}' as audit_key, '{col}' as column_name, "
+            f"{raw} as invalid_raw_value, count(*) as invalid_count{src} "
+            f"from {table} where {bad} group by {raw}")
+
+
+def _audit(table: str, source: str | None = None) -> str:
+    return "\nunion all\n".join(_audit_one(table, *r, source=source) for r in _RULES[table])
+
+
+_AUDIT_UNION = (
+    _with(consumption_raw=view_sql("consumption_raw"), voltages_raw=view_sql("voltages_raw"),
+          power_raw=view_sql("power_raw"))
+    + "\nunion all\n".join([_audit("consumption_raw", "ConsumptionData"),
+                            _audit("voltages_raw", "VoltageData"),
+                            _audit("power_raw", "PowerData")])
+)
+
+LATEST = """select NISE, TIPO_SECTOR as {alias} from (
+  select NISE, TIPO_SECTOR, row_number() over (partition by NISE
+    order by FECHA_LECTURA desc, seq) as rn
+  from {src} where NISE is not null and FECHA_LECTURA is not null) where rn = 1"""
+
+ORACLE.update({
+    "customers_clean": _with(customers_raw=view_sql("customers_raw"), custc=CLEAN_CUSTOMERS)
+    + "select * from custc",
+    "domain_audit": _customers() + _domain(),
+    "domain_audit_nulls": _customers() + _domain(drop_nulls=False),
+    "audit_column": _with(consumption_raw=view_sql("consumption_raw"))
+    + _audit_one("consumption_raw", "MEDIDOR", _INT, None, False),
+    "audit_consumption": _with(consumption_raw=view_sql("consumption_raw"))
+    + _audit("consumption_raw"),
+    "audit_voltage": _with(voltages_raw=view_sql("voltages_raw")) + _audit("voltages_raw"),
+    "audit_power": _with(power_raw=view_sql("power_raw")) + _audit("power_raw"),
+    "audit_union": _AUDIT_UNION,
+    "audit_sink": _AUDIT_UNION,
+    "latest_attribute": _consumption() + LATEST.format(alias="TIPO_SECTOR", src="clean"),
+    "reconcile_entities": _customers({
+        "audit": _domain(),
+        "keys": "select distinct cast(NISE as bigint) as NISE from audit "
+                "where domain_status = 'in_both'",
+        "latest": LATEST.format(alias="other_source",
+                                src="(select * from clean where NISE in (select NISE from keys))"),
+        "mine": "select NISE, DESCSECTOR as self_source from custc "
+                "where NISE in (select NISE from keys)",
+    }) + """select m.NISE, m.self_source, l.other_source,
+  cast(m.self_source as varchar) = cast(l.other_source as varchar) as "match"
+from mine m join latest l on m.NISE = l.NISE""",
+    "scan_path": _consumption() + "select * from clean",
+    "scan_table": _consumption() + "select * from clean",
+})

@@ -7,8 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattle.operators import cleaning, energy, measures, power, scenarios
+from pyspark.sql import functions as F
+
+from wattle.operators import audits, cleaning, energy, measures, power, reconcile, scenarios
+from wattle.session import scratch_path
+from wattle.sources import readers
 from wattle.sources.fixtures import build_view
+from wattle.sources.schemas import CUSTOMER_SCHEMA
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,6 +137,90 @@ def season_curves(spark, sf):
     return scenarios.season_curves(scenarios.complete_days(_scenario_input(spark, sf)))
 
 
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.clean_customers(build_view(spark, sf, "customers_raw"))
+
+
+def customers_clean(spark, sf):
+    """Customer master through the ';'-separated text path with a dtype map."""
+    path = scratch_path(spark, "customers_text")
+    build_view(spark, sf, "customers_raw").write.option("sep", ";").option(
+        "header", "true").csv(path)
+    dtype_map = {name: "str" for name in CUSTOMER_SCHEMA.fieldNames()}
+    return cleaning.clean_customers(readers.read_customers(spark, path, dtype_map))
+
+
+def domain_audit(spark, sf):
+    return audits.domain_audit(_consumption(spark, sf), _customers(spark, sf),
+                               domain_label="NISE", a_label="consumption",
+                               b_label="customers")
+
+
+def domain_audit_nulls(spark, sf):
+    return audits.domain_audit(_consumption(spark, sf), _customers(spark, sf),
+                               domain_label="NISE", a_label="consumption",
+                               b_label="customers", drop_null_keys=False)
+
+
+def audit_column(spark, sf):
+    return audits.audit_odd_values(build_view(spark, sf, "consumption_raw"), "MEDIDOR")
+
+
+def audit_consumption(spark, sf):
+    return audits.run_audits(build_view(spark, sf, "consumption_raw"), audits.CONSUMPTION_RULES)
+
+
+def audit_voltage(spark, sf):
+    return audits.run_audits(build_view(spark, sf, "voltages_raw"), audits.VOLTAGE_RULES)
+
+
+def audit_power(spark, sf):
+    return audits.run_audits(build_view(spark, sf, "power_raw"), audits.POWER_RULES)
+
+
+def audit_union(spark, sf):
+    return audits.audit_union([
+        audits.audit_union([audit_consumption(spark, sf)], "ConsumptionData"),
+        audits.audit_union([audit_voltage(spark, sf)], "VoltageData"),
+        audits.audit_union([audit_power(spark, sf)], "PowerData"),
+    ])
+
+
+def audit_sink(spark, sf):
+    """Consolidated audits written as a table, read back from the catalog."""
+    name = "wattle_invalid_value_audit"
+    readers.write_table(audit_union(spark, sf), name, mode="overwrite",
+                        path=scratch_path(spark, name))
+    return spark.table(name)
+
+
+def latest_attribute(spark, sf):
+    return reconcile.latest_attribute(_consumption(spark, sf), "NISE", "TIPO_SECTOR",
+                                      "FECHA_LECTURA", tie="seq")
+
+
+def reconcile_entities(spark, sf):
+    both = domain_audit(spark, sf).filter(F.col("domain_status") == "in_both").select(
+        F.col("NISE").cast("bigint").alias("NISE"))
+    return reconcile.reconcile_entities(_customers(spark, sf), _consumption(spark, sf), both,
+                                        tie="seq")
+
+
+def scan_path(spark, sf):
+    """Raw readings written to a path and scanned back by format."""
+    path = scratch_path(spark, "consumption_raw")
+    build_view(spark, sf, "consumption_raw").write.parquet(path)
+    return cleaning.clean_consumption(readers.load_readings(spark, data_path=path))
+
+
+def scan_table(spark, sf):
+    """Raw readings saved as a catalog table and scanned back by name."""
+    name = "wattle_consumption_raw"
+    readers.write_table(build_view(spark, sf, "consumption_raw"), name,
+                        path=scratch_path(spark, name))
+    return cleaning.clean_consumption(readers.load_readings(spark, table_name=name))
+
+
 QUERIES: dict[str, Query] = {
     "clean_consumption": clean_consumption,
     "time_window": time_window,
@@ -157,4 +246,17 @@ QUERIES: dict[str, Query] = {
     "complete_days": complete_days,
     "weekend_curve": weekend_curve,
     "season_curves": season_curves,
+    "customers_clean": customers_clean,
+    "domain_audit": domain_audit,
+    "domain_audit_nulls": domain_audit_nulls,
+    "audit_column": audit_column,
+    "audit_consumption": audit_consumption,
+    "audit_voltage": audit_voltage,
+    "audit_power": audit_power,
+    "audit_union": audit_union,
+    "audit_sink": audit_sink,
+    "latest_attribute": latest_attribute,
+    "reconcile_entities": reconcile_entities,
+    "scan_path": scan_path,
+    "scan_table": scan_table,
 }
