@@ -293,3 +293,35 @@ from mine m join latest l on m.NISE = l.NISE""",
     "scan_path": _consumption() + "select * from clean",
     "scan_table": _consumption() + "select * from clean",
 })
+
+# ---------------------------------------------------------------- network layers
+
+LAYERS = f"""select {_bigint('IDLOCALIZA')} as LOCALIZACION_REAL, NUMEROMEDI as MEDIDOR, OBJECTID,
+  x, y, seq, cast(null as double) as KVA, 'Loads' as layer, 5367 as epsg from gis_loads
+union all
+select cast(null as bigint), cast(null as varchar), OBJECTID, x, y, seq, KVA, 'Transformers',
+  5367 from gis_transformers"""
+
+
+def _layers(extra: dict | None = None) -> str:
+    return _with(gis_loads=view_sql("gis_loads"), gis_transformers=view_sql("gis_transformers"),
+                 layers=LAYERS, **(extra or {}))
+
+
+ORACLE.update({
+    "gis_layers": _layers() + "select * from layers",
+    "gis_layer_slice": _layers() + """select * exclude (rn, cnt) from (
+  select *, row_number() over (partition by layer order by seq) as rn,
+    count(*) over (partition by layer) as cnt from layers) where rn <= cnt * 50 // 100""",
+    "meter_locations": _with(
+        consumption_raw=view_sql("consumption_raw"), clean=CLEAN_CONSUMPTION,
+        gis_loads=view_sql("gis_loads"), gis_transformers=view_sql("gis_transformers"),
+        layers=LAYERS,
+        pairs="select distinct MEDIDOR, LOCALIZACION_REAL from clean "
+              "where LOCALIZACION_REAL is not null",
+        spots="select LOCALIZACION_REAL, arg_max(x, seq) as x, arg_max(y, seq) as y "
+              "from layers where layer = 'Loads' and LOCALIZACION_REAL is not null "
+              "group by LOCALIZACION_REAL",
+    ) + """select p.MEDIDOR, p.LOCALIZACION_REAL, s.x, s.y
+from pairs p join spots s on p.LOCALIZACION_REAL = s.LOCALIZACION_REAL""",
+})

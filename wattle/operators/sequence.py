@@ -72,3 +72,56 @@ def time_bucket(ts: str | Column, width_seconds: int) -> Column:
     """Bucket number of a timestamp: floor(epoch seconds / width)."""
     t = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(t.cast("timestamp").cast("long") / F.lit(int(width_seconds)))
+
+
+def head_per_group(
+    df: DataFrame,
+    group: str,
+    order_by: Sequence[str],
+    pct: int,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Keep, in each ``group``, the first ``count * pct // 100`` rows by
+    ``order_by`` (an explicit order: a file's row order is not a Spark
+    notion).
+
+    Exact and distributed: rows are range-partitioned on (group, order), so
+    a large group is split over many tasks. Positions within a partition
+    come from ``monotonically_increasing_id`` after a local sort and are
+    checkpointed (to the shared checkpoint folder) so both uses below see
+    the same numbering. Per (partition, group) counts then give each row's
+    rank in its group. That table has at most partitions + groups rows,
+    which bounds the broadcast.
+    """
+    from wattle.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or spark.sparkContext.defaultParallelism
+    order = [group, *order_by]
+    numbered = (
+        df.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("__id", F.monotonically_increasing_id())
+        .withColumns({
+            "__part": F.shiftright(F.col("__id"), 33),
+            "__pos": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)),
+        })
+        .checkpoint(eager=True)
+    )
+    runs = numbered.groupBy("__part", group).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first")
+    )
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(
+        Window.unboundedPreceding, -1)
+    runs = runs.select(
+        "__part", group, "__first",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
+        (F.sum("__n").over(Window.partitionBy(group)) * pct / 100).cast("long").alias("__keep"),
+    )
+    rank = F.col("__offset") + F.col("__pos") - F.col("__first")
+    return (
+        numbered.join(F.broadcast(runs), ["__part", group], "inner")
+        .filter(rank < F.col("__keep"))
+        .drop("__id", "__part", "__pos", "__first", "__offset", "__keep")
+    )

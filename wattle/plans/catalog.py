@@ -9,7 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from wattle.operators import audits, cleaning, energy, measures, power, reconcile, scenarios
+from wattle.operators import (
+    audits,
+    cleaning,
+    energy,
+    locations,
+    measures,
+    power,
+    projection,
+    reconcile,
+    scenarios,
+)
 from wattle.session import scratch_path
 from wattle.sources import readers
 from wattle.sources.fixtures import build_view
@@ -221,6 +231,36 @@ def scan_table(spark, sf):
     return cleaning.clean_consumption(readers.load_readings(spark, table_name=name))
 
 
+LOCAL_EPSG = 5367
+
+
+def _layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Two network layers (loads from customers, transformers from suppliers)
+    written as files under one folder, then read back in one scan."""
+    root = scratch_path(spark, "network")
+    build_view(spark, sf, "gis_loads").write.parquet(f"{root}/Loads.parquet")
+    build_view(spark, sf, "gis_transformers").write.parquet(f"{root}/Transformers.parquet")
+    return locations.prepare_layer(readers.read_layers(spark, root), epsg=LOCAL_EPSG)
+
+
+def gis_layers(spark, sf):
+    return _layers(spark, sf)
+
+
+def gis_layer_slice(spark, sf):
+    return locations.layer_slice(_layers(spark, sf), 50, order_by="seq")
+
+
+def meter_locations(spark, sf):
+    loads = locations.loads_view(_layers(spark, sf))
+    return locations.meter_locations(_consumption(spark, sf), loads)
+
+
+def gis_reproject(spark, sf):
+    loads = locations.loads_view(_layers(spark, sf))
+    return projection.reproject(loads, LOCAL_EPSG, projection.WGS84)
+
+
 QUERIES: dict[str, Query] = {
     "clean_consumption": clean_consumption,
     "time_window": time_window,
@@ -259,4 +299,8 @@ QUERIES: dict[str, Query] = {
     "reconcile_entities": reconcile_entities,
     "scan_path": scan_path,
     "scan_table": scan_table,
+    "gis_layers": gis_layers,
+    "gis_layer_slice": gis_layer_slice,
+    "meter_locations": meter_locations,
+    "gis_reproject": gis_reproject,
 }
