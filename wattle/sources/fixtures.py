@@ -198,10 +198,31 @@ def _render(expr: str, engine: str) -> str:
     return _TS_MACRO.sub(sub, expr)
 
 
+# (sf_dir, view name) -> Parquet path of a materialized copy, see materialize().
+_MATERIALIZED: dict[tuple[str, str], str] = {}
+
+
+def materialize(spark: SparkSession, sf_dir: str, root: str,
+                names: tuple[str, ...] | None = None) -> dict[str, str]:
+    """Write derived raw tables to Parquet under ``root`` once; later
+    ``build_view`` calls for ``sf_dir`` scan those files instead (filters
+    and column pruning then reach a real Parquet scan)."""
+    out = {}
+    for name in names or tuple(VIEWS):
+        path = f"{root}/{name}"
+        build_view(spark, sf_dir, name).write.mode("overwrite").parquet(path)
+        _MATERIALIZED[(sf_dir, name)] = path
+        out[name] = path
+    return out
+
+
 def build_view(spark: SparkSession, sf_dir: str, spec: ViewSpec | str) -> DataFrame:
     """The derived raw table as a lazy Spark DataFrame over ``sf_dir``."""
     if isinstance(spec, str):
         spec = VIEWS[spec]
+    stored = _MATERIALIZED.get((sf_dir, spec.name))
+    if stored is not None:
+        return spark.read.parquet(stored)
     df = spark.read.parquet(f"{sf_dir}/{spec.table}.parquet").select(
         F.col(spec.key).alias(spec.alias)
     )
