@@ -62,3 +62,27 @@ def test_with_previous_equals_lag(spark):
     for width in (600, 3600 * 7, 10 ** 9):
         got = with_previous(df, ["k"], ["ts", "id"], ["v"], time_bucket("ts", width))
         assert rows(got, "id", "prev_v", "prev_ts") == want
+
+
+def test_with_previous_single_time_order_fast_path(spark):
+    rnd = random.Random(11)
+    data, seen = [], set()
+    while len(data) < 500:
+        key = rnd.choice([None, 1, 2, 2, 2, 5])
+        minute = rnd.randrange(30000)
+        if (key, minute) in seen:
+            continue
+        seen.add((key, minute))
+        ts = T0 + dt.timedelta(minutes=minute) if rnd.random() > 0.01 else None
+        if ts is None and (key, None) in seen:
+            continue
+        seen.add((key, None) if ts is None else (key, minute))
+        data.append((key, ts, len(data), rnd.choice([None, 1.0, 4.0])))
+    df = spark.createDataFrame(data, "k long, ts timestamp_ntz, id long, v double")
+    w = Window.partitionBy("k").orderBy("ts")
+    want = rows(df.select("id", F.lag("v").over(w), F.lag("ts").over(w)))
+    for width in (900, 86400, 10 ** 9):
+        got = with_previous(df, ["k"], ["ts"], ["v"], time_bucket("ts", width))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+        assert rows(got, "id", "prev_v", "prev_ts") == want

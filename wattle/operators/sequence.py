@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BUCKET, _CARRY, _LAST, _NEXT = "__wb", "__carry", "__last", "__next"
 _LONG_MIN = -(2 ** 63)
@@ -45,9 +46,7 @@ def with_previous(
 
     # Last row of each (key, bucket): the largest order tuple. Partial
     # aggregation keeps this cheap even for a key with many rows.
-    last = base.groupBy(*keys, _BUCKET).agg(
-        F.max(F.struct(*[F.col(c) for c in lagged])).alias(_LAST)
-    )
+    last = base.groupBy(*keys, _BUCKET).agg(*_last_row(base, list(order_by), lagged))
     # ...which becomes the leading row of the key's next non-empty bucket.
     carry = (
         last.withColumn(_NEXT, F.lead(_BUCKET).over(Window.partitionBy(*keys).orderBy(_BUCKET)))
@@ -55,7 +54,7 @@ def with_previous(
         .select(
             *keys,
             F.col(_NEXT).alias(_BUCKET),
-            *[F.col(f"{_LAST}.{c}").alias(c) for c in lagged],
+            *[F.col(f"{_LAST}{c}").alias(c) for c in lagged],
             F.lit(1).alias(_CARRY),
         )
     )
@@ -68,6 +67,38 @@ def with_previous(
     )
 
 
+_FIXED = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
+          T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _order_as_long(df: DataFrame, c: str) -> Column | None:
+    """A long that sorts like column ``c`` with NULL smallest, if one exists."""
+    t = df.schema[c].dataType
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        v = F.unix_micros(F.col(c).cast("timestamp"))
+    elif isinstance(t, T.DateType):
+        v = F.unix_date(F.col(c)).cast("long")
+    elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType)):
+        v = F.col(c).cast("long")
+    elif isinstance(t, T.LongType):
+        v = F.col(c)
+    else:
+        return None
+    return F.coalesce(v, F.lit(_LONG_MIN))
+
+
+def _last_row(df: DataFrame, order_by: list[str], lagged: list[str]) -> list[Column]:
+    """Aggregates giving ``__last<c>`` = column c on the row with the largest
+    order tuple. With one integral/time order column and fixed-width values
+    this is a set of ``max_by`` over a long ordering (a hash aggregate);
+    otherwise one ``max`` over a struct of the order columns and values."""
+    key = _order_as_long(df, order_by[0]) if len(order_by) == 1 else None
+    if key is not None and all(isinstance(df.schema[c].dataType, _FIXED) for c in lagged):
+        return [F.max_by(F.col(c), key).alias(f"{_LAST}{c}") for c in lagged]
+    last = F.max(F.struct(*[F.col(c) for c in lagged]))
+    return [last.getField(c).alias(f"{_LAST}{c}") for c in lagged]
+
+
 def time_bucket(ts: str | Column, width_seconds: int) -> Column:
     """Bucket number of a timestamp: floor(epoch seconds / width)."""
     t = F.col(ts) if isinstance(ts, str) else ts
