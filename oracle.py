@@ -325,3 +325,33 @@ ORACLE.update({
     ) + """select p.MEDIDOR, p.LOCALIZACION_REAL, s.x, s.y
 from pairs p join spots s on p.LOCALIZACION_REAL = s.LOCALIZACION_REAL""",
 })
+
+# ---------------------------------------------------------------- described analyses
+
+_MAXD = PIVOT.replace("from ene", "from mde")
+_PHASE_AVG = ", ".join(
+    f"avg(case when lower(CONTADOR) = '{p}' then VALOR_LECTURA end) as phase_{p}" for p in "abc")
+
+ORACLE.update({
+    "daily_max_demand": _consumption({"mde": MDE}) + _MAXD,
+    "reverse_flow": _power({"kwh": _interval("kWh"), "active": ACTIVE})
+    + "select node, ts, P_Pdem, P_Pgen, P_Pdem - P_Pgen as P_net from active where P_Pgen > 0",
+    "voltage_compliance": _with(voltages_raw=view_sql("voltages_raw"), cleanv=CLEAN_VOLTAGE)
+    + """select MEDIDOR as node, count(*) as samples,
+  count(case when VALOR_LECTURA < 120.0 * (1 - 0.03) or VALOR_LECTURA > 120.0 * (1 + 0.03)
+             then 1 end) as out_of_band,
+  count(case when VALOR_LECTURA < 120.0 * (1 - 0.03) or VALOR_LECTURA > 120.0 * (1 + 0.03)
+             then 1 end) / count(*) as out_of_band_share
+from cleanv where VALOR_LECTURA is not null group by MEDIDOR""",
+    "phase_balance": _consumption({"pv": f"select * from clean where {PHASE_ROWS} and "
+                                        "TIPO_CONSUMO in ('Voltage', 'Voltage Angle')"})
+    + f"""select *, case when (coalesce(phase_a, 0) + coalesce(phase_b, 0) + coalesce(phase_c, 0))
+    / ((phase_a is not null)::int + (phase_b is not null)::int + (phase_c is not null)::int) <> 0
+  then (greatest(phase_a, phase_b, phase_c) - least(phase_a, phase_b, phase_c))
+    / ((coalesce(phase_a, 0) + coalesce(phase_b, 0) + coalesce(phase_c, 0))
+       / ((phase_a is not null)::int + (phase_b is not null)::int + (phase_c is not null)::int))
+  end as unbalance
+from (select MEDIDOR, FECHA_LECTURA, TIPO_CONSUMO, {_PHASE_AVG} from pv
+      where VALOR_LECTURA is not null and MEDIDOR is not null and FECHA_LECTURA is not null
+      group by MEDIDOR, FECHA_LECTURA, TIPO_CONSUMO)""",
+})

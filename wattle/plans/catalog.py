@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattle.operators import (
+    analytics,
     audits,
     cleaning,
     energy,
@@ -261,6 +262,27 @@ def gis_reproject(spark, sf):
     return projection.reproject(loads, LOCAL_EPSG, projection.WGS84)
 
 
+# Voltage band used by the compliance query (nominal volts, relative band).
+NOMINAL_V, V_BAND = 120.0, 0.03
+
+
+def daily_max_demand(spark, sf):
+    return analytics.daily_max_demand(measures.mde_readings(_consumption(spark, sf)))
+
+
+def reverse_flow(spark, sf):
+    return analytics.reverse_flow(power.active_profile(measures.kwh_data(_power(spark, sf))))
+
+
+def voltage_compliance(spark, sf):
+    return analytics.voltage_compliance(measures.voltage_profile(_voltage(spark, sf)),
+                                        NOMINAL_V, V_BAND)
+
+
+def phase_balance(spark, sf):
+    return analytics.phase_balance(measures.phase_voltage(_consumption(spark, sf)))
+
+
 QUERIES: dict[str, Query] = {
     "clean_consumption": clean_consumption,
     "time_window": time_window,
@@ -303,4 +325,8 @@ QUERIES: dict[str, Query] = {
     "gis_layer_slice": gis_layer_slice,
     "meter_locations": meter_locations,
     "gis_reproject": gis_reproject,
+    "daily_max_demand": daily_max_demand,
+    "reverse_flow": reverse_flow,
+    "voltage_compliance": voltage_compliance,
+    "phase_balance": phase_balance,
 }
