@@ -82,7 +82,8 @@ def test_with_previous_single_time_order_fast_path(spark):
     w = Window.partitionBy("k").orderBy("ts")
     want = rows(df.select("id", F.lag("v").over(w), F.lag("ts").over(w)))
     for width in (900, 86400, 10 ** 9):
-        got = with_previous(df, ["k"], ["ts"], ["v"], time_bucket("ts", width))
+        got = with_previous(df, ["k"], ["ts"], ["v"], time_bucket("ts", width),
+                            order_is_unique=True)
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "SortAggregate" not in plan
         assert rows(got, "id", "prev_v", "prev_ts") == want

@@ -82,6 +82,7 @@ def energy_deltas(
     prev = with_previous(
         pivot, ["MEDIDOR"], ["FECHA_LECTURA"], ["Delivered", "Received"],
         bucket=time_bucket("FECHA_LECTURA", bucket_seconds), prefix="__prev_",
+        order_is_unique=True,  # the pivot has one row per (meter, timestamp)
     )
     return prev.select(
         *ENERGY_KEYS,

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BUCKET, _CARRY, _LAST, _NEXT = "__wb", "__carry", "__last", "__next"
+# Largest rank table head_per_group broadcasts; beyond it the join shuffles.
+MAX_BROADCAST_ROWS = 1_000_000
 _LONG_MIN = -(2 ** 63)
 
 
@@ -28,6 +30,7 @@ def with_previous(
     columns: Sequence[str],
     bucket: Column,
     prefix: str = "prev_",
+    order_is_unique: bool = False,
 ) -> DataFrame:
     """Add ``prefix + c`` = value of ``c`` on the previous row of the same
     partition in ``order_by`` order, for every order column and each of
@@ -35,7 +38,10 @@ def with_previous(
 
     ``bucket`` must be non-decreasing along the order (for example a time
     bucket of the first order column). A NULL bucket sorts first, matching
-    the NULLS FIRST ascending order of NULL timestamps.
+    the NULLS FIRST ascending order of NULL timestamps. ``order_is_unique``
+    (no two rows of a partition share the order values) allows a cheaper
+    hash aggregate for the carried rows. As with ``lag``, rows tied on the
+    order have no defined sequence.
     """
     keys = list(partition_by)
     lagged = list(dict.fromkeys([*order_by, *columns]))
@@ -46,7 +52,8 @@ def with_previous(
 
     # Last row of each (key, bucket): the largest order tuple. Partial
     # aggregation keeps this cheap even for a key with many rows.
-    last = base.groupBy(*keys, _BUCKET).agg(*_last_row(base, list(order_by), lagged))
+    last = base.groupBy(*keys, _BUCKET).agg(
+        *_last_row(base, list(order_by), lagged, order_is_unique))
     # ...which becomes the leading row of the key's next non-empty bucket.
     carry = (
         last.withColumn(_NEXT, F.lead(_BUCKET).over(Window.partitionBy(*keys).orderBy(_BUCKET)))
@@ -87,12 +94,14 @@ def _order_as_long(df: DataFrame, c: str) -> Column | None:
     return F.coalesce(v, F.lit(_LONG_MIN))
 
 
-def _last_row(df: DataFrame, order_by: list[str], lagged: list[str]) -> list[Column]:
+def _last_row(df: DataFrame, order_by: list[str], lagged: list[str], unique: bool
+              ) -> list[Column]:
     """Aggregates giving ``__last<c>`` = column c on the row with the largest
-    order tuple. With one integral/time order column and fixed-width values
-    this is a set of ``max_by`` over a long ordering (a hash aggregate);
-    otherwise one ``max`` over a struct of the order columns and values."""
-    key = _order_as_long(df, order_by[0]) if len(order_by) == 1 else None
+    order tuple. With a unique, single integral/time order column and
+    fixed-width values this is a set of ``max_by`` over a long ordering (a
+    hash aggregate); otherwise one ``max`` over a struct of the order
+    columns and values, which keeps every value from one row."""
+    key = _order_as_long(df, order_by[0]) if unique and len(order_by) == 1 else None
     if key is not None and all(isinstance(df.schema[c].dataType, _FIXED) for c in lagged):
         return [F.max_by(F.col(c), key).alias(f"{_LAST}{c}") for c in lagged]
     last = F.max(F.struct(*[F.col(c) for c in lagged]))
@@ -151,8 +160,11 @@ def head_per_group(
         (F.sum("__n").over(Window.partitionBy(group)) * pct / 100).cast("long").alias("__keep"),
     )
     rank = F.col("__offset") + F.col("__pos") - F.col("__first")
+    # runs has one row per (partition, group present in it): at most
+    # partitions + groups rows. Broadcast it only when that count is small.
+    small = runs.count() <= MAX_BROADCAST_ROWS
     return (
-        numbered.join(F.broadcast(runs), ["__part", group], "inner")
+        numbered.join(F.broadcast(runs) if small else runs, ["__part", group], "inner")
         .filter(rank < F.col("__keep"))
         .drop("__id", "__part", "__pos", "__first", "__offset", "__keep")
     )
