@@ -45,3 +45,16 @@ def test_hot_group_head_is_split(spark):
     parts = (df.repartitionByRange(6, "layer", "seq").filter(F.col("layer") == "big")
              .select(F.spark_partition_id()).distinct().count())
     assert parts >= 4
+
+
+def test_oversized_day_dropped_before_shuffle(spark):
+    from wattle.operators import scenarios
+    day = [(2, T0 + dt.timedelta(minutes=15 * i), 1.0) for i in range(96)]
+    hot = [(1, T0 + dt.timedelta(seconds=i), 1.0) for i in range(5000)]
+    df = spark.createDataFrame(day + hot, "node long, ts timestamp_ntz, P double")
+    out = scenarios.complete_days(df, hot_rows=1000)
+    assert out.groupBy("node").count().collect()[0]["count"] == 96
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    anti = plan.index("LeftAnti")
+    exchange = plan.index("Exchange hashpartitioning(node")
+    assert "BroadcastHashJoin" in plan and anti > 0 and exchange > 0

@@ -5,10 +5,11 @@ has exactly ``samples_per_day`` rows on that date; curves are means per
 0-based timestep of complete days.
 
 Plan shape: the day count is a partial aggregate (a node with many rows is
-combined before the shuffle); complete days are kept with a left-semi join
-on (node, date), and the timestep window partitions by the same (node, date)
-so it reuses the join's shuffle. After the join every group has exactly
-``samples_per_day`` rows, so no window group can grow with the data.
+combined before the shuffle); oversized groups are dropped map-side; complete
+days are kept with a left-semi join on (node, date), and the timestep window
+partitions by the same (node, date) so it reuses the join's shuffle. After
+the join every group has exactly ``samples_per_day`` rows, so no window
+group can grow with the data.
 """
 
 from __future__ import annotations
@@ -36,12 +37,30 @@ def samples_per_day(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy(*DAY_KEYS).agg(F.count(F.lit(1)).alias("samples"))
 
 
+# A (node, date) group above this many rows is dropped before the shuffle.
+HOT_GROUP_ROWS = 1_000_000
+
+
 def complete_days(df: DataFrame, samples: int = 96,
-                  seasons: dict[int, str] | None = None) -> DataFrame:
-    """Labelled rows of the (node, date) pairs with exactly ``samples`` rows."""
+                  seasons: dict[int, str] | None = None,
+                  hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Labelled rows of the (node, date) pairs with exactly ``samples`` rows.
+
+    A group much larger than a day can never qualify, yet the semi-join
+    would still send all of it to one task. Such groups (more than
+    ``hot_rows`` rows) are removed map-side by a broadcast anti-join first.
+    That key set is bounded: at most (total rows / ``hot_rows``) keys.
+    """
+    if hot_rows < samples:
+        raise ValueError("hot_rows must be at least samples")
     labelled = calendar_labels(df, seasons)
-    valid = samples_per_day(labelled).filter(F.col("samples") == samples).select(*DAY_KEYS)
-    return labelled.join(valid, on=DAY_KEYS, how="left_semi")
+    counts = samples_per_day(labelled)
+    valid = counts.filter(F.col("samples") == samples).select(*DAY_KEYS)
+    hot = counts.filter(F.col("samples") > hot_rows).select(*DAY_KEYS)
+    return (
+        labelled.join(F.broadcast(hot), on=DAY_KEYS, how="left_anti")
+        .join(valid, on=DAY_KEYS, how="left_semi")
+    )
 
 
 def _timesteps(days: DataFrame) -> DataFrame:
