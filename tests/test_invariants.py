@@ -10,7 +10,9 @@ from wattle.plans import catalog
 
 @pytest.fixture(scope="module")
 def ene(spark):
-    return measures.ene_readings(catalog._consumption(spark, SF_SMALL)).cache()
+    df = measures.ene_readings(catalog._consumption(spark, SF_SMALL)).cache()
+    yield df
+    df.unpersist()  # later tests inspect uncached plans
 
 
 def test_flags_imply_status(spark):
