@@ -133,11 +133,11 @@ def head_per_group(
     rank in its group. That table has at most partitions + groups rows,
     which bounds the broadcast.
     """
-    from wattle.session import ensure_checkpoint_dir
+    from wattle.session import default_parallelism, ensure_checkpoint_dir
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or spark.sparkContext.defaultParallelism
+    n = partitions or default_parallelism(spark)
     order = [group, *order_by]
     numbered = (
         df.repartitionByRange(n, *order)

@@ -56,6 +56,22 @@ def pin_session(spark: SparkSession) -> None:
             pass
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session, None for a Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    """Task slots of the cluster (falls back to the shuffle partition count)."""
+    sc = _context(spark)
+    if sc is not None:
+        return int(sc.defaultParallelism)
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and derived tables.
 
@@ -64,25 +80,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     own; a cluster without a shared folder is an error, since a machine-local
     folder would vanish with its executor.
     """
+    sc = _context(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if sc is None or not sc.master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; name a shared folder for checkpoints"
         )
     root = tempfile.mkdtemp(prefix="wattle-ckpt-")
-    spark.sparkContext.setCheckpointDir(root)
+    sc.setCheckpointDir(root)
     return root
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure ``DataFrame.checkpoint()`` has a directory, return it."""
     root = checkpoint_root(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+    sc = _context(spark)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root
 
 

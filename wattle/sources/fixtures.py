@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattle.session import default_parallelism
 from wattle.sources.schemas import CUSTOMER_DATE_COLUMNS
 
 
@@ -229,7 +230,7 @@ def build_view(spark: SparkSession, sf_dir: str, spec: ViewSpec | str) -> DataFr
     if spec.ranges:
         # A key table is small (often one row group); spread the keys before
         # the expansion so the generated rows are produced by every core.
-        df = df.repartition(spark.sparkContext.defaultParallelism, spec.alias)
+        df = df.repartition(default_parallelism(spark), spec.alias)
     for name, n in spec.ranges:
         df = df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     if spec.keep != "true":
