@@ -355,3 +355,20 @@ from (select MEDIDOR, FECHA_LECTURA, TIPO_CONSUMO, {_PHASE_AVG} from pv
       where VALOR_LECTURA is not null and MEDIDOR is not null and FECHA_LECTURA is not null
       group by MEDIDOR, FECHA_LECTURA, TIPO_CONSUMO)""",
 })
+
+# ---------------------------------------------------------------- natural data (events)
+
+_EVENTS = _with(
+    hourly="select event_type as node, date_trunc('hour', ts) as ts, count(*) as P "
+           "from events where ts is not null and event_type is not null "
+           "group by event_type, date_trunc('hour', ts)",
+    labelled=LABELLED.replace("P_Pdem as P", "P").replace("from active", "from hourly"),
+    counts=COUNTS,
+    days=DAYS.replace("c.samples = 96", "c.samples = 24"),
+)
+
+ORACLE.update({
+    "events_complete_days": _EVENTS + "select * from days",
+    "events_weekend_curve": _EVENTS.rstrip("\n") + ",\nsteps as (" + STEPS.format(day="weekend")
+    + ")\nselect node, timestep, avg(P) as P from steps group by node, timestep",
+})

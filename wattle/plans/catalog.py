@@ -282,6 +282,27 @@ def phase_balance(spark, sf):
     return analytics.phase_balance(measures.phase_voltage(_consumption(spark, sf)))
 
 
+def _events_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Natural data: events per hour and event type as (node, ts, P).
+
+    An integer load keeps every later sum exact, so curve means do not depend
+    on summation order."""
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    return (
+        ev.filter(F.col("ts").isNotNull() & F.col("event_type").isNotNull())
+        .groupBy(F.col("event_type").alias("node"), F.date_trunc("hour", "ts").alias("ts"))
+        .agg(F.count(F.lit(1)).alias("P"))
+    )
+
+
+def events_complete_days(spark, sf):
+    return scenarios.complete_days(_events_input(spark, sf), samples=24)
+
+
+def events_weekend_curve(spark, sf):
+    return scenarios.weekend_curve(scenarios.complete_days(_events_input(spark, sf), samples=24))
+
+
 QUERIES: dict[str, Query] = {
     "clean_consumption": clean_consumption,
     "time_window": time_window,
@@ -328,4 +349,6 @@ QUERIES: dict[str, Query] = {
     "reverse_flow": reverse_flow,
     "voltage_compliance": voltage_compliance,
     "phase_balance": phase_balance,
+    "events_complete_days": events_complete_days,
+    "events_weekend_curve": events_weekend_curve,
 }
