@@ -89,6 +89,8 @@ def _phase(types: str) -> str:
 ORACLE: dict[str, str] = {
     "clean_consumption": _consumption() + "select * from clean",
     "time_window": _consumption(window=("2026-03-03", "2026-03-10")) + "select * from clean",
+    "time_window_pruned": _consumption(window=("2026-03-03", "2026-03-10"))
+    + "select * from clean",
     "ene_readings": _consumption() + ENE,
     "mde_readings": _consumption() + MDE,
     "phase_power": _phase("('kW', 'kVAR', 'kVA')"),

@@ -78,3 +78,23 @@ def test_time_window_half_open_and_pushed(spark, tmp_path):
     assert cleaning.time_window(df).count() == 4
     with pytest.raises(ValueError):
         cleaning.time_window(df, "2026-13-01")
+
+
+def test_time_window_prunes_date_partitions(spark, tmp_path):
+    from wattle.sources import readers
+    base = _raw(spark).filter(F.col("FECHA_LECTURA_REAL").isNotNull())
+    days = [base.withColumn("FECHA_LECTURA_REAL",
+                            F.lit(dt.datetime(2026, 3, d, 12)).cast("timestamp_ntz"))
+            for d in range(1, 8)]
+    raw = days[0]
+    for d in days[1:]:
+        raw = raw.union(d)
+    path = str(tmp_path / "by_day")
+    readers.write_readings(raw, path)
+    df = readers.load_readings(spark, data_path=path)
+    win = cleaning.time_window(df, "2026-03-03 12:00:00", "2026-03-05 12:00:00")
+    assert win.count() == 2  # 3rd and 4th at noon; upper bound excluded
+    plan = win._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(reading_date" in plan
+    assert rows(win, "FECHA_LECTURA_REAL") == rows(
+        cleaning.time_window(raw, "2026-03-03 12:00:00", "2026-03-05 12:00:00"), "FECHA_LECTURA_REAL")

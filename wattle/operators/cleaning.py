@@ -19,6 +19,7 @@ from wattle.functions.columns import (
     try_bigint,
     try_double,
 )
+from wattle.sources.readers import PARTITION_COLUMN
 from wattle.sources.schemas import CUSTOMER_DATE_COLUMNS, require_columns
 
 DEFAULT_VOLTAGE_PHASES: tuple[str, ...] = ("Phase A Average RMS Voltage",)
@@ -52,6 +53,14 @@ def time_window(
     if to_ts is not None:
         upper = F.col(ts_col) < _bound(df, ts_col, to_ts)
         cond = upper if cond is None else cond & upper
+    if PARTITION_COLUMN in df.columns:
+        # Implied by the bounds above (never narrower), and on the partition
+        # column, so whole date folders are skipped at planning time.
+        day = F.col(PARTITION_COLUMN)
+        if from_ts is not None:
+            cond = cond & (day >= F.to_date(_bound(df, ts_col, from_ts)))
+        if to_ts is not None:
+            cond = cond & (day <= F.to_date(_bound(df, ts_col, to_ts)))
     return df.filter(cond)
 
 

@@ -44,6 +44,15 @@ def time_window(spark, sf):
     return cleaning.clean_consumption(raw)
 
 
+def time_window_pruned(spark, sf):
+    """The same window over readings stored partitioned by reading date."""
+    path = scratch_path(spark, "consumption_by_day")
+    readers.write_readings(build_view(spark, sf, "consumption_raw"), path)
+    raw = readers.load_readings(spark, data_path=path)
+    win = cleaning.time_window(raw, WINDOW_FROM, WINDOW_TO)
+    return cleaning.clean_consumption(win).drop(readers.PARTITION_COLUMN)
+
+
 def ene_readings(spark, sf):
     return measures.ene_readings(_consumption(spark, sf))
 
@@ -306,6 +315,7 @@ def events_weekend_curve(spark, sf):
 QUERIES: dict[str, Query] = {
     "clean_consumption": clean_consumption,
     "time_window": time_window,
+    "time_window_pruned": time_window_pruned,
     "ene_readings": ene_readings,
     "mde_readings": mde_readings,
     "phase_power": phase_power,

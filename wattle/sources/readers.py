@@ -71,6 +71,31 @@ def read_layers(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFra
     return df.withColumn("layer", F.substring_index(top, ".", 1))
 
 
+PARTITION_COLUMN = "reading_date"
+
+
+def write_readings(
+    df: DataFrame,
+    path: str,
+    ts_col: str = "FECHA_LECTURA_REAL",
+    fmt: str = "parquet",
+    mode: str = "overwrite",
+) -> None:
+    """Store raw readings partitioned by reading date (``reading_date``).
+
+    A later time window then prunes whole date partitions at planning time
+    (``PartitionFilters``) instead of opening every file. Rows with a NULL
+    timestamp land in the default NULL partition.
+    """
+    (
+        df.withColumn(PARTITION_COLUMN, F.to_date(F.col(ts_col)))
+        .write.format(fmt)
+        .mode(mode)
+        .partitionBy(PARTITION_COLUMN)
+        .save(path)
+    )
+
+
 def write_table(
     df: DataFrame,
     table_name: str,
