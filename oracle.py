@@ -374,3 +374,14 @@ ORACLE.update({
     "events_weekend_curve": _EVENTS.rstrip("\n") + ",\nsteps as (" + STEPS.format(day="weekend")
     + ")\nselect node, timestep, avg(P) as P from steps group by node, timestep",
 })
+
+ORACLE["domain_audit_gis"] = _with(
+    consumption_raw=view_sql("consumption_raw"), clean=CLEAN_CONSUMPTION,
+    gis_loads=view_sql("gis_loads"), gis_transformers=view_sql("gis_transformers"),
+    layers=LAYERS,
+) + """select NISE, bool_or(a) as in_consumption, bool_or(b) as in_gis,
+  case when bool_or(a) and bool_or(b) then 'in_both' when bool_or(a) then 'only_in_consumption'
+       else 'only_in_gis' end as domain_status
+from (select cast(NISE as varchar) as NISE, true as a, false as b from clean
+      union all select cast(OBJECTID as varchar), false, true from layers where layer = 'Loads')
+where NISE is not null group by NISE"""

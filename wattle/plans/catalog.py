@@ -265,6 +265,13 @@ def meter_locations(spark, sf):
     return locations.meter_locations(_consumption(spark, sf), loads)
 
 
+def domain_audit_gis(spark, sf):
+    """Service ids of the readings against the loads layer (OBJECTID = NISE)."""
+    loads = audits.gis_keys(locations.loads_view(_layers(spark, sf)), "NISE")
+    return audits.domain_audit(_consumption(spark, sf), loads, domain_label="NISE",
+                               a_label="consumption", b_label="gis")
+
+
 def gis_reproject(spark, sf):
     loads = locations.loads_view(_layers(spark, sf))
     return projection.reproject(loads, LOCAL_EPSG, projection.WGS84)
@@ -355,6 +362,7 @@ QUERIES: dict[str, Query] = {
     "gis_layer_slice": gis_layer_slice,
     "meter_locations": meter_locations,
     "gis_reproject": gis_reproject,
+    "domain_audit_gis": domain_audit_gis,
     "daily_max_demand": daily_max_demand,
     "reverse_flow": reverse_flow,
     "voltage_compliance": voltage_compliance,
