@@ -35,7 +35,8 @@ def test_prepare_layer_and_loads_view(spark):
 
 def test_head_per_group_exact(spark):
     rnd = random.Random(3)
-    data = [(rnd.choice(["big"] * 8 + ["a", "b", "c"]), i) for i in rnd.sample(range(5000), 900)]
+    data = [(rnd.choice(["big"] * 8 + ["a", "b", "c", None]), i)
+            for i in rnd.sample(range(5000), 900)]
     df = spark.createDataFrame(data, "layer string, seq long")
     w = Window.partitionBy("layer").orderBy("seq")
     brute = df.select("*", F.row_number().over(w).alias("rn"),

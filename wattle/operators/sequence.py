@@ -163,8 +163,11 @@ def head_per_group(
     # runs has one row per (partition, group present in it): at most
     # partitions + groups rows. Broadcast it only when that count is small.
     small = runs.count() <= MAX_BROADCAST_ROWS
+    runs = runs.withColumnsRenamed({"__part": "__rpart", group: "__rgroup"})
+    side = F.broadcast(runs) if small else runs
+    on = (F.col("__part") == F.col("__rpart")) & F.col(group).eqNullSafe(F.col("__rgroup"))
     return (
-        numbered.join(F.broadcast(runs) if small else runs, ["__part", group], "inner")
+        numbered.join(side, on, "inner")
         .filter(rank < F.col("__keep"))
-        .drop("__id", "__part", "__pos", "__first", "__offset", "__keep")
+        .drop("__id", "__part", "__pos", "__first", "__offset", "__keep", "__rpart", "__rgroup")
     )
