@@ -208,8 +208,8 @@ def audit_union(spark, sf):
 def audit_sink(spark, sf):
     """Consolidated audits written as a table, read back from the catalog."""
     name = "wattle_invalid_value_audit"
-    readers.write_table(audit_union(spark, sf), name, mode="overwrite",
-                        path=scratch_path(spark, name))
+    audits.write_invalid_value_audit([audit_union(spark, sf)], name, mode="overwrite",
+                                     path=scratch_path(spark, name))
     return spark.table(name)
 
 
