@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from conftest import rows
 from wattle.operators.sequence import head_per_group, time_bucket, with_previous
 
 T0 = dt.datetime(2026, 1, 1)
@@ -58,3 +59,25 @@ def test_oversized_day_dropped_before_shuffle(spark):
     anti = plan.index("LeftAnti")
     exchange = plan.index("Exchange hashpartitioning(node")
     assert "BroadcastHashJoin" in plan and anti > 0 and exchange > 0
+
+
+def test_hot_key_in_one_bucket_is_split(spark):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = [(None, T0 + dt.timedelta(seconds=i), float(i)) for i in range(3000)]   # NULL key
+        cold = [(k, T0 + dt.timedelta(minutes=m), 1.0) for k in range(2, 40) for m in range(30)]
+        df = spark.createDataFrame(hot + cold, "k long, ts timestamp_ntz, v double")
+        daily = time_bucket("ts", 86400)          # every hot row falls in one day bucket
+        plain = with_previous(df, ["k"], ["ts"], ["v"], daily, order_is_unique=True)
+        split = with_previous(df, ["k"], ["ts"], ["v"], daily, order_is_unique=True,
+                              target_rows_per_bucket=200)
+        tagged = split.withColumn("p", F.spark_partition_id())
+        parts = {r.p for r in tagged.collect() if r.k is None}
+        assert len(parts) >= 4
+        w = Window.partitionBy("k").orderBy("ts")
+        lagged = df.select("k", "ts", F.lag("v").over(w).alias("pv"))
+        assert rows(split, "k", "ts", "prev_v") == rows(lagged)
+        assert rows(plain, "k", "ts", "prev_v") == rows(lagged)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)

@@ -12,8 +12,10 @@ from wattle.functions.columns import epoch_seconds
 from wattle.operators.sequence import time_bucket, with_previous
 
 ENERGY_KEYS = ["MEDIDOR", "FECHA_LECTURA", "Hour"]
-# Deltas are computed per meter inside weekly buckets (see with_previous).
+# Deltas are computed per meter inside weekly buckets (see with_previous); a
+# meter with more rows than this gets finer buckets of about this many rows.
 DEFAULT_BUCKET_SECONDS = 7 * 86400
+HOT_METER_ROWS = 1_000_000
 
 
 def first_where(cond: Column, value: str, tie: str | None) -> Column:
@@ -71,6 +73,7 @@ def energy_deltas(
     tie: str | None = "seq",
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
     keep_null_keys: bool = False,
+    hot_rows: int | None = HOT_METER_ROWS,
 ) -> DataFrame:
     """Per meter, consecutive-reading differences.
 
@@ -83,6 +86,7 @@ def energy_deltas(
         pivot, ["MEDIDOR"], ["FECHA_LECTURA"], ["Delivered", "Received"],
         bucket=time_bucket("FECHA_LECTURA", bucket_seconds), prefix="__prev_",
         order_is_unique=True,  # the pivot has one row per (meter, timestamp)
+        target_rows_per_bucket=hot_rows,
     )
     return prev.select(
         *ENERGY_KEYS,

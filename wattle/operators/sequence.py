@@ -11,7 +11,9 @@ step, so the window over buckets stays small.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ def with_previous(
     bucket: Column,
     prefix: str = "prev_",
     order_is_unique: bool = False,
+    target_rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Add ``prefix + c`` = value of ``c`` on the previous row of the same
     partition in ``order_by`` order, for every order column and each of
@@ -42,13 +45,21 @@ def with_previous(
     (no two rows of a partition share the order values) allows a cheaper
     hash aggregate for the carried rows. As with ``lag``, rows tied on the
     order have no defined sequence.
+
+    ``target_rows_per_bucket``: keys with more rows than this get their own
+    finer buckets, about that many rows each, spread over the key's own
+    order range (single integral/time order column only). So even a key
+    whose rows all fall in one ``bucket`` is split over many tasks.
     """
     keys = list(partition_by)
     lagged = list(dict.fromkeys([*order_by, *columns]))
+    if target_rows_per_bucket and len(order_by) == 1:
+        df, bucket = _split_hot_keys(df, keys, order_by[0], bucket, target_rows_per_bucket)
     base = df.withColumns({
         _BUCKET: F.coalesce(bucket.cast("long"), F.lit(_LONG_MIN)),
         _CARRY: F.lit(0),
     })
+    base = base.drop(*[c for c in base.columns if c.startswith(_HOT)])
 
     # Last row of each (key, bucket): the largest order tuple. Partial
     # aggregation keeps this cheap even for a key with many rows.
@@ -78,8 +89,9 @@ _FIXED = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.F
           T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def _order_as_long(df: DataFrame, c: str) -> Column | None:
-    """A long that sorts like column ``c`` with NULL smallest, if one exists."""
+def _order_as_long(df: DataFrame, c: str, nulls_smallest: bool = True) -> Column | None:
+    """A long that sorts like column ``c`` (NULL smallest unless asked to
+    stay NULL), if one exists."""
     t = df.schema[c].dataType
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
         v = F.unix_micros(F.col(c).cast("timestamp"))
@@ -91,7 +103,7 @@ def _order_as_long(df: DataFrame, c: str) -> Column | None:
         v = F.col(c)
     else:
         return None
-    return F.coalesce(v, F.lit(_LONG_MIN))
+    return F.coalesce(v, F.lit(_LONG_MIN)) if nulls_smallest else v
 
 
 def _last_row(df: DataFrame, order_by: list[str], lagged: list[str], unique: bool
@@ -108,6 +120,37 @@ def _last_row(df: DataFrame, order_by: list[str], lagged: list[str], unique: boo
     return [last.getField(c).alias(f"{_LAST}{c}") for c in lagged]
 
 
+_HOT = "__hot_"
+
+
+def _split_hot_keys(df: DataFrame, keys: list[str], order_col: str, bucket: Column,
+                    target: int) -> tuple[DataFrame, Column]:
+    """Bucket column where keys with more than ``target`` rows use buckets of
+    about ``target`` rows each across their own [min, max] order range.
+
+    Hot keys are found with a partial aggregate; there are at most
+    rows / ``target`` of them, which bounds the broadcast. Per key only one
+    bucket rule applies, so buckets stay non-decreasing along the order.
+    """
+    o = _order_as_long(df, order_col, nulls_smallest=False)
+    if o is None:
+        return df, bucket
+    stats = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias(f"{_HOT}n"), F.min(o).alias(f"{_HOT}lo"),
+             F.max(o).alias(f"{_HOT}hi"))
+        .filter(F.col(f"{_HOT}n") > target)
+        .withColumnsRenamed({k: f"{_HOT}k{i}" for i, k in enumerate(keys)})
+    )
+    on = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"{_HOT}k{i}"))
+                                for i, k in enumerate(keys)])
+    joined = df.join(F.broadcast(stats), on, "left")
+    lo, hi, n = (F.col(f"{_HOT}{c}") for c in ("lo", "hi", "n"))
+    share = (o - lo).cast("double") / (hi - lo + 1).cast("double")
+    fine = F.floor(share * (n.cast("double") / F.lit(float(target))))
+    return joined, F.when(lo.isNotNull(), fine).otherwise(bucket)
+
+
 def time_bucket(ts: str | Column, width_seconds: int) -> Column:
     """Bucket number of a timestamp: floor(epoch seconds / width)."""
     t = F.col(ts) if isinstance(ts, str) else ts
