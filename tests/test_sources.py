@@ -41,3 +41,23 @@ def test_read_customers_semicolon_text(spark, tmp_path):
     df = readers.read_customers(spark, str(path), {"NISE": "str"})
     r = df.first()
     assert r.NISE == "5000101,00" and r.FECHA_LECTURA is None and r.DESCSECTOR == "Comercial"
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    a = spark.range(1000).selectExpr("id % 100 as NISE", "id as v")
+    b = spark.range(100).selectExpr("id as NISE", "cast(id as string) as s")
+    readers.write_table(a, "wattle_bkt_a", path=str(tmp_path / "a"), bucket_by=(8, ["NISE"]))
+    readers.write_table(b, "wattle_bkt_b", path=str(tmp_path / "b"), bucket_by=(8, ["NISE"]))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("wattle_bkt_a").join(spark.table("wattle_bkt_b"), "NISE")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "64MB")
+        spark.sql("drop table wattle_bkt_a")
+        spark.sql("drop table wattle_bkt_b")

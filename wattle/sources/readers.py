@@ -102,9 +102,22 @@ def write_table(
     mode: str = "overwrite",
     fmt: str = "parquet",
     path: str | None = None,
+    bucket_by: tuple[int, list[str]] | None = None,
+    sort_by: list[str] | None = None,
 ) -> None:
-    """Persist a result as a catalog table (optionally at an explicit path)."""
+    """Persist a result as a catalog table (optionally at an explicit path).
+
+    ``bucket_by=(n, cols)`` stores the table in ``n`` hash buckets of
+    ``cols``: two tables bucketed the same way join or aggregate on those
+    columns without shuffling either side (e.g. readings and customers on
+    NISE for repeated reconciliations).
+    """
     writer = df.write.format(fmt).mode(mode)
     if path:
         writer = writer.option("path", path)
+    if bucket_by:
+        n, cols = bucket_by
+        writer = writer.bucketBy(n, *cols)
+        if sort_by:
+            writer = writer.sortBy(*sort_by)
     writer.saveAsTable(table_name)
