@@ -53,10 +53,14 @@ def reconcile_entities(
     """
     require_columns(master, [entity_label, self_attr], "master")
     keys = entity_keys.select(entity_label).distinct()
+    # Reduce the readings to one row per entity first (partial aggregation
+    # before any shuffle), then restrict to the keys with an entity-level
+    # inner join (keys are distinct, so it filters like a semi-join). A
+    # semi-join here would be pushed below the aggregate and shuffle every
+    # raw reading when the key set is too large to broadcast.
     latest = latest_attribute(
-        readings.join(keys, entity_label, "left_semi"),
-        entity_label, other_attr, date_col, tie, alias="other_source",
-    )
+        readings, entity_label, other_attr, date_col, tie, alias="other_source",
+    ).join(keys, entity_label, "inner")
     mine = master.join(keys, entity_label, "left_semi").select(
         entity_label, F.col(self_attr).alias("self_source")
     )
