@@ -21,3 +21,26 @@ def test_stream_matches_batch(spark, tmp_path):
                output_mode="complete", checkpoint=str(tmp_path / "ck2"))
     q2.awaitTermination()
     assert rows(spark.table("wattle_audit")) == rows(audits.run_audits(raw, audits.CONSUMPTION_RULES))
+
+
+def test_day_counts_stream_matches_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from wattle.operators import scenarios
+    from wattle.plans import catalog
+    from wattle.sources.schemas import SCENARIO_SCHEMA
+    from wattle.streaming import day_counts_stream
+
+    samples = catalog._scenario_input(spark, SF_SMALL)
+    src = str(tmp_path / "samples")
+    samples.orderBy("ts").coalesce(1).write.parquet(src)
+    stream = read_stream(spark, src, SCENARIO_SCHEMA)
+    q = start(day_counts_stream(stream), "wattle_days", sink="memory",
+              checkpoint=str(tmp_path / "ck3"))
+    q.awaitTermination()
+    got = spark.table("wattle_days")
+    last = samples.agg(F.max(F.to_date("ts"))).first()[0]
+    want = scenarios.samples_per_day(scenarios.calendar_labels(samples)).filter(
+        F.col("date") < F.lit(last))
+    assert rows(got, "node", "date", "samples") == rows(want, "node", "date", "samples")
+    assert got.filter("complete").count() == want.filter("samples = 96").count() > 0

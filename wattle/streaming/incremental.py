@@ -3,6 +3,7 @@
 The cleaning projections and measure filters are stateless, so the batch
 operators apply unchanged to a streaming DataFrame. Raw-value audits become
 a running aggregation whose state is one row per distinct invalid value.
+Per-(node, day) sample counts run as a watermarked one-day window count.
 Consecutive-reading deltas need an ordered window and stay batch-only.
 Checkpoints live under the session's shared checkpoint folder, so a restarted
 query resumes exactly where it stopped.
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,6 +50,33 @@ def audit_stream(raw: DataFrame, rules: Mapping[str, audits.AuditRule]) -> DataF
     return audits.run_audits(raw, rules, one_pass=True)
 
 
+def day_counts_stream(samples: DataFrame, watermark: str = "1 day", samples_per_day: int = 96,
+                      node: str = "node", ts: str = "ts") -> DataFrame:
+    """Rows per (node, calendar day) of a sample stream, final once the
+    watermark passes the day's end (append mode), with the complete-day flag.
+
+    State holds only the open days of each node; a day's counts are dropped
+    from state when emitted. Samples arriving later than ``watermark``
+    behind the newest sample are ignored, as Structured Streaming defines.
+    """
+    # Watermarks need an instant type; wall-clock (NTZ) timestamps are read in
+    # the session time zone, which wattle pins to UTC.
+    event = "__event_ts"
+    day = F.window(F.col(event), "1 day")
+    return (
+        samples.withColumn(event, F.col(ts).cast("timestamp"))
+        .withWatermark(event, watermark)
+        .groupBy(F.col(node), day)
+        .agg(F.count(F.lit(1)).alias("samples"))
+        .select(
+            F.col(node),
+            F.to_date(F.col("window.start")).alias("date"),
+            "samples",
+            (F.col("samples") == samples_per_day).alias("complete"),
+        )
+    )
+
+
 def start(df: DataFrame, name: str, sink: str = "parquet", path: str | None = None,
           output_mode: str = "append", checkpoint: str | None = None,
           available_now: bool = True) -> StreamingQuery:
