@@ -79,6 +79,12 @@ def test_reprojection(spark):
     assert projection.reproject(pts, 4326, 4326) is pts
     with pytest.raises(ValueError):
         projection.reproject(pts, 3857, 4326)
+    # grid to grid through WGS84: a grid shifted by 100 km of false easting
+    shifted = projection.TransverseMercator(lon0=-84.0, lat0=0.0, k0=0.9999,
+                                            false_easting=600000.0, false_northing=0.0)
+    moved = projection.reproject(fwd, 5367, 9999, grids={9999: shifted}).collect()
+    for a, b in zip(got, moved):
+        assert b.x == pytest.approx(a.x + 100000.0, abs=1e-6) and b.y == pytest.approx(a.y, abs=1e-6)
 
 
 def test_flatten(spark):

@@ -121,7 +121,8 @@ def reproject(
 
     Equal CRS: unchanged. Unknown source CRS (None): unchanged, since
     there is nothing to convert from. Supported: a grid of ``grids``
-    (default :data:`GRIDS`) to or from WGS84 (4326, x = lon, y = lat).
+    (default :data:`GRIDS`) to or from WGS84 (4326, x = lon, y = lat), and
+    grid to grid through WGS84.
     """
     if source_epsg is None or source_epsg == target_epsg:
         return df
@@ -130,6 +131,9 @@ def reproject(
         nx, ny = tm_inverse(F.col(x), F.col(y), table[source_epsg])
     elif source_epsg == WGS84 and target_epsg in table:
         nx, ny = tm_forward(F.col(x), F.col(y), table[target_epsg])
+    elif source_epsg in table and target_epsg in table:
+        lon, lat = tm_inverse(F.col(x), F.col(y), table[source_epsg])
+        nx, ny = tm_forward(lon, lat, table[target_epsg])
     else:
         raise ValueError(f"no projection from EPSG:{source_epsg} to EPSG:{target_epsg}")
     return df.withColumns({x: nx, y: ny, epsg_col: F.lit(int(target_epsg))})
