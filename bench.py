@@ -33,9 +33,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
+    memory = os.environ.get("BENCH_DRIVER_MEMORY", "16g")
     spark = build_session(
         f"local[{cpus}]", app_name="wattle-bench", shuffle_partitions=4 * cpus,
-        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")},
+        extra={"spark.driver.memory": memory},
     )
     spark.sparkContext.setLogLevel("ERROR")
     t0 = time.perf_counter()
@@ -59,6 +60,7 @@ def main() -> None:
         "queries": timings,
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "cpus": cpus,
+        "driver_memory": memory,
         "runs": runs,
         "spark": spark.version,
     }))
