@@ -41,3 +41,22 @@ def test_power_voltage_and_scenarios(spark, paths):
     city = CityScenarios(scenario_input(p.active_df))
     assert rows(city.season_curves()) == rows(catalog.QUERIES["season_curves"](spark, SF_SMALL))
     assert rows(city.weekends_curve()) == rows(catalog.QUERIES["weekend_curve"](spark, SF_SMALL))
+
+
+def test_customers_and_network(spark, tmp_path):
+    from wattle.plans.workflows import load_customers, load_network
+    from wattle.sources.schemas import CUSTOMER_SCHEMA
+
+    text = str(tmp_path / "customers")
+    build_view(spark, SF_SMALL, "customers_raw").write.option("sep", ";").option(
+        "header", "true").csv(text)
+    cust = load_customers(spark, text, {c: "str" for c in CUSTOMER_SCHEMA.fieldNames()})
+    assert rows(cust) == rows(catalog._customers(spark, SF_SMALL).select(*cust.columns))
+
+    root = tmp_path / "GIS"
+    build_view(spark, SF_SMALL, "gis_loads").write.parquet(str(root / "Loads.parquet"))
+    build_view(spark, SF_SMALL, "gis_transformers").write.parquet(str(root / "Transformers"))
+    net = load_network(spark, str(root), source_epsg=5367, target_epsg=4326, per_slice=50)
+    assert net.layers.count() == catalog.QUERIES["gis_layer_slice"](spark, SF_SMALL).count()
+    lon = net.loads.agg({"x": "max"}).first()[0]
+    assert -85 < lon < -83 and "x" not in net.attributes.columns and "NISE" in net.loads.columns

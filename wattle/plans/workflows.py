@@ -16,7 +16,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattle.operators import audits, cleaning, energy, measures, power, scenarios
+from wattle.operators import (
+    audits,
+    cleaning,
+    energy,
+    locations,
+    measures,
+    power,
+    projection,
+    scenarios,
+)
 from wattle.sources import readers
 
 
@@ -123,13 +132,44 @@ class CityScenarios:
     def __post_init__(self) -> None:
         self.sdata = scenarios.complete_days(self.sdf, self.samples_per_day, self.seasons)
 
-    def weekends_curve(self) -> DataFrame:
-        return scenarios.weekend_curve(self.sdata, self.power)
+    def weekends_curve(self, power: str | None = None) -> DataFrame:
+        return scenarios.weekend_curve(self.sdata, power or self.power)
 
-    def season_curves(self) -> DataFrame:
-        return scenarios.season_curves(self.sdata, self.power)
+    def season_curves(self, power: str | None = None) -> DataFrame:
+        return scenarios.season_curves(self.sdata, power or self.power)
 
 
 def scenario_input(active_df: DataFrame, power_col: str = "P_Pdem", name: str = "P") -> DataFrame:
     """node, ts and one power column of a profile, renamed for scenarios."""
     return active_df.select("node", "ts", F.col(power_col).alias(name))
+
+
+def load_customers(spark: SparkSession, path: str, dtype_map: dict | str | None = None,
+                   sep: str = ";") -> DataFrame:
+    """Customer master from separated text, typed and cleaned."""
+    return cleaning.clean_customers(readers.read_customers(spark, path, dtype_map, sep))
+
+
+@dataclass
+class Network:
+    layers: DataFrame          # every layer, tagged with ``layer``
+    loads: DataFrame           # the customers layer, OBJECTID as NISE
+    attributes: DataFrame      # the customers layer without point columns
+
+
+def load_network(spark: SparkSession, root: str, fmt: str = "parquet",
+                 source_epsg: int | None = None, target_epsg: int | None = None,
+                 per_slice: int | None = None, rename_cols: dict[str, str] | None = None,
+                 loads_layer: str = locations.LOADS_LAYER, order_by: str = "seq") -> Network:
+    """All layers under ``root``: ids typed and renamed, optionally sliced to
+    the first ``per_slice`` percent of each layer (by ``order_by``) and
+    reprojected from ``source_epsg`` to ``target_epsg``."""
+    layers = locations.prepare_layer(readers.read_layers(spark, root, fmt), rename_cols,
+                                     epsg=source_epsg)
+    if per_slice:
+        layers = locations.layer_slice(layers, per_slice, order_by)
+    if target_epsg is not None:
+        layers = projection.reproject(layers, source_epsg, target_epsg)
+    loads = locations.loads_view(layers, loads_layer)
+    return Network(layers=layers, loads=loads, attributes=locations.loads_view(
+        layers, loads_layer, attributes_only=True))
