@@ -69,11 +69,57 @@ def main() -> None:
 
     hot_share = pivot.filter(F.col("MEDIDOR") == 1000).count() / pivot.count()
     same = plain.exceptAll(spread).isEmpty() and spread.exceptAll(plain).isEmpty()
+
+    # Complete days: one (node, date) with a third of all samples.
+    from wattle.operators import scenarios
+    from wattle.plans import catalog
+
+    samples = catalog._scenario_input(spark, args.sf)
+    n = samples.count()
+    crowd = (spark.range(n // 2).select(
+        F.lit(-1).cast("long").alias("node"),
+        (F.lit("2026-02-02 00:00:00").cast("timestamp_ntz")
+         + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
+                              (F.col("id") / 1000).cast("decimal(18,6)"))).alias("ts"),
+        F.lit(1.0).alias("P")))
+    skewed = samples.unionByName(crowd)
+
+    def day_share(df):
+        per = (df.select(F.spark_partition_id().alias("p"), "timestep").groupBy("p")
+               .agg(F.count(F.lit(1)).alias("n"), F.count("timestep").alias("nt")).collect())
+        return round(max(r.n for r in per) / sum(r.n for r in per), 4)
+
+    def steps(days):
+        from pyspark.sql import Window as W
+        return days.withColumn("timestep", F.row_number().over(
+            W.partitionBy("node", "date").orderBy("ts")))
+
+    def semi_only(df):
+        lab = scenarios.calendar_labels(df)
+        valid = scenarios.samples_per_day(lab).filter("samples = 96").select("node", "date")
+        return lab.join(valid, ["node", "date"], "left_semi")
+
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")  # cluster-size keys
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    # the shuffle before the join reads every labelled row, crowded day included
+    labelled = scenarios.calendar_labels(skewed).withColumn("timestep", F.lit(0))
+    pre_semi = labelled.repartition("node", "date")
+    counts = scenarios.samples_per_day(labelled).filter("samples > 1000").select("node", "date")
+    pre_semi_dropped = labelled.join(F.broadcast(counts), ["node", "date"], "left_anti") \
+        .repartition("node", "date")
     print(json.dumps({
         "hot_meter_share_of_rows": round(hot_share, 4),
         "largest_task_share_plain_lag": max_share(plain)[0],
         "largest_task_share_with_previous": max_share(spread)[0],
         "same_values": same,
+        "crowded_day_share_of_rows": round((n // 2) / (n + n // 2), 4),
+        "largest_join_input_share_without_drop": day_share(pre_semi),
+        "largest_join_input_share_with_drop": day_share(pre_semi_dropped),
+        "same_complete_days": scenarios.complete_days(skewed, hot_rows=1000).exceptAll(
+            semi_only(skewed)).isEmpty(),
+        "largest_window_task_share": day_share(steps(scenarios.complete_days(
+            skewed, hot_rows=1000))),
     }))
     spark.stop()
 
