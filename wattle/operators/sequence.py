@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 _BUCKET, _CARRY, _LAST, _NEXT = "__wb", "__carry", "__last", "__next"
 # Largest rank table head_per_group broadcasts; beyond it the join shuffles.
 MAX_BROADCAST_ROWS = 1_000_000
+# At most this many hot keys (the largest) get their own finer buckets.
+MAX_HOT_KEYS = 10_000
 _LONG_MIN = -(2 ** 63)
 
 
@@ -128,9 +130,10 @@ def _split_hot_keys(df: DataFrame, keys: list[str], order_col: str, bucket: Colu
     """Bucket column where keys with more than ``target`` rows use buckets of
     about ``target`` rows each across their own [min, max] order range.
 
-    Hot keys are found with a partial aggregate; there are at most
-    rows / ``target`` of them, which bounds the broadcast. Per key only one
-    bucket rule applies, so buckets stay non-decreasing along the order.
+    Hot keys are found with a partial aggregate; the largest
+    ``MAX_HOT_KEYS`` of them are broadcast (a fixed bound), the rest keep
+    ``bucket``, so results never change. Per key only one bucket rule
+    applies, so buckets stay non-decreasing along the order.
     """
     o = _order_as_long(df, order_col, nulls_smallest=False)
     if o is None:
@@ -140,6 +143,10 @@ def _split_hot_keys(df: DataFrame, keys: list[str], order_col: str, bucket: Colu
         .agg(F.count(F.lit(1)).alias(f"{_HOT}n"), F.min(o).alias(f"{_HOT}lo"),
              F.max(o).alias(f"{_HOT}hi"))
         .filter(F.col(f"{_HOT}n") > target)
+        # a fixed bound on what is broadcast; keys past it use ``bucket`` (exact).
+        # Ties are broken by the keys, so every evaluation picks the same set.
+        .orderBy(F.col(f"{_HOT}n").desc(), *[F.col(k).asc_nulls_first() for k in keys])
+        .limit(MAX_HOT_KEYS)
         .withColumnsRenamed({k: f"{_HOT}k{i}" for i, k in enumerate(keys)})
     )
     on = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"{_HOT}k{i}"))
