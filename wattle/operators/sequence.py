@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 _BUCKET, _CARRY, _LAST, _NEXT = "__wb", "__carry", "__last", "__next"
 # Largest rank table head_per_group broadcasts; beyond it the join shuffles.
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = 200_000
 # At most this many hot keys (the largest) get their own finer buckets.
 MAX_HOT_KEYS = 10_000
 _LONG_MIN = -(2 ** 63)
