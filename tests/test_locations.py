@@ -94,3 +94,13 @@ def test_flatten(spark):
     flat = power.flatten(df)
     assert flat.columns == ["node", "P_Pdem", "P_Pgen", "E_Edem", "E_Egen"]
     assert tuple(flat.first()) == (1, 2.0, 3.0, 4.0, 5.0)
+
+
+def test_head_per_group_shuffle_join_fallback(spark, monkeypatch):
+    from wattle.operators import sequence
+    monkeypatch.setattr(sequence, "MAX_BROADCAST_ROWS", 0)   # force the non-broadcast join
+    data = [(g, i) for g in ("a", "b", None) for i in range(40)]
+    df = spark.createDataFrame(data, "layer string, seq long")
+    got = rows(head_per_group(df, "layer", ["seq"], 25, partitions=5), "layer", "seq")
+    assert got == sorted([(g, i) for g in ("a", "b", None) for i in range(10)],
+                         key=lambda t: (t[0] is not None, t[0] or "", t[1]))
