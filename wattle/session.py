@@ -15,6 +15,8 @@ SESSION_DEFAULTS: dict[str, str] = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Target size of post-shuffle partitions when AQE coalesces (cluster runs).
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
     # Runtime (AQE) broadcast only for sides whose measured size is small.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
