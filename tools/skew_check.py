@@ -22,7 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.1")
-    ap.add_argument("--hot-rows", type=int, default=5_000)
+    ap.add_argument("--hot-rows", type=int, default=500)
     args = ap.parse_args()
 
     from pyspark.sql import Window

@@ -13,7 +13,8 @@ from wattle.operators.sequence import time_bucket, with_previous
 
 ENERGY_KEYS = ["MEDIDOR", "FECHA_LECTURA", "Hour"]
 # Deltas are computed per meter inside weekly buckets (see with_previous); a
-# meter with more rows than this gets finer buckets of about this many rows.
+# meter with more than 10x this many rows gets finer buckets of about this
+# many rows.
 DEFAULT_BUCKET_SECONDS = 7 * 86400
 HOT_METER_ROWS = 1_000_000
 

@@ -37,10 +37,8 @@ def samples_per_day(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy(*DAY_KEYS).agg(F.count(F.lit(1)).alias("samples"))
 
 
-# A (node, date) group above this many rows is dropped before the shuffle
-# (the largest MAX_HOT_GROUPS of them, which bounds the broadcast).
-HOT_GROUP_ROWS = 1_000_000
-MAX_HOT_GROUPS = 10_000
+# A (node, date) group above this many rows is dropped before the shuffle.
+HOT_GROUP_ROWS = 10_000_000
 
 
 def complete_days(df: DataFrame, samples: int = 96,
@@ -50,19 +48,18 @@ def complete_days(df: DataFrame, samples: int = 96,
 
     A group much larger than a day can never qualify, yet the semi-join
     would still send all of it to one task. Such groups (more than
-    ``hot_rows`` rows) are removed map-side by a broadcast anti-join first;
-    at most ``MAX_HOT_GROUPS`` keys are broadcast.
+    ``hot_rows`` rows) are removed map-side by a broadcast anti-join first.
+    That key set holds at most (total rows / ``hot_rows``) keys.
     """
     if hot_rows < samples:
         raise ValueError("hot_rows must be at least samples")
     labelled = calendar_labels(df, seasons)
     counts = samples_per_day(labelled)
     valid = counts.filter(F.col("samples") == samples).select(*DAY_KEYS)
-    # The largest oversized groups only: a fixed broadcast bound. Any others
-    # are still removed exactly by the semi-join below.
-    hot = (counts.filter(F.col("samples") > hot_rows)
-           .orderBy(F.col("samples").desc(), *DAY_KEYS).limit(MAX_HOT_GROUPS)
-           .select(*DAY_KEYS))
+    # At most total rows / hot_rows keys (10^6 for 10^13 rows at the default).
+    # No limit here: a limit would plan the counts apart from the main branch
+    # and scan the input twice.
+    hot = counts.filter(F.col("samples") > hot_rows).select(*DAY_KEYS)
     return (
         labelled.join(F.broadcast(hot), on=DAY_KEYS, how="left_anti")
         .join(valid, on=DAY_KEYS, how="left_semi")

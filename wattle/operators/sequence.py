@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 _BUCKET, _CARRY, _LAST, _NEXT = "__wb", "__carry", "__last", "__next"
 # Largest rank table head_per_group broadcasts; beyond it the join shuffles.
 MAX_BROADCAST_ROWS = 200_000
-# At most this many hot keys (the largest) get their own finer buckets.
-MAX_HOT_KEYS = 10_000
+# A key is split when it has more than this many times the bucket target.
+HOT_KEY_FACTOR = 10
 _LONG_MIN = -(2 ** 63)
 
 
@@ -48,10 +48,11 @@ def with_previous(
     hash aggregate for the carried rows. As with ``lag``, rows tied on the
     order have no defined sequence.
 
-    ``target_rows_per_bucket``: keys with more rows than this get their own
-    finer buckets, about that many rows each, spread over the key's own
-    order range (single integral/time order column only). So even a key
-    whose rows all fall in one ``bucket`` is split over many tasks.
+    ``target_rows_per_bucket``: keys with more than ``HOT_KEY_FACTOR`` times
+    this many rows get their own finer buckets, about this many rows each,
+    spread over the key's own order range (single integral/time order column
+    only). So even a key whose rows all fall in one ``bucket`` is split over
+    many tasks.
     """
     keys = list(partition_by)
     lagged = list(dict.fromkeys([*order_by, *columns]))
@@ -127,13 +128,14 @@ _HOT = "__hot_"
 
 def _split_hot_keys(df: DataFrame, keys: list[str], order_col: str, bucket: Column,
                     target: int) -> tuple[DataFrame, Column]:
-    """Bucket column where keys with more than ``target`` rows use buckets of
-    about ``target`` rows each across their own [min, max] order range.
-
-    Hot keys are found with a partial aggregate; the largest
-    ``MAX_HOT_KEYS`` of them are broadcast (a fixed bound), the rest keep
-    ``bucket``, so results never change. Per key only one bucket rule
-    applies, so buckets stay non-decreasing along the order.
+    """Bucket column where keys with more than ``HOT_KEY_FACTOR * target``
+    rows use buckets of about ``target`` rows each across their own
+    [min, max] order range.
+
+    Hot keys are found with a partial aggregate over the same input (its
+    exchange is reused); there are at most rows / (``HOT_KEY_FACTOR`` *
+    ``target``) of them, which bounds the broadcast. Per key only one bucket
+    rule applies, so buckets stay non-decreasing along the order.
     """
     o = _order_as_long(df, order_col, nulls_smallest=False)
     if o is None:
@@ -142,11 +144,7 @@ def _split_hot_keys(df: DataFrame, keys: list[str], order_col: str, bucket: Colu
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias(f"{_HOT}n"), F.min(o).alias(f"{_HOT}lo"),
              F.max(o).alias(f"{_HOT}hi"))
-        .filter(F.col(f"{_HOT}n") > target)
-        # a fixed bound on what is broadcast; keys past it use ``bucket`` (exact).
-        # Ties are broken by the keys, so every evaluation picks the same set.
-        .orderBy(F.col(f"{_HOT}n").desc(), *[F.col(k).asc_nulls_first() for k in keys])
-        .limit(MAX_HOT_KEYS)
+        .filter(F.col(f"{_HOT}n") > HOT_KEY_FACTOR * target)
         .withColumnsRenamed({k: f"{_HOT}k{i}" for i, k in enumerate(keys)})
     )
     on = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"{_HOT}k{i}"))
