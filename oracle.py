@@ -385,3 +385,56 @@ ORACLE["domain_audit_gis"] = _with(
 from (select cast(NISE as varchar) as NISE, true as a, false as b from clean
       union all select cast(OBJECTID as varchar), false, true from layers where layer = 'Loads')
 where NISE is not null group by NISE"""
+
+# ---------------------------------------------------------------- reprojection (TM -> WGS84)
+
+
+def _tm_inverse_sql() -> str:
+    """Inverse Transverse Mercator series in SQL for the local grid, with the
+    ellipsoid constants computed here in Python (Snyder 1987, eqs. 8-18..8-25)."""
+    import math
+
+    from wattle.operators.projection import GRIDS
+
+    g = GRIDS[5367]
+    f = 1 / g.inv_f
+    e2 = f * (2 - f)
+    ep2 = e2 / (1 - e2)
+    m1 = 1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256
+    m2 = 3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024
+    m3 = 15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024
+    m4 = 35 * e2 ** 3 / 3072
+    lat0 = math.radians(g.lat0)
+    m0 = g.a * (m1 * lat0 - m2 * math.sin(2 * lat0) + m3 * math.sin(4 * lat0)
+                - m4 * math.sin(6 * lat0))
+    e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
+    r = repr
+    return f"""
+mu as (select *, ({r(m0)} + (y - {r(g.false_northing)}) / {r(g.k0)}) / {r(g.a * m1)} as mu
+       from loads),
+foot as (select *, mu + {r(3 * e1 / 2 - 27 * e1 ** 3 / 32)} * sin(2 * mu)
+                 + {r(21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32)} * sin(4 * mu)
+                 + {r(151 * e1 ** 3 / 96)} * sin(6 * mu)
+                 + {r(1097 * e1 ** 4 / 512)} * sin(8 * mu) as phi1 from mu),
+terms as (select *, {r(ep2)} * pow(cos(phi1), 2) as c1, pow(tan(phi1), 2) as t1,
+                 {r(g.a)} / sqrt(1 - {r(e2)} * pow(sin(phi1), 2)) as n1,
+                 {r(g.a * (1 - e2))} / pow(1 - {r(e2)} * pow(sin(phi1), 2), 1.5) as r1
+          from foot),
+dd as (select *, (x - {r(g.false_easting)}) / (n1 * {r(g.k0)}) as d from terms),
+geo as (select *,
+  phi1 - (n1 * tan(phi1) / r1) * (d * d / 2
+    - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - {r(9 * ep2)}) * pow(d, 4) / 24
+    + (61 + 90 * t1 + 298 * c1 + 45 * t1 * t1 - {r(252 * ep2)} - 3 * c1 * c1) * pow(d, 6) / 720)
+    as phi,
+  {r(math.radians(g.lon0))} + (d - (1 + 2 * t1 + c1) * pow(d, 3) / 6
+    + (5 - 2 * c1 + 28 * t1 - 3 * c1 * c1 + {r(8 * ep2)} + 24 * t1 * t1) * pow(d, 5) / 120)
+    / cos(phi1) as lam
+  from dd)"""
+
+
+ORACLE["gis_reproject"] = (
+    _layers({"loads": "select * from layers where layer = 'Loads'"}).rstrip("\n")
+    + "," + _tm_inverse_sql() + """
+select LOCALIZACION_REAL, MEDIDOR, OBJECTID as NISE, round(degrees(lam), 6) as x,
+  round(degrees(phi), 6) as y, seq, KVA, layer, 4326 as epsg from geo"""
+)

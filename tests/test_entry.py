@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from conftest import SF_CHECK, SF_SMALL
 
 TABLES = ["customer", "supplier", "events"]
-ROWS_ONLY = {"gis_reproject"}   # checked by tests/test_locations.py instead
+ROWS_ONLY: set[str] = set()   # every registered query has an oracle
 # Natural data has no complete day at sf0.001; these run one scale up.
 SCALE = {"events_complete_days": SF_CHECK, "events_weekend_curve": SF_CHECK}
 

@@ -272,9 +272,15 @@ def domain_audit_gis(spark, sf):
                                a_label="consumption", b_label="gis")
 
 
+# WGS84 coordinates are reported at 6 decimals (about 0.1 m), the usual
+# precision of map output.
+COORD_DECIMALS = 6
+
+
 def gis_reproject(spark, sf):
     loads = locations.loads_view(_layers(spark, sf))
-    return projection.reproject(loads, LOCAL_EPSG, projection.WGS84)
+    out = projection.reproject(loads, LOCAL_EPSG, projection.WGS84)
+    return out.withColumns({c: F.round(c, COORD_DECIMALS) for c in ("x", "y")})
 
 
 # Voltage band used by the compliance query (nominal volts, relative band).
