@@ -44,3 +44,18 @@ def test_day_counts_stream_matches_batch(spark, tmp_path):
         F.col("date") < F.lit(last))
     assert rows(got, "node", "date", "samples") == rows(want, "node", "date", "samples")
     assert got.filter("complete").count() == want.filter("samples = 96").count() > 0
+
+
+def test_parquet_sink_restart_is_exactly_once(spark, tmp_path):
+    from wattle.sources.schemas import VOLTAGE_SCHEMA
+    raw = build_view(spark, SF_SMALL, "voltages_raw")
+    src = str(tmp_path / "volts")
+    raw.repartition(2).write.parquet(src)
+    out, ck = str(tmp_path / "clean_volts"), str(tmp_path / "ck-volts")
+    want = cleaning.clean_voltage(raw)
+    for run in range(2):   # the second run resumes from the checkpoint: nothing new to write
+        q = start(clean_stream(read_stream(spark, src, VOLTAGE_SCHEMA), "voltage"),
+                  f"wattle_volts_{run}", path=out, checkpoint=ck)
+        q.awaitTermination()
+        got = spark.read.parquet(out)
+        assert rows(got) == rows(want.select(*got.columns))
