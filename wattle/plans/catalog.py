@@ -35,16 +35,16 @@ def _consumption(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean_consumption(build_view(spark, sf, "consumption_raw"))
 
 
-def clean_consumption(spark, sf):
+def clean_consumption(spark: SparkSession, sf: str) -> DataFrame:
     return _consumption(spark, sf)
 
 
-def time_window(spark, sf):
+def time_window(spark: SparkSession, sf: str) -> DataFrame:
     raw = cleaning.time_window(build_view(spark, sf, "consumption_raw"), WINDOW_FROM, WINDOW_TO)
     return cleaning.clean_consumption(raw)
 
 
-def time_window_pruned(spark, sf):
+def time_window_pruned(spark: SparkSession, sf: str) -> DataFrame:
     """The same window over readings stored partitioned by reading date."""
     path = scratch_path(spark, "consumption_by_day")
     readers.write_readings(build_view(spark, sf, "consumption_raw"), path)
@@ -53,39 +53,39 @@ def time_window_pruned(spark, sf):
     return cleaning.clean_consumption(win).drop(readers.PARTITION_COLUMN)
 
 
-def ene_readings(spark, sf):
+def ene_readings(spark: SparkSession, sf: str) -> DataFrame:
     return measures.ene_readings(_consumption(spark, sf))
 
 
-def mde_readings(spark, sf):
+def mde_readings(spark: SparkSession, sf: str) -> DataFrame:
     return measures.mde_readings(_consumption(spark, sf))
 
 
-def phase_power(spark, sf):
+def phase_power(spark: SparkSession, sf: str) -> DataFrame:
     return measures.phase_power(_consumption(spark, sf))
 
 
-def phase_voltage(spark, sf):
+def phase_voltage(spark: SparkSession, sf: str) -> DataFrame:
     return measures.phase_voltage(_consumption(spark, sf))
 
 
-def phase_current(spark, sf):
+def phase_current(spark: SparkSession, sf: str) -> DataFrame:
     return measures.phase_current(_consumption(spark, sf))
 
 
-def phase_pf(spark, sf):
+def phase_pf(spark: SparkSession, sf: str) -> DataFrame:
     return measures.phase_pf(_consumption(spark, sf))
 
 
-def n_phases(spark, sf):
+def n_phases(spark: SparkSession, sf: str) -> DataFrame:
     return measures.n_phases(measures.phase_voltage(_consumption(spark, sf)))
 
 
-def energy_pivot(spark, sf):
+def energy_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return energy.energy_pivot(measures.ene_readings(_consumption(spark, sf)))
 
 
-def energy_deltas(spark, sf):
+def energy_deltas(spark: SparkSession, sf: str) -> DataFrame:
     return energy.energy_deltas(measures.ene_readings(_consumption(spark, sf)))
 
 
@@ -97,36 +97,36 @@ def _voltage(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean_voltage(build_view(spark, sf, "voltages_raw"))
 
 
-def clean_power(spark, sf):
+def clean_power(spark: SparkSession, sf: str) -> DataFrame:
     return _power(spark, sf)
 
 
-def clean_voltage(spark, sf):
+def clean_voltage(spark: SparkSession, sf: str) -> DataFrame:
     return _voltage(spark, sf)
 
 
-def kwh_data(spark, sf):
+def kwh_data(spark: SparkSession, sf: str) -> DataFrame:
     return measures.kwh_data(_power(spark, sf))
 
 
-def kvarh_data(spark, sf):
+def kvarh_data(spark: SparkSession, sf: str) -> DataFrame:
     return measures.kvarh_data(_power(spark, sf))
 
 
-def active_profile(spark, sf):
+def active_profile(spark: SparkSession, sf: str) -> DataFrame:
     return power.active_profile(measures.kwh_data(_power(spark, sf)))
 
 
-def reactive_profile(spark, sf):
+def reactive_profile(spark: SparkSession, sf: str) -> DataFrame:
     return power.reactive_profile(measures.kvarh_data(_power(spark, sf)))
 
 
-def flatten_active(spark, sf):
+def flatten_active(spark: SparkSession, sf: str) -> DataFrame:
     nested = power.active_profile(measures.kwh_data(_power(spark, sf)), nested=True)
     return power.flatten(nested)
 
 
-def voltage_profile(spark, sf):
+def voltage_profile(spark: SparkSession, sf: str) -> DataFrame:
     return measures.voltage_profile(_voltage(spark, sf))
 
 
@@ -136,23 +136,23 @@ def _scenario_input(spark: SparkSession, sf: str) -> DataFrame:
     return act.select("node", "ts", act["P_Pdem"].alias("P"))
 
 
-def calendar_labels(spark, sf):
+def calendar_labels(spark: SparkSession, sf: str) -> DataFrame:
     return scenarios.calendar_labels(_scenario_input(spark, sf))
 
 
-def samples_per_day(spark, sf):
+def samples_per_day(spark: SparkSession, sf: str) -> DataFrame:
     return scenarios.samples_per_day(scenarios.calendar_labels(_scenario_input(spark, sf)))
 
 
-def complete_days(spark, sf):
+def complete_days(spark: SparkSession, sf: str) -> DataFrame:
     return scenarios.complete_days(_scenario_input(spark, sf))
 
 
-def weekend_curve(spark, sf):
+def weekend_curve(spark: SparkSession, sf: str) -> DataFrame:
     return scenarios.weekend_curve(scenarios.complete_days(_scenario_input(spark, sf)))
 
 
-def season_curves(spark, sf):
+def season_curves(spark: SparkSession, sf: str) -> DataFrame:
     return scenarios.season_curves(scenarios.complete_days(_scenario_input(spark, sf)))
 
 
@@ -160,7 +160,7 @@ def _customers(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean_customers(build_view(spark, sf, "customers_raw"))
 
 
-def customers_clean(spark, sf):
+def customers_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Customer master through the ';'-separated text path with a dtype map."""
     path = scratch_path(spark, "customers_text")
     build_view(spark, sf, "customers_raw").write.option("sep", ";").option(
@@ -169,35 +169,35 @@ def customers_clean(spark, sf):
     return cleaning.clean_customers(readers.read_customers(spark, path, dtype_map))
 
 
-def domain_audit(spark, sf):
+def domain_audit(spark: SparkSession, sf: str) -> DataFrame:
     return audits.domain_audit(_consumption(spark, sf), _customers(spark, sf),
                                domain_label="NISE", a_label="consumption",
                                b_label="customers")
 
 
-def domain_audit_nulls(spark, sf):
+def domain_audit_nulls(spark: SparkSession, sf: str) -> DataFrame:
     return audits.domain_audit(_consumption(spark, sf), _customers(spark, sf),
                                domain_label="NISE", a_label="consumption",
                                b_label="customers", drop_null_keys=False)
 
 
-def audit_column(spark, sf):
+def audit_column(spark: SparkSession, sf: str) -> DataFrame:
     return audits.audit_odd_values(build_view(spark, sf, "consumption_raw"), "MEDIDOR")
 
 
-def audit_consumption(spark, sf):
+def audit_consumption(spark: SparkSession, sf: str) -> DataFrame:
     return audits.run_audits(build_view(spark, sf, "consumption_raw"), audits.CONSUMPTION_RULES)
 
 
-def audit_voltage(spark, sf):
+def audit_voltage(spark: SparkSession, sf: str) -> DataFrame:
     return audits.run_audits(build_view(spark, sf, "voltages_raw"), audits.VOLTAGE_RULES)
 
 
-def audit_power(spark, sf):
+def audit_power(spark: SparkSession, sf: str) -> DataFrame:
     return audits.run_audits(build_view(spark, sf, "power_raw"), audits.POWER_RULES)
 
 
-def audit_union(spark, sf):
+def audit_union(spark: SparkSession, sf: str) -> DataFrame:
     return audits.audit_union([
         audits.audit_union([audit_consumption(spark, sf)], "ConsumptionData"),
         audits.audit_union([audit_voltage(spark, sf)], "VoltageData"),
@@ -205,7 +205,7 @@ def audit_union(spark, sf):
     ])
 
 
-def audit_sink(spark, sf):
+def audit_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Consolidated audits written as a table, read back from the catalog."""
     name = "wattle_invalid_value_audit"
     audits.write_invalid_value_audit([audit_union(spark, sf)], name, mode="overwrite",
@@ -213,26 +213,26 @@ def audit_sink(spark, sf):
     return spark.table(name)
 
 
-def latest_attribute(spark, sf):
+def latest_attribute(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.latest_attribute(_consumption(spark, sf), "NISE", "TIPO_SECTOR",
                                       "FECHA_LECTURA", tie="seq")
 
 
-def reconcile_entities(spark, sf):
+def reconcile_entities(spark: SparkSession, sf: str) -> DataFrame:
     both = domain_audit(spark, sf).filter(F.col("domain_status") == "in_both").select(
         F.col("NISE").cast("bigint").alias("NISE"))
     return reconcile.reconcile_entities(_customers(spark, sf), _consumption(spark, sf), both,
                                         tie="seq")
 
 
-def scan_path(spark, sf):
+def scan_path(spark: SparkSession, sf: str) -> DataFrame:
     """Raw readings written to a path and scanned back by format."""
     path = scratch_path(spark, "consumption_raw")
     build_view(spark, sf, "consumption_raw").write.parquet(path)
     return cleaning.clean_consumption(readers.load_readings(spark, data_path=path))
 
 
-def scan_table(spark, sf):
+def scan_table(spark: SparkSession, sf: str) -> DataFrame:
     """Raw readings saved as a catalog table and scanned back by name."""
     name = "wattle_consumption_raw"
     readers.write_table(build_view(spark, sf, "consumption_raw"), name,
@@ -252,20 +252,20 @@ def _layers(spark: SparkSession, sf: str) -> DataFrame:
     return locations.prepare_layer(readers.read_layers(spark, root), epsg=LOCAL_EPSG)
 
 
-def gis_layers(spark, sf):
+def gis_layers(spark: SparkSession, sf: str) -> DataFrame:
     return _layers(spark, sf)
 
 
-def gis_layer_slice(spark, sf):
+def gis_layer_slice(spark: SparkSession, sf: str) -> DataFrame:
     return locations.layer_slice(_layers(spark, sf), 50, order_by="seq")
 
 
-def meter_locations(spark, sf):
+def meter_locations(spark: SparkSession, sf: str) -> DataFrame:
     loads = locations.loads_view(_layers(spark, sf))
     return locations.meter_locations(_consumption(spark, sf), loads)
 
 
-def domain_audit_gis(spark, sf):
+def domain_audit_gis(spark: SparkSession, sf: str) -> DataFrame:
     """Service ids of the readings against the loads layer (OBJECTID = NISE)."""
     loads = audits.gis_keys(locations.loads_view(_layers(spark, sf)), "NISE")
     return audits.domain_audit(_consumption(spark, sf), loads, domain_label="NISE",
@@ -277,7 +277,7 @@ def domain_audit_gis(spark, sf):
 COORD_DECIMALS = 6
 
 
-def gis_reproject(spark, sf):
+def gis_reproject(spark: SparkSession, sf: str) -> DataFrame:
     loads = locations.loads_view(_layers(spark, sf))
     out = projection.reproject(loads, LOCAL_EPSG, projection.WGS84)
     return out.withColumns({c: F.round(c, COORD_DECIMALS) for c in ("x", "y")})
@@ -287,20 +287,20 @@ def gis_reproject(spark, sf):
 NOMINAL_V, V_BAND = 120.0, 0.03
 
 
-def daily_max_demand(spark, sf):
+def daily_max_demand(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.daily_max_demand(measures.mde_readings(_consumption(spark, sf)))
 
 
-def reverse_flow(spark, sf):
+def reverse_flow(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.reverse_flow(power.active_profile(measures.kwh_data(_power(spark, sf))))
 
 
-def voltage_compliance(spark, sf):
+def voltage_compliance(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.voltage_compliance(measures.voltage_profile(_voltage(spark, sf)),
                                         NOMINAL_V, V_BAND)
 
 
-def phase_balance(spark, sf):
+def phase_balance(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.phase_balance(measures.phase_voltage(_consumption(spark, sf)))
 
 
@@ -317,11 +317,11 @@ def _events_input(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def events_complete_days(spark, sf):
+def events_complete_days(spark: SparkSession, sf: str) -> DataFrame:
     return scenarios.complete_days(_events_input(spark, sf), samples=24)
 
 
-def events_weekend_curve(spark, sf):
+def events_weekend_curve(spark: SparkSession, sf: str) -> DataFrame:
     return scenarios.weekend_curve(scenarios.complete_days(_events_input(spark, sf), samples=24))
 
 
