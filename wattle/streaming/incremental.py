@@ -47,7 +47,7 @@ def clean_stream(raw: DataFrame, kind: str, from_ts: str | None = None,
 
 def audit_stream(raw: DataFrame, rules: Mapping[str, audits.AuditRule]) -> DataFrame:
     """Running invalid-value counts (single aggregation, as streaming needs)."""
-    return audits.run_audits(raw, rules, one_pass=True)
+    return audits.run_audits(raw, rules)   # one pass: a single streaming aggregation
 
 
 def day_counts_stream(samples: DataFrame, watermark: str = "1 day", samples_per_day: int = 96,
