@@ -20,7 +20,8 @@ from wattle.llm.textkit import ship_package
 # UTF-8 beyond ASCII. Every other byte is a separator.
 _KEPT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
               for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# The same words in a text whose A-Z are not lower-cased yet.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _AUTOMATA: dict[str, ahocorasick.Automaton] = {}
 
 SCHEMA = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, "
