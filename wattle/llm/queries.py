@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wattle.llm import bpe, decontaminate, html_text, secret_scan, urls
+from wattle.llm import bpe, decontaminate, html_text, secret_scan, toxicity, urls
 from wattle.llm.textkit import table
 
 
@@ -27,11 +27,16 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"),
                                        table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_html_extraction, op4_secret_scan, op5_url_filter, op6_bpe_codec, op8_benchmark_decontamination)
+    f.__name__: f for f in (op2_html_extraction, op4_secret_scan, op5_url_filter, op6_bpe_codec,
+                              op7_toxicity, op8_benchmark_decontamination)
 }
