@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wattle.llm import bpe, decontaminate, html_text, secret_scan, toxicity, urls
+from wattle.llm import ann, bpe, decontaminate, html_text, secret_scan, toxicity, urls
 from wattle.llm.textkit import table
 
 
+def op1_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,6 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_html_extraction, op4_secret_scan, op5_url_filter, op6_bpe_codec,
+    f.__name__: f for f in (op1_collision_counting, op2_html_extraction, op4_secret_scan, op5_url_filter, op6_bpe_codec,
                               op7_toxicity, op8_benchmark_decontamination)
 }
