@@ -120,12 +120,16 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int =
     n, most = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
     shards = max(1, -(-n // shard_rows))
     blocks = max(1, -(-n // (every * block_rows)))
+
+    def each(count: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
     queries = rows.where(F.col("vec_id") % every == 0)
     left = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), "vec_id", "embedding", "dims",
-                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+                       each(blocks).alias("block"))
     right = queries.select(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).alias("block"), "vec_id",
                            "embedding", "dims",
-                           F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"))
+                           each(shards).alias("shard"))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
