@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wattle.llm import ann, bpe, decontaminate, html_text, secret_scan, toxicity, urls
+from wattle.llm import ann, automaton_dedup, bpe, decontaminate, html_text, secret_scan, suffix_dedup, toxicity, urls
 from wattle.llm.textkit import table
 
 
@@ -40,7 +40,16 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                                        table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton_dedup.remove_repeated_words(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_collision_counting, op2_html_extraction, op4_secret_scan, op5_url_filter, op6_bpe_codec,
-                              op7_toxicity, op8_benchmark_decontamination)
+                              op7_toxicity, op8_benchmark_decontamination,
+                              op9_suffix_array_dedup, op10_substring_dedup)
 }
