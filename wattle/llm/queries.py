@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wattle.llm import ann, automaton_dedup, bpe, decontaminate, html_text, secret_scan, suffix_dedup, toxicity, urls
+from wattle.llm import (
+    ann,
+    automaton_dedup,
+    bpe,
+    decontaminate,
+    html_text,
+    jaccard,
+    secret_scan,
+    suffix_dedup,
+    toxicity,
+    urls,
+)
 from wattle.llm.textkit import table
 
 
@@ -19,6 +30,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("live", "key")
 
@@ -49,7 +64,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_collision_counting, op2_html_extraction, op4_secret_scan, op5_url_filter, op6_bpe_codec,
+    f.__name__: f for f in (op1_collision_counting, op2_html_extraction, op3_ngram_jaccard_join, op4_secret_scan,
+                              op5_url_filter, op6_bpe_codec,
                               op7_toxicity, op8_benchmark_decontamination,
                               op9_suffix_array_dedup, op10_substring_dedup)
 }

@@ -63,13 +63,18 @@ def span_text(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def row_key() -> Column:
+    """Hash of doc_id, text and source: equal rows are one."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, key (tells texts of one doc_id apart), owner and ``found``, the
     matches of all kinds."""
     text = F.coalesce(F.col("text"), F.lit(""))
     every = [matches(text, kind, i, *rest) for i, (kind, *rest) in enumerate(KINDS)]
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.coalesce("source", F.lit(""))).alias("key"),
+        F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"),
         F.coalesce("source", F.lit("")).alias("owner"), F.concat(*every).alias("found"))
 
 
@@ -83,9 +88,9 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, most_owners: int = 1) -> DataFrame:
-    """One row for each different (doc_id, text, source): doc_id, key, the
-    counts of the base kinds, base_sha256, spans, n_live, n_copied and
-    ``live`` (the spans as structs).
+    """One row for each input row: doc_id, the counts of the base kinds,
+    base_sha256, spans, n_live, n_copied, ``live`` (the spans as structs) and
+    key (a hash of doc_id, text and source).
 
     A value is live-looking if at most ``most_owners`` different sources hold
     it, and widely copied otherwise. Base spans always stay; spans of the
@@ -105,15 +110,41 @@ def scan_secrets(docs: DataFrame, most_owners: int = 1) -> DataFrame:
         "doc_id", "key", *[count(i).alias(f"n_{kind[0]}") for i, kind in enumerate(BASE)],
         F.sha2(span_text(base), 256).alias("base_sha256"), base.alias("base"))
     spread = ownership(found)
-    values = found.select("doc_id", "key", F.explode("found").alias("s")).select(
-        "doc_id", "key", "s", F.sha2(F.col("s.value"), 256).alias("value"))
+    values = found.select("key", F.explode("found").alias("s")).select(
+        "key", "s", F.sha2(F.col("s.value"), 256).alias("value"))
     judged = values.join(spread, "value").withColumn("live", F.col("n_owners") <= most_owners)
-    more = judged.groupBy("doc_id", "key").agg(
+    more = judged.groupBy("key").agg(
         F.collect_set(F.when((F.col("s.order") >= len(BASE)) & F.col("live"), F.col("s"))).alias("more"),
         F.count_distinct(F.when(F.col("live"), F.col("value"))).alias("n_live"),
         F.count_distinct(F.when(~F.col("live"), F.col("value"))).alias("n_copied"))
     spans = F.concat("base", F.coalesce("more", F.array().cast(own.schema["base"].dataType)))
-    return own.join(more, ["doc_id", "key"], "left").select(
+    return own.join(more, "key", "left").select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", span_text(spans).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
         spans.alias("live"), "key")
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """The rows with every span of ``scan_secrets`` replaced by ``mark``;
+    spans that overlap are one. n_chars, where there is one, is counted anew
+    for the texts that change; other columns stay as they are."""
+    spans = scan_secrets(docs).where(F.size("live") > 0).select("key", "live").dropDuplicates(["key"])
+    name = "found_spans_of_row"
+    rows = docs.withColumn(f"{name}_key", row_key()).join(
+        spans.select(F.col("key").alias(f"{name}_key"), F.array_sort("live").alias(name)), f"{name}_key", "left")
+    text = F.col("text")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        fresh = F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"),
+                                                   (s["start"] - state["at"]).cast("int")), F.lit(mark))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
+                        F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
+
+    clean = F.aggregate(name, start, step, lambda s: F.concat(s["out"], F.substring(
+        text, (s["at"] + 1).cast("int"), F.length(text))))
+    new = {"text": F.when(F.col(name).isNotNull(), clean).otherwise(text)}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col(name).isNotNull(), F.length(clean).cast(kind)).otherwise(F.col("n_chars"))
+    return rows.withColumns(new).select(*docs.columns)
