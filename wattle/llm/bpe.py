@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from wattle.llm.textkit import ship_package
+from wattle.llm.textkit import ship_package, with_carried
 
 # Fixed values of the vocabulary file's normaliser and splitter.
 WHITE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -197,8 +197,9 @@ def encode_texts(docs: DataFrame, vocabulary_file: str, carry: tuple[str, ...] =
                  with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
-    Returns doc_id, n_tokens, ids_sha256, decoded_sha256, the columns named in
-    ``carry`` and, with ``with_ids``, ids and decoded themselves; one row for
+    Returns doc_id, n_tokens, ids_sha256, decoded_sha256, with ``with_ids`` ids
+    and decoded themselves, and the struct ``carried`` of the columns named in
+    ``carry``; one row for
     each input row, other columns ignored whatever their names. Null and empty
     texts have no tokens and decode to the empty text; equal texts have equal
     results. Texts of any length are encoded whole.
@@ -232,5 +233,5 @@ def encode_texts(docs: DataFrame, vocabulary_file: str, carry: tuple[str, ...] =
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += "".join(f", `carry_{f.name}` {f.dataType.simpleString()}" for f in kept)
     schema += ", ids array<long>, decoded string" if with_ids else ""
-    return docs.select("doc_id", "text", *carry).mapInArrow(run, schema).withColumnsRenamed(
-        {f"carry_{c}": c for c in carry})
+    out = docs.select("doc_id", "text", *carry).mapInArrow(run, schema)
+    return with_carried(out, carry)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattle.llm.textkit import ship_package
+from wattle.llm.textkit import ship_package, with_carried
 
 # Bytes that words keep, after A-Z are lower-cased: digits, letters and all of
 # UTF-8 beyond ASCII. Every other byte is a separator.
@@ -102,8 +102,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10,
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated and
     ``spans`` (hit runs of words in code points of the original text), one row
-    for each input row, and the columns named in ``carry``. Other columns are
-    ignored, whatever their names.
+    for each input row, and the struct ``carried`` of the columns named in
+    ``carry``. Other columns are ignored, whatever their names.
 
     The benchmark reaches the executors in parts of at most ``part_bytes`` of
     text (a larger item is a part alone); each part is an automaton, and a text
@@ -161,7 +161,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10,
             yield pa.RecordBatch.from_pydict(out)
 
     schema = SCHEMA + "".join(f", `carry_{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*names).mapInArrow(run, schema).withColumnsRenamed({f"carry_{c}": c for c in carry})
+    return with_carried(docs.select(*names).mapInArrow(run, schema), carry)
 
 
 def _merge(text: str | None, spans: list[dict], found: tuple) -> tuple:

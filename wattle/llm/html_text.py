@@ -71,10 +71,12 @@ class Lines(HTMLParser):
         hidden, around, container = self.state()
         if tag in BLOCKS or tag in HIDDEN:
             self.flush()
-            if tag == "p" and any(t[0] == "p" for t in self.stack):
-                self.close_to("p")  # a paragraph ends where the next begins
-                hidden, around, container = self.state()
-            elif tag == "li" and self.stack and self.stack[-1][0] == "li":
+            if tag in BLOCKS:  # a paragraph ends where the next block begins
+                holder = next((t[0] for t in reversed(self.stack) if t[0] in BLOCKS), None)
+                if holder == "p":
+                    self.close_to("p")
+                    hidden, around, container = self.state()
+            if tag == "li" and self.stack and self.stack[-1][0] == "li":
                 self.close_to("li")
                 hidden, around, container = self.state()
         self.tags += 1

@@ -143,8 +143,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     clean = F.aggregate(name, start, step, lambda s: F.concat(s["out"], F.substring(
         text, (s["at"] + 1).cast("int"), F.length(text))))
-    new = {"text": F.when(F.col(name).isNotNull(), clean).otherwise(text)}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col(name).isNotNull(), F.length(clean).cast(kind)).otherwise(F.col("n_chars"))
-    return rows.withColumns(new).select(*docs.columns)
+        count = F.length(clean).cast(docs.schema["n_chars"].dataType)
+        rows = rows.withColumn("n_chars", F.when(F.col(name).isNotNull(), count).otherwise(F.col("n_chars")))
+    return rows.withColumn("text", F.when(F.col(name).isNotNull(), clean).otherwise(text)).select(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # ASCII white space of the word rules: \x20 and \x09-\x0D.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 # Bytes of text that one numpy step works on (its arrays take about 80 times that).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 # One odd 64-bit constant for each use, so that hashes of different kinds differ.
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
@@ -46,19 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_key(text="text"):
-    """Hash that tells rows of one doc_id with different texts apart."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-
-
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, key and text, one row for each different (doc_id, text).
-
-    Repeated rows have equal results, so operators that shuffle work on one of
-    them and join the result back by (doc_id, key).
-    """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"),
-                       F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def with_carried(out: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The carried columns as one struct, so their names can't clash."""
+    if not carry:
+        return out
+    names = [f"carry_{c}" for c in carry]
+    one = F.struct(*[F.col(f"`carry_{c}`").alias(c) for c in carry]).alias("carried")
+    return out.select(*[c for c in out.columns if c not in names], one)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +106,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             both.append(np.cumprod(steps, dtype=np.uint64))
         have = (both[0], both[1])
-        if size <= 4 * SLICE_BYTES:
+        if size <= 1 << 22:
             _POWERS[0] = have
     return have
 

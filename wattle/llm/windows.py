@@ -18,7 +18,7 @@ windows, are what is shuffled:
    holds too.
 4. Each document takes its covered windows together.
 
-Equal segments are told by 96 bits of hashes; windows of different segments
+Equal segments are told by 88 bits of hashes; windows of different segments
 by their contents.
 """
 
@@ -37,7 +37,7 @@ from wattle.llm import textkit
 from wattle.session import scratch_path
 
 # Bytes of text whose segments a task packs together, and bytes of text a bucket stands for.
-UNIT_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+UNIT_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
 # Different segments of one anchor from which on its windows are dealt one by one.
 COMMON = 2048
 NO_ID = np.iinfo(np.int64).max  # a null doc_id is larger than any other
@@ -46,32 +46,34 @@ MAP_SCHEMA = "bucket long, kind int, n long, blob binary"
 HOME_SCHEMA = "home long, kind int, n long, blob binary"
 CONTENT_SCHEMA = "bucket long, n long, blob binary, lengths binary, contents binary"
 
-SEGMENT = (("a", 6), ("s", 6), ("doc", 8), ("key", 4), ("home", 4), ("pos", 4), ("wins", 2))
+SEGMENT = (("a", 5), ("s", 6), ("doc", 8), ("key", 4), ("home", 4), ("pos", 4), ("wins", 2))
 HIT = (("doc", 8), ("key", 4), ("pos", 4), ("wins", 4))
-NEED = (("a", 6), ("salt", 1), ("doc", 8), ("key", 4), ("home", 4), ("pos", 4), ("wins", 2))
+NEED = (("a", 5), ("salt", 1), ("doc", 8), ("key", 4), ("home", 4), ("pos", 4), ("wins", 2))
 PLACE = (("doc", 8), ("key", 4), ("home", 4), ("pos", 4), ("wins", 2))
 
 
 def pack(fields, arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays one after the other, each value in its field's low bytes."""
+    """Arrays one after the other, each as the planes of its field's low
+    bytes: planes of high bytes are nearly constant and compress away."""
     out = []
     for name, width in fields:
         x = np.ascontiguousarray(arrays[name]).astype(np.int64, copy=False)
-        out.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes())
+        out.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
     return b"".join(out)
 
 
 def unpack(fields, blobs: list[bytes], counts: list[int]) -> dict[str, np.ndarray]:
     """The arrays of many blobs, as int64."""
-    parts: dict[str, list[np.ndarray]] = {name: [] for name, _ in fields}
+    total, width_of = sum(counts), dict(fields)
+    out = {name: np.zeros((total, 8), dtype=np.uint8) for name in width_of}
+    done = 0
     for blob, n in zip(blobs, counts, strict=True):
         raw, at = np.frombuffer(blob, dtype=np.uint8), 0
         for name, width in fields:
-            full = np.zeros((n, 8), dtype=np.uint8)
-            full[:, :width] = raw[at:at + n * width].reshape(n, width)
-            parts[name].append(full.view(np.int64).ravel())
+            out[name][done:done + n, :width] = raw[at:at + n * width].reshape(width, n).T
             at += n * width
-    return {name: np.concatenate(p) if p else np.empty(0, np.int64) for name, p in parts.items()}
+        done += n
+    return {name: x.view(np.int64).ravel() for name, x in out.items()}
 
 
 def take(arrays: dict[str, np.ndarray], which) -> dict[str, np.ndarray]:
@@ -208,8 +210,8 @@ def send_segments(elements: Elements, buckets: int) -> Callable:
                 hashed, first, _ = elements.read(part, offsets[i:j + 1] - offsets[i])
                 a, s, text, pos, wins = elements.segments(hashed, first)
                 if len(a):
-                    low = np.uint64(0xFFFFFFFFFFFF)
-                    held.append({"a": (a & low).astype(np.int64), "s": (s & low).astype(np.int64), "doc": doc[i + text],
+                    held.append({"a": (a & np.uint64(0xFFFFFFFFFF)).astype(np.int64),
+                                 "s": (s & np.uint64(0xFFFFFFFFFFFF)).astype(np.int64), "doc": doc[i + text],
                                  "key": key[i + text], "home": home[i + text], "pos": pos, "wins": wins})
                 size += len(part)
                 if size >= UNIT_BYTES and held:
