@@ -17,10 +17,10 @@ def test_nise_text_cases(spark):
 
 
 def test_ids_null_for_non_integers(spark):
-    # D9: 12.7 as a double must not truncate to 12
+    # D9: 12.7 as a double must not truncate to 12; a whole double is an id
     df = spark.createDataFrame([(12.7, "12.3"), (12.0, "12")], "d double, s string")
     got = df.select(try_bigint("d"), try_bigint("s")).collect()
-    assert [tuple(r) for r in got] == [(None, None), (None, 12)]
+    assert [tuple(r) for r in got] == [(None, None), (12, 12)]
 
 
 def test_reading_to_double(spark):
@@ -92,9 +92,45 @@ def test_time_window_prunes_date_partitions(spark, tmp_path):
     path = str(tmp_path / "by_day")
     readers.write_readings(raw, path)
     df = readers.load_readings(spark, data_path=path)
-    win = cleaning.time_window(df, "2026-03-03 12:00:00", "2026-03-05 12:00:00")
+    win = cleaning.time_window(df, "2026-03-03 12:00:00", "2026-03-05 12:00:00",
+                               partition_col=readers.PARTITION_COLUMN)
     assert win.count() == 2  # 3rd and 4th at noon; upper bound excluded
     plan = win._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(reading_date" in plan
     assert rows(win, "FECHA_LECTURA_REAL") == rows(
         cleaning.time_window(raw, "2026-03-03 12:00:00", "2026-03-05 12:00:00"), "FECHA_LECTURA_REAL")
+
+
+def test_time_window_ignores_a_foreign_reading_date(spark):
+    df = spark.createDataFrame([("2026-03-04 10:00:00", "1999-01-01")], "t string, d string").selectExpr(
+        "cast(t as timestamp_ntz) as FECHA_LECTURA_REAL", "cast(d as date) as reading_date")
+    assert cleaning.time_window(df, "2026-03-04", "2026-03-05").count() == 1
+
+
+def test_time_window_in_a_foreign_zone(spark, tmp_path):
+    from wattle.sources import readers
+    path = str(tmp_path / "utc")
+    readers.write_readings(spark.sql("select timestamp'2026-03-03 20:00:00' as FECHA_LECTURA_REAL"), path)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        win = cleaning.time_window(readers.load_readings(spark, data_path=path), "2026-03-04", "2026-03-05",
+                                   partition_col=readers.PARTITION_COLUMN)
+        assert win.count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_numeric_ids_keep_whole_values(spark):
+    from decimal import Decimal
+
+    from wattle.functions.columns import try_bigint
+    df = spark.createDataFrame(
+        [(12.0, Decimal("12.00"), "12", 5), (12345678.0, Decimal("0.50"), "12.7", 6), (12.7, None, " 9 ", None),
+         (float("nan"), None, "x", 1), (1e30, Decimal("-3.00"), None, 2), (None, None, None, 3)],
+        "d double, c decimal(12,2), s string, i int")
+    got = df.select(*[try_bigint(c).alias(c) for c in df.columns]).collect()
+    assert [r.d for r in got] == [12, 12345678, None, None, None, None]
+    assert [r.c for r in got] == [12, None, None, None, -3, None]
+    assert [r.s for r in got] == [12, None, 9, None, None, None]
+    assert [r.i for r in got] == [5, 6, None, 1, 2, 3]

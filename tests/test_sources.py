@@ -61,3 +61,49 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "64MB")
         spark.sql("drop table wattle_bkt_a")
         spark.sql("drop table wattle_bkt_b")
+
+
+def test_customers_by_header_in_any_order(spark, tmp_path):
+    path = tmp_path / "customers.txt"
+    path.write_text("DESCSECTOR;NISE;EXTRA;FEC_INST_NISE;FECHA_LECTURA;FECHA_HASTA;FECHA_CONEXION_RED;"
+                    "FEC_INST_MED;FECHA_INTER\nComercial;7;12;20210211;;;;;\n")
+    r = readers.read_customers(spark, str(path), {"EXTRA": "int64"}).first()
+    assert (r.NISE, r.DESCSECTOR, r.EXTRA, r.FEC_INST_NISE) == ("7", "Comercial", 12, "20210211")
+    path.write_text("NISE;DESCSECTOR\n7;x\n")
+    with pytest.raises(ValueError, match="FECHA_LECTURA"):
+        readers.read_customers(spark, str(path))
+    assert readers.read_customers(spark, str(path), required=("NISE",)).count() == 1
+
+
+def test_layers_one_by_one(spark, tmp_path):
+    """Own types, own renames, nested names, globs; damage leaves a layer out whole."""
+    from wattle.operators import locations
+    root = tmp_path / "network" / "v 1" / "network"
+    spark.createDataFrame([("7", "3", 5, 1.0, 2.0)], "IDLOCALIZA string, NUMEROMEDI string, OBJECTID int, x double, "
+                          "y double").write.parquet(str(root / "Loads"))
+    spark.createDataFrame([(8, 9, 6, 1.0, 2.0)], "LOCALIZACION_REAL long, NISE long, OBJECTID long, x double, y double"
+                          ).write.parquet(str(root / "Other.parquet"))
+    spark.range(400_000).repartition(4).write.parquet(str(root / "Bad"))
+    part = sorted((root / "Bad").glob("part-*"))[0]
+    part.write_bytes(part.read_bytes()[:-30])
+    (root / "Bad" / f".{part.name}.crc").unlink()
+    skipped = []
+    with pytest.warns(UserWarning, match="Bad"):
+        layers = readers.read_layers(spark, str(root), skipped=skipped,
+                                     prepare=lambda _, df: locations.prepare_layer(df, epsg=5367))
+    assert [s[0] for s in skipped] == ["Bad"]
+    assert rows(layers, "layer", "LOCALIZACION_REAL", "OBJECTID") == [("Loads", 7, 5), ("Other", 8, 6)]
+    assert rows(locations.loads_view(layers), "NISE") == [(5,)]
+    globbed = readers.read_layers(spark, str(tmp_path / "network" / "*" / "network" / "O*"))
+    assert rows(globbed, "layer") == [("Other",)]
+
+
+def test_null_points_drop(spark):
+    from wattle.operators import locations
+    readings = spark.createDataFrame([(1, 70), (2, 80)], "MEDIDOR long, LOCALIZACION_REAL long")
+    loads = spark.createDataFrame([(70, 1.0, 1.0, 1, 5367), (80, None, None, 2, 5367)],
+                                  "LOCALIZACION_REAL long, x double, y double, seq long, epsg int")
+    got = locations.meter_locations(readings, loads)
+    assert rows(got, "MEDIDOR", "epsg") == [(1, 5367)]
+    with pytest.raises(ValueError, match="nothere"):
+        locations.meter_locations(readings, loads, order_by="nothere")

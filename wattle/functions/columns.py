@@ -31,8 +31,21 @@ def as_text(c: ColumnOrName) -> Column:
 
 
 def try_bigint(c: ColumnOrName) -> Column:
-    """Integer id or NULL. Text first, so 12.7 becomes NULL, not 12."""
-    return _col(c).cast("string").try_cast("bigint")
+    """Integer id or NULL, whatever the column's type.
+
+    Floating and decimal ids (the usual export of an integer column with
+    gaps) keep whole values in range and lose the others: 12.0 is 12, 12.7 is
+    NULL. Text is cast as it stands, so '12.7' is NULL as well. The type is
+    known at planning time, so one branch is left in the plan.
+    """
+    col = _col(c)
+    kind, real, exact = F.typeof(col), col.try_cast("double"), col.try_cast("decimal(38,9)")
+    return (
+        F.when(kind.isin("double", "float"),
+               F.when((real == F.floor(real)) & (F.abs(real) < F.lit(2.0**63)), real.try_cast("bigint")))
+        .when(kind.startswith("decimal"), F.when(exact == F.floor(exact), exact.try_cast("bigint")))
+        .otherwise(col.cast("string").try_cast("bigint"))
+    )
 
 
 def try_double(c: ColumnOrName) -> Column:

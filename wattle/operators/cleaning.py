@@ -19,7 +19,6 @@ from wattle.functions.columns import (
     try_bigint,
     try_double,
 )
-from wattle.sources.readers import PARTITION_COLUMN
 from wattle.sources.schemas import CUSTOMER_DATE_COLUMNS, require_columns
 
 DEFAULT_VOLTAGE_PHASES: tuple[str, ...] = ("Phase A Average RMS Voltage",)
@@ -38,29 +37,33 @@ def time_window(
     from_ts: str | None = None,
     to_ts: str | None = None,
     ts_col: str = "FECHA_LECTURA_REAL",
+    partition_col: str | None = None,
 ) -> DataFrame:
     """Half-open window ``from_ts <= ts < to_ts`` on raw rows; either end optional.
 
     Bounds become typed literals so the predicate reaches the Parquet scan.
     Rows with a NULL timestamp drop as soon as one bound is set.
+
+    ``partition_col`` names a date column that was derived from ``ts_col``
+    (``write_readings``), in whatever time zone: whole date folders are then
+    skipped at planning time, with a day to spare on either side. A column is
+    never used for that by its name alone.
     """
     if from_ts is None and to_ts is None:
         return df
-    require_columns(df, [ts_col], "readings")
+    require_columns(df, [ts_col, *([partition_col] if partition_col else [])], "readings")
     cond = None
     if from_ts is not None:
         cond = F.col(ts_col) >= _bound(df, ts_col, from_ts)
     if to_ts is not None:
         upper = F.col(ts_col) < _bound(df, ts_col, to_ts)
         cond = upper if cond is None else cond & upper
-    if PARTITION_COLUMN in df.columns:
-        # Implied by the bounds above (never narrower), and on the partition
-        # column, so whole date folders are skipped at planning time.
-        day = F.col(PARTITION_COLUMN)
+    if partition_col:
+        day = F.col(partition_col)
         if from_ts is not None:
-            cond = cond & (day >= F.to_date(_bound(df, ts_col, from_ts)))
+            cond = cond & (day >= F.date_sub(F.to_date(_bound(df, ts_col, from_ts)), 1))
         if to_ts is not None:
-            cond = cond & (day <= F.to_date(_bound(df, ts_col, to_ts)))
+            cond = cond & (day <= F.date_add(F.to_date(_bound(df, ts_col, to_ts)), 1))
     return df.filter(cond)
 
 

@@ -26,21 +26,34 @@ def prepare_layer(df: DataFrame, rename_cols: dict[str, str] | None = None,
     ``epsg`` (when known) is recorded in an ``epsg`` column.
     """
     renames = DEFAULT_RENAMES if rename_cols is None else rename_cols
-    if "IDLOCALIZA" in df.columns:
-        df = df.withColumn("IDLOCALIZA", try_bigint("IDLOCALIZA"))
-    df = df.withColumnsRenamed({k: v for k, v in renames.items() if k in df.columns})
+    for source, name in renames.items():
+        if source in df.columns:
+            value = try_bigint(source) if source == "IDLOCALIZA" else F.col(source)
+            if name in df.columns and name != source:  # the layer's own column fills the gaps
+                value = F.coalesce(value, F.col(name).try_cast(value_type(df, source)))
+                df = df.withColumn(name, value).drop(source)
+            else:
+                df = df.withColumn(source, value).withColumnRenamed(source, name)
     if epsg is not None and "epsg" not in df.columns:
         df = df.withColumn("epsg", F.lit(int(epsg)))
     return df
 
 
+def value_type(df: DataFrame, column: str) -> str:
+    """Type of a layer column after ``prepare_layer``."""
+    return "bigint" if column == "IDLOCALIZA" else df.schema[column].dataType.simpleString()
+
+
 def loads_view(layers: DataFrame, layer_name: str = LOADS_LAYER,
                attributes_only: bool = False) -> DataFrame:
-    """The customers layer: OBJECTID is the service id (NISE) when the layer
-    has no NISE column. ``attributes_only`` drops the point columns."""
+    """The customers layer: OBJECTID is the service id (NISE) where the layer
+    has none of its own (another layer's NISE column leaves it NULL here).
+    ``attributes_only`` drops the point columns."""
     loads = layers.filter(F.col("layer") == layer_name) if "layer" in layers.columns else layers
     if "NISE" not in loads.columns and "OBJECTID" in loads.columns:
         loads = loads.withColumnRenamed("OBJECTID", "NISE")
+    elif "OBJECTID" in loads.columns:
+        loads = loads.withColumn("NISE", F.coalesce(try_bigint("NISE"), try_bigint("OBJECTID")))
     if attributes_only:
         loads = loads.drop(*GEOMETRY)
     return loads
@@ -63,26 +76,28 @@ def meter_locations(
 ) -> DataFrame:
     """Point of every distinct (meter, location) pair of the readings.
 
-    Pairs with a NULL location or a location absent from the layer drop.
-    When the layer repeats a location the last row (largest ``order_by``)
-    wins. The layer side is first reduced to one row per location (a
+    Pairs with a NULL location, a location absent from the layer or one whose
+    point is NULL drop. When the layer repeats a location the last row
+    (largest ``order_by``; ``None``: the largest point) wins. An ``epsg``
+    column of the layer stays with the point. The layer side is first reduced to one row per location (a
     partial aggregate), so the join is many-to-one; Spark broadcasts that
     side only when its measured size is below the broadcast threshold.
     """
     require_columns(readings, [node_col, geo_of_col], "readings")
-    require_columns(loads, [geo_of_col, *GEOMETRY], "loads layer")
+    require_columns(loads, [geo_of_col, *GEOMETRY, *([order_by] if order_by else [])], "loads layer")
     pairs = (
         readings.select(node_col, geo_of_col)
         .filter(F.col(geo_of_col).isNotNull())
         .distinct()
     )
-    point = F.struct(*[F.col(c) for c in GEOMETRY])
-    pick = F.max_by(point, F.col(order_by)) if order_by and order_by in loads.columns \
-        else F.max(point)
+    kept = [*GEOMETRY, *(["epsg"] if "epsg" in loads.columns else [])]
+    point = F.struct(*[F.col(c) for c in kept])
+    pick = F.max_by(point, F.col(order_by)) if order_by else F.max(point)
     spots = (
         loads.filter(F.col(geo_of_col).isNotNull())
         .groupBy(geo_of_col)
         .agg(pick.alias("__pt"))
-        .select(geo_of_col, *[F.col(f"__pt.{c}").alias(c) for c in GEOMETRY])
+        .select(geo_of_col, *[F.col(f"__pt.{c}").alias(c) for c in kept])
+        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     )
     return pairs.join(spots, geo_of_col, "inner")

@@ -49,10 +49,30 @@ def time_window_pruned(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "consumption_by_day")
     readers.write_readings(build_view(spark, sf, "consumption_raw"), path)
     raw = readers.load_readings(spark, data_path=path)
-    win = cleaning.time_window(raw, WINDOW_FROM, WINDOW_TO)
+    win = cleaning.time_window(raw, WINDOW_FROM, WINDOW_TO,
+                               partition_col=readers.PARTITION_COLUMN)
     return cleaning.clean_consumption(win).drop(readers.PARTITION_COLUMN)
 
 
+def time_window_other_ts(spark: SparkSession, sf: str) -> DataFrame:
+    """A window on another timestamp (a day after the reading) over readings
+    stored by reading date: the partition column must not narrow it."""
+    path = scratch_path(spark, "consumption_by_day")
+    view = build_view(spark, sf, "consumption_raw").withColumn(
+        "FECHA_REGISTRO", F.expr("FECHA_LECTURA_REAL + interval 40 hours"))
+    readers.write_readings(view, path)
+    raw = readers.load_readings(spark, data_path=path)
+    win = cleaning.time_window(raw, WINDOW_FROM, WINDOW_TO, ts_col="FECHA_REGISTRO")
+    return cleaning.clean_consumption(win).drop(readers.PARTITION_COLUMN, "FECHA_REGISTRO")
+
+
+def clean_numeric_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings whose ids come as floating numbers, with gaps and fractions."""
+    ids = {c: F.expr(f"case when seq % 7 = 0 then null when seq % 11 = 0 then seq + 0.5d else seq * 1.0d end")
+           for c in ("MEDIDOR", "LOCALIZACION_REAL")}
+    return cleaning.clean_consumption(build_view(spark, sf, "consumption_raw").withColumns(ids))
+
+
 def ene_readings(spark: SparkSession, sf: str) -> DataFrame:
     return measures.ene_readings(_consumption(spark, sf))
 
@@ -163,10 +183,12 @@ def _customers(spark: SparkSession, sf: str) -> DataFrame:
 def customers_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Customer master through the ';'-separated text path with a dtype map."""
     path = scratch_path(spark, "customers_text")
-    build_view(spark, sf, "customers_raw").write.option("sep", ";").option(
-        "header", "true").csv(path)
+    view = build_view(spark, sf, "customers_raw")
+    shuffled = view.withColumn("OTRA", F.lit("x")).select("OTRA", *reversed(view.columns))
+    shuffled.write.option("sep", ";").option("header", "true").csv(path)
     dtype_map = {name: "str" for name in CUSTOMER_SCHEMA.fieldNames()}
-    return cleaning.clean_customers(readers.read_customers(spark, path, dtype_map))
+    read = readers.read_customers(spark, path, dtype_map)
+    return cleaning.clean_customers(read.select(*view.columns))
 
 
 def domain_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,7 +271,8 @@ def _layers(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "network")
     build_view(spark, sf, "gis_loads").write.parquet(f"{root}/Loads.parquet")
     build_view(spark, sf, "gis_transformers").write.parquet(f"{root}/Transformers.parquet")
-    return locations.prepare_layer(readers.read_layers(spark, root), epsg=LOCAL_EPSG)
+    return readers.read_layers(
+        spark, root, prepare=lambda _, df: locations.prepare_layer(df, epsg=LOCAL_EPSG))
 
 
 def gis_layers(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,7 +285,7 @@ def gis_layer_slice(spark: SparkSession, sf: str) -> DataFrame:
 
 def meter_locations(spark: SparkSession, sf: str) -> DataFrame:
     loads = locations.loads_view(_layers(spark, sf))
-    return locations.meter_locations(_consumption(spark, sf), loads)
+    return locations.meter_locations(_consumption(spark, sf), loads).drop("epsg")
 
 
 def domain_audit_gis(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,6 +352,8 @@ QUERIES: dict[str, Query] = {
     "clean_consumption": clean_consumption,
     "time_window": time_window,
     "time_window_pruned": time_window_pruned,
+    "time_window_other_ts": time_window_other_ts,
+    "clean_numeric_ids": clean_numeric_ids,
     "ene_readings": ene_readings,
     "mde_readings": mde_readings,
     "phase_power": phase_power,

@@ -158,18 +158,21 @@ class Network:
 
 
 def load_network(spark: SparkSession, root: str, fmt: str = "parquet",
-                 source_epsg: int | None = None, target_epsg: int | None = None,
+                 source_epsg: int | dict[str, int] | None = None, target_epsg: int | None = None,
                  per_slice: int | None = None, rename_cols: dict[str, str] | None = None,
                  loads_layer: str = locations.LOADS_LAYER, order_by: str = "seq") -> Network:
-    """All layers under ``root``: ids typed and renamed, optionally sliced to
-    the first ``per_slice`` percent of each layer (by ``order_by``) and
-    reprojected from ``source_epsg`` to ``target_epsg``."""
-    layers = locations.prepare_layer(readers.read_layers(spark, root, fmt), rename_cols,
-                                     epsg=source_epsg)
+    """All layers under ``root`` (a folder or a glob): each layer's ids typed
+    and renamed and, with ``target_epsg``, its points reprojected from its own
+    grid (``source_epsg``: one code, or one by layer), then the union, sliced
+    to the first ``per_slice`` percent of each layer (by ``order_by``)."""
+    def prepare(name: str, df: DataFrame) -> DataFrame:
+        epsg = source_epsg.get(name) if isinstance(source_epsg, dict) else source_epsg
+        df = locations.prepare_layer(df, rename_cols, epsg=epsg)
+        return df if target_epsg is None else projection.reproject(df, epsg, target_epsg)
+
+    layers = readers.read_layers(spark, root, fmt, prepare)
     if per_slice:
         layers = locations.layer_slice(layers, per_slice, order_by)
-    if target_epsg is not None:
-        layers = projection.reproject(layers, source_epsg, target_epsg)
     loads = locations.loads_view(layers, loads_layer)
     return Network(layers=layers, loads=loads, attributes=locations.loads_view(
         layers, loads_layer, attributes_only=True))

@@ -49,13 +49,18 @@ def build_session(
     return spark
 
 
+# What results depend on; the rest of the defaults is tuning.
+SESSION_SEMANTICS = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled")
+
+
 def pin_session(spark: SparkSession) -> None:
-    """Apply the runtime-settable defaults to an existing session."""
-    for key, value in SESSION_DEFAULTS.items():
-        try:
-            spark.conf.set(key, value)
-        except Exception:  # static conf on a shared session: keep the cluster's
-            pass
+    """Apply to an existing session the settings that results depend on.
+
+    Partition sizes, broadcast thresholds and the like stay as the cluster
+    has set them: only ``build_session`` brings defaults for those.
+    """
+    for key in SESSION_SEMANTICS:
+        spark.conf.set(key, SESSION_DEFAULTS[key])
 
 
 def _context(spark: SparkSession):

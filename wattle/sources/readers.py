@@ -4,13 +4,15 @@ pushed into the scan by Catalyst."""
 
 from __future__ import annotations
 
-import re
+import warnings
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattle.sources.schemas import CUSTOMER_SCHEMA, schema_from_dtype_map
+from wattle.sources.schemas import CUSTOMER_SCHEMA, require_columns, schema_from_dtype_map
 
 
 def load_readings(
@@ -28,7 +30,7 @@ def load_readings(
         if schema is not None:
             reader = reader.schema(schema)
         return reader.load(data_path)
-    raise ValueError("Either table_name or data_path must be provided.")
+    raise ValueError("name a catalog table or a path to read from")
 
 
 def read_customers(
@@ -37,38 +39,89 @@ def read_customers(
     dtype_map: dict[str, str] | str | None = None,
     sep: str = ";",
     header: bool = True,
+    required: tuple[str, ...] = tuple(CUSTOMER_SCHEMA.fieldNames()),
 ) -> DataFrame:
-    """Customer master from separated text with explicit column types."""
-    schema = (schema_from_dtype_map(dtype_map, order=CUSTOMER_SCHEMA.fieldNames())
-              if dtype_map is not None else CUSTOMER_SCHEMA)
-    return (
-        spark.read.schema(schema)
-        .option("sep", sep)
-        .option("header", str(header).lower())
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-
+    """Customer master from separated text.
 
-def read_layers(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
-    """All network layers under ``root`` in one scan, tagged with ``layer``.
+    With a header, columns are found by name, in any order, and every column
+    of the file is kept; one of ``required`` that is missing raises. Values
+    are read as text and those of ``dtype_map`` cast (malformed -> NULL).
+    Without a header the columns are those of the customer schema in order.
+    """
+    reader = spark.read.option("sep", sep).option("mode", "PERMISSIVE")
+    if header:
+        df = reader.option("header", "true").option("inferSchema", "false").csv(path)
+        require_columns(df, required, "customers")
+    else:
+        df = reader.option("header", "false").schema(CUSTOMER_SCHEMA).csv(path)
+    if dtype_map is None:
+        return df
+    schema = schema_from_dtype_map(dtype_map)
+    casts = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema if f.name in df.columns}
+    return df.withColumns(casts)
+
+
+def layer_entries(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(layer, path) of each file or folder under ``root``, or of each match
+    where ``root`` is a glob; a layer is named up to its first dot."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(conf)
+    found = fs.globStatus(path) if any(c in root for c in "*?[{") else fs.listStatus(path)
+    entries = [(s.getPath().getName(), s.getPath().toString()) for s in found or []]
+    return sorted((n.split(".")[0], p) for n, p in entries if not n.startswith(("_", ".")))
+
+
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _common_type(types: set[str]) -> str:
+    """Type to which a column is widened when layers disagree."""
+    if len(types) == 1:
+        return next(iter(types))
+    if types <= set(_WHOLE):
+        return "bigint"
+    return "double" if types <= {*_WHOLE, "float", "double"} else "string"
+
+
+def read_layers(
+    spark: SparkSession,
+    root: str,
+    fmt: str = "parquet",
+    prepare: Callable[[str, DataFrame], DataFrame] | None = None,
+    skipped: list[tuple[str, str]] | None = None,
+) -> DataFrame:
+    """All network layers under ``root`` (a folder or a glob), tagged with ``layer``.
 
-    Each file or folder directly under ``root`` is one layer named after it
-    (up to the first dot). Columns of the layers are merged by name; a layer
-    lacking a column gets NULL. Unreadable files are skipped and an empty
-    layer contributes no rows.
+    Each entry is one layer, read on its own; ``prepare(layer, df)`` renames
+    and types it before the union by name. A layer lacking a column gets
+    NULL; where types differ the wider one (else text) holds. A layer that
+    can't be opened, any of its files, is left out whole, with a warning and
+    an entry in ``skipped``; damage met later, in the data, raises.
     """
-    base = root.rstrip("/").split("/")[-1]
-    reader = (
-        spark.read.format(fmt)
-        .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-    )
-    if fmt in ("parquet", "orc"):
-        reader = reader.option("mergeSchema", "true")
-    df = reader.load(root)
-    top = F.regexp_extract(F.col("_metadata.file_path"), rf"^.*?/{re.escape(base)}/([^/]+)", 1)
-    return df.withColumn("layer", F.substring_index(top, ".", 1))
+    layers: list[DataFrame] = []
+    for name, path in layer_entries(spark, root):
+        reader = spark.read.format(fmt).option("recursiveFileLookup", "true")
+        if fmt in ("parquet", "orc"):
+            reader = reader.option("mergeSchema", "true")  # opens every file's footer
+        try:
+            df = reader.load(path)
+        except Exception as exc:
+            warnings.warn(f"layer {name} skipped, {path} can't be read: {str(exc)[:200]}", stacklevel=2)
+            if skipped is not None:
+                skipped.append((name, str(exc)))
+            continue
+        df = prepare(name, df) if prepare else df
+        layers.append(df.withColumn("layer", F.lit(name)))
+    if not layers:
+        raise ValueError(f"no readable layer under {root}")
+    types: dict[str, set[str]] = {}
+    for df in layers:
+        for column, kind in df.dtypes:
+            types.setdefault(column, set()).add(kind)
+    wide = [df.withColumns({c: F.col(c).cast(_common_type(types[c])) for c, k in df.dtypes if len(types[c]) > 1})
+            for df in layers]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), wide)
 
 
 PARTITION_COLUMN = "reading_date"

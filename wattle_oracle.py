@@ -91,6 +91,14 @@ ORACLE: dict[str, str] = {
     "time_window": _consumption(window=("2026-03-03", "2026-03-10")) + "select * from clean",
     "time_window_pruned": _consumption(window=("2026-03-03", "2026-03-10"))
     + "select * from clean",
+    "time_window_other_ts": _with(
+        consumption_raw=f"select * from ({view_sql('consumption_raw')}) "
+        "where FECHA_LECTURA_REAL + interval 40 hours >= timestamp '2026-03-03' "
+        "and FECHA_LECTURA_REAL + interval 40 hours < timestamp '2026-03-10'",
+        clean=CLEAN_CONSUMPTION) + "select * from clean",
+    "clean_numeric_ids": _with(consumption_raw=view_sql("consumption_raw"), clean=CLEAN_CONSUMPTION)
+    + "select * replace (case when seq % 7 = 0 or seq % 11 = 0 then null else seq end as MEDIDOR, "
+      "case when seq % 7 = 0 or seq % 11 = 0 then null else seq end as LOCALIZACION_REAL) from clean",
     "ene_readings": _consumption() + ENE,
     "mde_readings": _consumption() + MDE,
     "phase_power": _phase("('kW', 'kVAR', 'kVA')"),
