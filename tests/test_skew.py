@@ -48,17 +48,35 @@ def test_hot_group_head_is_split(spark):
     assert parts >= 4
 
 
-def test_oversized_day_dropped_before_shuffle(spark):
+def test_oversized_day_is_no_complete_day(spark):
     from wattle.operators import scenarios
     day = [(2, T0 + dt.timedelta(minutes=15 * i), 1.0) for i in range(96)]
     hot = [(1, T0 + dt.timedelta(seconds=i), 1.0) for i in range(5000)]
     df = spark.createDataFrame(day + hot, "node long, ts timestamp_ntz, P double")
-    out = scenarios.complete_days(df, hot_rows=1000)
-    assert out.groupBy("node").count().collect()[0]["count"] == 96
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    anti = plan.index("LeftAnti")
-    exchange = plan.index("Exchange hashpartitioning(node")
-    assert "BroadcastHashJoin" in plan and anti > 0 and exchange > 0
+    out = scenarios.complete_days(df)
+    assert [tuple(r) for r in out.groupBy("node").count().collect()] == [(2, 96)]
+
+
+def test_ties_of_a_timestamp(spark):
+    from wattle.operators import scenarios
+    rows_ = [(1, dt.datetime(2026, 1, 3, 0), float(p), s) for s, p in ((2, 5), (1, 7), (0, 9))]  # a Saturday
+    df = spark.createDataFrame(rows_, "node long, ts timestamp_ntz, P double, seq long")
+    curve = scenarios.weekend_curve(scenarios.complete_days(df, samples=3), tie=["seq"])
+    assert rows(curve, "timestep", "P") == [(0, 9.0), (1, 7.0), (2, 5.0)]
+
+
+def test_one_stray_clock_does_not_coarsen_a_hot_key(spark):
+    """Largest (key, bucket) of a hot meter with one timestamp of 1970."""
+    from wattle.operators.sequence import _split_hot_keys
+    ts = [T0 + dt.timedelta(minutes=10 * i) for i in range(6000)] + [dt.datetime(1970, 1, 1)]
+    df = spark.createDataFrame([(1, t, 1.0) for t in ts], "k long, ts timestamp_ntz, v double")
+    weekly = time_bucket("ts", 7 * 86400)
+    split, bucket = _split_hot_keys(df, ["k"], "ts", weekly, 200)
+    sizes = [r["count"] for r in split.select(bucket.alias("b")).groupBy("b").count().collect()]
+    assert max(sizes) <= 2 * 200 and sum(sizes) == 6001
+    got = with_previous(df, ["k"], ["ts"], ["v"], weekly, order_is_unique=True, target_rows_per_bucket=200)
+    w = Window.partitionBy("k").orderBy("ts")
+    assert rows(got, "ts", "prev_ts") == rows(df.select("ts", F.lag("ts").over(w).alias("p")))
 
 
 def test_hot_key_in_one_bucket_is_split(spark):

@@ -116,10 +116,9 @@ def main() -> None:
         "crowded_day_share_of_rows": round((n // 2) / (n + n // 2), 4),
         "largest_join_input_share_without_drop": day_share(pre_semi),
         "largest_join_input_share_with_drop": day_share(pre_semi_dropped),
-        "same_complete_days": scenarios.complete_days(skewed, hot_rows=1000).exceptAll(
+        "same_complete_days": scenarios.complete_days(skewed).exceptAll(
             semi_only(skewed)).isEmpty(),
-        "largest_window_task_share": day_share(steps(scenarios.complete_days(
-            skewed, hot_rows=1000))),
+        "largest_window_task_share": day_share(steps(scenarios.complete_days(skewed))),
     }))
     spark.stop()
 

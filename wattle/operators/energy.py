@@ -13,8 +13,7 @@ from wattle.operators.sequence import time_bucket, with_previous
 
 ENERGY_KEYS = ["MEDIDOR", "FECHA_LECTURA", "Hour"]
 # Deltas are computed per meter inside weekly buckets (see with_previous); a
-# meter with more than 10x this many rows gets finer buckets of about this
-# many rows.
+# meter's week of more rows than this is cut into parts of about so many rows.
 DEFAULT_BUCKET_SECONDS = 7 * 86400
 HOT_METER_ROWS = 1_000_000
 

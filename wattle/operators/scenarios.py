@@ -14,6 +14,8 @@ group can grow with the data.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,53 +39,39 @@ def samples_per_day(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy(*DAY_KEYS).agg(F.count(F.lit(1)).alias("samples"))
 
 
-# A (node, date) group above this many rows is dropped before the shuffle.
-HOT_GROUP_ROWS = 10_000_000
-
-
 def complete_days(df: DataFrame, samples: int = 96,
-                  seasons: dict[int, str] | None = None,
-                  hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                  seasons: dict[int, str] | None = None) -> DataFrame:
     """Labelled rows of the (node, date) pairs with exactly ``samples`` rows.
 
-    A group much larger than a day can never qualify, yet the semi-join
-    would still send all of it to one task. Such groups (more than
-    ``hot_rows`` rows) are removed map-side by a broadcast anti-join first.
-    That key set holds at most (total rows / ``hot_rows``) keys.
+    The counts are aggregated before their shuffle. In the semi-join a group
+    far larger than a day is a skewed partition of the left side, which AQE
+    splits; what matches, and so every later window, holds one day at most.
     """
-    if hot_rows < samples:
-        raise ValueError("hot_rows must be at least samples")
     labelled = calendar_labels(df, seasons)
-    counts = samples_per_day(labelled)
-    valid = counts.filter(F.col("samples") == samples).select(*DAY_KEYS)
-    # At most total rows / hot_rows keys (10^6 for 10^13 rows at the default).
-    # No limit here: a limit would plan the counts apart from the main branch
-    # and scan the input twice.
-    hot = counts.filter(F.col("samples") > hot_rows).select(*DAY_KEYS)
-    return (
-        labelled.join(F.broadcast(hot), on=DAY_KEYS, how="left_anti")
-        .join(valid, on=DAY_KEYS, how="left_semi")
-    )
-
-
-def _timesteps(days: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*DAY_KEYS).orderBy("ts")
+    valid = samples_per_day(labelled).filter(F.col("samples") == samples).select(*DAY_KEYS)
+    return labelled.join(valid, on=DAY_KEYS, how="left_semi")
+
+
+def _timesteps(days: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
+    """Rows of a day numbered by time, those of one time by the ``tie`` columns."""
+    w = Window.partitionBy(*DAY_KEYS).orderBy("ts", *tie)
     return days.withColumn("timestep", (F.row_number().over(w) - 1).cast("long"))
 
 
-def weekend_curve(days: DataFrame, power: str = "P") -> DataFrame:
-    """Mean ``power`` per (node, timestep) over complete weekend days."""
-    wend = _timesteps(days.filter(F.col("day") == "weekend"))
+def weekend_curve(days: DataFrame, power: str = "P", tie: Sequence[str] = ()) -> DataFrame:
+    """Mean ``power`` per (node, timestep) over complete weekend days; ``tie``
+    orders rows of one timestamp."""
+    wend = _timesteps(days.filter(F.col("day") == "weekend"), tie)
     return wend.groupBy("node", "timestep").agg(F.avg(power).alias(power))
 
 
-def season_curves(days: DataFrame, power: str = "P") -> DataFrame:
+def season_curves(days: DataFrame, power: str = "P", tie: Sequence[str] = ()) -> DataFrame:
     """Mean ``power`` per (season, node, timestep) over complete weekdays.
 
     Timesteps are numbered within (node, date); season is a function of
     the date, so this equals numbering within (season, node, date).
     """
-    wday = _timesteps(days.filter(F.col("day") == "weekday"))
+    wday = _timesteps(days.filter(F.col("day") == "weekday"), tie)
     return wday.groupBy("season", "node", "timestep").agg(F.avg(power).alias(power))
 
 

@@ -22,8 +22,6 @@ from pyspark.sql import types as T
 _BUCKET, _CARRY, _LAST, _NEXT = "__wb", "__carry", "__last", "__next"
 # Largest rank table head_per_group broadcasts; beyond it the join shuffles.
 MAX_BROADCAST_ROWS = 200_000
-# A key is split when it has more than this many times the bucket target.
-HOT_KEY_FACTOR = 10
 _LONG_MIN = -(2 ** 63)
 
 
@@ -48,10 +46,9 @@ def with_previous(
     hash aggregate for the carried rows. As with ``lag``, rows tied on the
     order have no defined sequence.
 
-    ``target_rows_per_bucket``: keys with more than ``HOT_KEY_FACTOR`` times
-    this many rows get their own finer buckets, about this many rows each,
-    spread over the key's own order range (single integral/time order column
-    only). So even a key whose rows all fall in one ``bucket`` is split over
+    ``target_rows_per_bucket``: a key's bucket of more rows than this is cut
+    into finer ones of about so many rows (single integral/time order column
+    only), so even a key whose rows all fall in one ``bucket`` is split over
     many tasks.
     """
     keys = list(partition_by)
@@ -126,34 +123,41 @@ def _last_row(df: DataFrame, order_by: list[str], lagged: list[str], unique: boo
 _HOT = "__hot_"
 
 
+# Finer buckets that one bucket can be split into.
+_FINE = 1 << 20
+
+
 def _split_hot_keys(df: DataFrame, keys: list[str], order_col: str, bucket: Column,
                     target: int) -> tuple[DataFrame, Column]:
-    """Bucket column where keys with more than ``HOT_KEY_FACTOR * target``
-    rows use buckets of about ``target`` rows each across their own
-    [min, max] order range.
-
-    Hot keys are found with a partial aggregate over the same input (its
-    exchange is reused); there are at most rows / (``HOT_KEY_FACTOR`` *
-    ``target``) of them, which bounds the broadcast. Per key only one bucket
-    rule applies, so buckets stay non-decreasing along the order.
+    """Bucket column in which a (key, bucket) of more than ``target`` rows is
+    cut into parts of about ``target`` rows across its own order range.
+
+    The cut is nested in the bucket, so it is never coarser than that, and
+    one stray timestamp only widens the bucket it falls into. Such groups are
+    found with a partial aggregate over the same input (its exchange is
+    reused); there are at most rows / ``target`` of them, which bounds the
+    broadcast.
     """
     o = _order_as_long(df, order_col, nulls_smallest=False)
     if o is None:
         return df, bucket
+    df = df.withColumn(f"{_HOT}b", F.coalesce(bucket.cast("long"), F.lit(-1)))
+    names = [*keys, f"{_HOT}b"]
     stats = (
-        df.groupBy(*keys)
+        df.groupBy(*names)
         .agg(F.count(F.lit(1)).alias(f"{_HOT}n"), F.min(o).alias(f"{_HOT}lo"),
              F.max(o).alias(f"{_HOT}hi"))
-        .filter(F.col(f"{_HOT}n") > HOT_KEY_FACTOR * target)
-        .withColumnsRenamed({k: f"{_HOT}k{i}" for i, k in enumerate(keys)})
+        .filter(F.col(f"{_HOT}n") > target)
+        .withColumnsRenamed({k: f"{_HOT}k{i}" for i, k in enumerate(names)})
     )
     on = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"{_HOT}k{i}"))
-                                for i, k in enumerate(keys)])
+                                for i, k in enumerate(names)])
     joined = df.join(F.broadcast(stats), on, "left")
     lo, hi, n = (F.col(f"{_HOT}{c}") for c in ("lo", "hi", "n"))
     share = (o - lo).cast("double") / (hi - lo + 1).cast("double")
-    fine = F.floor(share * (n.cast("double") / F.lit(float(target))))
-    return joined, F.when(lo.isNotNull(), fine).otherwise(bucket)
+    part = F.floor(share * F.least(n.cast("double") / F.lit(float(target)), F.lit(float(_FINE - 1))))
+    fine = F.when(lo.isNotNull() & o.isNotNull(), part).otherwise(F.lit(0))
+    return joined, F.when(bucket.isNotNull(), bucket.cast("long") * _FINE + fine)
 
 
 def time_bucket(ts: str | Column, width_seconds: int) -> Column:
