@@ -23,10 +23,29 @@ MIX_B = np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+# Rows of an Arrow batch: texts are long, so Spark's 10,000 would hold much at once.
+BATCH_ROWS = 1000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Write Parquet and drop the shuffle files that led to it."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers that do not have it on
-    their path. Spark's own file distribution carries it; once a context."""
+    their path (Spark's own file distribution carries it, once a context), and
+    keep Arrow batches small, where the session leaves their size open."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_wattle_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

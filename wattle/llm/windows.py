@@ -37,7 +37,7 @@ from wattle.llm import textkit
 from wattle.session import scratch_path
 
 # Bytes of text whose segments a task packs together, and bytes of text a bucket stands for.
-UNIT_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
+UNIT_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
 # Different segments of one anchor from which on its windows are dealt one by one.
 COMMON = 2048
 NO_ID = np.iinfo(np.int64).max  # a null doc_id is larger than any other
@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, elements: Elements, solver: Callable, finish
     sent = texts.mapInArrow(send_segments(elements, buckets), MAP_SCHEMA)
     resolved = sent.groupBy("bucket").applyInArrow(resolve_bucket, HOME_SCHEMA)
     path = scratch_path(spark, "windows")
-    resolved.write.parquet(path)
+    textkit.write_table(resolved, path)
     known = spark.read.schema(HOME_SCHEMA).parquet(path)
 
     def at_home(left: DataFrame, right: DataFrame, run: Callable, out: str) -> DataFrame:
