@@ -32,3 +32,55 @@ select d.doc_id, len(d.w) as n_words, coalesce(c.n_hit, 0) as n_hit, coalesce(i.
     sha256(coalesce(i.ids, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
 from dwords d left join covered c using (doc_id) left join items i using (doc_id)
 """
+
+ORACLE["op10_substring_dedup"] = r"""
+with words as (
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+    from documents),
+wins as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as win
+    from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from words where len(w) >= 13)),
+least as (select win, min(doc_id) as d from wins group by win),
+covered as (select distinct doc_id, unnest(range(i, i + 13)) as p
+    from (select doc_id, i from wins join least using (win) where d < doc_id)),
+each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from words),
+kept as (select doc_id, string_agg(word, ' ' order by p) as text, count(*) as n
+    from each anti join covered using (doc_id, p) group by doc_id)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from words left join kept using (doc_id)
+"""
+
+ORACLE["op9_suffix_array_dedup"] = r"""
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+each as (select doc_id, i, substr(h, 2 * i + 1, 100) as s
+    from (select doc_id, h, unnest(range(0, n - 49)) as i from docs where n >= 50)),
+least as (select s, min(doc_id) as d from each group by s having count(*) > 1),
+starts as (select doc_id, i from each join least using (s) where d < doc_id),
+steps as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh
+    from starts),
+runs as (select doc_id, min(i) as a, max(i) + 50 as b from (
+    select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from steps) group by doc_id, run),
+gaps as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as z from runs),
+kept as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last,
+    string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' order by a) as text
+    from gaps join docs using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+    sha256(unhex(coalesce(text, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from docs left join kept using (doc_id)
+"""
+
+ORACLE["op3_ngram_jaccard_join"] = r"""
+with recursive words as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+shingles as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c
+    from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+    where 100 * c >= 75 * (x.n + y.n - c)),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on l.a = r.b)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id
+from documents d left join sizes using (doc_id)
+join (select a as doc_id, min(b) as component_id from reach group by a) using (doc_id)
+"""
