@@ -39,7 +39,7 @@ KINDS = [f"{kind}_{how}" for kind in ("insult", "threat") for how in ("plain", "
 # Weights before any training: each kind's, then the intercept.
 PRIOR = np.array([4.5, 4.5, 2.0, 2.0, 3.0, 4.0, 0.5, 1.0, -3.0])
 # Bounds of what is learned: labelled rows, lexicon entries, least documents of an entry.
-SAMPLE_ROWS, ENTRIES, SUPPORT = 20_000, 4_000, 8
+SAMPLE_ROWS, ENTRIES, SUPPORT = 20_000, 4_000, 12
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]|[,;:|]|[\"“”«»]")
@@ -138,7 +138,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS)
 
 def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, support: int = SUPPORT) -> dict[str, float]:
     """Words and stems that at least ``support`` toxic texts hold and hardly
-    any other: at most one in twenty. Near copies count once: of the texts
+    any other: at most one in fifty. Near copies count once: of the texts
     with the same least hash of five-word runs, one is counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +168,22 @@ def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, support: int = SUPPOR
     counts = once.select("text", "toxic").mapInArrow(
         count, "entry string, clean long, toxic long")
     sums = counts.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = (sums.where((F.col("toxic") >= support) & (F.col("clean") * 20 <= F.col("toxic")))
-            .orderBy(F.desc(F.col("toxic") - 20 * F.col("clean")), "entry").limit(entries).collect())
-    return {r["entry"]: min(1.0, math.log((r["toxic"] + 0.5) / (r["clean"] + 0.5)) / 4)
-            for r in kept if r["entry"] != "#"}
+    kept = (sums.where((F.col("toxic") >= support) & (F.col("clean") * 50 <= F.col("toxic")))
+            .orderBy(F.desc(F.col("toxic") - 50 * F.col("clean")), "entry").limit(entries).collect())
+    counted = {r["entry"]: (r["toxic"], r["clean"]) for r in kept if r["entry"] != "#"}
+    return {e: min(1.0, math.log((t + 0.5) / (c + 0.5)) / 4) for e, (t, c) in longest(counted).items()}
+
+
+def longest(counted: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int]]:
+    """Without the stems that a longer entry explains nearly whole: a short
+    stem then only adds words that have nothing to do with it."""
+    explained: dict[str, int] = {}
+    for entry, (toxic, _) in counted.items():
+        word = entry.strip("=*")
+        ends = range(min(STEMS), len(word) + entry.startswith("="))
+        for stem in (word[:n] for n in ends):
+            explained[stem] = max(toxic, explained.get(stem, 0))
+    return {e: n for e, n in counted.items() if e[0] == "=" or explained.get(e[:-1], 0) < 0.98 * n[0]}
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 4000, rate: float = 2.0, pull: float = 5e-5) -> np.ndarray:
