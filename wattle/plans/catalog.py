@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from wattle.operators import (
     projection,
     reconcile,
     scenarios,
+    sequence,
 )
 from wattle.session import scratch_path
 from wattle.sources import readers
@@ -229,7 +231,7 @@ def audit_union(spark: SparkSession, sf: str) -> DataFrame:
 
 def audit_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Consolidated audits written as a table, read back from the catalog."""
-    name = "wattle_invalid_value_audit"
+    name = f"wattle_invalid_value_audit_{uuid.uuid4().hex[:12]}"
     audits.write_invalid_value_audit([audit_union(spark, sf)], name, mode="overwrite",
                                      path=scratch_path(spark, name))
     return spark.table(name)
@@ -256,7 +258,7 @@ def scan_path(spark: SparkSession, sf: str) -> DataFrame:
 
 def scan_table(spark: SparkSession, sf: str) -> DataFrame:
     """Raw readings saved as a catalog table and scanned back by name."""
-    name = "wattle_consumption_raw"
+    name = f"wattle_consumption_raw_{uuid.uuid4().hex[:12]}"
     readers.write_table(build_view(spark, sf, "consumption_raw"), name,
                         path=scratch_path(spark, name))
     return cleaning.clean_consumption(readers.load_readings(spark, table_name=name))
@@ -348,10 +350,62 @@ def events_weekend_curve(spark: SparkSession, sf: str) -> DataFrame:
     return scenarios.weekend_curve(scenarios.complete_days(_events_input(spark, sf), samples=24))
 
 
+
+# The same operators over the content of the supplied tables.
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def orders_latest_priority(spark: SparkSession, sf: str) -> DataFrame:
+    """Priority of each customer's latest order, first by key on one date."""
+    return reconcile.latest_attribute(_table(spark, sf, "orders"), "o_custkey", "o_orderpriority",
+                                      "o_orderdate", tie="o_orderkey")
+
+
+def _order_keys(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    orders = _table(spark, sf, "orders").withColumnRenamed("o_custkey", "custkey")
+    return orders, _table(spark, sf, "customer").withColumnRenamed("c_custkey", "custkey")
+
+
+def orders_domain_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of the orders against the customer table."""
+    orders, customers = _order_keys(spark, sf)
+    return audits.domain_audit(orders, customers, domain_label="custkey", a_label="orders", b_label="customers")
+
+
+def orders_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """Market segment of each customer beside the priority of the latest order."""
+    orders, customers = _order_keys(spark, sf)
+    return reconcile.reconcile_entities(customers, orders, customers, "custkey", "c_mktsegment", "o_orderpriority",
+                                        "o_orderdate", tie="o_orderkey")
+
+
+def events_previous(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event with its user's previous one."""
+    out = sequence.with_previous(_table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], ["value"],
+                                 sequence.time_bucket("ts", 86400))
+    return out.select("event_id", "user_id", "value", "prev_event_id", "prev_value")
+
+
+def orders_odd_priority(spark: SparkSession, sf: str) -> DataFrame:
+    return audits.audit_odd_values(_table(spark, sf, "orders"), "o_orderpriority", r"^[1-3]-[A-Z]+$")
+
+
+def events_odd_props(spark: SparkSession, sf: str) -> DataFrame:
+    return audits.audit_odd_values(_table(spark, sf, "events"), "props", r'^\{"k": [0-9]\}$', "one_digit")
+
+
 QUERIES: dict[str, Query] = {
     "clean_consumption": clean_consumption,
     "time_window": time_window,
     "time_window_pruned": time_window_pruned,
+    "orders_latest_priority": orders_latest_priority,
+    "orders_domain_audit": orders_domain_audit,
+    "orders_reconcile": orders_reconcile,
+    "events_previous": events_previous,
+    "orders_odd_priority": orders_odd_priority,
+    "events_odd_props": events_odd_props,
     "time_window_other_ts": time_window_other_ts,
     "clean_numeric_ids": clean_numeric_ids,
     "ene_readings": ene_readings,

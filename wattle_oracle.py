@@ -446,3 +446,28 @@ ORACLE["gis_reproject"] = (
 select LOCALIZACION_REAL, MEDIDOR, OBJECTID as NISE, round(degrees(lam), 6) as x,
   round(degrees(phi), 6) as y, seq, KVA, layer, 4326 as epsg from geo"""
 )
+
+
+# ---------------------------------------------------------------- content of the supplied tables
+
+_LATEST_ORDER = """select o_custkey, o_orderpriority from (
+  select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn
+  from orders where o_custkey is not null and o_orderdate is not null) where rn = 1"""
+
+ORACLE.update({
+    "orders_latest_priority": _LATEST_ORDER,
+    "orders_domain_audit": """select custkey, bool_or(a) as in_orders, bool_or(b) as in_customers,
+  case when bool_or(a) and bool_or(b) then 'in_both' when bool_or(a) then 'only_in_orders'
+       else 'only_in_customers' end as domain_status
+from (select cast(o_custkey as varchar) as custkey, true as a, false as b from orders
+      union all select cast(c_custkey as varchar), false, true from customer)
+where custkey is not null group by custkey""",
+    "orders_reconcile": f"""select c_custkey as custkey, c_mktsegment as self_source,
+  o_orderpriority as other_source, c_mktsegment = o_orderpriority as "match"
+from customer join ({_LATEST_ORDER}) on o_custkey = c_custkey""",
+    "events_previous": """select event_id, user_id, value, lag(event_id) over w as prev_event_id,
+  lag(value) over w as prev_value
+from events window w as (partition by user_id order by ts nulls first, event_id nulls first)""",
+    "orders_odd_priority": _audit_one("orders", "o_orderpriority", "^[1-3]-[A-Z]+$", None, False),
+    "events_odd_props": _audit_one("events", "props", r'^\{"k": [0-9]\}$', "one_digit", False),
+})
