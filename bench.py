@@ -25,7 +25,8 @@ HEADLINE = [
     "clean_consumption", "energy_deltas", "n_phases", "active_profile", "reactive_profile",
     "voltage_profile", "complete_days", "weekend_curve", "season_curves", "domain_audit",
     "audit_consumption", "audit_power", "latest_attribute", "reconcile_entities",
-    "meter_locations",
+    "meter_locations", "gis_layer_slice", "domain_audit_gis", "orders_latest_priority",
+    "orders_reconcile", "events_previous",
 ]
 
 

@@ -6,7 +6,7 @@ import pytest
 from conftest import SF_SMALL, rows
 from wattle.plans import catalog
 from wattle.plans.workflows import (
-    CityScenarios, SourceConfig, load_consumption, load_power, load_voltage, scenario_input)
+    SourceConfig, load_consumption, load_power, load_shapes, load_voltage, scenario_input)
 from wattle.sources.fixtures import build_view
 
 
@@ -38,9 +38,9 @@ def test_power_voltage_and_scenarios(spark, paths):
     assert p.nested_active().schema["P"].dataType.simpleString() == "struct<Pdem:double,Pgen:double>"
     v = load_voltage(spark, SourceConfig(data_path=paths["voltages_raw"]))
     assert rows(v.voltage_df) == rows(catalog.QUERIES["voltage_profile"](spark, SF_SMALL))
-    city = CityScenarios(scenario_input(p.active_df))
-    assert rows(city.season_curves()) == rows(catalog.QUERIES["season_curves"](spark, SF_SMALL))
-    assert rows(city.weekends_curve()) == rows(catalog.QUERIES["weekend_curve"](spark, SF_SMALL))
+    shapes = load_shapes(scenario_input(p.active_df))
+    assert rows(shapes["season"]) == rows(catalog.QUERIES["season_curves"](spark, SF_SMALL))
+    assert rows(shapes["weekend"]) == rows(catalog.QUERIES["weekend_curve"](spark, SF_SMALL))
 
 
 def test_customers_and_network(spark, tmp_path):
@@ -60,3 +60,13 @@ def test_customers_and_network(spark, tmp_path):
     assert net.layers.count() == catalog.QUERIES["gis_layer_slice"](spark, SF_SMALL).count()
     lon = net.loads.agg({"x": "max"}).first()[0]
     assert -85 < lon < -83 and "x" not in net.attributes.columns and "NISE" in net.loads.columns
+
+
+def test_custom_audit_rules(spark, tmp_path):
+    from wattle.operators.audits import AuditRule
+    path = str(tmp_path / "raw")
+    build_view(spark, SF_SMALL, "consumption_raw").write.parquet(path)
+    rules = {"UNIDAD": AuditRule(r"^kWh$", "unit", False)}
+    m = load_consumption(spark, SourceConfig(data_path=path, audit_invalid_values=True, audit_rules=rules))
+    got = rows(m.invalid_value_audit, "audit_key", "invalid_raw_value")
+    assert got == [("unit", "Voltage"), ("unit", "kW")]

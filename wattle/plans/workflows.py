@@ -11,7 +11,7 @@ who needs more than one of them may ``persist()`` ``sdf``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +38,15 @@ class SourceConfig:
     to_ts: str | None = None
     ts_col: str = "FECHA_LECTURA_REAL"
     audit_invalid_values: bool = False
+    # Rules by column instead of the dataset's own.
+    audit_rules: dict[str, audits.AuditRule] | None = None
+    partition_col: str | None = None
 
 
 def _raw(spark: SparkSession, cfg: SourceConfig, rules: dict) -> tuple[DataFrame, DataFrame | None]:
     raw = readers.load_readings(spark, cfg.table_name, cfg.data_path, cfg.fmt)
-    raw = cleaning.time_window(raw, cfg.from_ts, cfg.to_ts, cfg.ts_col)
-    audit = audits.run_audits(raw, rules) if cfg.audit_invalid_values else None
+    raw = cleaning.time_window(raw, cfg.from_ts, cfg.to_ts, cfg.ts_col, cfg.partition_col)
+    audit = audits.run_audits(raw, cfg.audit_rules or rules) if cfg.audit_invalid_values else None
     return raw, audit
 
 
@@ -119,24 +122,13 @@ def load_power(spark: SparkSession, cfg: SourceConfig, tie: str | None = None) -
                       invalid_value_audit=audit)
 
 
-@dataclass
-class CityScenarios:
-    """Complete-day scenario table and its curves over (node, ts, power)."""
-
-    sdf: DataFrame
-    power: str = "P"
-    samples_per_day: int = 96
-    seasons: dict[int, str] | None = None
-    sdata: DataFrame = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.sdata = scenarios.complete_days(self.sdf, self.samples_per_day, self.seasons)
-
-    def weekends_curve(self, power: str | None = None) -> DataFrame:
-        return scenarios.weekend_curve(self.sdata, power or self.power)
-
-    def season_curves(self, power: str | None = None) -> DataFrame:
-        return scenarios.season_curves(self.sdata, power or self.power)
+def load_shapes(df: DataFrame, power: str = "P", samples: int = 96, seasons: dict[int, str] | None = None,
+                tie: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Complete days of (node, ts, power) rows and their mean load shapes:
+    ``days``, ``weekend`` and ``season``, all lazy."""
+    days = scenarios.complete_days(df, samples, seasons)
+    return {"days": days, "weekend": scenarios.weekend_curve(days, power, tie),
+            "season": scenarios.season_curves(days, power, tie)}
 
 
 def scenario_input(active_df: DataFrame, power_col: str = "P_Pdem", name: str = "P") -> DataFrame:
