@@ -21,6 +21,7 @@ P = "A paragraph of some length that reads as running text, and goes on for a wh
     (f"<div><p>{P}</p><p>So.</p><p>{P}</p></div><div id='cookie-notice'>We use cookies, as everyone does today.</div>",
      f"{P}\nSo.\n{P}"),
     (f"<article><p>{P}<p>cut &am", f"{P}\ncut &am"),
+    (f"<div id='header'>Site of all sites</div><div class='has-sidebar'><p>{P}</p></div><div class='sidebar'>{P}</div>", P),
 ])
 def test_main_text(html, want):
     assert html_text.main_text(html) == want

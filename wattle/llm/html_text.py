@@ -25,6 +25,7 @@ MARKS = frozenset("ad ads adv advert advertisement advertising sponsor sponsored
                   "gdpr notice notification alert popup modal overlay comment comments disqus replies respond "
                   "newsletter subscribe signup share sharing social related recommended widget toolbar pagination "
                   "search login complementary contentinfo".split())
+ABOUT = frozenset("has no with without layout page".split())
 # Elements that begin and end a line of their own.
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure "
                    "footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table "
@@ -37,6 +38,14 @@ _SPACE = re.compile(r"\s+")
 _MARK = re.compile(r"[a-z]+")
 
 
+def marked(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Words of class, id and role; a name such as ``has-sidebar`` tells of
+    another element and is left out."""
+    names = [name for k, v in attrs if k in ("class", "id", "role") and v for name in v.lower().split()]
+    words = [_MARK.findall(name) for name in names]
+    return {w for found in words if found and found[0] not in ABOUT for w in found}
+
+
 class Lines(HTMLParser):
     """Collects lines: (text, number of tags, shown, container). A container is
     the number of the innermost article or main element, 0 outside."""
@@ -80,9 +89,9 @@ class Lines(HTMLParser):
                 self.close_to("li")
                 hidden, around, container = self.state()
         self.tags += 1
-        marks = {w for k, v in attrs if k in ("class", "id", "role") and v for w in _MARK.findall(v.lower())}
+        marks = marked(attrs)
         # A header is part of the article inside it, and around it elsewhere.
-        outside = tag in AROUND or (tag == "header" and not container)
+        outside = tag in AROUND or ((tag == "header" or "header" in marks) and not container)
         outside |= bool(marks & MARKS) and tag not in ("html", "body", "article", "main")
         if tag in CONTAINERS and not around:
             self.made += 1
