@@ -29,7 +29,7 @@ from wattle.llm.windows import MAP_SCHEMA, NO_ID, UNIT_BYTES, _HOME, _MAP, HOME_
 from wattle.session import ensure_checkpoint_dir, scratch_path
 
 WORDS = 5
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 LEADS = 3  # least shingles of a set by which the first round looks for a leader
 
 TOKEN = (("tok", 6), ("set", 8))
@@ -37,9 +37,9 @@ DOC = (("doc", 8), ("set", 8), ("n", 4))
 SHARED = (("set", 8), ("tok", 6), ("df", 3))
 MOST_DF = (1 << 23) - 1
 
-NODE_SCHEMA = "kind int, doc long, set long, n long, toks array<long>, dfs array<int>"
+NODE_SCHEMA = "kind int, doc long, set long, n long, toks array<long>"
 _NODE = [("kind", pa.int32()), ("doc", pa.int64()), ("set", pa.int64()), ("n", pa.int64()),
-         ("toks", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32()))]
+         ("toks", pa.list_(pa.int64()))]
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -142,14 +142,14 @@ def find_nodes(table: pa.Table) -> pa.Table:
                       [counts[i] for i in np.flatnonzero(kind == k)])
 
     docs, x = of(1, DOC), of(0, SHARED)
-    rows = [(0, d, s, n, None, None) for d, s, n in zip(*(docs[f].tolist() for f in ("doc", "set", "n")), strict=True)]
+    rows = [(0, d, s, n, None) for d, s, n in zip(*(docs[f].tolist() for f in ("doc", "set", "n")), strict=True)]
     size = dict(zip(docs["set"].tolist(), docs["n"].tolist(), strict=True))
     x = take(x, np.lexsort((x["tok"], x["df"], x["set"])))
     for part in np.split(np.arange(len(x["set"])), np.flatnonzero(np.diff(x["set"])) + 1):
         if len(part):
             key = int(x["set"][part[0]])
             if len(part) >= least_shared(size[key]):
-                rows.append((1, None, key, size[key], x["tok"][part], x["df"][part].astype(np.int32)))
+                rows.append((1, None, key, size[key], x["tok"][part]))
     return rows_of(rows, _NODE)
 
 
@@ -184,20 +184,22 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def leader_pairs(nodes: DataFrame) -> DataFrame:
-    """Each set with the least set that holds one of its least shingles."""
-    least = nodes.select("set", F.explode(F.slice(F.array_sort("toks"), 1, LEADS)).alias("tok"))
-    lead = least.groupBy("tok").agg(F.min("set").alias("a"))
-    return least.join(lead, "tok").where("set <> a").select("a", F.col("set").alias("b")).distinct()
+    """Each set with the leader of its least shingles: of the sets that hold
+    one, that with the fewest shingles of its own, which is nearest to what a
+    group of copies has in common."""
+    least = nodes.select("set", (F.col("n") - F.size("toks")).alias("own"),
+                         F.explode(F.slice(F.array_sort("toks"), 1, LEADS)).alias("tok"))
+    lead = least.groupBy("tok").agg(F.min(F.struct("own", "set"))["set"].alias("a"))
+    return least.join(lead, "tok").where("set <> a").select(
+        F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b")).distinct()
 
 
-def boundary(signed: DataFrame) -> int:
+def boundary(live: DataFrame) -> int:
     """The size up to which sets count as small: of the powers of two, the one
     with the least cost, subsets of the small plus list entries that the large
-    scan."""
-    subsets = F.col("sig") * (F.col("sig") + 1) / 2
-    scans = F.aggregate("sig_dfs", F.lit(0).cast("long"), lambda a, d: a + d)
-    costs = signed.groupBy(F.ceil(F.log2("n")).alias("size")).agg(
-        F.sum(subsets).alias("light"), F.sum(scans).alias("heavy")).collect()
+    scan. ``live``: n, sig and scan (entries of its lists) of each set."""
+    costs = live.groupBy(F.ceil(F.log2("n")).alias("size")).agg(
+        F.sum(F.col("sig") * (F.col("sig") + 1) / 2).alias("light"), F.sum("scan").alias("heavy")).collect()
     by = {r["size"]: (r["light"], r["heavy"]) for r in costs}
     return min((sum(c[0] if s <= x else c[1] for s, c in by.items()), 1 << x) for x in range(0, 64))[1]
 
@@ -209,35 +211,48 @@ def within_reach(a: str, b: str) -> Column:
     return (4 * n_a >= 3 * n_b) & (4 * n_b >= 3 * n_a) & (7 * left >= 3 * (n_a + n_b))
 
 
+def proposed(live: DataFrame, keep: Column) -> DataFrame:
+    """Pairs of different components that share a key of ``live``."""
+    return live.alias("x").join(live.alias("y"), "key").where(
+        (F.col("x.set") < F.col("y.set")) & (F.col("x.root") != F.col("y.root")) & within_reach("x", "y") & keep
+    ).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+
+
+def in_several(keys: DataFrame) -> DataFrame:
+    """The keys that sets of several components hold, with their entries;
+    counted before they are shuffled, whatever the group."""
+    return keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                   F.count(F.lit(1)).alias("entries")).where("low <> high").select("key", "entries")
+
+
 def signature_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components that the signatures propose."""
+    """Pairs of different components that the signatures propose.
+
+    Sets that are linked share a signature shingle; if they are in different
+    components, that shingle's list is in several. So only the entries of such
+    lists, and sets that have one, go on.
+    """
     shared, need = F.size("toks"), F.expr("(3 * n + 3) div 4")
     signed = nodes.join(roots.withColumnRenamed("node", "set"), "set", "left").select(
         "set", "n", "toks", F.coalesce("root", "set").alias("root"), shared.alias("shared"),
-        (shared - need + 1).cast("int").alias("sig"), "dfs").withColumn("sig_dfs", F.expr("slice(dfs, 1, sig)"))
-    edge = boundary(signed)
-
-    def proposed(keys: DataFrame, keep: Column) -> DataFrame:
-        """Only keys of several components can propose a pair."""
-        mixed = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
-            "low <> high").select("key")
-        live = keys.join(mixed, "key", "left_semi")
-        return live.alias("x").join(live.alias("y"), "key").where(
-            (F.col("x.set") < F.col("y.set")) & (F.col("x.root") != F.col("y.root")) & within_reach("x", "y") & keep
-        ).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-
+        (shared - need + 1).cast("int").alias("sig"))
     # left: shared shingles of the set from this one on, in the common order.
-    lists = signed.where(4 * F.col("n") >= 3 * edge).select(
-        "set", "root", "n", "shared", F.posexplode(F.expr("slice(toks, 1, sig)")).alias("at", "key")).withColumn(
-        "left", F.col("shared") - F.col("at"))
-    small = signed.where((F.col("n") <= edge) & (F.col("n") > 1)).withColumn(
+    lists = signed.select("set", "root", "n", "shared", "sig", F.posexplode(F.expr("slice(toks, 1, sig)")).alias(
+        "at", "key")).withColumn("left", F.col("shared") - F.col("at"))
+    live = lists.join(in_several(lists), "key").checkpoint()
+    scans = live.groupBy("set").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.sum("entries").alias("scan"))
+    edge = boundary(scans)
+
+    some_large = (F.col("x.n") > edge) | (F.col("y.n") > edge)
+    heavy = proposed(live.where(4 * F.col("n") >= 3 * edge), some_large)
+    small = signed.where((F.col("n") <= edge) & (F.col("n") > 1)).join(scans.select("set"), "set", "left_semi").withColumn(
         "ranked", F.expr("transform(slice(toks, 1, sig + 1), (t, i) -> struct(t as t, i as i))"))
     ones = small.select("set", "root", "n", "shared", "ranked", F.explode("ranked").alias("one"))
     subsets = ones.select("set", "root", "n", "shared", "one", F.explode(F.expr(
         "filter(ranked, r -> r.i > one.i)")).alias("two")).select(
         "set", "root", "n", F.xxhash64("one.t", "two.t").alias("key"), (F.col("shared") - F.col("one.i")).alias("left"))
-    some_large = (F.col("x.n") > edge) | (F.col("y.n") > edge)
-    return proposed(lists, some_large).unionByName(proposed(subsets, F.lit(True))).distinct()
+    light = proposed(subsets.join(in_several(subsets), "key"), F.lit(True))
+    return heavy.unionByName(light).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -261,16 +276,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sent = texts.mapInArrow(send_shingles(buckets), MAP_SCHEMA)
     counted = sent.groupBy("bucket").applyInArrow(count_sets(buckets), HOME_SCHEMA)
     path = scratch_path(spark, "shingles")
-    counted.groupBy("home").applyInArrow(find_nodes, NODE_SCHEMA).write.parquet(path)
+    textkit.write_table(counted.groupBy("home").applyInArrow(find_nodes, NODE_SCHEMA), path)
     known = spark.read.schema(NODE_SCHEMA).parquet(path)
     rows = known.where("kind = 0").select("doc", "set", "n")
     # A set of many documents is one node.
-    nodes = known.where("kind = 1").select("set", "n", "toks", "dfs")
+    nodes = known.where("kind = 1").select("set", "n", "toks")
 
-    first = verified(leader_pairs(nodes), nodes).checkpoint()
-    roots = connected(first)
+    roots = connected(verified(leader_pairs(nodes), nodes))
     more = verified(signature_pairs(nodes, roots), nodes).checkpoint()
-    roots = connected(first.unionByName(more))
+    if not more.isEmpty():
+        roots = connected(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     least = rows.where("set <> 0").groupBy("set").agg(F.min("doc").alias("doc")).join(
         roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
