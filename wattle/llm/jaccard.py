@@ -211,27 +211,28 @@ def within_reach(a: str, b: str) -> Column:
     return (4 * n_a >= 3 * n_b) & (4 * n_b >= 3 * n_a) & (7 * left >= 3 * (n_a + n_b))
 
 
-def proposed(live: DataFrame, keep: Column) -> DataFrame:
-    """Pairs of different components that share a key of ``live``."""
-    return live.alias("x").join(live.alias("y"), "key").where(
-        (F.col("x.set") < F.col("y.set")) & (F.col("x.root") != F.col("y.root")) & within_reach("x", "y") & keep
-    ).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+def outside_largest(keys: DataFrame) -> DataFrame:
+    """The entries of each key that aren't in the component which holds most
+    of its entries, with the number of all; counted before any shuffle."""
+    held = keys.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held"))
+    by_key = held.groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("largest"),
+                                     F.count(F.lit(1)).alias("roots"), F.sum("held").alias("entries"))
+    spread = by_key.where("roots > 1").select("key", "largest", "entries")
+    return keys.join(spread, "key").where("root <> largest").drop("largest")
 
 
-def in_several(keys: DataFrame) -> DataFrame:
-    """The keys that sets of several components hold, with their entries;
-    counted before they are shuffled, whatever the group."""
-    return keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                   F.count(F.lit(1)).alias("entries")).where("low <> high").select("key", "entries")
+def proposed(few: DataFrame, keys: DataFrame, keep: Column) -> DataFrame:
+    """Pairs of different components that share a key. Of two such sets one at
+    least is outside the key's largest component, so only ``few``, the entries
+    there, look through the lists."""
+    return few.alias("x").join(keys.alias("y"), "key").where(
+        (F.col("x.root") != F.col("y.root")) & within_reach("x", "y") & keep).select(
+        F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
 
 
 def signature_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components that the signatures propose.
-
-    Sets that are linked share a signature shingle; if they are in different
-    components, that shingle's list is in several. So only the entries of such
-    lists, and sets that have one, go on.
-    """
+    """Pairs of different components that the signatures propose: sets that are
+    linked share a signature shingle, small ones a pair of them."""
     shared, need = F.size("toks"), F.expr("(3 * n + 3) div 4")
     signed = nodes.join(roots.withColumnRenamed("node", "set"), "set", "left").select(
         "set", "n", "toks", F.coalesce("root", "set").alias("root"), shared.alias("shared"),
@@ -239,19 +240,20 @@ def signature_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     # left: shared shingles of the set from this one on, in the common order.
     lists = signed.select("set", "root", "n", "shared", "sig", F.posexplode(F.expr("slice(toks, 1, sig)")).alias(
         "at", "key")).withColumn("left", F.col("shared") - F.col("at"))
-    live = lists.join(in_several(lists), "key").checkpoint()
-    scans = live.groupBy("set").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.sum("entries").alias("scan"))
-    edge = boundary(scans)
+    few = outside_largest(lists).checkpoint()
+    scans = few.groupBy("set").agg(F.sum("entries").alias("scan"))
+    edge = boundary(signed.join(scans, "set", "left").select("n", "sig", F.coalesce("scan", F.lit(0)).alias("scan")))
 
     some_large = (F.col("x.n") > edge) | (F.col("y.n") > edge)
-    heavy = proposed(live.where(4 * F.col("n") >= 3 * edge), some_large)
-    small = signed.where((F.col("n") <= edge) & (F.col("n") > 1)).join(scans.select("set"), "set", "left_semi").withColumn(
+    tall = 4 * F.col("n") >= 3 * edge
+    heavy = proposed(few.where(tall), lists.where(tall), some_large)
+    small = signed.where((F.col("n") <= edge) & (F.col("n") > 1)).withColumn(
         "ranked", F.expr("transform(slice(toks, 1, sig + 1), (t, i) -> struct(t as t, i as i))"))
     ones = small.select("set", "root", "n", "shared", "ranked", F.explode("ranked").alias("one"))
     subsets = ones.select("set", "root", "n", "shared", "one", F.explode(F.expr(
         "filter(ranked, r -> r.i > one.i)")).alias("two")).select(
         "set", "root", "n", F.xxhash64("one.t", "two.t").alias("key"), (F.col("shared") - F.col("one.i")).alias("left"))
-    light = proposed(subsets.join(in_several(subsets), "key"), F.lit(True))
+    light = proposed(outside_largest(subsets), subsets, F.lit(True))
     return heavy.unionByName(light).distinct()
 
 
