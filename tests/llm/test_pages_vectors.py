@@ -90,3 +90,21 @@ def test_nearest_few_candidates(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], schema)
     assert [tuple(r) for r in ann.nearest(table).collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_search_is_whole_with_copies_and_norms():
+    rng = np.random.default_rng(3)
+    n, k = 3000, 20
+    x = rng.standard_normal((n, 64))
+    x *= rng.uniform(0.5, 2, (n, 1)) / np.linalg.norm(x, axis=1)[:, None]
+    x[:n // 3] = x[0]
+    x, ids = x[rng.permutation(n)], rng.permutation(n) * 7
+    shard = ann.Shard(ids, x, np.linalg.norm(x, axis=1).max())
+    hits = []
+    for i in range(0, n, 60):
+        found, scores = shard.search(x[i], ids[i], k)
+        assert ids[i] not in found and len(set(found)) == k
+        exact = x @ x[i]
+        exact[i] = -np.inf
+        hits.append((scores >= np.sort(exact)[-k] - 1e-9).mean())
+    assert np.mean(hits) >= 0.99 and min(hits) >= 0.9

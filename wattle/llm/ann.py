@@ -16,11 +16,13 @@ from wattle.llm.textkit import ship_package
 # Projections, the share of them that must collide, and the first half-width
 # of a window; each rehashing widens it by RATIO.
 PROJECTIONS, SHARE, FIRST, RATIO = 64, 0.4, 0.2, 1.4
-# A search ends early once k verified vectors are nearer than the window's
-# half-width times NEAR; else once so large a part of the vectors is verified.
-NEAR, PART = 0.9, 0.3
+# A search ends once k verified vectors are nearer than the window's half-width
+# times NEAR, or all are verified; nothing else ends it.
+NEAR = 0.9
 # Vectors of a shard, and queries of a block: what one task holds.
 SHARD_ROWS, BLOCK_ROWS = 25_000, 4_096
+# Vectors that are verified in one go.
+PIECE_ROWS = 512
 
 
 def directions(dims: int, count: int = PROJECTIONS) -> np.ndarray:
@@ -33,12 +35,21 @@ class Shard:
 
     Largest inner product becomes least distance by one more coordinate:
     vectors are divided by the largest norm of all and filled up to length
-    one; the query is normalised and has 0 there.
+    one; the query is normalised and has 0 there. Equal vectors are projected,
+    counted and verified once, with all their ids.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, most: float, count: int = PROJECTIONS):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, vectors = ids[order], np.ascontiguousarray(vectors[order] + 0.0)  # no negative zeros
+        rows = vectors.view(np.dtype((np.void, vectors.itemsize * vectors.shape[1])))[:, 0]
+        _, first, group = np.unique(rows, return_index=True, return_inverse=True)
+        # Distinct vectors stand in the order of their least ids.
+        rank = np.empty(len(first), dtype=np.int64)
+        rank[np.argsort(first)] = np.arange(len(first))
+        group, self.vectors = rank[group], vectors[np.sort(first)]
+        self.ids = self.ids[np.argsort(group, kind="stable")]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(group))])
         unit = self.vectors / most
         fill = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", unit, unit)))
         self.way = directions(vectors.shape[1] + 1, count)
@@ -49,7 +60,7 @@ class Shard:
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the k nearest found, ties to smaller ids."""
-        n, m = len(self.ids), len(self.order)
+        n, m = len(self.vectors), len(self.order)
         length = float(np.sqrt(query @ query))
         centre = (query / length) @ self.way[:-1]
         half = FIRST
@@ -62,32 +73,44 @@ class Shard:
         while True:
             now = [(s.searchsorted(c - half), s.searchsorted(c + half, side="right"))
                    for s, c in zip(self.sorted, centre, strict=True)]
-            whole = all(b - a == n for a, b in now)
             # Only the two rings that the windows have grown by are counted.
             rings = [o[x:y] for o, (a, b), (c, d) in zip(self.order, now, last, strict=True) for x, y in ((a, c), (d, b))]
             counts += np.bincount(np.concatenate(rings), minlength=n)
             last, hits = now, counts >= need
             fresh = np.flatnonzero(hits & ~seen)
             seen |= hits
-            fresh = fresh[self.ids[fresh] != own]
             if len(fresh):
                 best_i = np.concatenate([best_i, fresh])
-                best_s = np.concatenate([best_s, self.vectors[fresh] @ query])
-                if len(best_i) > k:  # ids are sorted, so positions break ties
-                    top = np.lexsort((best_i, -best_s))[:k]
-                    best_i, best_s = best_i[top], best_s[top]
-            if len(best_i) >= k:
+                # In pieces that stay in the cache.
+                best_s = np.concatenate([best_s, *[self.vectors[fresh[i:i + PIECE_ROWS]] @ query
+                                                   for i in range(0, len(fresh), PIECE_ROWS)]])
+                # One more than k, as the query's own id doesn't count; least ids
+                # are in the order of positions, so positions break ties.
+                if len(best_s) > k:
+                    near = best_s >= np.partition(best_s, -k - 1)[-k - 1]
+                    best_i, best_s = best_i[near], best_s[near]
+                top = np.lexsort((best_i, -best_s))[:k + 1]
+                best_i, best_s = best_i[top], best_s[top]
+            ids, scores = self.expand(best_i, best_s, own, k)
+            if len(ids) >= k:
                 # Distance of the k-th in the space of the projections.
-                gap = np.sqrt(max(0.0, 2 - 2 * best_s.min() / (length * self.most)))
+                gap = np.sqrt(max(0.0, 2 - 2 * scores[-1] / (length * self.most)))
                 if gap <= NEAR * half:
                     break
-                if seen.sum() >= k + PART * n:
-                    break
-            if whole:
+            if seen.all():
                 break
             half *= RATIO
-        top = np.lexsort((best_i, -best_s))[:k]
-        return self.ids[best_i[top]], best_s[top]
+        return ids, scores
+
+    def expand(self, places: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best ids of distinct vectors with their scores, ``own`` left out."""
+        parts = [self.ids[self.bounds[i]:min(self.bounds[i + 1], self.bounds[i] + k + 1)] for i in places]
+        ids = np.concatenate([np.empty(0, dtype=self.ids.dtype), *parts])
+        scores = np.repeat(scores, [len(p) for p in parts])
+        other = ids != own
+        ids, scores = ids[other], scores[other]
+        top = np.lexsort((ids, -scores))[:k]
+        return ids[top], scores[top]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
