@@ -108,3 +108,28 @@ def test_search_is_whole_with_copies_and_norms():
         exact[i] = -np.inf
         hits.append((scores >= np.sort(exact)[-k] - 1e-9).mean())
     assert np.mean(hits) >= 0.99 and min(hits) >= 0.9
+
+
+ITEMS = [f"Item {i}" for i in range(7)]
+ROWS = "".join(f"<tr><td>{i}</td><td>x{i}</td></tr>" for i in range(6))
+
+
+@pytest.mark.parametrize("body, want", [
+    (f"<p>{P}</p><ul>{''.join(f'<li><a><b>{i}</b></a></li>' for i in ITEMS)}</ul><p>{P}</p>", [P, *ITEMS, P]),
+    (f"<p>{P * 3}</p><p>{P * 3}</p>" + "".join(f"<p><i><b>End {i}</b></i></p>" for i in range(6)),
+     [P * 3, P * 3, *[f"End {i}" for i in range(6)]]),
+    ("".join(f"<p><i><b>Start {i}</b></i></p>" for i in range(6)) + f"<p>{P * 3}</p><p>{P * 3}</p>",
+     [*[f"Start {i}" for i in range(6)], P * 3, P * 3]),
+    (f"<p>{P * 3}</p><table>{ROWS}</table><p>{P * 3}</p>", [P * 3, *[c for i in range(6) for c in (f"{i}", f"x{i}")], P * 3]),
+    (f"<div>{P * 3}</div>" + "".join(f"<div><b><i>Part {i}</i></b></div>" for i in range(6)),
+     [P * 3, *[f"Part {i}" for i in range(6)]]),
+])
+def test_pages_without_article_keep_short_lines(body, want):
+    page = f"<html><body><nav>Menu</nav><div class='story'>{body}</div><div class='sidebar'>Other</div></body></html>"
+    assert html_text.main_text(page).split("\n") == want
+
+
+def test_pages_without_article_leave_what_is_outside_the_region():
+    links = "".join(f"<p><a>Link {i}</a></p>" for i in range(8))
+    page = f"<body><div>{links}</div><div><p>a</p><p>b</p><p>c</p><p>{P}</p><p>{P * 3}</p><p>d</p><p>e</p></div></body>"
+    assert html_text.main_text(page).split("\n") == ["a", "b", "c", P, P * 3, "d", "e"]

@@ -32,6 +32,8 @@ BLOCKS = frozenset("address article blockquote body caption center dd details di
                    "tbody td tfoot th thead tr ul aside menu dialog noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset(("article", "main"))
+# Elements that group blocks; lists, tables and their parts belong to what holds them.
+REGIONS = frozenset("html body div section center fieldset details".split())
 # A line's ratio is spread over its neighbours by this standard deviation.
 SIGMA = 1.0
 _SPACE = re.compile(r"\s+")
@@ -47,25 +49,28 @@ def marked(attrs: list[tuple[str, str | None]]) -> set[str]:
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, number of tags, shown, container). A container is
-    the number of the innermost article or main element, 0 outside."""
+    """Collects lines: (text, number of tags, shown, container, region, direct).
+    A container is the number of the innermost article or main element, 0
+    outside; a region that of the innermost grouping element, 0 outside, and
+    direct tells that no block lies between it and the line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, hidden, around, container
+        self.lines: list[tuple[str, int, bool, int, int, bool]] = []
+        self.stack: list[tuple[str, bool, bool, int, int, bool]] = []  # tag, hidden, around, container, region, direct
+        self.parents = [0]  # of the regions; each number is above its parent's
         self.text: list[str] = []
         self.tags = 0
         self.made = 0
 
-    def state(self) -> tuple[bool, bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, False, 0)
+    def state(self) -> tuple[bool, bool, int, int, bool]:
+        return self.stack[-1][1:] if self.stack else (False, False, 0, 0, True)
 
     def flush(self) -> None:
-        hidden, around, container = self.state()
+        hidden, around, container, region, direct = self.state()
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, not (hidden or around), container))
+            self.lines.append((text, self.tags, not (hidden or around), container, region, direct))
             self.tags = 0
         self.text = []
 
@@ -77,17 +82,17 @@ class Lines(HTMLParser):
             if tag == "hr":
                 self.flush()
             return
-        hidden, around, container = self.state()
+        hidden, around, container, region, direct = self.state()
         if tag in BLOCKS or tag in HIDDEN:
             self.flush()
             if tag in BLOCKS:  # a paragraph ends where the next block begins
                 holder = next((t[0] for t in reversed(self.stack) if t[0] in BLOCKS), None)
                 if holder == "p":
                     self.close_to("p")
-                    hidden, around, container = self.state()
+                    hidden, around, container, region, direct = self.state()
             if tag == "li" and self.stack and self.stack[-1][0] == "li":
                 self.close_to("li")
-                hidden, around, container = self.state()
+                hidden, around, container, region, direct = self.state()
         self.tags += 1
         marks = marked(attrs)
         # A header is part of the article inside it, and around it elsewhere.
@@ -96,8 +101,14 @@ class Lines(HTMLParser):
         if tag in CONTAINERS and not around:
             self.made += 1
             container = self.made
+        if tag in REGIONS:
+            self.parents.append(region)
+            region, direct = len(self.parents) - 1, True
+        elif tag in BLOCKS:
+            direct = False
         # A shell for a page's hidden parts ends with it, so a stray body shows again.
-        self.stack.append((tag, (hidden or tag in HIDDEN) and tag != "body", around or outside, container))
+        self.stack.append((tag, (hidden or tag in HIDDEN) and tag != "body", around or outside, container,
+                           region, direct))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -140,12 +151,34 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach:reach + len(ratios)] / weight
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
+def lines_of(html: str) -> tuple[list[tuple[str, int, bool, int, int, bool]], list[int]]:
+    """The lines of a page and the parents of its regions."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines
+    return parser.lines, parser.parents
+
+
+def common_region(regions: list[int], direct: list[bool], dense: np.ndarray, parents: list[int]) -> list[bool]:
+    """Which lines lie in the nearest region that holds every dense one. A
+    region of one line of its own text is a paragraph, so its parent counts."""
+    def inside(top: int) -> list[bool]:
+        held = [True] * len(parents) if not top else [False] * len(parents)
+        for i in range(top, len(parents)):
+            held[i] = i == top or held[parents[i]]
+        return [held[r] for r in regions]
+
+    seeds = np.flatnonzero(dense)
+    top = regions[seeds[0]]
+    for other in {regions[i] for i in seeds}:
+        while top != other:
+            top, other = min(top, other), parents[max(top, other)]
+    keep = inside(top)
+    while top and sum(keep) == 1 and direct[seeds[0]]:
+        top = parents[top]
+        keep = inside(top)
+    return keep
 
 
 def main_text(html: str | None) -> str:
@@ -155,26 +188,23 @@ def main_text(html: str | None) -> str:
     the article never count. Of the rest, a line is dense if its smoothed
     ratio is at least the standard deviation of the page's ratios (or half the
     largest, if that is less). A page with article or main elements keeps
-    whole those that hold a dense line; in another page a region runs from a
-    dense line to the last one that follows without three lines between that
-    aren't dense, so short paragraphs between long ones stay.
+    whole those that hold a dense line; another page keeps whole the nearest
+    grouping element around all dense lines, so lists, tables and short
+    paragraphs stay wherever they stand in it.
     """
     if not html:
         return ""
-    lines = [x for x in lines_of(html) if x[2]]
+    found, parents = lines_of(html)
+    lines = [x for x in found if x[2]]
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
+    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
     dense = ratio >= min(ratio.std(), ratio.max() / 2)
-    held = {c for (_, _, _, c), d in zip(lines, dense, strict=True) if c and d}
+    held = {c for (_, _, _, c, *_), d in zip(lines, dense, strict=True) if c and d}
     if held:
-        keep = np.array([line[3] in held for line in lines])
+        keep = [line[3] in held for line in lines]
     else:
-        keep, last = dense.copy(), None
-        for i in np.flatnonzero(dense):
-            if last is not None and i - last <= 3:
-                keep[last:i] = True
-            last = i
+        keep = common_region([x[4] for x in lines], [x[5] for x in lines], dense, parents)
     return "\n".join(text for (text, *_), k in zip(lines, keep, strict=True) if k)
 
 
