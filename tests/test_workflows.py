@@ -4,6 +4,7 @@ queries built from the same derived tables."""
 import pytest
 
 from conftest import SF_SMALL, rows
+from wattle.operators import power
 from wattle.plans import catalog
 from wattle.plans.workflows import (
     SourceConfig, load_consumption, load_power, load_shapes, load_voltage, scenario_input)
@@ -70,3 +71,21 @@ def test_custom_audit_rules(spark, tmp_path):
     m = load_consumption(spark, SourceConfig(data_path=path, audit_invalid_values=True, audit_rules=rules))
     got = rows(m.invalid_value_audit, "audit_key", "invalid_raw_value")
     assert got == [("unit", "Voltage"), ("unit", "kW")]
+
+
+def test_duplicate_interval_readings_follow_the_tie(spark, paths, tmp_path):
+    raw = spark.read.parquet(paths["power_raw"]).where("OPERACION = 'Delivered' and MEDIDOR = '1001'").limit(1).drop(
+        "DEMANDA", "ENERGIA", "UNIDAD")
+    both = raw.crossJoin(spark.createDataFrame(
+        [(u, *v) for u in ("kWh", "kVARh") for v in ((5.0, 1.0, 1), (3.0, 2.0, 2), (4.0, 0.5, 3))],
+        "UNIDAD string, DEMANDA double, ENERGIA double, seq int"))
+    path = str(tmp_path / "power")
+    both.repartition(5).write.parquet(path)
+    p = load_power(spark, SourceConfig(data_path=path), tie="seq")
+    assert [(r.P_Pdem, r.E_Edem) for r in p.active_df.collect()] == [(5.0, 1.0)]
+    assert [(r.Q_Qdem, r.E_Edem) for r in p.reactive_df.collect()] == [(5.0, 1.0)]
+    assert [(r.P.Pdem, r.E.Edem) for r in p.nested_active().collect()] == [(5.0, 1.0)]
+    with pytest.raises(ValueError):
+        load_power(spark, SourceConfig(data_path=path), tie="sequence")
+    with pytest.raises(ValueError):
+        power.active_profile(p.kwh_data.drop("seq"), tie="seq")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from wattle.functions.columns import epoch_seconds
 from wattle.operators.sequence import time_bucket, with_previous
 
+# The readings' own sequence; the energy pivots do without where there is none.
+DEFAULT_TIE = "seq"
 ENERGY_KEYS = ["MEDIDOR", "FECHA_LECTURA", "Hour"]
 # Deltas are computed per meter inside weekly buckets (see with_previous); a
 # meter's week of more rows than this is cut into parts of about so many rows.
@@ -35,7 +37,7 @@ def flow_pivot(
     df: DataFrame,
     keys: list[str],
     outputs: dict[str, tuple[str, str]],
-    tie: str | None = "seq",
+    tie: str | None = DEFAULT_TIE,
     keep_null_keys: bool = False,
 ) -> DataFrame:
     """Pivot OPERACION values into fixed columns, one row per ``keys``.
@@ -44,9 +46,12 @@ def flow_pivot(
     conditional aggregate with fixed output columns: no value-discovery job,
     and partial aggregation before the shuffle. By default rows with a NULL
     key are dropped before the shuffle and rows whose outputs are all NULL
-    after it (a keyed pivot has nothing to say about either).
+    after it (a keyed pivot has nothing to say about either). An absent
+    ``tie`` is an error, save the default one.
     """
     if tie is not None and tie not in df.columns:
+        if tie != DEFAULT_TIE:
+            raise ValueError(f"no tie column {tie!r} in the readings")
         tie = None
     if not keep_null_keys:
         df = df.filter(reduce(operator.and_, [F.col(k).isNotNull() for k in keys]))
@@ -59,7 +64,7 @@ def flow_pivot(
     return out
 
 
-def energy_pivot(ene: DataFrame, tie: str | None = "seq", keep_null_keys: bool = False
+def energy_pivot(ene: DataFrame, tie: str | None = DEFAULT_TIE, keep_null_keys: bool = False
                  ) -> DataFrame:
     """(meter, timestamp, hour) x OPERACION -> Delivered, Received readings."""
     return flow_pivot(ene, ENERGY_KEYS, {
@@ -70,7 +75,7 @@ def energy_pivot(ene: DataFrame, tie: str | None = "seq", keep_null_keys: bool =
 
 def energy_deltas(
     ene: DataFrame,
-    tie: str | None = "seq",
+    tie: str | None = DEFAULT_TIE,
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
     keep_null_keys: bool = False,
     hot_rows: int | None = HOT_METER_ROWS,

@@ -79,22 +79,26 @@ def n_phases(phase_voltage_rows: DataFrame) -> DataFrame:
     )
 
 
-def _interval_rows(clean_power_df: DataFrame, unit: str) -> DataFrame:
+def _interval_rows(clean_power_df: DataFrame, unit: str, tie: str | None) -> DataFrame:
+    """The interval columns, and the caller's sequence column ``tie`` if named."""
+    if tie is not None and tie not in clean_power_df.columns:
+        raise ValueError(f"no tie column {tie!r} in the power readings")
+    more = [] if tie is None or tie in INTERVAL_COLUMNS else [tie]
     return (
         customer_meters(clean_power_df)
         .filter(F.col("OPERACION").isin(FLOWS) & (F.col("UNIDAD") == unit))
-        .select(*INTERVAL_COLUMNS)
+        .select(*INTERVAL_COLUMNS, *more)
     )
 
 
-def kwh_data(clean_power_df: DataFrame) -> DataFrame:
+def kwh_data(clean_power_df: DataFrame, tie: str | None = None) -> DataFrame:
     """Active-energy interval rows (UNIDAD exactly 'kWh')."""
-    return _interval_rows(clean_power_df, "kWh")
+    return _interval_rows(clean_power_df, "kWh", tie)
 
 
-def kvarh_data(clean_power_df: DataFrame) -> DataFrame:
+def kvarh_data(clean_power_df: DataFrame, tie: str | None = None) -> DataFrame:
     """Reactive-energy interval rows (UNIDAD exactly 'kVARh')."""
-    return _interval_rows(clean_power_df, "kVARh")
+    return _interval_rows(clean_power_df, "kVARh", tie)
 
 
 def voltage_data(clean_voltage_df: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ PROFILE_KEYS = ["MEDIDOR", "FECHA_LECTURA"]
 
 def _profile(df: DataFrame, p: str, tie: str | None, nested: bool,
              keep_null_keys: bool) -> DataFrame:
+    if tie is not None and tie not in df.columns:
+        raise ValueError(f"no tie column {tie!r} in the interval rows")
     dem, gen = f"{p}dem", f"{p}gen"
     out = flow_pivot(df, PROFILE_KEYS, {
         f"{p}_{dem}": ("Delivered", "DEMANDA"),
@@ -32,8 +34,10 @@ def _profile(df: DataFrame, p: str, tie: str | None, nested: bool,
 def active_profile(kwh: DataFrame, tie: str | None = None, nested: bool = False,
                    keep_null_keys: bool = False) -> DataFrame:
     """Per (node, ts): demand P_Pdem / P_Pgen from DEMANDA and energy
-    E_Edem / E_Egen from ENERGIA (Delivered / Received). ``nested`` returns
-    struct columns P<Pdem,Pgen> and E<Edem,Egen> instead."""
+    E_Edem / E_Egen from ENERGIA (Delivered / Received). Of repeated
+    readings the first by ``tie`` counts, without one the smallest values;
+    a ``tie`` that the rows don't hold is an error. ``nested`` returns struct
+    columns P<Pdem,Pgen> and E<Edem,Egen> instead."""
     return _profile(kwh, "P", tie, nested, keep_null_keys)
 
 

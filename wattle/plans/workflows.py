@@ -104,22 +104,23 @@ class PowerModel:
     active_df: DataFrame
     reactive_df: DataFrame
     invalid_value_audit: DataFrame | None = None
+    tie: str | None = None
 
     def flat_active(self) -> DataFrame:
         return self.active_df
 
     def nested_active(self) -> DataFrame:
-        return power.active_profile(self.kwh_data, nested=True)
+        return power.active_profile(self.kwh_data, self.tie, nested=True)
 
 
 def load_power(spark: SparkSession, cfg: SourceConfig, tie: str | None = None) -> PowerModel:
     raw, audit = _raw(spark, cfg, audits.POWER_RULES)
     sdf = cleaning.clean_power(raw)
-    kwh, kvarh = measures.kwh_data(sdf), measures.kvarh_data(sdf)
+    kwh, kvarh = measures.kwh_data(sdf, tie), measures.kvarh_data(sdf, tie)
     return PowerModel(sdf=sdf, kwh_data=kwh, kvarh_data=kvarh,
                       active_df=power.active_profile(kwh, tie),
                       reactive_df=power.reactive_profile(kvarh, tie),
-                      invalid_value_audit=audit)
+                      invalid_value_audit=audit, tie=tie)
 
 
 def load_shapes(df: DataFrame, power: str = "P", samples: int = 96, seasons: dict[int, str] | None = None,
