@@ -133,6 +133,16 @@ def test_redaction(spark):
                      (4, "[SECRET] and [SECRET]", 21)]
 
 
+def test_redaction_of_copied_secrets(spark):
+    gh, jwt = "ghp_" + "z9Y8" * 9, "eyJ" + "a1B2" * 4 + "." + "c3D4" * 4 + "." + "e5F6" * 4
+    more = [gh, jwt, "Bearer " + "q7-R" * 6, "xoxb-" + "1a2B" * 5, "0123456789ABCDEF" * 2]
+    rows = [(10 * i + j, f"é {t} in {j}", src) for i, t in enumerate(more) for j, src in enumerate(("a", "b", "c", "c"))]
+    got = secret_scan.redact(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == f"é [SECRET] in {r.doc_id % 10}" and r.n_chars == len(r.text)
+
+
 def labelled(spark, seed=4, count=900):
     draw = random.Random(seed)
     plain = [f"word{i}" for i in range(200)]

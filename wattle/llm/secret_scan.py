@@ -68,14 +68,18 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")))
 
 
+def all_matches(text: Column) -> Column:
+    """The matches of all kinds in one array."""
+    return F.concat(*[matches(text, kind, i, *rest) for i, (kind, *rest) in enumerate(KINDS)])
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, key (tells texts of one doc_id apart), owner and ``found``, the
     matches of all kinds."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    every = [matches(text, kind, i, *rest) for i, (kind, *rest) in enumerate(KINDS)]
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"),
-        F.coalesce("source", F.lit("")).alias("owner"), F.concat(*every).alias("found"))
+        F.coalesce("source", F.lit("")).alias("owner"), all_matches(text).alias("found"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -125,14 +129,13 @@ def scan_secrets(docs: DataFrame, most_owners: int = 1) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The rows with every span of ``scan_secrets`` replaced by ``mark``;
-    spans that overlap are one. n_chars, where there is one, is counted anew
-    for the texts that change; other columns stay as they are."""
-    spans = scan_secrets(docs).where(F.size("live") > 0).select("key", "live").dropDuplicates(["key"])
+    """The rows with every match of every kind replaced by ``mark``, however
+    many documents or sources hold the value: being copied doesn't prove it an
+    example. Matches that overlap are one. n_chars, where there is one, is
+    counted anew for the texts that change; other columns stay as they are."""
     name = "found_spans_of_row"
-    rows = docs.withColumn(f"{name}_key", row_key()).join(
-        spans.select(F.col("key").alias(f"{name}_key"), F.array_sort("live").alias(name)), f"{name}_key", "left")
     text = F.col("text")
+    rows = docs.withColumn(name, F.array_sort(all_matches(F.coalesce(text, F.lit("")))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -143,7 +146,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     clean = F.aggregate(name, start, step, lambda s: F.concat(s["out"], F.substring(
         text, (s["at"] + 1).cast("int"), F.length(text))))
+    changed = F.size(name) > 0
     if "n_chars" in docs.columns:
         count = F.length(clean).cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(F.col(name).isNotNull(), count).otherwise(F.col("n_chars")))
-    return rows.withColumn("text", F.when(F.col(name).isNotNull(), clean).otherwise(text)).select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(changed, count).otherwise(F.col("n_chars")))
+    return rows.withColumn("text", F.when(changed, clean).otherwise(text)).select(*docs.columns)
