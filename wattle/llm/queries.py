@@ -1,4 +1,4 @@
-"""The queries that apply the ten operators to the supplied tables."""
+"""The queries that apply the operators to the supplied tables."""
 
 from __future__ import annotations
 
@@ -11,9 +11,12 @@ from wattle.llm import (
     ann,
     automaton_dedup,
     bpe,
+    conversations,
     decontaminate,
     html_text,
     jaccard,
+    merkle,
+    pii,
     secret_scan,
     suffix_dedup,
     toxicity,
@@ -63,9 +66,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton_dedup.remove_repeated_words(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_collision_counting, op2_html_extraction, op3_ngram_jaccard_join, op4_secret_scan,
                               op5_url_filter, op6_bpe_codec,
                               op7_toxicity, op8_benchmark_decontamination,
-                              op9_suffix_array_dedup, op10_substring_dedup)
+                              op9_suffix_array_dedup, op10_substring_dedup,
+                              op11_conversation_repair, op12_personal_data, op13_merkle_manifest)
 }
