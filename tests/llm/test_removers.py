@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from helpers import WORDS, corpus, documents, repeated, sha
 
-from wattle.llm import automaton_dedup, suffix_dedup, windows
+from wattle.llm import automaton_dedup, suffix_dedup
 
 
 def runs(flags):
@@ -41,18 +41,42 @@ def test_words_match_brute_force(spark):
     assert Counter(map(tuple, got)) == expected_words(rows)
 
 
-def test_small_buckets_units_and_common_anchors(spark, monkeypatch):
+SMALL = {"common": 0, "unit_bytes": 1, "bucket_bytes": 500}
+
+
+def test_small_buckets_units_and_common_anchors(spark):
     """Many buckets, one document a unit and every anchor dealt as common."""
     rows = corpus(seed=9, count=40, vocabulary=60)
-    run = windows.fetch_contents
-    monkeypatch.setattr(windows, "UNIT_BYTES", 1)
-    monkeypatch.setattr(windows, "COMMON", 0)
-    monkeypatch.setattr(windows, "BUCKET_BYTES", 500)
-    assert run is windows.fetch_contents
-    for module, want in ((suffix_dedup, expected_bytes), (automaton_dedup, expected_words)):
-        f = getattr(module, "remove_repeated_bytes" if module is suffix_dedup else "remove_repeated_words")
-        got = f(documents(spark, rows)).drop("kept").collect()
-        assert Counter(map(tuple, got)) == want(rows)
+    got = suffix_dedup.remove_repeated_bytes(documents(spark, rows), **SMALL).drop("kept").collect()
+    assert Counter(map(tuple, got)) == expected_bytes(rows)
+    got = automaton_dedup.remove_repeated_words(documents(spark, rows), **SMALL).drop("kept").collect()
+    assert Counter(map(tuple, got)) == expected_words(rows)
+
+
+def test_white_space_is_no_part_of_a_window(spark):
+    """Twenty equal words with unlike blanks, apart and beside other words of one anchor."""
+    words = [f"word{i}" for i in range(20)]
+    rows = [(1, " ".join(words)), (2, "  ".join(words)), (3, "x \t" + "\n".join(words) + " y"),
+            (4, " \x0b".join(words[3:17]) + " z")]
+    for sizes in ({}, SMALL, {"common": 1}):
+        got = automaton_dedup.remove_repeated_words(documents(spark, rows), **sizes).drop("kept").collect()
+        assert Counter(map(tuple, got)) == expected_words(rows)
+
+
+def test_very_common_anchor_without_small_sizes(spark):
+    """More different documents around one anchor than ``COMMON``."""
+    draw = random.Random(4)
+    passage = [f"p{i}" for i in range(20)]
+    other = [f"o{i}" for i in range(500)]
+
+    def around(i, blank):
+        head, tail = ([draw.choice(other) for _ in range(6)] for _ in range(2))
+        return (i, blank.join([*head, *passage[4:16], *tail]))
+
+    rows = [around(i, " ") for i in range(10, 2500)]
+    rows += [(3000, " ".join(passage)), (3001, "  ".join(passage)), (3002, " \t ".join(passage))]
+    got = automaton_dedup.remove_repeated_words(documents(spark, rows)).drop("kept").collect()
+    assert Counter(map(tuple, got)) == expected_words(rows)
 
 
 def test_empty_table_and_no_windows(spark):

@@ -13,10 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wattle.llm.suffix_dedup import _id
-from wattle.llm.textkit import SPACES
-from wattle.llm.windows import Elements, remove_repeats
-
-_TO_SPACE = bytes(32 if b in SPACES else b for b in range(256))
+from wattle.llm.windows import _TO_SPACE, Elements, remove_repeats
 
 
 class SuffixAutomaton:
@@ -124,7 +121,7 @@ def _finish(texts: pa.Table, ranges: dict[int, np.ndarray]) -> pa.Table:
                      "kept": pa.array(kept_texts, pa.string())})
 
 
-def remove_repeated_words(docs: DataFrame, size: int = 13, gram: int = 4) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, size: int = 13, gram: int = 4, **sizes: int) -> DataFrame:
     """Remove each word that a window of ``size`` words covers whose sequence
     also starts in a document with a smaller doc_id; all windows are judged on
     the input.
@@ -136,4 +133,4 @@ def remove_repeated_words(docs: DataFrame, size: int = 13, gram: int = 4) -> Dat
     than any other and is returned as null; an empty table gives no rows.
     """
     return _id(remove_repeats(docs, Elements(True, size, gram), solve(size), _finish,
-                              "doc long, n_words long, n_removed long, kept_sha256 string, kept string"))
+                              "doc long, n_words long, n_removed long, kept_sha256 string, kept string", **sizes))

@@ -175,7 +175,7 @@ def _id(out: DataFrame) -> DataFrame:
     return out.select(doc.alias("doc_id"), *[c for c in out.columns if c != "doc"])
 
 
-def remove_repeated_bytes(docs: DataFrame, size: int = 50, gram: int = 16) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, size: int = 50, gram: int = 16, **sizes: int) -> DataFrame:
     """Remove each byte that a ``size``-byte string covers which also starts in
     a document with a smaller doc_id; all strings are judged on the input.
 
@@ -183,7 +183,9 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 50, gram: int = 16) -> Da
     of each row; other columns are ignored, whatever their names. Null texts
     are empty; texts shorter than ``size`` keep all; rows that share a doc_id
     don't cover each other; a null doc_id is larger than any other and is
-    returned as null; an empty table gives no rows.
+    returned as null; an empty table gives no rows. ``sizes``: those of
+    ``remove_repeats``.
     """
     return _id(remove_repeats(docs, Elements(False, size, gram), solve(size), _finish,
-                              "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+                              "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
+                              **sizes))

@@ -13,9 +13,9 @@ windows, are what is shuffled:
    different documents share an anchor, the one with the least doc_id of each
    kind goes on: its windows have to be compared.
 3. These segments fetch their contents from their document and meet again by
-   anchor (windows of very common anchors by their own contents, so no group
-   grows with the corpus); a solver finds the windows that a smaller doc_id
-   holds too.
+   anchor (windows of very common anchors one by one, each by its own
+   elements, which decides nothing but the task that compares them); a solver
+   finds the windows that a smaller doc_id holds too.
 4. Each document takes its covered windows together.
 
 Equal segments are told by 88 bits of hashes; windows of different segments
@@ -40,6 +40,7 @@ from wattle.session import scratch_path
 UNIT_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
 # Different segments of one anchor from which on its windows are dealt one by one.
 COMMON = 2048
+_TO_SPACE = bytes(32 if b in textkit.SPACES else b for b in range(256))
 NO_ID = np.iinfo(np.int64).max  # a null doc_id is larger than any other
 
 MAP_SCHEMA = "bucket long, kind int, n long, blob binary"
@@ -189,7 +190,7 @@ def homed_texts(docs: DataFrame, buckets: int) -> DataFrame:
                        F.pmod(F.xxhash64(doc), F.lit(buckets)).alias("home"), text.alias("text"))
 
 
-def send_segments(elements: Elements, buckets: int) -> Callable:
+def send_segments(elements: Elements, buckets: int, unit_bytes: int) -> Callable:
     """Step 1, for mapInArrow over ``homed_texts``."""
 
     def flush(held: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +215,7 @@ def send_segments(elements: Elements, buckets: int) -> Callable:
                                  "s": (s & np.uint64(0xFFFFFFFFFFFF)).astype(np.int64), "doc": doc[i + text],
                                  "key": key[i + text], "home": home[i + text], "pos": pos, "wins": wins})
                 size += len(part)
-                if size >= UNIT_BYTES and held:
+                if size >= unit_bytes and held:
                     yield from flush(held)
                     held, size = [], 0
         if held:
@@ -223,35 +224,41 @@ def send_segments(elements: Elements, buckets: int) -> Callable:
     return run
 
 
-def resolve_bucket(table: pa.Table) -> pa.Table:
-    """Step 2: hits (kind 1) and segments to compare (kind 2), by home."""
-    kind = np.array(table["kind"])
-    blobs, counts = table["blob"].to_pylist(), table["n"].to_pylist()
+def resolve_bucket(common: int) -> Callable:
+    """Step 2: hits (kind 1) and segments to compare (kind 2), by home. The
+    windows of an anchor of more than ``common`` different segments are marked
+    to be dealt one by one."""
 
-    def of(k: int, fields) -> dict[str, np.ndarray]:
-        mine = np.flatnonzero(kind == k)
-        return unpack(fields, [blobs[i] for i in mine], [counts[i] for i in mine])
+    def run(table: pa.Table) -> pa.Table:
+        kind = np.array(table["kind"])
+        blobs, counts = table["blob"].to_pylist(), table["n"].to_pylist()
+
+        def of(k: int, fields) -> dict[str, np.ndarray]:
+            mine = np.flatnonzero(kind == k)
+            return unpack(fields, [blobs[i] for i in mine], [counts[i] for i in mine])
+
+        x = of(0, SEGMENT)
+        covered = resolve(x)
+        hits, x = take(x, covered), take(x, ~covered)
+        order = np.lexsort((x["doc"], x["s"], x["a"]))
+        x = take(x, order)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = x["a"][1:] != x["a"][:-1]
+        begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+        other = np.zeros(len(order), dtype=bool)
+        other[1:] = ~new[1:] & (x["s"][1:] != x["s"][:-1])
+        kinds = np.bincount(group, other, len(begin))[group] + 1 if len(order) else np.empty(0)
+        low = np.minimum.reduceat(x["doc"], begin)[group] if len(order) else x["doc"]
+        high = np.maximum.reduceat(x["doc"], begin)[group] if len(order) else x["doc"]
+        x["salt"] = (kinds > common).astype(np.int64)
+        need = take(x, (kinds > 1) & (low != high))
+        local = of(1, (("home", 4), *HIT))
+        hits = {k: np.concatenate([hits[k], local[k]]) for k in local}
+        rows = [(h, 1, len(y["doc"]), pack(HIT, y)) for h, y in by_value(hits, hits["home"])]
+        rows += [(h, 2, len(y["doc"]), pack(NEED, y)) for h, y in by_value(need, need["home"])]
+        return rows_of(rows, _HOME)
 
-    x = of(0, SEGMENT)
-    covered = resolve(x)
-    hits, x = take(x, covered), take(x, ~covered)
-    order = np.lexsort((x["doc"], x["s"], x["a"]))
-    x = take(x, order)
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = x["a"][1:] != x["a"][:-1]
-    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
-    other = np.zeros(len(order), dtype=bool)
-    other[1:] = ~new[1:] & (x["s"][1:] != x["s"][:-1])
-    kinds = np.bincount(group, other, len(begin))[group] + 1 if len(order) else np.empty(0)
-    low = np.minimum.reduceat(x["doc"], begin)[group] if len(order) else x["doc"]
-    high = np.maximum.reduceat(x["doc"], begin)[group] if len(order) else x["doc"]
-    x["salt"] = (kinds > COMMON).astype(np.int64)
-    need = take(x, (kinds > 1) & (low != high))
-    local = of(1, (("home", 4), *HIT))
-    hits = {k: np.concatenate([hits[k], local[k]]) for k in local}
-    rows = [(h, 1, len(y["doc"]), pack(HIT, y)) for h, y in by_value(hits, hits["home"])]
-    rows += [(h, 2, len(y["doc"]), pack(NEED, y)) for h, y in by_value(need, need["home"])]
-    return rows_of(rows, _HOME)
+    return run
 
 
 def text_index(docs: pa.Table) -> dict[tuple[int, int], int]:
@@ -270,18 +277,18 @@ def fetch_contents(elements: Elements, buckets: int) -> Callable:
         places: list[tuple] = []
         to: list[int] = []
         order = np.lexsort((x["pos"], x["key"], x["doc"]))
-        last, data, spans = None, b"", None
+        last, data, words = None, b"", []
         for i in order:
             doc, key, home, pos, wins = (int(x[f][i]) for f in ("doc", "key", "home", "pos", "wins"))
             if (doc, key) != last:
                 last, data = (doc, key), texts[index[doc, key]].as_py().encode()
                 if elements.words:
-                    raw = np.frombuffer(data, dtype=np.uint8)
-                    spans = textkit.word_spans(raw, np.array([0, len(raw)]), textkit.space_words())
+                    words = data.translate(_TO_SPACE).split()
             pieces = [(pos + w, 1) for w in range(wins)] if x["salt"][i] else [(pos, wins)]
             for at, count in pieces:
                 end = at + count - 1 + elements.size
-                piece = data[spans[0][at]:spans[1][end - 1]] if elements.words else data[at:end]
+                # Words as they are compared: what stands between them is no part of a window.
+                piece = b" ".join(words[at:end]) if elements.words else data[at:end]
                 contents.append(piece)
                 places.append((doc, key, home, at, count))
                 to.append((zlib.crc32(piece) if x["salt"][i] else int(x["a"][i])) % buckets)
@@ -335,16 +342,18 @@ def covered_elements(docs: pa.Table, hits: pa.Table, elements: Elements) -> list
     return [(i, np.array(found[k])) for i, k in enumerate(rows) if k in found]
 
 
-def remove_repeats(docs: DataFrame, elements: Elements, solver: Callable, finish: Callable, schema: str) -> DataFrame:
+def remove_repeats(docs: DataFrame, elements: Elements, solver: Callable, finish: Callable, schema: str,
+                   common: int = COMMON, unit_bytes: int = UNIT_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Steps 1 to 4. ``finish(texts, ranges)`` makes the output table of a
-    group of documents; ranges: row to covered element ranges."""
+    group of documents; ranges: row to covered element ranges. The last three
+    arguments size the work and change no result."""
     spark = docs.sparkSession
     textkit.ship_package(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, -(-total // BUCKET_BYTES))
+    buckets = max(16, -(-total // bucket_bytes))
     texts = homed_texts(docs, buckets)
-    sent = texts.mapInArrow(send_segments(elements, buckets), MAP_SCHEMA)
-    resolved = sent.groupBy("bucket").applyInArrow(resolve_bucket, HOME_SCHEMA)
+    sent = texts.mapInArrow(send_segments(elements, buckets, unit_bytes), MAP_SCHEMA)
+    resolved = sent.groupBy("bucket").applyInArrow(resolve_bucket(common), HOME_SCHEMA)
     path = scratch_path(spark, "windows")
     textkit.write_table(resolved, path)
     known = spark.read.schema(HOME_SCHEMA).parquet(path)
