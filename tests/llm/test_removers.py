@@ -74,7 +74,8 @@ def test_very_common_anchor_without_small_sizes(spark):
         return (i, blank.join([*head, *passage[4:16], *tail]))
 
     rows = [around(i, " ") for i in range(10, 2500)]
-    rows += [(3000, " ".join(passage)), (3001, "  ".join(passage)), (3002, " \t ".join(passage))]
+    rows += [(3000 + i, blank.join([*other[i:i + 9], *passage[3:17], *other[20 + i:29 + i]]))
+             for i, blank in enumerate((" ", "  ", " \t ", "\n\n", " ", "   "))]
     got = automaton_dedup.remove_repeated_words(documents(spark, rows)).drop("kept").collect()
     assert Counter(map(tuple, got)) == expected_words(rows)
 
