@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from wattle.operators import locations, power, projection
 from wattle.operators.sequence import head_per_group
+from wattle.session import scratch_path
 
 
 def test_meter_locations_last_wins_and_drops(spark):
@@ -43,7 +44,7 @@ def test_head_per_group_exact(spark):
                       F.count(F.lit(1)).over(Window.partitionBy("layer")).alias("n"))
     for pct in (0, 10, 50, 100):
         want = rows(brute.filter(F.col("rn") <= F.floor(F.col("n") * pct / 100)), "layer", "seq")
-        got = rows(head_per_group(df, "layer", ["seq"], pct, partitions=7), "layer", "seq")
+        got = rows(head_per_group(df, "layer", ["seq"], pct), "layer", "seq")
         assert got == want
 
 
@@ -96,11 +97,35 @@ def test_flatten(spark):
     assert tuple(flat.first()) == (1, 2.0, 3.0, 4.0, 5.0)
 
 
-def test_head_per_group_shuffle_join_fallback(spark, monkeypatch):
-    from wattle.operators import sequence
-    monkeypatch.setattr(sequence, "MAX_BROADCAST_ROWS", 0)   # force the non-broadcast join
+def test_head_per_group_of_null_groups(spark):
     data = [(g, i) for g in ("a", "b", None) for i in range(40)]
     df = spark.createDataFrame(data, "layer string, seq long")
-    got = rows(head_per_group(df, "layer", ["seq"], 25, partitions=5), "layer", "seq")
+    got = rows(head_per_group(df, "layer", ["seq"], 25), "layer", "seq")
     assert got == sorted([(g, i) for g in ("a", "b", None) for i in range(10)],
                          key=lambda t: (t[0] is not None, t[0] or "", t[1]))
+
+
+def test_head_per_group_of_any_order_column(spark):
+    """Nulls, ties, doubles with NaN, text; a second column breaks ties."""
+    rnd = random.Random(4)
+    values = [None, 0.5, float("nan"), float("inf"), float("-inf"), -2.0, 7.25]
+    data = [(rnd.choice("ab"), rnd.choice(values), rnd.choice([None, "x", "y", "z"]), i) for i in range(700)]
+    df = spark.createDataFrame(data, "layer string, v double, t string, id long")
+    for order in (["v", "id"], ["t", "id"], ["id"]):
+        w = Window.partitionBy("layer").orderBy(*order)
+        brute = df.withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("layer"))})
+        for pct in (1, 33, 99):
+            want = rows(brute.filter(F.col("rn") <= F.floor(F.col("n") * pct / 100)), "id")
+            assert rows(head_per_group(df, "layer", order, pct), "id") == want
+
+
+def test_head_per_group_ranks_only_the_bracket(spark):
+    """Nothing runs while the plan is built, and few rows reach the window."""
+    df = spark.range(50_000).select(F.lit("big").alias("layer"), F.col("id").alias("seq"))
+    df.write.mode("overwrite").parquet(path := scratch_path(spark, "layers"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    out = head_per_group(spark.read.parquet(path), "layer", ["seq"], 50)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(before) <= 1   # the file schema
+    assert out.agg(F.count("*"), F.max("seq")).first() == (25_000, 24_999)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and plan.count("Window") == 1 and "Sort" not in plan

@@ -45,15 +45,19 @@ def value_type(df: DataFrame, column: str) -> str:
 
 
 def loads_view(layers: DataFrame, layer_name: str = LOADS_LAYER,
-               attributes_only: bool = False) -> DataFrame:
-    """The customers layer: OBJECTID is the service id (NISE) where the layer
-    has none of its own (another layer's NISE column leaves it NULL here).
-    ``attributes_only`` drops the point columns."""
+               attributes_only: bool = False, own_service_ids: bool | None = None) -> DataFrame:
+    """The customers layer, with the service id as NISE.
+
+    A layer that has a NISE column keeps it as it is, its gaps too; one that
+    has none takes its OBJECTID. That is decided for the layer, not for each
+    row: in a union a NISE column may be another layer's, so the caller who
+    built it says with ``own_service_ids`` whether this layer brought one
+    (None: it did, if there is such a column). ``attributes_only`` drops the
+    point columns."""
     loads = layers.filter(F.col("layer") == layer_name) if "layer" in layers.columns else layers
-    if "NISE" not in loads.columns and "OBJECTID" in loads.columns:
-        loads = loads.withColumnRenamed("OBJECTID", "NISE")
-    elif "OBJECTID" in loads.columns:
-        loads = loads.withColumn("NISE", F.coalesce(try_bigint("NISE"), try_bigint("OBJECTID")))
+    own = "NISE" in loads.columns if own_service_ids is None else own_service_ids
+    if not own and "OBJECTID" in loads.columns:
+        loads = loads.drop("NISE").withColumnRenamed("OBJECTID", "NISE")
     if attributes_only:
         loads = loads.drop(*GEOMETRY)
     return loads

@@ -11,17 +11,15 @@ step, so the window over buckets stays small.
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattle.functions.joins import null_safe_join
+
 _BUCKET, _CARRY, _LAST, _NEXT = "__wb", "__carry", "__last", "__next"
-# Largest rank table head_per_group broadcasts; beyond it the join shuffles.
-MAX_BROADCAST_ROWS = 200_000
 _LONG_MIN = -(2 ** 63)
 
 
@@ -34,6 +32,7 @@ def with_previous(
     prefix: str = "prev_",
     order_is_unique: bool = False,
     target_rows_per_bucket: int | None = None,
+    bucket_as: str | None = None,
 ) -> DataFrame:
     """Add ``prefix + c`` = value of ``c`` on the previous row of the same
     partition in ``order_by`` order, for every order column and each of
@@ -47,13 +46,14 @@ def with_previous(
     order have no defined sequence.
 
     ``target_rows_per_bucket``: a key's bucket of more rows than this is cut
-    into finer ones of about so many rows (single integral/time order column
-    only), so even a key whose rows all fall in one ``bucket`` is split over
-    many tasks.
+    into finer ones of about so many rows (by the first order column, if it is
+    integral or a time), so even a key whose rows all fall in one ``bucket`` is
+    split over many tasks. ``bucket_as`` keeps the bucket under that name, for
+    windows inside (key, bucket) that need no further exchange.
     """
     keys = list(partition_by)
     lagged = list(dict.fromkeys([*order_by, *columns]))
-    if target_rows_per_bucket and len(order_by) == 1:
+    if target_rows_per_bucket:
         df, bucket = _split_hot_keys(df, keys, order_by[0], bucket, target_rows_per_bucket)
     base = df.withColumns({
         _BUCKET: F.coalesce(bucket.cast("long"), F.lit(_LONG_MIN)),
@@ -81,6 +81,7 @@ def with_previous(
     return (
         rows.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in lagged])
         .filter(F.col(_CARRY) == 0)
+        .withColumnsRenamed({_BUCKET: bucket_as} if bucket_as else {})
         .drop(_BUCKET, _CARRY)
     )
 
@@ -121,43 +122,47 @@ def _last_row(df: DataFrame, order_by: list[str], lagged: list[str], unique: boo
 
 
 _HOT = "__hot_"
-
-
-# Finer buckets that one bucket can be split into.
-_FINE = 1 << 20
+# Largest (key, bucket) groups that are cut, and the parts a cut can make. Both
+# bound what is broadcast: MOST_HOT rows of PARTS longs. A group beyond the
+# MOST_HOT largest holds less than one part in MOST_HOT of all rows.
+MOST_HOT, PARTS, _STEP = 2000, 1024, 32
 
 
 def _split_hot_keys(df: DataFrame, keys: list[str], order_col: str, bucket: Column,
                     target: int) -> tuple[DataFrame, Column]:
     """Bucket column in which a (key, bucket) of more than ``target`` rows is
-    cut into parts of about ``target`` rows across its own order range.
+    cut at its own quantiles, into parts of about ``target`` rows.
 
-    The cut is nested in the bucket, so it is never coarser than that, and
-    one stray timestamp only widens the bucket it falls into. Such groups are
-    found with a partial aggregate over the same input (its exchange is
-    reused); there are at most rows / ``target`` of them, which bounds the
-    broadcast.
+    The cuts are of equal depth, so a burst inside the bucket is cut as finely
+    as it is dense, and nested in the bucket, so they are never coarser than
+    that. Counting is a partial aggregate over the same input (its exchange is
+    reused); only rows of hot groups take part in the quantiles.
     """
     o = _order_as_long(df, order_col, nulls_smallest=False)
     if o is None:
         return df, bucket
-    df = df.withColumn(f"{_HOT}b", F.coalesce(bucket.cast("long"), F.lit(-1)))
     names = [*keys, f"{_HOT}b"]
-    stats = (
-        df.groupBy(*names)
-        .agg(F.count(F.lit(1)).alias(f"{_HOT}n"), F.min(o).alias(f"{_HOT}lo"),
-             F.max(o).alias(f"{_HOT}hi"))
+    df = df.withColumn(f"{_HOT}b", F.coalesce(bucket.cast("long"), F.lit(-1)))
+    hot = (
+        df.groupBy(*names).agg(F.count(F.lit(1)).alias(f"{_HOT}n"))
         .filter(F.col(f"{_HOT}n") > target)
-        .withColumnsRenamed({k: f"{_HOT}k{i}" for i, k in enumerate(names)})
+        .orderBy(F.col(f"{_HOT}n").desc()).limit(MOST_HOT)
     )
-    on = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"{_HOT}k{i}"))
-                                for i, k in enumerate(names)])
-    joined = df.join(F.broadcast(stats), on, "left")
-    lo, hi, n = (F.col(f"{_HOT}{c}") for c in ("lo", "hi", "n"))
-    share = (o - lo).cast("double") / (hi - lo + 1).cast("double")
-    part = F.floor(share * F.least(n.cast("double") / F.lit(float(target)), F.lit(float(_FINE - 1))))
-    fine = F.when(lo.isNotNull() & o.isNotNull(), part).otherwise(F.lit(0))
-    return joined, F.when(bucket.isNotNull(), bucket.cast("long") * _FINE + fine)
+    shares = [i / PARTS for i in range(1, PARTS)]
+    cuts = null_safe_join(df.select(*names, o.alias(f"{_HOT}o")), hot, names, small=True).groupBy(*names).agg(
+        F.max(f"{_HOT}n").alias(f"{_HOT}n"),
+        F.percentile_approx(f"{_HOT}o", shares, 4 * PARTS).alias(f"{_HOT}cuts"))
+    every = F.sequence(F.lit(_STEP), F.lit(PARTS - 1), F.lit(_STEP))
+    cuts = cuts.withColumn(f"{_HOT}steps", F.transform(every, lambda i: F.element_at(f"{_HOT}cuts", i)))
+    joined = null_safe_join(df, cuts, names, "left", small=True)
+    # How many cuts are not above the row: first among every _STEP-th, then between two of those.
+    step = F.size(F.filter(f"{_HOT}steps", lambda c: c <= o))
+    near = F.slice(f"{_HOT}cuts", step * _STEP + 1, _STEP - 1)
+    part = step * _STEP + F.size(F.filter(near, lambda c: c <= o))
+    parts = F.least(F.lit(PARTS), F.ceil(F.col(f"{_HOT}n") / target))
+    cut = F.col(f"{_HOT}n").isNotNull() & o.isNotNull()
+    fine = F.when(cut, F.floor(part * parts / PARTS)).otherwise(0)
+    return joined, F.when(bucket.isNotNull(), bucket.cast("long") * PARTS + fine)
 
 
 def time_bucket(ts: str | Column, width_seconds: int) -> Column:
@@ -166,60 +171,56 @@ def time_bucket(ts: str | Column, width_seconds: int) -> Column:
     return F.floor(t.cast("timestamp").cast("long") / F.lit(int(width_seconds)))
 
 
-def head_per_group(
-    df: DataFrame,
-    group: str,
-    order_by: Sequence[str],
-    pct: int,
-    partitions: int | None = None,
-) -> DataFrame:
+# Share of a group that the cut's quantiles may be off by, each way.
+_ERROR = 1e-4
+
+
+def _order_as_number(df: DataFrame, c: str) -> Column | None:
+    """A number that never falls along the order of column ``c`` (nulls
+    first), if there is one."""
+    t = df.schema[c].dataType
+    if isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
+        v = F.col(c).cast("double")
+        return F.coalesce(F.nanvl(v, F.lit(float("inf"))), F.lit(float("-inf")))
+    return _order_as_long(df, c)
+
+
+def head_per_group(df: DataFrame, group: str, order_by: Sequence[str], pct: int) -> DataFrame:
     """Keep, in each ``group``, the first ``count * pct // 100`` rows by
     ``order_by`` (an explicit order: a file's row order is not a Spark
-    notion).
-
-    Exact and distributed: rows are range-partitioned on (group, order), so
-    a large group is split over many tasks. Positions within a partition
-    come from ``monotonically_increasing_id`` after a local sort and are
-    checkpointed (to the shared checkpoint folder) so both uses below see
-    the same numbering. Per (partition, group) counts then give each row's
-    rank in its group. That table has at most partitions + groups rows,
-    which bounds the broadcast.
+    notion); of rows that tie on it any may be the last ones kept.
+
+    A quantile cut: approximate quantiles on both sides of the cut bracket it,
+    and counts of the rows below prove the bracket. Rows below it are kept as
+    they are, and only those inside (a few of ten thousand) are shuffled and
+    ranked. A group whose bracket the counts don't prove is ranked as a whole,
+    so the result is exact in any case. Nothing runs while the plan is built.
+    An order without a number that follows it (text) is ranked as a whole too.
     """
-    from wattle.session import default_parallelism, ensure_checkpoint_dir
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or default_parallelism(spark)
-    order = [group, *order_by]
-    numbered = (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("__id", F.monotonically_increasing_id())
-        .withColumns({
-            "__part": F.shiftright(F.col("__id"), 33),
-            "__pos": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)),
-        })
-        .checkpoint(eager=True)
-    )
-    runs = numbered.groupBy("__part", group).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first")
-    )
-    before = Window.partitionBy(group).orderBy("__part").rowsBetween(
-        Window.unboundedPreceding, -1)
-    runs = runs.select(
-        "__part", group, "__first",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
-        (F.sum("__n").over(Window.partitionBy(group)) * pct / 100).cast("long").alias("__keep"),
-    )
-    rank = F.col("__offset") + F.col("__pos") - F.col("__first")
-    # runs has one row per (partition, group present in it): at most
-    # partitions + groups rows. Broadcast it only when that count is small.
-    small = runs.count() <= MAX_BROADCAST_ROWS
-    runs = runs.withColumnsRenamed({"__part": "__rpart", group: "__rgroup"})
-    side = F.broadcast(runs) if small else runs
-    on = (F.col("__part") == F.col("__rpart")) & F.col(group).eqNullSafe(F.col("__rgroup"))
-    return (
-        numbered.join(side, on, "inner")
-        .filter(rank < F.col("__keep"))
-        .drop("__id", "__part", "__pos", "__first", "__offset", "__keep", "__rpart", "__rgroup")
-    )
+    n, lo, hi, o = "__hn", "__hlo", "__hhi", "__ho"
+    keep, below, rank = "__hkeep", "__hbelow", "__hrank"
+    w = Window.partitionBy(group).orderBy(*order_by)
+    number = _order_as_number(df, order_by[0])
+    if number is None:
+        total = F.count(F.lit(1)).over(Window.partitionBy(group))
+        ranked = df.withColumns({n: total, rank: F.row_number().over(w)})
+        return ranked.filter(F.col(rank) <= F.expr(f"{n} * {int(pct)} div 100")).drop(n, rank)
+    at = pct / 100
+    bracket = [max(0.0, at - 2 * _ERROR), min(1.0, at + 2 * _ERROR)]
+    df = df.withColumn(o, number)
+    bounds = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias(n), F.percentile_approx(o, bracket, int(1 / _ERROR)).alias("__hq"))
+    bounds = bounds.select(group, F.expr(f"{n} * {int(pct)} div 100").alias(keep), F.col("__hq")[0].alias(lo),
+                           F.col("__hq")[1].alias(hi))
+    counts = null_safe_join(df.select(group, o), bounds, [group]).groupBy(group, keep, lo, hi).agg(
+        F.count_if(F.col(o) < F.col(lo)).alias(below), F.count_if(F.col(o) <= F.col(hi)).alias("__hupto"))
+    proven = (F.col(below) <= F.col(keep)) & (F.col("__hupto") >= F.col(keep))
+    cut = counts.select(
+        group, keep, F.when(proven, F.col(lo)).alias(lo), F.when(proven, F.col(hi)).alias(hi),
+        F.when(proven, F.col(below)).otherwise(0).alias(below))
+    marked = null_safe_join(df, cut, [group])
+    helpers = [o, keep, lo, hi, below]
+    whole = marked.filter(F.col(o) < F.col(lo)).drop(*helpers)
+    inside = F.col(lo).isNull() | ((F.col(o) >= F.col(lo)) & (F.col(o) <= F.col(hi)))
+    ranked = marked.filter(inside).withColumn(rank, F.row_number().over(w))
+    return whole.unionByName(ranked.filter(F.col(rank) <= F.col(keep) - F.col(below)).drop(*helpers, rank))

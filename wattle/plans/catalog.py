@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattle.operators import (
@@ -16,12 +16,18 @@ from wattle.operators import (
     energy,
     locations,
     measures,
+    periods,
     power,
     projection,
     reconcile,
+    rollup,
     scenarios,
     sequence,
+    shapes,
+    spatial,
+    voltage_quality,
 )
+from wattle.plans import workflows
 from wattle.session import scratch_path
 from wattle.sources import readers
 from wattle.sources.fixtures import build_view
@@ -329,6 +335,152 @@ def phase_balance(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.phase_balance(measures.phase_voltage(_consumption(spark, sf)))
 
 
+def phase_balance_power(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.phase_balance(measures.phase_power(_consumption(spark, sf)))
+
+
+# Analyses over time, place and neighbourhood.
+
+def _active(spark: SparkSession, sf: str) -> DataFrame:
+    return power.active_profile(measures.kwh_data(_power(spark, sf)))
+
+
+# Buckets of six hours, so that the runs of the fixture cross them.
+RUN_BUCKET = 6 * 3600
+
+
+def reverse_flow_periods(spark: SparkSession, sf: str) -> DataFrame:
+    return periods.reverse_flow_periods(_active(spark, sf), bucket_seconds=RUN_BUCKET)
+
+
+def net_generation_periods(spark: SparkSession, sf: str) -> DataFrame:
+    return periods.reverse_flow_periods(_active(spark, sf), net=True, bucket_seconds=RUN_BUCKET)
+
+
+def _places(spark: SparkSession, sf: str) -> DataFrame:
+    """Sector (by the consumption readings) and zone of each power meter."""
+    return rollup.node_places(measures.kwh_data(_power(spark, sf)), latest_attribute(spark, sf))
+
+
+def load_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return rollup.load_rollup(_active(spark, sf), _places(spark, sf))
+
+
+def coincident_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    return rollup.coincident_peaks(_active(spark, sf), _places(spark, sf), "zone")
+
+
+# Rings in metres: the first one, and the farthest transformer a load is given to.
+RING, REACH = 10.0, 400.0
+
+
+def transformer_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest transformer of each customer of the loads layer."""
+    layers = _layers(spark, sf)
+    return spatial.assign_nearest(locations.loads_view(layers), layers.filter(F.col("layer") == "Transformers"), RING,
+                                  REACH, "NISE", "OBJECTID").withColumnsRenamed(
+        {"id": "NISE", "target": "transformer"})
+
+
+def transformer_loading(spark: SparkSession, sf: str) -> DataFrame:
+    layers = _layers(spark, sf)
+    transformers = layers.filter(F.col("layer") == "Transformers")
+    placed = locations.meter_locations(_power(spark, sf), locations.loads_view(layers))
+    near = spatial.assign_nearest(placed, transformers, RING, REACH, "MEDIDOR", "OBJECTID")
+    return rollup.transformer_loading(
+        _active(spark, sf), near.withColumnsRenamed({"id": "node", "target": "transformer"}), transformers)
+
+
+# Neighbours of a customer: how many, and within how many metres.
+NEIGHBOURS, NEAR = 3, 150.0
+
+
+def neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    loads = locations.loads_view(_layers(spark, sf))
+    return spatial.nearest(loads, loads, NEIGHBOURS, NEAR, "NISE", "NISE", same=True).withColumnsRenamed(
+        {"id": "NISE", "target": "neighbour"})
+
+
+# Cell of the density clusters in metres, and the customers that make one dense.
+CELL, DENSE = 50.0, 4
+
+
+def spatial_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    loads = locations.loads_view(_layers(spark, sf))
+    return spatial.density_clusters(loads, CELL, DENSE, "NISE").withColumnRenamed("id", "NISE")
+
+
+SHAPES, SHAPE_ROUNDS = 4, 6
+
+
+def shape_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return shapes.shape_clusters(weekend_curve(spark, sf), SHAPES, SHAPE_ROUNDS)
+
+
+# Bands narrower than the standard's, which every value of the fixture meets.
+NARROW_V, WIDE_V = (0.97, 1.03), (0.96, 1.04)
+
+
+def voltage_deviation(spark: SparkSession, sf: str) -> DataFrame:
+    return voltage_quality.weekly_deviation(measures.voltage_profile(_voltage(spark, sf)), NOMINAL_V, NARROW_V, WIDE_V)
+
+
+def voltage_resampled(spark: SparkSession, sf: str) -> DataFrame:
+    return voltage_quality.resample(measures.voltage_profile(_voltage(spark, sf)), 3600)
+
+
+# A third layer with ids, types and coordinates of its own.
+
+def _network(spark: SparkSession, sf: str, loads_layer: str) -> workflows.Network:
+    root = scratch_path(spark, "network")
+    for view, name in (("gis_loads", "Loads"), ("gis_transformers", "Transformers"), ("gis_services", "Services")):
+        build_view(spark, sf, view).write.parquet(f"{root}/{name}.parquet")
+    grids = {"Loads": LOCAL_EPSG, "Transformers": LOCAL_EPSG, "Services": projection.WGS84}
+    return workflows.load_network(spark, root, source_epsg=grids, target_epsg=LOCAL_EPSG, loads_layer=loads_layer)
+
+
+def _metres(df: DataFrame) -> DataFrame:
+    """Points to the millimetre, as engines differ in the last bits."""
+    return df.withColumns({c: F.round(c, 3) for c in ("x", "y")})
+
+
+def network_layers(spark: SparkSession, sf: str) -> DataFrame:
+    return _metres(_network(spark, sf, "Loads").layers)
+
+
+def network_services(spark: SparkSession, sf: str) -> DataFrame:
+    """The layer whose own service ids have gaps: they stay gaps."""
+    return _metres(_network(spark, sf, "Services").loads)
+
+
+def network_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """The customers layer without points; its service id is its OBJECTID,
+    though the union has another layer's NISE."""
+    return _network(spark, sf, "Loads").attributes
+
+
+def meter_locations_epsg(spark: SparkSession, sf: str) -> DataFrame:
+    """Points with the grid they are given in."""
+    return locations.meter_locations(_consumption(spark, sf), _network(spark, sf, "Loads").loads)
+
+
+def scan_table_over_path(spark: SparkSession, sf: str) -> DataFrame:
+    """A table and a path are named: the table is read."""
+    name = f"wattle_consumption_raw_{uuid.uuid4().hex[:12]}"
+    raw = build_view(spark, sf, "consumption_raw")
+    readers.write_table(raw, name, path=scratch_path(spark, name))
+    other = scratch_path(spark, "consumption_raw")
+    raw.filter("seq % 2 = 0").write.parquet(other)
+    return cleaning.clean_consumption(readers.load_readings(spark, table_name=name, data_path=other))
+
+
+def season_curves_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """Curves in their order for display, with the place of each row."""
+    ordered = scenarios.presentation_order(season_curves(spark, sf))
+    return ordered.withColumn("place", F.monotonically_increasing_id()).withColumn(
+        "first", F.row_number().over(Window.partitionBy("season", "node").orderBy("place")) == 1).drop("place")
+
+
 def _events_input(spark: SparkSession, sf: str) -> DataFrame:
     """Natural data: events per hour and event type as (node, ts, P).
 
@@ -384,7 +536,7 @@ def orders_reconcile(spark: SparkSession, sf: str) -> DataFrame:
 def events_previous(spark: SparkSession, sf: str) -> DataFrame:
     """Each event with its user's previous one."""
     out = sequence.with_previous(_table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], ["value"],
-                                 sequence.time_bucket("ts", 86400))
+                                 sequence.time_bucket("ts", 86400), target_rows_per_bucket=energy.HOT_METER_ROWS)
     return out.select("event_id", "user_id", "value", "prev_event_id", "prev_value")
 
 
@@ -454,4 +606,22 @@ QUERIES: dict[str, Query] = {
     "phase_balance": phase_balance,
     "events_complete_days": events_complete_days,
     "events_weekend_curve": events_weekend_curve,
+    "phase_balance_power": phase_balance_power,
+    "reverse_flow_periods": reverse_flow_periods,
+    "net_generation_periods": net_generation_periods,
+    "load_rollup": load_rollup,
+    "coincident_peaks": coincident_peaks,
+    "transformer_assignment": transformer_assignment,
+    "transformer_loading": transformer_loading,
+    "neighbours": neighbours,
+    "spatial_clusters": spatial_clusters,
+    "shape_clusters": shape_clusters,
+    "voltage_deviation": voltage_deviation,
+    "voltage_resampled": voltage_resampled,
+    "network_layers": network_layers,
+    "network_services": network_services,
+    "network_attributes": network_attributes,
+    "meter_locations_epsg": meter_locations_epsg,
+    "scan_table_over_path": scan_table_over_path,
+    "season_curves_sorted": season_curves_sorted,
 }

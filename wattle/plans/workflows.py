@@ -107,7 +107,7 @@ class PowerModel:
     tie: str | None = None
 
     def flat_active(self) -> DataFrame:
-        return self.active_df
+        return power.flatten(self.nested_active())
 
     def nested_active(self) -> DataFrame:
         return power.active_profile(self.kwh_data, self.tie, nested=True)
@@ -146,7 +146,7 @@ def load_customers(spark: SparkSession, path: str, dtype_map: dict | str | None
 @dataclass
 class Network:
     layers: DataFrame          # every layer, tagged with ``layer``
-    loads: DataFrame           # the customers layer, OBJECTID as NISE
+    loads: DataFrame           # the customers layer, its NISE or else its OBJECTID as NISE
     attributes: DataFrame      # the customers layer without point columns
 
 
@@ -158,7 +158,10 @@ def load_network(spark: SparkSession, root: str, fmt: str = "parquet",
     and renamed and, with ``target_epsg``, its points reprojected from its own
     grid (``source_epsg``: one code, or one by layer), then the union, sliced
     to the first ``per_slice`` percent of each layer (by ``order_by``)."""
+    own_ids: dict[str, bool] = {}
+
     def prepare(name: str, df: DataFrame) -> DataFrame:
+        own_ids[name] = "NISE" in df.columns
         epsg = source_epsg.get(name) if isinstance(source_epsg, dict) else source_epsg
         df = locations.prepare_layer(df, rename_cols, epsg=epsg)
         return df if target_epsg is None else projection.reproject(df, epsg, target_epsg)
@@ -166,6 +169,6 @@ def load_network(spark: SparkSession, root: str, fmt: str = "parquet",
     layers = readers.read_layers(spark, root, fmt, prepare)
     if per_slice:
         layers = locations.layer_slice(layers, per_slice, order_by)
-    loads = locations.loads_view(layers, loads_layer)
-    return Network(layers=layers, loads=loads, attributes=locations.loads_view(
-        layers, loads_layer, attributes_only=True))
+    loads, attributes = (
+        locations.loads_view(layers, loads_layer, bare, own_ids.get(loads_layer)) for bare in (False, True))
+    return Network(layers=layers, loads=loads, attributes=attributes)

@@ -178,8 +178,24 @@ GIS_TRANSFORMERS = ViewSpec(
     ),
 )
 
+# A layer with service ids of its own (some missing or malformed), whole-number
+# object ids of another width, and points as longitude and latitude.
+GIS_SERVICES = ViewSpec(
+    name="gis_services",
+    table="customer", key="c_custkey", alias="c",
+    ranges=(),
+    keep="c%5 = 0",
+    columns=(
+        ("NISE", "case when c%15 = 0 then null when c%25 = 0 then 'bad' else cast(5000000+c as string) end"),
+        ("OBJECTID", "cast(c as int)"),
+        ("x", "-84.0 + cast(c%200 as double) / cast(2000 as double)"),
+        ("y", "9.85 + cast(c%150 as double) / cast(2000 as double)"),
+        ("seq", "c"),
+    ),
+)
+
 VIEWS: dict[str, ViewSpec] = {
-    v.name: v for v in (CONSUMPTION, POWER, VOLTAGES, CUSTOMERS, GIS_LOADS, GIS_TRANSFORMERS)
+    v.name: v for v in (CONSUMPTION, POWER, VOLTAGES, CUSTOMERS, GIS_LOADS, GIS_TRANSFORMERS, GIS_SERVICES)
 }
 
 _TS_MACRO = re.compile(r"\{ts:([^|}]+)\|([^|}]+)\|([^}]+)\}")

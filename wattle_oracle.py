@@ -9,6 +9,9 @@ back-references are ``\\1``; weekday numbers start at Sunday = 0.
 
 from __future__ import annotations
 
+import math
+from types import SimpleNamespace
+
 from wattle.sources.fixtures import view_sql
 
 INT_TEXT = "'^[+-]?[0-9]+$'"
@@ -397,14 +400,15 @@ where NISE is not null group by NISE"""
 # ---------------------------------------------------------------- reprojection (TM -> WGS84)
 
 
+# Published definition of EPSG:5367, stated here apart from the library's own.
+_GRID = SimpleNamespace(lon0=-84.0, lat0=0.0, k0=0.9999, false_easting=500000.0, false_northing=0.0,
+                        a=6378137.0, inv_f=298.257223563)
+
+
 def _tm_inverse_sql() -> str:
     """Inverse Transverse Mercator series in SQL for the local grid, with the
     ellipsoid constants computed here in Python (Snyder 1987, eqs. 8-18..8-25)."""
-    import math
-
-    from wattle.operators.projection import GRIDS
-
-    g = GRIDS[5367]
+    g = _GRID
     f = 1 / g.inv_f
     e2 = f * (2 - f)
     ep2 = e2 / (1 - e2)
@@ -471,3 +475,194 @@ from events window w as (partition by user_id order by ts nulls first, event_id
     "orders_odd_priority": _audit_one("orders", "o_orderpriority", "^[1-3]-[A-Z]+$", None, False),
     "events_odd_props": _audit_one("events", "props", r'^\{"k": [0-9]\}$', "one_digit", False),
 })
+
+
+# ---------------------------------------------------------------- analyses over time, place and neighbourhood
+
+_ACTIVE = {"kwh": _interval("kWh"), "active": ACTIVE}
+
+
+def _runs(on: str, energy: str, peak: str) -> str:
+    return _power({
+        **_ACTIVE,
+        "flagged": f"select *, coalesce({on}, false) as flag from active",
+        "before": "select *, lag(flag) over w as flag0, lag(ts) over w as ts0 from flagged "
+                  "window w as (partition by node order by ts)",
+        "numbered": "select *, sum(case when flag and not coalesce(flag0 and ts <= ts0 + interval 15 minutes, false) "
+                    "then 1 else 0 end) over (partition by node order by ts) as run from before",
+    }) + f"""select node, min(ts) as start_ts, max(ts) as end_ts, count(*) as samples,
+  sum({energy}) as energy, max({peak}) as peak
+from numbered where flag group by node, run"""
+
+
+_NET = "coalesce(P_Pgen, 0) - coalesce(P_Pdem, 0)"
+_PLACES = {
+    "consumption_raw": view_sql("consumption_raw"), "clean": CLEAN_CONSUMPTION,
+    "sectors": LATEST.format(alias="sector", src="clean"),
+    "newest": "select MEDIDOR, max(FECHA_LECTURA) as at from kwh where MEDIDOR is not null group by MEDIDOR",
+    "last": "select k.MEDIDOR as node, min(k.LOCALIZACION_REAL) as loc, min(k.NISE) as NISE, "
+            "bool_or(k.LOCALIZACION_REAL is null) as noloc, bool_or(k.NISE is null) as nonise "
+            "from kwh k join newest n on n.MEDIDOR = k.MEDIDOR and n.at = k.FECHA_LECTURA group by k.MEDIDOR",
+    "places": "select node, s.sector, case when not noloc then loc // 100 end as zone "
+              "from last l left join sectors s on s.NISE = l.NISE and not nonise",
+}
+
+
+def _rollup_level(level: int) -> str:
+    names = ("sector", "zone", "node")
+    cols = ", ".join(n if i < level else f"null as {n}" for i, n in enumerate(names))
+    by = ", ".join([*names[:level], "cast(date_trunc('day', ts) as timestamp)"])
+    return (f"select {level} as level, {cols}, cast(date_trunc('day', ts) as timestamp) as period, "
+            "count(distinct node) as nodes, count(*) as samples, sum(E_Edem) as energy_in, "
+            f"sum(E_Egen) as energy_out, max(P_Pdem) as peak from placed group by {by}")
+
+
+_PLACED = {"placed": "select a.*, p.sector, p.zone from active a left join places p using (node)"}
+_NETWORK_POINTS = {
+    "gis_loads": view_sql("gis_loads"), "gis_transformers": view_sql("gis_transformers"), "layers": LAYERS,
+    "loads": "select distinct OBJECTID as id, x, y from layers where layer = 'Loads'",
+    "transformers": "select OBJECTID, x, y, KVA from layers where layer = 'Transformers'",
+}
+
+
+def _nearest(points: str, reach: float) -> str:
+    """id, target and distance of the nearest transformer of each point."""
+    return f"""select p.id, t.OBJECTID as target, t.distance from (select distinct id from {points}) p left join (
+  select id, OBJECTID, distance, row_number() over (partition by id order by distance, OBJECTID) as place from (
+    select p.id, t.OBJECTID, sqrt((t.x - p.x) * (t.x - p.x) + (t.y - p.y) * (t.y - p.y)) as distance
+    from {points} p cross join transformers t) where distance <= {reach}) t on t.id = p.id and t.place = 1"""
+
+
+def _shape_rounds(k: int, rounds: int) -> dict[str, str]:
+    """CTEs of the fixed rounds: centres c0, assignment a0, centres c1, ..."""
+    ctes = {
+        "steps": STEPS.format(day="weekend"),
+        "curves": "select node, timestep, avg(P) as P from steps group by node, timestep",
+        "lists": "select node, list(P order by timestep) as v, list_reduce(list(P order by timestep), "
+                 "lambda a, x: a + x, cast(0 as double)) / 96 as mean from curves "
+                 "group by node having count(P) = 96 and count(*) = 96",
+        "shapes": "select node, list_transform(v, lambda x: cast(floor(x / mean * 1000 + 0.5) as bigint)) as shape "
+                  "from lists where mean > 0",
+        "c0": "select row_number() over (order by md5(cast(node as varchar)), node) - 1 as cluster, shape as centre "
+              f"from shapes qualify cluster < {k}",
+    }
+    for r in range(rounds + 1):
+        ctes[f"d{r}"] = (f"select node, shape, cluster, list_sum(list_transform(list_zip(shape, centre), "
+                         f"lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as distance from shapes cross join c{r}")
+        ctes[f"a{r}"] = (f"select * from d{r} qualify row_number() over (partition by node "
+                         "order by distance, cluster) = 1")
+        if r < rounds:
+            ctes[f"m{r}"] = (f"select cluster, i, cast(floor(sum(v) / count(*) + 0.5) as bigint) as v from (select "
+                             f"cluster, unnest(shape) as v, generate_subscripts(shape, 1) as i from a{r}) "
+                             "group by cluster, i")
+            ctes[f"c{r + 1}"] = (f"select c.cluster, coalesce(m.centre, c.centre) as centre from c{r} c left join "
+                                 f"(select cluster, list(v order by i) as centre from m{r} group by cluster) m "
+                                 "using (cluster)")
+    return ctes
+
+
+_V_MEANS = """select MEDIDOR as node, UNIDAD as phase, time_bucket(interval {0}, FECHA_LECTURA) as ts,
+  avg(VALOR_LECTURA) as V, count(*) as samples
+from cleanv where VALOR_LECTURA is not null and FECHA_LECTURA is not null group by all"""
+
+
+def _tm_forward_sql() -> tuple[str, str]:
+    """Easting and northing of x, y in degrees (Snyder 1987, eqs. 8-9, 8-10)."""
+    g = _GRID
+    f = 1 / g.inv_f
+    e2 = f * (2 - f)
+    ep2 = e2 / (1 - e2)
+    phi, a = "radians(y)", f"(radians(x) - {math.radians(g.lon0)!r}) * cos(radians(y))"
+    n, t, c = f"({g.a!r} / sqrt(1 - {e2!r} * pow(sin({phi}), 2)))", f"pow(tan({phi}), 2)", \
+        f"({ep2!r} * pow(cos({phi}), 2))"
+    m = (f"({g.a!r} * ({1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256!r} * {phi} "
+         f"- {3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024!r} * sin(2 * {phi}) "
+         f"+ {15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024!r} * sin(4 * {phi}) "
+         f"- {35 * e2 ** 3 / 3072!r} * sin(6 * {phi})))")
+    east = (f"{g.false_easting!r} + {g.k0!r} * {n} * (({a}) + (1 - {t} + {c}) * pow({a}, 3) / 6 "
+            f"+ (5 - 18 * {t} + {t} * {t} + 72 * {c} - {58 * ep2!r}) * pow({a}, 5) / 120)")
+    north = (f"{g.k0!r} * ({m} + {n} * tan({phi}) * (pow({a}, 2) / 2 + (5 - {t} + 9 * {c} + 4 * {c} * {c}) "
+             f"* pow({a}, 4) / 24 + (61 - 58 * {t} + {t} * {t} + 600 * {c} - {330 * ep2!r}) * pow({a}, 6) / 720))")
+    return east, north
+
+
+_EAST, _NORTH = _tm_forward_sql()
+_NETWORK = {
+    "gis_loads": view_sql("gis_loads"), "gis_transformers": view_sql("gis_transformers"),
+    "gis_services": view_sql("gis_services"),
+    "network": f"""select LOCALIZACION_REAL, MEDIDOR, OBJECTID, round(x, 3) as x, round(y, 3) as y, seq, KVA,
+  cast(null as varchar) as NISE, layer, epsg from ({LAYERS})
+union all
+select null, null, OBJECTID, round({_EAST}, 3), round({_NORTH}, 3), seq, null, NISE, 'Services', 5367
+from gis_services""",
+}
+
+ORACLE.update({
+    "phase_balance_power": ORACLE["phase_balance"].replace(
+        "TIPO_CONSUMO in ('Voltage', 'Voltage Angle')", "TIPO_CONSUMO in ('kW', 'kVAR', 'kVA')"),
+    "reverse_flow_periods": _runs("P_Pgen > 0", "E_Egen", "P_Pgen"),
+    "net_generation_periods": _runs(f"{_NET} > 0", "coalesce(E_Egen, 0) - coalesce(E_Edem, 0)", _NET),
+    "load_rollup": _power({**_ACTIVE, **_PLACES, **_PLACED})
+    + "\nunion all\n".join(_rollup_level(n) for n in range(4)),
+    "coincident_peaks": _power({
+        **_ACTIVE, **_PLACES, **_PLACED,
+        "loads": "select zone, ts, sum(coalesce(P_Pdem, 0)) as demand from placed group by zone, ts",
+        "top": "select zone, cast(date_trunc('day', ts) as timestamp) as period, max(demand) as peak "
+               "from loads group by all",
+        "own": "select zone, period, sum(p) as node_peaks from (select zone, node, "
+               "cast(date_trunc('day', ts) as timestamp) as period, max(coalesce(P_Pdem, 0)) as p "
+               "from placed group by all) group by zone, period",
+    }) + """select t.zone, t.period, t.peak, (select min(l.ts) from loads l where l.zone is not distinct from t.zone
+    and date_trunc('day', l.ts) = t.period and l.demand = t.peak) as peak_ts, o.node_peaks,
+  case when t.peak <> 0 then o.node_peaks / t.peak end as diversity
+from top t join own o on o.zone is not distinct from t.zone and o.period = t.period""",
+    "transformer_assignment": _with(**_NETWORK_POINTS)
+    + f"select id as NISE, target as transformer, distance from ({_nearest('loads', 400.0)})",
+    "transformer_loading": _power({
+        **_ACTIVE, **_NETWORK_POINTS,
+        "spots": "select LOCALIZACION_REAL, arg_max(x, seq) as x, arg_max(y, seq) as y from layers "
+                 "where layer = 'Loads' and LOCALIZACION_REAL is not null group by LOCALIZACION_REAL",
+        "placed": "select distinct c.MEDIDOR as id, s.x, s.y from cleanp c join spots s using (LOCALIZACION_REAL) "
+                  "where c.MEDIDOR is not null",
+        "near": _nearest("placed", 400.0),
+    }) + """select n.target as transformer, a.ts, count(*) as nodes, sum(coalesce(P_Pdem, 0)) as demand,
+  sum(coalesce(P_Pgen, 0)) as generation, sum(coalesce(P_Pdem, 0) - coalesce(P_Pgen, 0)) as net, max(t.KVA) as kva,
+  abs(sum(coalesce(P_Pdem, 0) - coalesce(P_Pgen, 0))) / max(t.KVA) as loading
+from active a join near n on n.id = a.node join transformers t on t.OBJECTID = n.target group by n.target, a.ts""",
+    "neighbours": _with(**_NETWORK_POINTS) + """select id as NISE, place as rank, other as neighbour, distance from (
+  select *, row_number() over (partition by id order by distance, other) as place from (
+    select a.id, b.id as other, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) as distance
+    from loads a join loads b on a.id <> b.id) where distance <= 150.0) where place <= 3""",
+    "spatial_clusters": "with recursive " + _with(**_NETWORK_POINTS, **{
+        "cells": "select *, floor(x / 50.0) as cx, floor(y / 50.0) as cy from loads",
+        "dense": "select cx, cy, min(id) as first from cells group by cx, cy having count(*) >= 4",
+        "reach": "select cx, cy, cx as tx, cy as ty from dense union select r.cx, r.cy, d.cx, d.cy from reach r "
+                 "join dense d on abs(d.cx - r.tx) <= 1 and abs(d.cy - r.ty) <= 1",
+        "named": "select r.cx, r.cy, min(d.first) as cluster from reach r join dense d "
+                 "on d.cx = r.tx and d.cy = r.ty group by r.cx, r.cy",
+    }).removeprefix("with ") + "select id as NISE, x, y, cluster from cells left join named using (cx, cy)",
+    "shape_clusters": _scen(_shape_rounds(4, 6)) + "select node, cluster, cast(distance as bigint) as distance from a6",
+    "voltage_resampled": _with(voltages_raw=view_sql("voltages_raw"), cleanv=CLEAN_VOLTAGE) + _V_MEANS.format("1 hour"),
+    "voltage_deviation": _with(
+        voltages_raw=view_sql("voltages_raw"), cleanv=CLEAN_VOLTAGE, means=_V_MEANS.format("10 minutes"),
+        weekly="select node, phase, cast(date_trunc('week', ts) as timestamp) as week, V, "
+               "row_number() over (partition by node, phase, date_trunc('week', ts) order by V) as up, "
+               "row_number() over (partition by node, phase, date_trunc('week', ts) order by V desc) as down, "
+               "count(*) over (partition by node, phase, date_trunc('week', ts)) as n from means")
+    + f"""select node, phase, week, count(*) as slots, min(V) as v_min, max(V) as v_max,
+  max(V) filter (down = cast(ceil(n * cast(0.95 as double)) as bigint)) as v_low,
+  max(V) filter (up = cast(ceil(n * cast(0.95 as double)) as bigint)) as v_high,
+  count(*) filter (V between {120.0 * 0.97!r} and {120.0 * 1.03!r}) / count(*) as in_narrow,
+  count(*) filter (V between {120.0 * 0.96!r} and {120.0 * 1.04!r}) / count(*) as in_wide,
+  count(*) filter (V between {120.0 * 0.97!r} and {120.0 * 1.03!r}) >= ceil(count(*) * cast(0.95 as double))
+    and count(*) filter (V between {120.0 * 0.96!r} and {120.0 * 1.04!r}) = count(*) as compliant
+from weekly group by node, phase, week""",
+    "network_layers": _with(**_NETWORK) + "select * from network",
+    "network_services": _with(**_NETWORK) + "select * from network where layer = 'Services'",
+    "network_attributes": _with(**_NETWORK)
+    + "select * exclude (OBJECTID, NISE, x, y), OBJECTID as NISE from network where layer = 'Loads'",
+    "meter_locations_epsg": "select *, 5367 as epsg from (" + ORACLE["meter_locations"] + ")",
+    "scan_table_over_path": ORACLE["scan_table"],
+    "season_curves_sorted": "select *, timestep = min(timestep) over (partition by season, node) as first from ("
+    + ORACLE["season_curves"] + ")",
+})
