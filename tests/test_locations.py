@@ -129,3 +129,29 @@ def test_head_per_group_ranks_only_the_bracket(spark):
     assert out.agg(F.count("*"), F.max("seq")).first() == (25_000, 24_999)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and plan.count("Window") == 1 and "Sort" not in plan
+
+
+def test_service_ids_are_decided_by_layer(spark):
+    """A layer's own NISE keeps its gaps; a layer without one takes OBJECTID,
+    though the union brings another layer's column."""
+    own = spark.createDataFrame([("5", 33), ("bad", 34), (None, 35)], "NISE string, OBJECTID long").withColumns(
+        {"layer": F.lit("Loads"), "x": F.lit(0.0), "y": F.lit(0.0)})
+    assert rows(locations.loads_view(own), "NISE") == [(None,), ("5",), ("bad",)]
+    union = own.withColumn("layer", F.lit("Other")).unionByName(
+        own.withColumns({"NISE": F.lit(None).cast("string")}))
+    assert rows(locations.loads_view(union, own_service_ids=False), "NISE") == [(33,), (34,), (35,)]
+
+
+def test_published_control_points(spark):
+    """Worked examples of two national guides, stated as printed: Snyder 1987
+    (Clarke 1866) and the Ordnance Survey's guide to coordinate systems (Airy)."""
+    from wattle.operators.projection import TransverseMercator, tm_forward
+    snyder = TransverseMercator(lon0=-75.0, lat0=0.0, k0=0.9996, false_easting=0.0, false_northing=0.0,
+                                a=6378206.4, inv_f=294.978698214)
+    airy = TransverseMercator(lon0=-2.0, lat0=49.0, k0=0.9996012717, false_easting=400000.0,
+                              false_northing=-100000.0, a=6377563.396, inv_f=299.3249646)
+    points = ((snyder, -73.5, 40.5, 127106.5, 4484124.4, 0.1),
+              (airy, 1 + 43 / 60 + 4.5177 / 3600, 52 + 39 / 60 + 27.2531 / 3600, 651409.903, 313177.270, 0.01))
+    for grid, lon, lat, east, north, close in points:
+        got = spark.range(1).select(*tm_forward(F.lit(lon), F.lit(lat), grid)).first()
+        assert abs(got[0] - east) < close and abs(got[1] - north) < close
