@@ -110,6 +110,25 @@ def test_search_is_whole_with_copies_and_norms():
     assert np.mean(hits) >= 0.99 and min(hits) >= 0.9
 
 
+@pytest.mark.parametrize("copies", [1, 3000])
+def test_few_vectors_are_verified(copies):
+    """Random unit vectors, the hardest case: recall stays, most are never verified."""
+    rng = np.random.default_rng(5)
+    n, k = 9000, 20
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:copies] = x[0]
+    shard = ann.Shard(np.arange(n), x, 1.0)
+    hits = []
+    for i in range(0, n, 150):
+        found, _ = shard.search(x[i], i, k)
+        exact = x @ x[i]
+        exact[i] = -np.inf
+        hits.append(len(set(found) & set(np.lexsort((np.arange(n), -exact))[:k])) / k)
+    assert np.mean(hits) >= 0.95
+    assert shard.verified <= 0.3 * len(hits) * len(shard.vectors)
+
+
 ITEMS = [f"Item {i}" for i in range(7)]
 ROWS = "".join(f"<tr><td>{i}</td><td>x{i}</td></tr>" for i in range(6))
 

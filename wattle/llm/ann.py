@@ -1,10 +1,16 @@
 """Approximate nearest neighbours by collision counting: every projection is
 one sorted array; a window centred on the query widens by virtual rehashing,
-and vectors that collide with the query in enough projections are verified."""
+and vectors that collide with the query in enough projections are verified.
+
+A vector at distance r differs from the query by a normal variable of standard
+deviation r in every projection, so the share of projections in which it lies
+within WIDTH * r is known. The threshold is that share less a slack: what is
+nearer passes nearly always, what is farther the less often the farther it is.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -13,12 +19,15 @@ from pyspark.sql import functions as F
 
 from wattle.llm.textkit import ship_package
 
-# Projections, the share of them that must collide, and the first half-width
-# of a window; each rehashing widens it by RATIO.
-PROJECTIONS, SHARE, FIRST, RATIO = 64, 0.4, 0.2, 1.4
-# A search ends once k verified vectors are nearer than the window's half-width
-# times NEAR, or all are verified; nothing else ends it.
-NEAR = 0.9
+# Projections (counts fit a byte), and the half-width of a window as a multiple
+# of the radius that a round looks at.
+PROJECTIONS, WIDTH = 240, 1.2
+# A vector at the radius collides with the query in a known share of the
+# projections; the threshold lies so many standard deviations below it.
+SLACK = 2.0
+# The first radius is the nearest of a sample of the shard's vectors; each
+# rehashing widens it, by more and more.
+SAMPLE_ROWS, RATIO = 512, 1.06
 # Vectors of a shard, and queries of a block: what one task holds.
 SHARD_ROWS, BLOCK_ROWS = 25_000, 4_096
 # Vectors that are verified in one go.
@@ -54,32 +63,51 @@ class Shard:
         fill = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", unit, unit)))
         self.way = directions(vectors.shape[1] + 1, count)
         points = unit @ self.way[:-1] + np.outer(fill, self.way[-1])
-        self.order = np.ascontiguousarray(np.argsort(points, axis=0, kind="stable").T)
-        self.sorted = np.take_along_axis(points.T, self.order, axis=1)
+        order = np.argsort(points, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(points.T, order, axis=1)
+        # The sorted arrays the other way round: each vector's place in each.
+        kind = np.uint16 if len(points) < 1 << 16 else np.uint32
+        self.places = np.empty(order.shape, dtype=kind)
+        np.put_along_axis(self.places, order, np.arange(len(points), dtype=kind)[None, :], axis=1)
         self.most = most
+        share = math.erf(WIDTH / math.sqrt(2))
+        self.need = max(1, math.ceil(share * count - SLACK * math.sqrt(count * share * (1 - share))))
+        some = np.random.default_rng(7).permutation(len(points))[:SAMPLE_ROWS]
+        self.sample = self.vectors[some]
+        self.verified = 0  # vectors verified so far, over all searches
+
+    def collisions(self, centre: np.ndarray, half: float) -> np.ndarray:
+        """In how many sorted arrays each vector lies in the query's window. A
+        window is a run of places, so one comparison a vector tells."""
+        n, count = len(self.vectors), len(self.sorted)
+        counts = np.zeros(n, dtype=np.uint8 if count < 256 else np.uint16)
+        past, inside = np.empty(n, dtype=self.places.dtype), np.empty(n, dtype=bool)
+        for row, places, c in zip(self.sorted, self.places, centre, strict=True):
+            low, high = row.searchsorted(c - half), row.searchsorted(c + half, side="right")
+            np.subtract(places, places.dtype.type(low), out=past)  # places below wrap around
+            np.less(past, places.dtype.type(high - low), out=inside)
+            np.add(counts, inside.view(np.uint8), out=counts)
+        return counts
+
+    def distance(self, product: float, length: float) -> float:
+        """Distance in the space of the projections."""
+        return math.sqrt(max(0.0, 2 - 2 * product / (length * self.most)))
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the k nearest found, ties to smaller ids."""
-        n, m = len(self.vectors), len(self.order)
         length = float(np.sqrt(query @ query))
         centre = (query / length) @ self.way[:-1]
-        half = FIRST
-        need = max(1, int(np.ceil(SHARE * m)))
-        seen = np.zeros(n, dtype=bool)
-        counts = np.zeros(n, dtype=np.int64)
-        start = [s.searchsorted(c) for s, c in zip(self.sorted, centre, strict=True)]
-        last = [(a, a) for a in start]
+        # The query itself may be in the sample, so the second nearest counts.
+        near = np.sort(self.sample @ query)[::-1]
+        radius, ratio = max(1e-3, self.distance(near[min(1, len(near) - 1)], length)), RATIO
+        seen = np.zeros(len(self.vectors), dtype=bool)
         best_i, best_s = np.empty(0, dtype=np.int64), np.empty(0)
         while True:
-            now = [(s.searchsorted(c - half), s.searchsorted(c + half, side="right"))
-                   for s, c in zip(self.sorted, centre, strict=True)]
-            # Only the two rings that the windows have grown by are counted.
-            rings = [o[x:y] for o, (a, b), (c, d) in zip(self.order, now, last, strict=True) for x, y in ((a, c), (d, b))]
-            counts += np.bincount(np.concatenate(rings), minlength=n)
-            last, hits = now, counts >= need
+            hits = self.collisions(centre, WIDTH * radius) >= self.need
             fresh = np.flatnonzero(hits & ~seen)
             seen |= hits
             if len(fresh):
+                self.verified += len(fresh)
                 best_i = np.concatenate([best_i, fresh])
                 # In pieces that stay in the cache.
                 best_s = np.concatenate([best_s, *[self.vectors[fresh[i:i + PIECE_ROWS]] @ query
@@ -87,20 +115,15 @@ class Shard:
                 # One more than k, as the query's own id doesn't count; least ids
                 # are in the order of positions, so positions break ties.
                 if len(best_s) > k:
-                    near = best_s >= np.partition(best_s, -k - 1)[-k - 1]
-                    best_i, best_s = best_i[near], best_s[near]
+                    kept = best_s >= np.partition(best_s, -k - 1)[-k - 1]
+                    best_i, best_s = best_i[kept], best_s[kept]
                 top = np.lexsort((best_i, -best_s))[:k + 1]
                 best_i, best_s = best_i[top], best_s[top]
             ids, scores = self.expand(best_i, best_s, own, k)
-            if len(ids) >= k:
-                # Distance of the k-th in the space of the projections.
-                gap = np.sqrt(max(0.0, 2 - 2 * scores[-1] / (length * self.most)))
-                if gap <= NEAR * half:
-                    break
-            if seen.all():
-                break
-            half *= RATIO
-        return ids, scores
+            # Nearer ones than the radius have all had their chance.
+            if (len(ids) >= k and self.distance(scores[-1], length) <= radius) or seen.all():
+                return ids, scores
+            radius, ratio = radius * ratio, ratio * ratio
 
     def expand(self, places: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best ids of distinct vectors with their scores, ``own`` left out."""
