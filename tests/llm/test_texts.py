@@ -4,10 +4,12 @@ import json
 import random
 import re
 import struct
+import unicodedata
 import zlib
 
 import public_tokenizers
 import pytest
+import regex
 from helpers import LOWER, documents, sha
 from tokenizers import Tokenizer
 
@@ -62,6 +64,21 @@ def test_decontamination_of_empty_tables(spark):
     assert not decontaminate.decontaminate(documents(spark, [(1, "a b")]), none).first().contaminated
 
 
+def test_unassigned_code_points_equal_the_library():
+    """Every code point that one of the tables at hand calls a letter or a
+    number and another one doesn't know, and some that none knows."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, ours = Tokenizer.from_file(path), bpe.Vocabulary(json.load(open(path, encoding="utf-8")))
+    letter = regex.compile(r"[\p{L}\p{N}]")
+    unknown = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    odd = [c for c in unknown if letter.match(c)] + unknown[::997] + list("\ue000\u0558\U000191a1\U00010d50\ua7cb")
+    assert len(odd) > 15_000
+    for i in range(0, len(odd), 500):
+        text = " ".join(f"a{c}b1{c}!{c}" for c in odd[i:i + 500])
+        assert ours.encode(text)[1] == struct.pack(f"<{len(ids := library.encode(text, add_special_tokens=False).ids)}I",
+                                                   *ids)
+
+
 def test_tokens_equal_the_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)

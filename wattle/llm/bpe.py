@@ -10,12 +10,16 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from wattle.llm.textkit import ship_package, with_carried
@@ -23,11 +27,15 @@ from wattle.llm.textkit import ship_package, with_carried
 # Fixed values of the vocabulary file's normaliser and splitter.
 WHITE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
          "\u2028\u2029\u202f\u205f\u3000")
+LIBRARY_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
 END = "</w>"
 PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 TO_SPACE = str.maketrans(dict.fromkeys(WHITE, " "))
 
+# Below this code point every one is assigned.
+_OLD = re.compile("[^\\x00-\u0377]")
+
 NO_RANK = 1 << 60
 PAIR_BITS = 32
 # Longer words are merged with a heap: a scan for each merge would be quadratic.
@@ -44,10 +52,23 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Code points that this Python's Unicode tables don't know. Other tables,
+    older or newer, may call them letters or numbers or lower-case them."""
+    unknown = [unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(len(unknown)) if unknown[c] != (c > 0 and unknown[c - 1])] + [len(unknown)]
+    runs = zip(edges[::2], edges[1::2], strict=False)
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in runs) + "]")
+
+
 class Vocabulary:
     """Ids, merges and added tokens of a tokenizer file, with word caches."""
 
     def __init__(self, spec: dict):
+        # Says how texts with code points unknown here are normalised and split.
+        self.library = tokenizers.Tokenizer.from_str(json.dumps(spec))
+        self.split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(LIBRARY_SPLIT), "removed", invert=True)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.strings = {i: s for s, i in self.ids.items()}
@@ -80,7 +101,9 @@ class Vocabulary:
 
     def chunk(self, text: str) -> tuple[bytes, str]:
         """Little-endian ids and decoded tokens of text without white space."""
-        if text.isalpha():
+        if _OLD.search(text) and unassigned().search(text):
+            words = [word for _, (a, b) in self.split.pre_tokenize_str(text) if (word := text[a:b])]
+        elif text.isalpha():
             words = [text]
         elif text[:-1].isalpha() and text[-1] in PUNCTUATION:
             words = [text[:-1], text[-1]]
@@ -116,7 +139,12 @@ class Vocabulary:
         return len(raw) // 4, raw, " ".join([p[1] for p in parts if p[1]])
 
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
-        text = text.lower() if text.isascii() else lower(unicodedata.normalize("NFC", text))
+        if text.isascii():
+            text = text.lower()
+        elif _OLD.search(text) and unassigned().search(text):
+            text = self.library.normalizer.normalize_str(text)
+        else:
+            text = lower(unicodedata.normalize("NFC", text))
         # split() also cuts at \x1c-\x1f, which are no white space to the file's rules.
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         words = text.translate(TO_SPACE).split(" ") if odd else text.split()
@@ -202,7 +230,9 @@ def encode_texts(docs: DataFrame, vocabulary_file: str, carry: tuple[str, ...] =
     ``carry``; one row for
     each input row, other columns ignored whatever their names. Null and empty
     texts have no tokens and decode to the empty text; equal texts have equal
-    results. Texts of any length are encoded whole.
+    results. Texts of any length are encoded whole. Where a text holds code
+    points that Python's Unicode tables don't know, the tokenizers library
+    normalises it and finds its words, so that its tables decide.
 
     The file (a few MB, whatever the corpus) is read by the driver and
     broadcast; its added tokens in a text become their ids.
