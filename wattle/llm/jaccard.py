@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattle.llm import textkit
@@ -33,12 +33,12 @@ BUCKET_BYTES = 8 << 20
 LEADS = 3  # least shingles of a set by which the first round looks for a leader
 
 TOKEN = (("tok", 6), ("set", 8))
-DOC = (("doc", 8), ("set", 8), ("n", 4))
+DOC = (("doc", 8), ("key", 8), ("set", 8), ("n", 4))
 SHARED = (("set", 8), ("tok", 6), ("df", 3))
 MOST_DF = (1 << 23) - 1
 
-NODE_SCHEMA = "kind int, doc long, set long, n long, toks array<long>"
-_NODE = [("kind", pa.int32()), ("doc", pa.int64()), ("set", pa.int64()), ("n", pa.int64()),
+NODE_SCHEMA = "kind int, doc long, key long, set long, n long, toks array<long>"
+_NODE = [("kind", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("set", pa.int64()), ("n", pa.int64()),
          ("toks", pa.list_(pa.int64()))]
 
 
@@ -75,7 +75,7 @@ def send_shingles(buckets: int) -> Callable:
             x = {"tok": np.concatenate(list(sets.values())),
                  "set": np.repeat(np.array(list(sets), np.int64), [len(s) for s in sets.values()])}
             rows += [(b, 0, len(y["tok"]), pack(TOKEN, y)) for b, y in by_value(x, x["tok"] % buckets)]
-        d = dict(zip(("doc", "set", "n"), np.array(docs, dtype=np.int64).T, strict=True))
+        d = dict(zip(("doc", "key", "set", "n"), np.array(docs, dtype=np.int64).T, strict=True))
         rows += [(b, 1, len(y["doc"]), pack(DOC, y)) for b, y in by_value(d, d["set"] % buckets)]
         yield from rows_of(rows, _MAP).to_batches()
 
@@ -83,14 +83,14 @@ def send_shingles(buckets: int) -> Callable:
         docs, sets, size = [], {}, 0
         for batch in batches:
             raw, offsets = textkit.buffers(batch.column(1))
-            ids = batch.column(0).to_pylist()
+            ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for i, j in textkit.slices(offsets):
                 found = shingle_sets(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                for doc, shingles in zip(ids[i:j], found, strict=True):
-                    key = set_id(shingles)
-                    docs.append((doc, key, len(shingles)))
-                    if key:
-                        sets[key] = shingles
+                for doc, key, shingles in zip(ids[i:j], keys[i:j], found, strict=True):
+                    number = set_id(shingles)
+                    docs.append((doc, key, number, len(shingles)))
+                    if number:
+                        sets[number] = shingles
                 size += int(offsets[j] - offsets[i])
                 if size >= UNIT_BYTES:
                     yield from flush(docs, sets)
@@ -142,14 +142,14 @@ def find_nodes(table: pa.Table) -> pa.Table:
                       [counts[i] for i in np.flatnonzero(kind == k)])
 
     docs, x = of(1, DOC), of(0, SHARED)
-    rows = [(0, d, s, n, None) for d, s, n in zip(*(docs[f].tolist() for f in ("doc", "set", "n")), strict=True)]
+    rows = [(0, *row, None) for row in zip(*(docs[f].tolist() for f, _ in DOC), strict=True)]
     size = dict(zip(docs["set"].tolist(), docs["n"].tolist(), strict=True))
     x = take(x, np.lexsort((x["tok"], x["df"], x["set"])))
     for part in np.split(np.arange(len(x["set"])), np.flatnonzero(np.diff(x["set"])) + 1):
         if len(part):
             key = int(x["set"][part[0]])
             if len(part) >= least_shared(size[key]):
-                rows.append((1, None, key, size[key], x["tok"][part]))
+                rows.append((1, None, None, key, size[key], x["tok"][part]))
     return rows_of(rows, _NODE)
 
 
@@ -257,30 +257,27 @@ def signature_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return heavy.unionByName(light).distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id reachable by links,
-    itself included) of each row; other columns are ignored, whatever their
-    names.
+def text_key(text: Column) -> Column:
+    """Tells rows of one doc_id with unlike texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    Null and empty texts and texts without words have 0 shingles and their own
-    doc_id as component; a text of one to four words is one shingle. Rows with
-    equal sets are linked, so repeated rows share a component; a null doc_id
-    is larger than any other, and a component of such rows alone has a null
-    id; an empty table gives no rows.
-    """
+
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc (null ids as the largest), key (of the text), set and n of every
+    row, and set and root of the sets that are linked with others."""
     spark = docs.sparkSession
     textkit.ship_package(spark)
     ensure_checkpoint_dir(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc"),
-                        F.coalesce("text", F.lit("")).alias("text"))
+                        F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("key"))
     sent = texts.mapInArrow(send_shingles(buckets), MAP_SCHEMA)
     counted = sent.groupBy("bucket").applyInArrow(count_sets(buckets), HOME_SCHEMA)
     path = scratch_path(spark, "shingles")
     textkit.write_table(counted.groupBy("home").applyInArrow(find_nodes, NODE_SCHEMA), path)
     known = spark.read.schema(NODE_SCHEMA).parquet(path)
-    rows = known.where("kind = 0").select("doc", "set", "n")
+    rows = known.where("kind = 0").select("doc", "key", "set", "n")
     # A set of many documents is one node.
     nodes = known.where("kind = 1").select("set", "n", "toks")
 
@@ -288,12 +285,54 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     more = verified(signature_pairs(nodes, roots), nodes).checkpoint()
     if not more.isEmpty():
         roots = connected(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return rows, roots.withColumnRenamed("node", "set")
+
 
-    least = rows.where("set <> 0").groupBy("set").agg(F.min("doc").alias("doc")).join(
-        roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    ids = least.groupBy("root").agg(F.min("doc").alias("component"))
-    by_set = least.join(ids, "root").select("set", "component")
+def least_of_roots(rows: DataFrame, roots: DataFrame, least: Column) -> tuple[DataFrame, DataFrame]:
+    """set and root of all sets that have shingles, and root and ``least`` over
+    its rows: first by set, before the shuffle and the join."""
+    by_set = rows.where("set <> 0").groupBy("set").agg(least.alias("least")).join(roots, "set", "left").withColumn(
+        "root", F.coalesce("root", "set"))
+    return by_set.select("set", "root"), by_set.groupBy("root").agg(F.min("least").alias("least"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (least doc_id reachable by links,
+    itself included) of each row; other columns are ignored, whatever their
+    names.
+
+    Null and empty texts and texts without words have 0 shingles and their own
+    doc_id as component; a text of one to four words is one shingle. Rows with
+    equal sets are linked, so repeated rows share a component; a null doc_id
+    is larger than any other, and a component of such rows alone has a null
+    id; an empty table gives no rows.
+    """
+    rows, roots = linked_sets(docs)
+    sets, least = least_of_roots(rows, roots, F.min("doc"))
+    by_set = sets.join(least, "root").select("set", F.col("least").alias("component"))
     out = rows.join(by_set, "set", "left").withColumn("component", F.coalesce("component", "doc"))
     null_id = F.lit(int(NO_ID))
     return out.select(F.when(F.col("doc") != null_id, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"),
                       F.when(F.col("component") != null_id, F.col("component")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row
+    of the least doc_id stays, of several the one with the least key of its
+    text, and of rows that agree in both the least by its other columns.
+
+    Rows without shingles are linked with nothing, so each different one stays;
+    rows without a doc_id can't be told apart and all stay.
+    """
+    rows, roots = linked_sets(docs)
+    rows = rows.where(F.col("doc") != F.lit(int(NO_ID)))
+    _, first = least_of_roots(rows, roots, F.min(F.struct("doc", "key")))
+    kept = first.select("least.doc", "least.key").unionByName(rows.where("set = 0").select("doc", "key"))
+    kept = kept.withColumnsRenamed({"doc": "kept_doc", "key": "kept_key"}).distinct()
+    known = docs.where(F.col("doc_id").isNotNull())
+    marked = known.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast(
+        "long").alias("kept_doc"), text_key(F.col("text")).alias("kept_key")).join(kept, ["kept_doc", "kept_key"], "left_semi")
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    place = F.row_number().over(Window.partitionBy("kept_doc", "kept_key").orderBy(*(others or [F.lit(0)])))
+    return marked.withColumn("place", place).where("place = 1").select("row.*").unionByName(
+        docs.where(F.col("doc_id").isNull()))
