@@ -196,6 +196,17 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_documents(documents(spark, []), none).count() == 0
 
 
+def test_a_lone_word_weighs_less_than_an_aimed_clause(spark):
+    """Also after training on texts that hold words without any target."""
+    rows, labels = labelled(spark)
+    entries, weights = toxicity.train(documents(spark, rows), labels)
+    said = ["take out the trash", "You are an idiot", "he said trash", "never trash", "Ich werde dich töten.",
+            "Je vais te tuer.", "Voy a matarte, te lo digo.", "I will kill you", "nothing at all", "a very long text " * 20000]
+    got = [r.score for r in toxicity.score_texts(documents(spark, list(enumerate(said))), entries, weights).collect()]
+    assert got[1] > got[0] >= max(got[2:4])
+    assert min(got[4], got[5], got[7]) >= 0.7 and got[6] > got[8] == got[9]
+
+
 def test_clause_kinds():
     lexicon = toxicity.Lexicon({"=idiot": 1.0})
 

@@ -22,7 +22,7 @@ import regex
 import tokenizers
 from pyspark.sql import DataFrame
 
-from wattle.llm.textkit import ship_package, with_carried
+from wattle.llm.textkit import give_back, ship_package, with_carried
 
 # Fixed values of the vocabulary file's normaliser and splitter.
 WHITE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -138,6 +138,11 @@ class Vocabulary:
         raw = b"".join([p[0] for p in parts])
         return len(raw) // 4, raw, " ".join([p[1] for p in parts if p[1]])
 
+    def forget(self) -> None:
+        """Empty the caches of words."""
+        self.known.clear()
+        self.chunks.clear()
+
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
         if text.isascii():
             text = text.lower()
@@ -259,6 +264,8 @@ def encode_texts(docs: DataFrame, vocabulary_file: str, carry: tuple[str, ...] =
                 out["ids"] = pa.array([list(struct.unpack(f"<{d[0]}I", d[1])) for d in done], pa.list_(pa.int64()))
                 out["decoded"] = pa.array([d[2] for d in done], pa.string())
             yield pa.RecordBatch.from_pydict(out)
+        vocabulary.forget()
+        give_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += "".join(f", `carry_{f.name}` {f.dataType.simpleString()}" for f in kept)

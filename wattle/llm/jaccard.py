@@ -97,6 +97,8 @@ def send_shingles(buckets: int) -> Callable:
                     docs, sets, size = [], {}, 0
         if docs:
             yield from flush(docs, sets)
+        del docs, sets
+        textkit.give_back()
 
     return run
 

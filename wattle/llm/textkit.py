@@ -3,6 +3,9 @@ row keys, slicing Arrow batches and hashing words with numpy."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import operator
 import os
 import tempfile
@@ -63,6 +66,15 @@ def ship_package(spark: SparkSession) -> None:
     sc._wattle_shipped = True
 
 
+def give_back() -> None:
+    """Return what a finished task has freed to the system: a Python worker
+    waits for its next task beside others, with all that it still holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,9 +26,13 @@ from wattle.llm.textkit import ship_package, with_carried
 
 # Fixed values of the grammar: words of each symbol.
 INSULTS = ("idiot idiots moron morons stupid scum trash worthless pathetic loser losers clown disgusting").split()
-THREATS = ("kill kills killing murder hurt destroy shoot stab strangle").split()
+THREATS = ("kill kills killing murder hurt destroy shoot stab strangle "
+           "töte töten ermorde ermorden umbringen erschieße erschießen erstechen erwürgen "
+           "tuer tuerai tuerons tuez assassiner assassinerai étrangler étranglerai poignarder "
+           "matar mataré mataremos matarte asesinar asesinaré estrangular apuñalar").split()
 TARGETS = ("you your yours yourself he she him her they them this that these those it is are was were "
-           "du dich dir ihr euch sie er ist sind tu toi te vous votre il elle est sont tú usted ustedes él ella es son"
+           "du dich dir ihr euch sie er ist sind tu toi te vous votre il elle est sont tú usted ustedes él ella es son "
+           "ihn ihm ihnen leur lui ti vosotros ellos ellas"
            ).split()
 NEGATIONS = ("not never isn aren wasn don doesn nobody nicht kein keine nie pas jamais nunca jamás").split()
 REPORTS = ("said says say told called calls wrote quoted claimed sagte sagt dit disait dijo dice").split()
@@ -37,9 +41,13 @@ STEMS = (4, 5, 6)  # lengths of the word beginnings that may be lexicon entries
 REACH = 3  # words that a negation reaches
 KINDS = [f"{kind}_{how}" for kind in ("insult", "threat") for how in ("plain", "aimed", "negated", "reported")]
 # Weights before any training: each kind's, then the intercept.
-PRIOR = np.array([4.5, 4.5, 2.0, 2.0, 3.0, 4.0, 0.5, 1.0, -3.0])
-# Bounds of what is learned: labelled rows, lexicon entries, least documents of an entry.
-SAMPLE_ROWS, ENTRIES, SUPPORT = 20_000, 4_000, 12
+PRIOR = np.array([4.5, 5.0, 2.0, 2.0, 3.0, 5.5, 0.5, 1.0, -3.0])
+# What training may not undo: an aimed clause weighs so much more than a match
+# that no target stands by, and a negated or reported one no more than that.
+GAP = 0.5
+# Bounds of what is learned: labelled rows, lexicon entries, least documents of an
+# entry, and how many toxic texts there must be for each other one that holds it.
+SAMPLE_ROWS, ENTRIES, SUPPORT, ODDS = 20_000, 4_000, 12, 10
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]|[,;:|]|[\"“”«»]")
@@ -138,7 +146,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS)
 
 def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, support: int = SUPPORT) -> dict[str, float]:
     """Words and stems that at least ``support`` toxic texts hold and hardly
-    any other: at most one in fifty. Near copies count once: of the texts
+    any other: at most one for every ODDS. Near copies count once: of the texts
     with the same least hash of five-word runs, one is counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +176,8 @@ def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, support: int = SUPPOR
     counts = once.select("text", "toxic").mapInArrow(
         count, "entry string, clean long, toxic long")
     sums = counts.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = (sums.where((F.col("toxic") >= support) & (F.col("clean") * 50 <= F.col("toxic")))
-            .orderBy(F.desc(F.col("toxic") - 50 * F.col("clean")), "entry").limit(entries).collect())
+    kept = (sums.where((F.col("toxic") >= support) & (F.col("clean") * ODDS <= F.col("toxic")))
+            .orderBy(F.desc(F.col("toxic") - ODDS * F.col("clean")), "entry").limit(entries).collect())
     counted = {r["entry"]: (r["toxic"], r["clean"]) for r in kept if r["entry"] != "#"}
     return {e: min(1.0, math.log((t + 0.5) / (c + 0.5)) / 4) for e, (t, c) in longest(counted).items()}
 
@@ -186,17 +194,27 @@ def longest(counted: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int]]:
     return {e: n for e, n in counted.items() if e[0] == "=" or explained.get(e[:-1], 0) < 0.98 * n[0]}
 
 
+def ordered(w: np.ndarray) -> np.ndarray:
+    """The weights without negative ones, each kind's clauses in their order,
+    and an aimed threat no less than an aimed insult: labels may hold none."""
+    w[:-1] = np.maximum(w[:-1], 0)
+    for at in (0, 4):
+        w[at + 1] = max(w[at + 1], w[at] + GAP)
+        w[at + 2:at + 4] = np.minimum(w[at + 2:at + 4], w[at])
+    w[5] = max(w[5], w[1])
+    return w
+
+
 def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 4000, rate: float = 2.0, pull: float = 5e-5) -> np.ndarray:
     """Logistic regression by gradient descent, drawn towards PRIOR; no kind
-    of clause may lower a score."""
+    of clause may lower a score, and clauses, not lone words, weigh most."""
     w = PRIOR.copy()
     if not len(y):
         return w
     for _ in range(rounds):
         miss = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y
         step = np.append(x.T @ miss, miss.sum()) / len(y) + pull * (w - PRIOR)
-        w -= rate * step
-        w[:-1] = np.maximum(w[:-1], 0)
+        w = ordered(w - rate * step)
     return w
 
 
@@ -216,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> tuple
     kind = rows.schema["toxic"].dataType.simpleString()
     # Equal (features, label) are counted, so few rows come back for many texts.
     got = (rows.mapInArrow(features, f"x array<double>, toxic {kind}").groupBy("x", "toxic")
-           .agg(F.count(F.lit(1)).alias("n")).limit(limit).collect())
+           .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "x", "toxic").limit(limit).collect())
     x = np.array([r["x"] for r in got for _ in range(r["n"])], dtype=float).reshape(-1, len(KINDS))
     y = np.array([float(r["toxic"] > 0) for r in got for _ in range(r["n"])])
     order = np.lexsort((*x.T, y)) if len(y) else slice(None)

@@ -220,6 +220,8 @@ def send_segments(elements: Elements, buckets: int, unit_bytes: int) -> Callable
                     held, size = [], 0
         if held:
             yield from flush(held)
+        del held
+        textkit.give_back()
 
     return run
 
