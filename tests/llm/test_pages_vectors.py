@@ -152,3 +152,37 @@ def test_pages_without_article_leave_what_is_outside_the_region():
     links = "".join(f"<p><a>Link {i}</a></p>" for i in range(8))
     page = f"<body><div>{links}</div><div><p>a</p><p>b</p><p>c</p><p>{P}</p><p>{P * 3}</p><p>d</p><p>e</p></div></body>"
     assert html_text.main_text(page).split("\n") == ["a", "b", "c", P, P * 3, "d", "e"]
+
+
+ARTICLE = f"<h1>The head</h1><p>{P}</p><p>{P} {P}</p>"
+KEPT = f"The head\n{P}\n{P} {P}"
+
+
+@pytest.mark.parametrize("page, want", [
+    # Reader comments as articles, beside the article and inside it.
+    (f"<article>{ARTICLE}</article><article class='comment'><p>{P * 4}</p></article>", KEPT),
+    (f"<article>{ARTICLE}<section id='comments'><article class='comment-item'><p>{P}</p></article></section></article>",
+     KEPT),
+    # Teasers of other stories.
+    (f"<main><article>{ARTICLE}</article><article><h2>Other</h2><p>{P}</p></article></main>", KEPT),
+    (f"<article class='teaser'><p>{P * 9}</p></article><article>{ARTICLE}</article>", KEPT),
+    # A section whose name only holds such a word.
+    (f"<article>{ARTICLE}<section id='related-work'><p>{P}</p></section></article>", f"{KEPT}\n{P}"),
+    (f"<article>{ARTICLE}<section id='in-search-of-truth'><h2 id='login'>Login</h2><p>{P}</p></section></article>",
+     f"{KEPT}\nLogin\n{P}"),
+    (f"<article>{ARTICLE}<div class='related-stories'><p>{P}</p></div><div class='ad-slot-2'>{P}</div></article>", KEPT),
+    (f"<div class='social-history'><article>{ARTICLE}</article></div>", KEPT),
+    (f"<div class='newsroom-alerts-archive'><p>{P}</p><p>{P}</p></div>", f"{P}\n{P}"),
+    (f"<div class='siteHeader'>{P}</div><article>{ARTICLE}</article><div class='cookieNotice'>{P}</div>", KEPT),
+    # A title before the article, two parts of one article.
+    (f"<main><h1>The head</h1><article><p>{P}</p><p>{P} {P}</p></article></main>", KEPT),
+    (f"<article><p>{P} {P}</p></article><article><p>{P} {P}</p></article>", f"{P} {P}\n{P} {P}"),
+])
+def test_names_of_parts_are_taken_whole(page, want):
+    assert html_text.main_text(f"<html><body><nav><a>Menu</a></nav>{page}<footer>End</footer></body></html>") == want
+
+
+def test_very_long_page_and_deep_nesting():
+    page = "<article>" + "<p>word word word word</p>" * 40_000 + "</article>"
+    assert len(html_text.main_text(page).split("\n")) == 40_000
+    assert html_text.main_text("<div>" * 3000 + P + "</div>" * 3000) == P

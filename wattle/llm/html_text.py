@@ -19,13 +19,20 @@ HIDDEN = frozenset("script style noscript template svg math iframe object canvas
                    "option datalist".split())
 # Elements around the article.
 AROUND = frozenset("nav aside footer form menu dialog button".split())
-# Words of class, id or role that mark such parts.
-MARKS = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner nav navbar "
-                  "navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent "
-                  "gdpr notice notification alert popup modal overlay comment comments disqus replies respond "
-                  "newsletter subscribe signup share sharing social related recommended widget toolbar pagination "
-                  "search login complementary contentinfo".split())
-ABOUT = frozenset("has no with without layout page".split())
+# Words of class, id or role that mark such parts, if a whole name consists of
+# them and of words that only tell where or what kind of box it is.
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+MARKS = COMMENTS | ADVERTS | frozenset(
+    "banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies "
+    "consent gdpr notice notification alert popup modal overlay newsletter subscribe signup share sharing social "
+    "related recommended teaser teasers widget toolbar pagination search login complementary contentinfo".split())
+BOXES = frozenset("site page main top bottom left right upper lower box bar block container wrapper wrap inner outer "
+                  "list lists item items link links section area region slot unit panel column col row group header "
+                  "head holder zone module thread post posts article articles story stories more primary secondary "
+                  "global mobile desktop sticky fixed content buttons icons form js id".split())
+HEADERS = BOXES - frozenset("post posts article articles story stories content item items section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements that begin and end a line of their own.
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure "
                    "footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table "
@@ -34,18 +41,30 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CONTAINERS = frozenset(("article", "main"))
 # Elements that group blocks; lists, tables and their parts belong to what holds them.
 REGIONS = frozenset("html body div section center fieldset details".split())
+# Text of another article, as a share of the longest one's, from which on it counts.
+SECOND = 0.5
 # A line's ratio is spread over its neighbours by this standard deviation.
 SIGMA = 1.0
 _SPACE = re.compile(r"\s+")
-_MARK = re.compile(r"[a-z]+")
-
-
-def marked(attrs: list[tuple[str, str | None]]) -> set[str]:
-    """Words of class, id and role; a name such as ``has-sidebar`` tells of
-    another element and is left out."""
-    names = [name for k, v in attrs if k in ("class", "id", "role") and v for name in v.lower().split()]
-    words = [_MARK.findall(name) for name in names]
-    return {w for found in words if found and found[0] not in ABOUT for w in found}
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def marked(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> set[str]:
+    """The marks among the names of an element. A heading has none; inside an
+    article the id of a section is the anchor of its subject, so only comments
+    and adverts are told by it."""
+    found: set[str] = set()
+    if tag in HEADINGS:
+        return found
+    for key, value in attrs:
+        for name in value.split() if key in ("class", "id", "role") and value else ():
+            words = {w.lower() for w in _WORDS.findall(name)}
+            marks = words & (COMMENTS | ADVERTS if inside and key == "id" else MARKS)
+            if marks and words <= MARKS | BOXES:
+                found |= marks
+            elif "header" in words and words <= HEADERS:
+                found.add("header")
+    return found
 
 
 class Lines(HTMLParser):
@@ -59,9 +78,9 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, bool, int, int, bool]] = []
         self.stack: list[tuple[str, bool, bool, int, int, bool]] = []  # tag, hidden, around, container, region, direct
         self.parents = [0]  # of the regions; each number is above its parent's
+        self.holders = [0]  # of the containers
         self.text: list[str] = []
         self.tags = 0
-        self.made = 0
 
     def state(self) -> tuple[bool, bool, int, int, bool]:
         return self.stack[-1][1:] if self.stack else (False, False, 0, 0, True)
@@ -94,13 +113,13 @@ class Lines(HTMLParser):
                 self.close_to("li")
                 hidden, around, container, region, direct = self.state()
         self.tags += 1
-        marks = marked(attrs)
+        marks = marked(tag, attrs, container > 0)
         # A header is part of the article inside it, and around it elsewhere.
         outside = tag in AROUND or ((tag == "header" or "header" in marks) and not container)
-        outside |= bool(marks & MARKS) and tag not in ("html", "body", "article", "main")
-        if tag in CONTAINERS and not around:
-            self.made += 1
-            container = self.made
+        outside |= bool(marks & MARKS) and tag not in ("html", "body", "main")
+        if tag in CONTAINERS and not (around or outside):
+            self.holders.append(container)
+            container = len(self.holders) - 1
         if tag in REGIONS:
             self.parents.append(region)
             region, direct = len(self.parents) - 1, True
@@ -151,13 +170,13 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach:reach + len(ratios)] / weight
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, bool, int, int, bool]], list[int]]:
-    """The lines of a page and the parents of its regions."""
+def lines_of(html: str) -> tuple[list[tuple[str, int, bool, int, int, bool]], list[int], list[int]]:
+    """The lines of a page, the parents of its regions and of its containers."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines, parser.parents
+    return parser.lines, parser.parents, parser.holders
 
 
 def common_region(regions: list[int], direct: list[bool], dense: np.ndarray, parents: list[int]) -> list[bool]:
@@ -181,29 +200,61 @@ def common_region(regions: list[int], direct: list[bool], dense: np.ndarray, par
     return keep
 
 
+def articles(lines: list[tuple], dense: np.ndarray, holders: list[int]) -> list[bool] | None:
+    """Which lines belong to the article or main element with the most dense
+    text, or to another one with nearly as much; None if none has any.
+
+    What such an element holds is kept whole. Around it, in an element that
+    holds it, dense lines that adjoin are of its cluster, as a title that
+    stands before it.
+    """
+    mass = [0] * len(holders)
+    for (text, _, _, container, *_), d in zip(lines, dense, strict=True):
+        if container and d:
+            mass[container] += len(text)
+    if not any(mass):
+        return None
+    kept = [m >= SECOND * max(mass) for m in mass]
+    above = set()
+    for c in range(len(mass)):
+        if kept[c]:
+            above.add(up := holders[c])
+            while up:
+                above.add(up := holders[up])
+        kept[c] = kept[c] or (c > 0 and kept[holders[c]])
+    kept[0] = False
+    keep = [kept[x[3]] for x in lines]
+    for step in (1, -1):
+        order = range(len(lines))[::step]
+        before = False
+        for i in order:
+            if not keep[i] and before and dense[i] and lines[i][3] in above - {0}:
+                keep[i] = True
+            before = keep[i]
+    return keep
+
+
 def main_text(html: str | None) -> str:
     """Content regions of a page, one line a block.
 
     Lines in hidden elements and in parts that are marked as standing around
     the article never count. Of the rest, a line is dense if its smoothed
     ratio is at least the standard deviation of the page's ratios (or half the
-    largest, if that is less). A page with article or main elements keeps
-    whole those that hold a dense line; another page keeps whole the nearest
-    grouping element around all dense lines, so lists, tables and short
-    paragraphs stay wherever they stand in it.
+    largest, if that is less). Where dense lines lie in article or main
+    elements, the one with the most of them is kept whole; another page keeps
+    whole the nearest grouping element around all dense lines, so lists, tables
+    and short paragraphs stay wherever they stand in it.
     """
     if not html:
         return ""
-    found, parents = lines_of(html)
+    found, parents, holders = lines_of(html)
     lines = [x for x in found if x[2]]
     if not lines:
         return ""
     ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
     dense = ratio >= min(ratio.std(), ratio.max() / 2)
-    held = {c for (_, _, _, c, *_), d in zip(lines, dense, strict=True) if c and d}
-    if held:
-        keep = [line[3] in held for line in lines]
-    else:
+    keep = articles(lines, dense, holders)
+    if keep is None:
         keep = common_region([x[4] for x in lines], [x[5] for x in lines], dense, parents)
     return "\n".join(text for (text, *_), k in zip(lines, keep, strict=True) if k)
 
