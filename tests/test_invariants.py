@@ -10,7 +10,7 @@ from wattle.plans import catalog
 
 @pytest.fixture(scope="module")
 def ene(spark):
-    df = measures.ene_readings(catalog._consumption(spark, SF_SMALL)).cache()
+    df = measures.split(catalog._consumption(spark, SF_SMALL), "energy").cache()
     yield df
     df.unpersist()  # later tests inspect uncached plans
 

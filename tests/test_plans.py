@@ -39,8 +39,8 @@ def test_column_pruning_reaches_scan(spark, tmp_path):
     path = str(tmp_path / "raw")
     raw.write.parquet(path)
     from wattle.operators import cleaning, measures
-    df = measures.n_phases(measures.phase_voltage(
-        cleaning.clean_consumption(readers.load_readings(spark, data_path=path))))
+    df = measures.n_phases(measures.split(
+        cleaning.clean_consumption(readers.load_readings(spark, data_path=path)), "voltage"))
     scan = [ln for ln in _plan(df).splitlines() if "ReadSchema" in ln][0]
     assert "TIPO_SECTOR" not in scan and "MULTIPLICADOR" not in scan and "CONTADOR" in scan
 

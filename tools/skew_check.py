@@ -49,7 +49,7 @@ def main() -> None:
     })
     path = scratch_path(spark, "skewed")
     hot.write.parquet(path)
-    ene = measures.ene_readings(cleaning.clean_consumption(spark.read.parquet(path)))
+    ene = measures.split(cleaning.clean_consumption(spark.read.parquet(path)), "energy")
     pivot = energy.energy_pivot(ene)
 
     w = Window.partitionBy("MEDIDOR").orderBy("FECHA_LECTURA")

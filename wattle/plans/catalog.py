@@ -82,39 +82,44 @@ def clean_numeric_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ene_readings(spark: SparkSession, sf: str) -> DataFrame:
-    return measures.ene_readings(_consumption(spark, sf))
+    return measures.split(_consumption(spark, sf), "energy")
 
 
 def mde_readings(spark: SparkSession, sf: str) -> DataFrame:
-    return measures.mde_readings(_consumption(spark, sf))
+    return measures.split(_consumption(spark, sf), "max_demand")
 
 
 def phase_power(spark: SparkSession, sf: str) -> DataFrame:
-    return measures.phase_power(_consumption(spark, sf))
+    return measures.split(_consumption(spark, sf), "power")
 
 
 def phase_voltage(spark: SparkSession, sf: str) -> DataFrame:
-    return measures.phase_voltage(_consumption(spark, sf))
+    return measures.split(_consumption(spark, sf), "voltage")
 
 
 def phase_current(spark: SparkSession, sf: str) -> DataFrame:
-    return measures.phase_current(_consumption(spark, sf))
+    return measures.split(_consumption(spark, sf), "current")
 
 
 def phase_pf(spark: SparkSession, sf: str) -> DataFrame:
-    return measures.phase_pf(_consumption(spark, sf))
+    return measures.split(_consumption(spark, sf), "power_factor")
+
+
+def labelled_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Every measure of the daily readings, in one pass."""
+    return measures.labelled(_consumption(spark, sf)).select("seq", "measure", "MEDIDOR", "VALOR_LECTURA")
 
 
 def n_phases(spark: SparkSession, sf: str) -> DataFrame:
-    return measures.n_phases(measures.phase_voltage(_consumption(spark, sf)))
+    return measures.n_phases(measures.split(_consumption(spark, sf), "voltage"))
 
 
 def energy_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return energy.energy_pivot(measures.ene_readings(_consumption(spark, sf)))
+    return energy.energy_pivot(measures.split(_consumption(spark, sf), "energy"))
 
 
 def energy_deltas(spark: SparkSession, sf: str) -> DataFrame:
-    return energy.energy_deltas(measures.ene_readings(_consumption(spark, sf)))
+    return energy.energy_deltas(measures.split(_consumption(spark, sf), "energy"))
 
 
 def _power(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,23 +139,23 @@ def clean_voltage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kwh_data(spark: SparkSession, sf: str) -> DataFrame:
-    return measures.kwh_data(_power(spark, sf))
+    return measures.split(_power(spark, sf), "active")
 
 
 def kvarh_data(spark: SparkSession, sf: str) -> DataFrame:
-    return measures.kvarh_data(_power(spark, sf))
+    return measures.split(_power(spark, sf), "reactive")
 
 
 def active_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return power.active_profile(measures.kwh_data(_power(spark, sf)))
+    return power.active_profile(measures.split(_power(spark, sf), "active"))
 
 
 def reactive_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return power.reactive_profile(measures.kvarh_data(_power(spark, sf)))
+    return power.reactive_profile(measures.split(_power(spark, sf), "reactive"))
 
 
 def flatten_active(spark: SparkSession, sf: str) -> DataFrame:
-    nested = power.active_profile(measures.kwh_data(_power(spark, sf)), nested=True)
+    nested = power.active_profile(measures.split(_power(spark, sf), "active"), nested=True)
     return power.flatten(nested)
 
 
@@ -160,7 +165,7 @@ def voltage_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scenario_input(spark: SparkSession, sf: str) -> DataFrame:
     """node, ts, P (= demand delivered) from the active profile."""
-    act = power.active_profile(measures.kwh_data(_power(spark, sf)))
+    act = power.active_profile(measures.split(_power(spark, sf), "active"))
     return act.select("node", "ts", act["P_Pdem"].alias("P"))
 
 
@@ -319,11 +324,11 @@ NOMINAL_V, V_BAND = 120.0, 0.03
 
 
 def daily_max_demand(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.daily_max_demand(measures.mde_readings(_consumption(spark, sf)))
+    return analytics.daily_max_demand(measures.split(_consumption(spark, sf), "max_demand"))
 
 
 def reverse_flow(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.reverse_flow(power.active_profile(measures.kwh_data(_power(spark, sf))))
+    return analytics.reverse_flow(power.active_profile(measures.split(_power(spark, sf), "active")))
 
 
 def voltage_compliance(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,17 +337,17 @@ def voltage_compliance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def phase_balance(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.phase_balance(measures.phase_voltage(_consumption(spark, sf)))
+    return analytics.phase_balance(measures.split(_consumption(spark, sf), "voltage"))
 
 
 def phase_balance_power(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.phase_balance(measures.phase_power(_consumption(spark, sf)))
+    return analytics.phase_balance(measures.split(_consumption(spark, sf), "power"))
 
 
 # Analyses over time, place and neighbourhood.
 
 def _active(spark: SparkSession, sf: str) -> DataFrame:
-    return power.active_profile(measures.kwh_data(_power(spark, sf)))
+    return power.active_profile(measures.split(_power(spark, sf), "active"))
 
 
 # Buckets of six hours, so that the runs of the fixture cross them.
@@ -359,7 +364,7 @@ def net_generation_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 def _places(spark: SparkSession, sf: str) -> DataFrame:
     """Sector (by the consumption readings) and zone of each power meter."""
-    return rollup.node_places(measures.kwh_data(_power(spark, sf)), latest_attribute(spark, sf))
+    return rollup.node_places(measures.split(_power(spark, sf), "active"), latest_attribute(spark, sf))
 
 
 def load_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -464,6 +469,29 @@ def meter_locations_epsg(spark: SparkSession, sf: str) -> DataFrame:
     return locations.meter_locations(_consumption(spark, sf), _network(spark, sf, "Loads").loads)
 
 
+def _repeated_power(spark: SparkSession, sf: str) -> DataFrame:
+    """Interval readings of which every third is there twice, the second time
+    with a smaller value and a later number: the caller's order decides."""
+    raw = build_view(spark, sf, "power_raw")
+    numbered = raw.withColumn("copy", F.explode(F.expr(
+        "sequence(0, case when (cast(MEDIDOR as int) + INTERVALO + cast(DEMANDA * 4 as int)) % 3 = 0 then 1 else 0 end)")))
+    return cleaning.clean_power(numbered.withColumns({
+        "DEMANDA": F.expr("DEMANDA - copy / 4.0d"), "ENERGIA": F.expr("ENERGIA + copy"),
+        "seq": F.col("copy").cast("long")}).drop("copy"))
+
+
+def active_profile_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return power.active_profile(measures.split(_repeated_power(spark, sf), "active", "seq"), tie="seq")
+
+
+def weekend_curve_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Days of which every timestamp is there twice: numbered by time, then by
+    the caller's column."""
+    twice = _scenario_input(spark, sf).withColumn("seq", F.explode(F.array(F.lit(1), F.lit(0))))
+    days = scenarios.complete_days(twice.withColumn("P", F.col("P") + F.col("seq")), samples=192)
+    return scenarios.weekend_curve(days, tie=["seq"])
+
+
 def scan_table_over_path(spark: SparkSession, sf: str) -> DataFrame:
     """A table and a path are named: the table is read."""
     name = f"wattle_consumption_raw_{uuid.uuid4().hex[:12]}"
@@ -624,4 +652,7 @@ QUERIES: dict[str, Query] = {
     "meter_locations_epsg": meter_locations_epsg,
     "scan_table_over_path": scan_table_over_path,
     "season_curves_sorted": season_curves_sorted,
+    "labelled_measures": labelled_measures,
+    "active_profile_repeats": active_profile_repeats,
+    "weekend_curve_ties": weekend_curve_ties,
 }

@@ -70,11 +70,11 @@ def load_consumption(spark: SparkSession, cfg: SourceConfig, tie: str | None = "
                      bucket_seconds: int = energy.DEFAULT_BUCKET_SECONDS) -> ConsumptionModel:
     raw, audit = _raw(spark, cfg, audits.CONSUMPTION_RULES)
     sdf = cleaning.clean_consumption(raw)
-    ene = measures.ene_readings(sdf)
+    ene = measures.split(sdf, "energy")
     return ConsumptionModel(
-        sdf=sdf, ene_data=ene, mde_data=measures.mde_readings(sdf),
-        power_data=measures.phase_power(sdf), voltage_data=measures.phase_voltage(sdf),
-        current_data=measures.phase_current(sdf), pf_data=measures.phase_pf(sdf),
+        sdf=sdf, ene_data=ene, mde_data=measures.split(sdf, "max_demand"),
+        power_data=measures.split(sdf, "power"), voltage_data=measures.split(sdf, "voltage"),
+        current_data=measures.split(sdf, "current"), pf_data=measures.split(sdf, "power_factor"),
         energy_df=energy.energy_deltas(ene, tie, bucket_seconds),
         invalid_value_audit=audit,
     )
@@ -116,7 +116,7 @@ class PowerModel:
 def load_power(spark: SparkSession, cfg: SourceConfig, tie: str | None = None) -> PowerModel:
     raw, audit = _raw(spark, cfg, audits.POWER_RULES)
     sdf = cleaning.clean_power(raw)
-    kwh, kvarh = measures.kwh_data(sdf, tie), measures.kvarh_data(sdf, tie)
+    kwh, kvarh = measures.split(sdf, "active", tie), measures.split(sdf, "reactive", tie)
     return PowerModel(sdf=sdf, kwh_data=kwh, kvarh_data=kvarh,
                       active_df=power.active_profile(kwh, tie),
                       reactive_df=power.reactive_profile(kvarh, tie),

@@ -4,10 +4,12 @@ pushed into the scan by Catalyst."""
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +86,10 @@ def _common_type(types: set[str]) -> str:
     return "double" if types <= {*_WHOLE, "float", "double"} else "string"
 
 
+# A layer that may not be read, or not now, isn't a damaged one.
+_REFUSED = re.compile(r"AccessControlException|AccessDenied|Permission denied|Forbidden|ConnectException|Timeout")
+
+
 def read_layers(
     spark: SparkSession,
     root: str,
@@ -97,7 +103,8 @@ def read_layers(
     and types it before the union by name. A layer lacking a column gets
     NULL; where types differ the wider one (else text) holds. A layer that
     can't be opened, any of its files, is left out whole, with a warning and
-    an entry in ``skipped``; damage met later, in the data, raises.
+    an entry in ``skipped``; damage met later, in the data, raises, and so do
+    refused permissions and failing connections.
     """
     layers: list[DataFrame] = []
     for name, path in layer_entries(spark, root):
@@ -106,7 +113,9 @@ def read_layers(
             reader = reader.option("mergeSchema", "true")  # opens every file's footer
         try:
             df = reader.load(path)
-        except Exception as exc:
+        except PySparkException as exc:
+            if _REFUSED.search(str(exc)):
+                raise
             warnings.warn(f"layer {name} skipped, {path} can't be read: {str(exc)[:200]}", stacklevel=2)
             if skipped is not None:
                 skipped.append((name, str(exc)))

@@ -666,3 +666,41 @@ from weekly group by node, phase, week""",
     "season_curves_sorted": "select *, timestep = min(timestep) over (partition by season, node) as first from ("
     + ORACLE["season_curves"] + ")",
 })
+
+
+# ---------------------------------------------------------------- all measures at once; repeated readings and times
+
+_LABELS = {
+    "energy": f"{ENERGY_BASE} and contains(TIPO_CONSUMO, 'ENE')",
+    "max_demand": f"{ENERGY_BASE} and contains(TIPO_CONSUMO, 'MDE')",
+    "power": f"{PHASE_ROWS} and TIPO_CONSUMO in ('kW', 'kVAR', 'kVA')",
+    "voltage": f"{PHASE_ROWS} and TIPO_CONSUMO in ('Voltage', 'Voltage Angle')",
+    "current": f"{PHASE_ROWS} and TIPO_CONSUMO in ('Current', 'Current Angle')",
+    "power_factor": f"{PHASE_ROWS} and TIPO_CONSUMO in ('Power Factor', 'Power Factor Angle')",
+}
+_REPEATED = (
+    "select * replace (DEMANDA - copy / cast(4 as double) as DEMANDA, ENERGIA + copy as ENERGIA) from (select *, "
+    "unnest(range(0, case when (cast(MEDIDOR as int) + INTERVALO + cast(trunc(DEMANDA * 4) as int)) % 3 = 0 "
+    "then 2 else 1 end)) as copy from cleanp)")
+
+
+def _by_copy(op: str, value: str) -> str:
+    return f"arg_min({value}, copy) filter (where OPERACION = '{op}' and {value} is not null)"
+
+
+ORACLE.update({
+    "labelled_measures": _consumption() + " union all ".join(
+        f"select seq, '{name}' as measure, MEDIDOR, VALOR_LECTURA from clean where {rule}"
+        for name, rule in _LABELS.items()),
+    "active_profile_repeats": _power({"twice": _REPEATED}) + f"""select MEDIDOR as node, FECHA_LECTURA as ts,
+  {_by_copy('Delivered', 'DEMANDA')} as P_Pdem, {_by_copy('Received', 'DEMANDA')} as P_Pgen,
+  {_by_copy('Delivered', 'ENERGIA')} as E_Edem, {_by_copy('Received', 'ENERGIA')} as E_Egen
+from twice where {CUSTOMER_METERS} and OPERACION in ('Delivered', 'Received') and UNIDAD = 'kWh'
+  and MEDIDOR is not null and FECHA_LECTURA is not null group by MEDIDOR, FECHA_LECTURA
+having P_Pdem is not null or P_Pgen is not null or E_Edem is not null or E_Egen is not null""",
+    "weekend_curve_ties": _scen({
+        "again": "select * replace (P + seq as P) from (select *, unnest([0, 1]) as seq from days)",
+        "steps": "select *, row_number() over (partition by node, date order by ts, seq) - 1 as timestep "
+                 "from again where day = 'weekend'",
+    }) + "select node, timestep, avg(P) as P from steps group by node, timestep",
+})
