@@ -9,6 +9,7 @@ import warnings
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def read_layers(
             reader = reader.option("mergeSchema", "true")  # opens every file's footer
         try:
             df = reader.load(path)
-        except PySparkException as exc:
+        except (PySparkException, Py4JError) as exc:
             if _REFUSED.search(str(exc)):
                 raise
             warnings.warn(f"layer {name} skipped, {path} can't be read: {str(exc)[:200]}", stacklevel=2)
