@@ -50,13 +50,16 @@ def loads_view(layers: DataFrame, layer_name: str = LOADS_LAYER,
 
     A layer that has a NISE column keeps it as it is, its gaps too; one that
     has none takes its OBJECTID. That is decided for the layer, not for each
-    row: in a union a NISE column may be another layer's, so the caller who
-    built it says with ``own_service_ids`` whether this layer brought one
-    (None: it did, if there is such a column). ``attributes_only`` drops the
-    point columns."""
+    row. In a union a NISE column may be another layer's: the caller who built
+    it can say with ``own_service_ids`` whether this layer brought one; else
+    it did if any of its rows has a value. ``attributes_only`` drops the point
+    columns."""
     loads = layers.filter(F.col("layer") == layer_name) if "layer" in layers.columns else layers
-    own = "NISE" in loads.columns if own_service_ids is None else own_service_ids
-    if not own and "OBJECTID" in loads.columns:
+    if "NISE" in loads.columns and "OBJECTID" in loads.columns and own_service_ids is None:
+        own = loads.agg(F.coalesce(F.bool_or(F.col("NISE").isNotNull()), F.lit(False))).scalar()
+        kind = loads.schema["NISE"].dataType
+        loads = loads.withColumn("NISE", F.when(own, F.col("NISE")).otherwise(F.col("OBJECTID").cast(kind)))
+    elif "OBJECTID" in loads.columns and not ("NISE" in loads.columns and own_service_ids):
         loads = loads.drop("NISE").withColumnRenamed("OBJECTID", "NISE")
     if attributes_only:
         loads = loads.drop(*GEOMETRY)
