@@ -4,6 +4,7 @@ import json
 import random
 import re
 import struct
+import time
 import unicodedata
 import zlib
 
@@ -11,6 +12,7 @@ import public_tokenizers
 import pytest
 import regex
 from helpers import LOWER, documents, sha
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wattle.llm import bpe, decontaminate, secret_scan, toxicity
@@ -150,6 +152,42 @@ def test_redaction(spark):
                      (4, "[SECRET] and [SECRET]", 21)]
 
 
+def test_two_levels_of_ownership(spark):
+    """A value in many different texts of one owner is boilerplate; in many
+    copies of one text it is that owner's own."""
+    often, own = "ghp_" + "q1W2" * 9, "ghp_" + "e3R4" * 9
+    rows = [(i, f"text {i} {often}", "a") for i in range(60)] + [(100 + i, f"one text {own}", "a") for i in range(60)]
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(documents(spark, rows)).collect()}
+    assert all(got[i].spans == "" and (got[i].n_live, got[i].n_copied) == (0, 1) for i in range(60))
+    assert all(got[100 + i].spans == "github:9:49" for i in range(60))
+    few = secret_scan.scan_secrets(documents(spark, rows), most_repositories=60).collect()
+    assert all(r.spans for r in few)
+
+
+def test_many_matches_in_one_text(spark):
+    """Blocks of matches: spans and redaction as in plain Python, in linear time."""
+    draw = random.Random(6)
+    parts = ["é", " ", f"token={HEX40}", HEX40, "AKIA" + "Z9" * 8, "password: abc", "中文 ", "secret = 'longenough'", "\n"]
+    text = " ".join(draw.choice(parts) for _ in range(12_000))
+    rows = [(1, text, "a"), (2, " ".join([HEX40] * 129), "a"), (3, " ".join([HEX40] * 128), "b")]
+    docs = documents(spark, rows).withColumn("found_spans_of_row", F.lit("mine"))
+    start = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(docs).collect()}
+    clean = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
+    assert time.time() - start < 60
+    for d, t, _ in rows:
+        a, b, c, s = base_spans(t)
+        assert (got[d].n_assign, got[d].n_access, got[d].n_hex) == (len(a), len(b), len(c))
+        assert got[d].base_sha256 == sha(s)
+        out, at = [], 0
+        for x, y in sorted((int(p.split(":")[1]), int(p.split(":")[2])) for p in s.split(",")):
+            if x >= at:
+                out += [t[at:x], "[SECRET]"]
+            at = max(at, y)
+        want = "".join(out) + t[at:]
+        assert clean[d].text == want and clean[d].n_chars == len(want) and clean[d].found_spans_of_row == "mine"
+
+
 def test_redaction_of_copied_secrets(spark):
     gh, jwt = "ghp_" + "z9Y8" * 9, "eyJ" + "a1B2" * 4 + "." + "c3D4" * 4 + "." + "e5F6" * 4
     more = [gh, jwt, "Bearer " + "q7-R" * 6, "xoxb-" + "1a2B" * 5, "0123456789ABCDEF" * 2]

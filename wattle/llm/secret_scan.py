@@ -4,6 +4,9 @@ separates widely copied examples from live-looking credentials of one owner."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,37 @@ MORE = (
 KINDS = BASE + MORE
 
 
+# Elements that one fold runs over: what it has built is copied at each step, so
+# a fold over all matches of a long text would be quadratic.
+BLOCK = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def in_blocks(array: Column, measure: Callable[[Column], Column], add: Callable[[Column, Column], Column]) -> Column:
+    """Array of (items, from): the array cut into blocks, each with ``measure``
+    of all elements before it, put together by ``add`` from 0 on."""
+    zero = F.lit(0).cast("long")
+
+    def cut(whole: Column) -> Column:
+        last = F.greatest(F.size(whole) - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int")),
+                           lambda b: F.slice(whole, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def total(block: Column) -> Column:
+        return F.aggregate(block, zero, lambda a, x: add(a, measure(x)))
+
+    def before(totals: Column) -> Column:
+        return F.transform(totals, lambda t, i: F.aggregate(F.slice(totals, F.lit(1), i), zero, lambda a, x: add(a, x)))
+
+    return let(let(array, cut), lambda blocks: F.zip_with(
+        blocks, let(F.transform(blocks, total), before),
+        lambda items, start: F.struct(items.alias("items"), start.alias("from"))))
+
+
 def matches(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
     """Array of (start, end, order, kind, value) of the leftmost non-overlapping
     matches whose value is long enough; code points, end exclusive.
@@ -37,8 +71,7 @@ def matches(text: Column, kind: str, order: int, pattern: str, group: int, least
     pieces = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(
-        "array<struct<start:long,end:long,order:int,kind:string,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:long,end:long,order:int,kind:string,value:string>>")
 
     def step(state: Column, one: Column) -> Column:
         begin = state["at"] + F.length(one["piece"])
@@ -50,9 +83,12 @@ def matches(text: Column, kind: str, order: int, pattern: str, group: int, least
 
     zipped = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("piece"), whole.alias("whole"),
                           value.alias("value"))
-    found = F.aggregate(zipped, start, step, lambda s: s["out"])
+    blocks = in_blocks(zipped, lambda one: (F.length(one["piece"]) + F.length(one["whole"])).cast("long"),
+                       lambda a, b: a + b)
+    found = F.flatten(F.transform(blocks, lambda block: F.aggregate(
+        block["items"], F.struct(block["from"].alias("at"), none.alias("out")), step, lambda s: s["out"])))
     # Most texts hold no value of the kind, and one search tells.
-    return F.when(text.rlike(pattern), found).otherwise(start["out"])
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def span_text(spans: Column) -> Column:
@@ -74,30 +110,34 @@ def all_matches(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, key (tells texts of one doc_id apart), owner and ``found``, the
-    matches of all kinds."""
+    """doc_id, key (tells texts of one doc_id apart), owner, repository (equal
+    texts are copies of one) and ``found``, the matches of all kinds."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"),
-        F.coalesce("source", F.lit("")).alias("owner"), all_matches(text).alias("found"))
+        F.coalesce("source", F.lit("")).alias("owner"), F.xxhash64(text).alias("repository"),
+        all_matches(text).alias("found"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Owners and documents of each value: counted by (value, owner) first, so
-    that a value in a third of all rows is pre-aggregated before either shuffle."""
-    one = found.select("doc_id", "key", "owner", F.explode(F.array_distinct(F.transform(
-        "found", lambda s: F.sha2(s["value"], 256)))).alias("value"))
-    by_owner = one.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n_rows"))
-    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_rows").alias("n_rows"))
+    """Owners and repositories of each value. Copies of a text are one
+    repository of their owner; pairs are made distinct and counted by (value,
+    owner) first, so that a value in a third of all rows is pre-aggregated
+    before every shuffle."""
+    one = found.select("owner", "repository", F.explode(F.array_distinct(F.transform(
+        "found", lambda s: F.sha2(s["value"], 256)))).alias("value")).distinct()
+    by_owner = one.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("held"))
+    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("held").alias("n_repositories"))
 
 
-def scan_secrets(docs: DataFrame, most_owners: int = 1) -> DataFrame:
+def scan_secrets(docs: DataFrame, most_owners: int = 1, most_repositories: int = 50) -> DataFrame:
     """One row for each input row: doc_id, the counts of the base kinds,
     base_sha256, spans, n_live, n_copied, ``live`` (the spans as structs) and
     key (a hash of doc_id, text and source).
 
     A value is live-looking if at most ``most_owners`` different sources hold
-    it, and widely copied otherwise. Base spans always stay; spans of the
+    it, in at most ``most_repositories`` different texts, and widely copied
+    otherwise: one owner's boilerplate is no credential either. Base spans always stay; spans of the
     further kinds are added where their value is live. Null texts are empty
     and have no spans; null sources count as one owner; repeated rows count
     once as owners. Columns other than doc_id, text and source are ignored,
@@ -116,7 +156,7 @@ def scan_secrets(docs: DataFrame, most_owners: int = 1) -> DataFrame:
     spread = ownership(found)
     values = found.select("key", F.explode("found").alias("s")).select(
         "key", "s", F.sha2(F.col("s.value"), 256).alias("value"))
-    judged = values.join(spread, "value").withColumn("live", F.col("n_owners") <= most_owners)
+    judged = values.join(spread, "value").withColumn("live", (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories))
     more = judged.groupBy("key").agg(
         F.collect_set(F.when((F.col("s.order") >= len(BASE)) & F.col("live"), F.col("s"))).alias("more"),
         F.count_distinct(F.when(F.col("live"), F.col("value"))).alias("n_live"),
@@ -133,21 +173,35 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     many documents or sources hold the value: being copied doesn't prove it an
     example. Matches that overlap are one. n_chars, where there is one, is
     counted anew for the texts that change; other columns stay as they are."""
-    name = "found_spans_of_row"
+    found = "spans of " + uuid.uuid4().hex  # no column of the caller's
     text = F.col("text")
-    rows = docs.withColumn(name, F.array_sort(all_matches(F.coalesce(text, F.lit("")))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"),
-                                                   (s["start"] - state["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
-
-    clean = F.aggregate(name, start, step, lambda s: F.concat(s["out"], F.substring(
-        text, (s["at"] + 1).cast("int"), F.length(text))))
-    changed = F.size(name) > 0
+    rows = docs.withColumn(found, F.array_sort(all_matches(F.coalesce(text, F.lit("")))))
+    spans = F.col(f"`{found}`")
+
+    def clean_block(block: Column) -> Column:
+        """The text from where the blocks before it end to where it ends; only
+        this part of the text is gone through for each span."""
+        base = block["from"]
+        stop = F.greatest(base, F.array_max(F.transform(block["items"], lambda s: s["end"])))
+        part = F.substring(text, (base + 1).cast("int"), (stop - base).cast("int"))
+        start = F.struct(base.alias("at"), F.lit("").alias("out"), part.alias("part"))
+
+        def step(state: Column, s: Column) -> Column:
+            gap = F.substring(state["part"], (state["at"] - base + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
+            fresh = F.concat(state["out"], gap, F.lit(mark))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
+                            F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"),
+                            state["part"].alias("part"))
+
+        return F.aggregate(block["items"], start, step, lambda s: s["out"])
+
+    blocks = in_blocks(spans, lambda s: s["end"], F.greatest)
+    reach = F.array_max(F.transform(spans, lambda s: s["end"]))
+    rest = F.substring(text, (reach + 1).cast("int"), F.length(text))
+    clean = F.concat(F.array_join(F.transform(blocks, clean_block), ""), rest)
+    changed = F.size(spans) > 0
     if "n_chars" in docs.columns:
         count = F.length(clean).cast(docs.schema["n_chars"].dataType)
         rows = rows.withColumn("n_chars", F.when(changed, count).otherwise(F.col("n_chars")))
-    return rows.withColumn("text", F.when(changed, clean).otherwise(text)).select(*docs.columns)
+    return rows.withColumn("text", F.when(changed, clean).otherwise(text)).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
