@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from helpers import LOWER, WORDS, corpus, documents
 
-from wattle.llm import jaccard
+from wattle.llm import jaccard, textkit
 
 
 def brute(rows):
@@ -89,3 +89,24 @@ def test_connected(spark):
                 seen.add(x)
                 todo.append(x)
         assert root == min(seen)
+
+
+def test_join_hot_apart_is_the_join(spark):
+    draw = random.Random(3)
+    left = [(draw.choice([1, 1, 1, 2, 3, 4, 5, None]), i) for i in range(400)]
+    counts = Counter(k for k, _ in left)
+    a = spark.createDataFrame(left, "k long, v long")
+    b = spark.createDataFrame([(k, f"x{k}", n) for k, n in counts.items() if k not in (None, 5)], "k long, x string, n long")
+    want = Counter((k, v, f"x{k}") for k, v in left if k not in (None, 5))
+    for least in (1, 60, 1000):
+        assert Counter(map(tuple, textkit.join_hot_apart(a, b, "k", "n", least).collect())) == want
+
+
+@pytest.mark.parametrize("rows_of_a_key", [2, 10_000])
+def test_hot_shingles_change_nothing(spark, monkeypatch, rows_of_a_key):
+    """Keys of two rows are joined apart: planned on the driver, so the patch counts."""
+    plain = textkit.join_hot_apart
+    monkeypatch.setattr(textkit, "join_hot_apart", lambda *a: plain(*a, least=rows_of_a_key))
+    rows = near_copies(11)
+    got = jaccard.jaccard_components(documents(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == brute(rows)

@@ -191,8 +191,8 @@ def leader_pairs(nodes: DataFrame) -> DataFrame:
     group of copies has in common."""
     least = nodes.select("set", (F.col("n") - F.size("toks")).alias("own"),
                          F.explode(F.slice(F.array_sort("toks"), 1, LEADS)).alias("tok"))
-    lead = least.groupBy("tok").agg(F.min(F.struct("own", "set"))["set"].alias("a"))
-    return least.join(lead, "tok").where("set <> a").select(
+    lead = least.groupBy("tok").agg(F.min(F.struct("own", "set"))["set"].alias("a"), F.count(F.lit(1)).alias("held"))
+    return textkit.join_hot_apart(least, lead, "tok", "held").where("set <> a").select(
         F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b")).distinct()
 
 
@@ -219,8 +219,8 @@ def outside_largest(keys: DataFrame) -> DataFrame:
     held = keys.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held"))
     by_key = held.groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("largest"),
                                      F.count(F.lit(1)).alias("roots"), F.sum("held").alias("entries"))
-    spread = by_key.where("roots > 1").select("key", "largest", "entries")
-    return keys.join(spread, "key").where("root <> largest").drop("largest")
+    spread = by_key.where("roots > 1").select("key", "largest", "entries", F.col("entries").alias("held"))
+    return textkit.join_hot_apart(keys, spread, "key", "held").where("root <> largest").drop("largest")
 
 
 def proposed(few: DataFrame, keys: DataFrame, keep: Column) -> DataFrame:
