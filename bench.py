@@ -26,7 +26,9 @@ HEADLINE = [
     "voltage_profile", "complete_days", "weekend_curve", "season_curves", "domain_audit",
     "audit_consumption", "audit_power", "latest_attribute", "reconcile_entities",
     "meter_locations", "gis_layer_slice", "domain_audit_gis", "orders_latest_priority",
-    "orders_reconcile", "events_previous",
+    "orders_reconcile", "events_previous", "reverse_flow_periods", "load_rollup", "coincident_peaks",
+    "transformer_loading", "neighbours", "spatial_clusters", "shape_clusters", "voltage_deviation",
+    "labelled_measures",
 ]
 
 

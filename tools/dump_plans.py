@@ -17,7 +17,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 KEYS = ["energy_deltas", "active_profile", "complete_days", "season_curves", "weekend_curve",
         "domain_audit", "audit_power", "reconcile_entities", "meter_locations", "n_phases",
-        "gis_layer_slice", "time_window"]
+        "gis_layer_slice", "time_window", "latest_attribute", "reverse_flow_periods", "load_rollup",
+        "coincident_peaks", "transformer_loading", "neighbours", "voltage_deviation", "labelled_measures"]
 
 
 def main() -> None:

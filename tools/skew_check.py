@@ -105,17 +105,13 @@ def main() -> None:
     # the shuffle before the join reads every labelled row, crowded day included
     labelled = scenarios.calendar_labels(skewed).withColumn("timestep", F.lit(0))
     pre_semi = labelled.repartition("node", "date")
-    counts = scenarios.samples_per_day(labelled).filter("samples > 1000").select("node", "date")
-    pre_semi_dropped = labelled.join(F.broadcast(counts), ["node", "date"], "left_anti") \
-        .repartition("node", "date")
     print(json.dumps({
         "hot_meter_share_of_rows": round(hot_share, 4),
         "largest_task_share_plain_lag": max_share(plain)[0],
         "largest_task_share_with_previous": max_share(spread)[0],
         "same_values": same,
         "crowded_day_share_of_rows": round((n // 2) / (n + n // 2), 4),
-        "largest_join_input_share_without_drop": day_share(pre_semi),
-        "largest_join_input_share_with_drop": day_share(pre_semi_dropped),
+        "largest_join_input_share": day_share(pre_semi),
         "same_complete_days": scenarios.complete_days(skewed).exceptAll(
             semi_only(skewed)).isEmpty(),
         "largest_window_task_share": day_share(steps(scenarios.complete_days(skewed))),

@@ -5,11 +5,10 @@ has exactly ``samples_per_day`` rows on that date; curves are means per
 0-based timestep of complete days.
 
 Plan shape: the day count is a partial aggregate (a node with many rows is
-combined before the shuffle); oversized groups are dropped map-side; complete
-days are kept with a left-semi join on (node, date), and the timestep window
-partitions by the same (node, date) so it reuses the join's shuffle. After
-the join every group has exactly ``samples_per_day`` rows, so no window
-group can grow with the data.
+combined before the shuffle); complete days are kept with a left-semi join on
+(node, date), and the timestep window partitions by the same (node, date) so
+it reuses the join's shuffle. After the join every group has exactly
+``samples_per_day`` rows, so no window group can grow with the data.
 """
 
 from __future__ import annotations
