@@ -54,12 +54,25 @@ def test_decontamination_matches_brute_force(spark, part):
     items, docs = leaky()
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.decontaminate(documents(spark, docs), bench, part_bytes=part).collect()
+    assert len(got) == len(docs)
+    if part == 40:  # put together by document, in no order
+        got, docs = sorted(got, key=lambda r: str(r.doc_id)), sorted(docs, key=lambda d: str(d[0]))
     for r, (d, t) in zip(got, docs):
         assert (r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (d, *brute_hits(t, items))
         inside = [KEPT.findall((t or "").translate(LOWER)[s.start:s.end]) for s in r.spans]
         assert sum(map(len, inside)) == r.n_hit
 
 
+def test_decontamination_in_parts_carries_columns(spark):
+    items, docs = leaky(5)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = documents(spark, docs)
+    whole, parts = (decontaminate.decontaminate(table, bench, part_bytes=n, carry=("text", "key", "spans")).collect()
+                    for n in (1 << 20, 1500))
+    assert sorted(map(repr, whole)) == sorted(map(repr, parts))
+    assert {(r.carried.key, r.carried.spans) for r in parts} == {("k", "s")}
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(documents(spark, []), none).count() == 0
