@@ -59,6 +59,30 @@ def test_url_model_on_held_out_rows():
     assert np.mean([(urls.score(h, p, w) >= 0.5) == bool(y) for h, p, y in held]) > 0.95
 
 
+def test_url_model_on_held_out_hosts():
+    """Whole hosts held out with all their prefixes, and none of them a host
+    of the supplied pages."""
+    n = len(urls.PREFIXES)
+    rows = urls.training_table()
+    host = [i // n for i in range(len(rows))]
+    right = {0: [], 1: []}
+    for fold in range(8):
+        w = urls.train([r for r, h in zip(rows, host) if h % 8 != fold])
+        held = [r for r, h in zip(rows, host) if h % 8 == fold][::n]
+        for (_, _, label), s in zip(held, urls.scores([(h, p) for h, p, _ in held], w)):
+            right[label].append((s >= 0.6) == bool(label))
+    assert np.mean(right[1]) >= 0.8 and np.mean(right[0]) >= 0.97
+    names = {h.split(".")[0] for h in urls.hosts(urls.BLOCKED_WORDS) + urls.hosts(urls.ALLOWED_WORDS)}
+    assert not names & {"casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x"}
+
+
+def test_url_features_by_hand():
+    row, col = urls.features([("ab", ""), ("", "/x"), ("ab", "")])
+    assert [int((row == i).sum()) for i in range(3)] == [3, 3, 3]   # ^ab, ab$, ^ab$ / ^/x, /x$, ^/x$; ^$ is too short
+    assert set(col[row == 0]) == set(col[row == 2]) != set(col[row == 1])
+    assert urls.features([])[0].size == 0 and urls.scores([], urls.train([])).size == 0
+
+
 def test_nearest_recall_order_and_bad_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((900, 16)) * rng.uniform(0.5, 2, (900, 1))

@@ -3,7 +3,6 @@ character n-grams of host and path for the urls that no rule fits."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattle.llm.textkit import ship_package
+from wattle.llm.textkit import STEP, mix, ship_package
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Features of the model: n-grams of these lengths, hashed into so many bins.
@@ -20,74 +19,97 @@ GRAMS, BINS = (3, 4, 5), 1 << 15
 # Rules of the query: host and path, verdict.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-# The labelled table: host names of either kind; `training_table` joins them
-# with the same paths, so that only the host tells the kinds apart.
-BLOCKED_HOSTS = (
-    "casino-win.example.com", "royal-casino.example.com", "casino.example.org", "poker-star.example.com",
-    "free-bets.example.com", "sports-bets.example.org", "bet-now.example.com", "lucky-slots.example.com",
-    "cheap-pills.example.com", "pills-online.example.org", "buy-viagra.example.com", "cheap-meds.example.com",
-    "ads-track.example.com", "ad-server.example.com", "click-ads.example.org", "track-pixel.example.com",
-    "spam-farm.example.com", "link-farm.example.org", "seo-spam.example.com", "content-farm.example.com",
-    "adult-x.example.com", "adult-video.example.org", "xxx-cam.example.com", "hot-porn.example.com",
-    "fast-loans.example.com", "payday-loans.example.org", "free-money.example.com", "win-prize.example.com",
-    "phish-login.example.com", "malware-drop.example.org", "free-warez.example.com", "torrent-crack.example.com",
-    "replica-watches.example.com", "escort-girls.example.org", "get-rich.example.com", "crypto-scam.example.com",
-)
-ALLOWED_HOSTS = (
-    "news.example.com", "daily-news.example.org", "weather.example.com", "city-library.example.org",
-    "university.example.com", "physics.example.org", "history-museum.example.com", "garden.example.com",
-    "cooking.example.org", "travel-notes.example.com", "maps.example.com", "open-data.example.org",
-    "health-info.example.com", "school.example.org", "parliament.example.com", "art-gallery.example.com",
-    "reader.example.org", "forum.example.com", "docs.example.com", "wiki.example.org",
-    "mountains.example.com", "river.example.org", "thonder.example.com", "therest.example.com",
-    "tionder.example.org", "ththere.example.com", "ingthe.example.org", "theration.example.com",
-    "rehand.example.com", "ouhester.example.org", "theand.example.com", "stonere.example.com",
-    "thening.example.org", "athering.example.com", "thatis.example.com", "theshon.example.org",
-    "thouand.example.com", "ththat.example.com", "tionson.example.org", "tionare.example.com",
-    "thisand.example.com", "thouther.example.org", "ththand.example.com", "shorting.example.com",
-)
+# The labelled table is built from common words of either kind, each joined with
+# words that stand beside both kinds; `training_table` joins the hosts with the
+# same prefixes and paths, so that only the host tells the kinds apart.
+BLOCKED_WORDS = (
+    "casino casinos poker bet bets betting gamble slots jackpot roulette pill pills viagra cialis pharma meds steroid "
+    "ad ads adserver adclick track tracker popunder banner spam spammer linkfarm seofarm adult porn xxx cam escort "
+    "loan loans payday warez crack keygen torrent replica phish malware scam prize lottery").split()
+ALLOWED_WORDS = (
+    "news weather library school university physics history museum garden cooking travel maps data health parliament "
+    "art gallery reader forum docs wiki mountain river science music theatre poetry grammar railway harbour village "
+    "council hospital biology chemistry astronomy language dictionary archive journal letters photo film theory method "
+    "station bridge forest ocean desert island farm kitchen bakery orchestra stadium football tennis chess").split()
+BESIDE = ("free best top win cheap royal lucky super mega online club zone hub world star now daily city old new "
+          "my the our x pro").split()
+ENDINGS = ("example.com", "example.org", "example.net")
 PREFIXES = ("", "www.", "m.", "blog.")
 PATHS = ("/en/12", "/de/480", "/fr/3317/", "/es/78.html", "/en/9051", "/index.html", "/", "/fr/6")
+HOSTS_OF_A_WORD = 6
+
+
+def hosts(words: list[str]) -> list[str]:
+    """For each word some names that it makes with the words beside it."""
+    out = []
+    for i, word in enumerate(words):
+        for k in range(HOSTS_OF_A_WORD):
+            other = BESIDE[(7 * i + 4 * k + 2) % len(BESIDE)]
+            name = (f"{other}-{word}", f"{word}-{other}", f"{other}{word}", f"{word}{other}", word, f"{word}s-{other}")[k]
+            out.append(f"{name}.{ENDINGS[(i + k) % len(ENDINGS)]}")
+    return out
 
 
 def training_table() -> list[tuple[str, str, int]]:
     """host, path and label (1: block); each host with every prefix."""
     out = []
-    for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)):
-        for i, host in enumerate(hosts):
+    for label, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)):
+        for i, host in enumerate(hosts(words)):
             out += [(p + host, PATHS[(i + k) % len(PATHS)], label) for k, p in enumerate(PREFIXES)]
     return out
 
 
-def features(host: str, path: str) -> np.ndarray:
-    """Bins of the different n-grams of host and path."""
-    found = set()
-    for kind, part in (("h", f"^{host}$"), ("p", f"^{path}$")):
-        for n in GRAMS:
-            found.update(zlib.crc32(f"{kind}{part[i:i + n]}".encode()) % BINS for i in range(len(part) - n + 1))
-    return np.fromiter(found, dtype=np.int64, count=len(found))
-
-
-def train(rows: list[tuple[str, str, int]], rounds: int = 300, rate: float = 2.0, ridge: float = 1e-4) -> np.ndarray:
+def features(rows: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and bins of the different n-grams of host and path, all rows
+    at once: one rolling hash over the bytes of all parts."""
+    parts = [f"{kind}^{part}$".encode() for row in rows for kind, part in zip("hp", row, strict=True)]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    raw = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.uint64)
+    sizes = np.array([len(p) for p in parts])
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    row = np.repeat(np.arange(len(parts)) // 2, sizes)
+    kind = np.repeat(np.arange(len(parts), dtype=np.uint64) % np.uint64(2), sizes)
+    first = np.zeros(len(raw), dtype=bool)
+    first[np.cumsum(sizes) - sizes] = True  # the letter of the kind begins no n-gram
+    found = []
+    for n in GRAMS:
+        at = np.flatnonzero(~first & (np.arange(len(raw)) + n <= ends))
+        value = kind[at] + np.uint64(2 * n)
+        for k in range(n):
+            value = value * STEP + raw[at + k]
+        found.append(row[at] * BINS + (mix(value) % np.uint64(BINS)).astype(np.int64))
+    both = np.unique(np.concatenate(found))
+    return both // BINS, both % BINS
+
+
+def logits(row: np.ndarray, col: np.ndarray, count: int, w: np.ndarray) -> np.ndarray:
+    """Sums of the rows' weights, scaled to the length of one."""
+    n = np.maximum(1, np.bincount(row, minlength=count))
+    return np.bincount(row, w[col], count) / np.sqrt(n) + w[-1]
+
+
+def train(rows: list[tuple[str, str, int]], rounds: int = 600, rate: float = 20.0, ridge: float = 2e-5) -> np.ndarray:
     """Weights by gradient descent; the last one is the intercept."""
-    bins = [features(h, p) for h, p, _ in rows]
-    row = np.repeat(np.arange(len(rows)), [len(b) for b in bins])
-    col = np.concatenate(bins) if bins else np.empty(0, np.int64)
-    scale = 1 / np.sqrt(np.maximum(1, [len(b) for b in bins]))
-    y = np.array([label for *_, label in rows], dtype=float)
     w = np.zeros(BINS + 1)
+    if not rows:
+        return w
+    row, col = features([(h, p) for h, p, _ in rows])
+    scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(rows))))
+    y = np.array([label for *_, label in rows], dtype=float)
     for _ in range(rounds):
-        z = np.bincount(row, w[col], len(rows)) * scale + w[-1]
-        miss = 1 / (1 + np.exp(-z)) - y
-        w[:-1] -= rate * (np.bincount(col, (miss * scale)[row], BINS) / max(1, len(rows)) + ridge * w[:-1])
+        miss = 1 / (1 + np.exp(-logits(row, col, len(rows), w))) - y
+        w[:-1] -= rate * (np.bincount(col, (miss * scale)[row], BINS) / len(rows) + ridge * w[:-1])
         w[-1] -= rate * miss.mean()
     return w
 
 
+def scores(rows: list[tuple[str, str]], weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-logits(*features(rows), len(rows), weights)))
+
+
 def score(host: str, path: str, weights: np.ndarray) -> float:
-    bins = features(host, path)
-    z = weights[bins].sum() / np.sqrt(max(1, len(bins))) + weights[-1]
-    return float(1 / (1 + np.exp(-z)))
+    return float(scores([(host, path)], weights)[0])
 
 
 def host_of(url: Column) -> Column:
@@ -125,7 +147,7 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.6) -> DataFra
     @F.pandas_udf("double")
     def spam(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for hosts, paths in parts:
-            yield pd.Series([score(h, p, weights.value) for h, p in zip(hosts, paths, strict=True)], dtype=float)
+            yield pd.Series(scores(list(zip(hosts, paths, strict=True)), weights.value), dtype=float)
 
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
