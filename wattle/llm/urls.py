@@ -44,7 +44,7 @@ def hosts(words: list[str]) -> list[str]:
     out = []
     for i, word in enumerate(words):
         for k in range(HOSTS_OF_A_WORD):
-            other = BESIDE[(7 * i + 4 * k + 2) % len(BESIDE)]
+            other = BESIDE[(7 * i + 4 * k + 3) % len(BESIDE)]
             name = (f"{other}-{word}", f"{word}-{other}", f"{other}{word}", f"{word}{other}", word, f"{word}s-{other}")[k]
             out.append(f"{name}.{ENDINGS[(i + k) % len(ENDINGS)]}")
     return out
