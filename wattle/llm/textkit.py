@@ -6,12 +6,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import operator
 import os
 import tempfile
 import zipfile
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -79,14 +77,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join by keys of which a null equals a null; the left's keys stay."""
-    other = {k: f"__other_{k}" for k in keys}
-    right = right.withColumnsRenamed(other)
-    on = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()])
-    return left.join(right, on, how).drop(*other.values())
-
-
 # Keys that are joined apart, and the rows of a key from which on it may be.
 HOT_KEYS, HOT_ROWS = 2000, 10_000
 
