@@ -59,3 +59,21 @@ def test_parquet_sink_restart_is_exactly_once(spark, tmp_path):
         q.awaitTermination()
         got = spark.read.parquet(out)
         assert rows(got) == rows(want.select(*got.columns))
+
+
+def test_power_stream_matches_batch_profiles(spark, tmp_path):
+    """Cleaned interval readings as they arrive give the profile of the batch."""
+    from wattle.operators import measures, power
+    from wattle.sources.schemas import POWER_SCHEMA
+    raw = build_view(spark, SF_SMALL, "power_raw").select(*POWER_SCHEMA.fieldNames()).where("MEDIDOR <= '1004'")
+    src = str(tmp_path / "power")
+    raw.repartition(3).write.parquet(src)
+    out = str(tmp_path / "clean_power")
+    q = start(clean_stream(read_stream(spark, src, POWER_SCHEMA, max_files_per_trigger=1), "power"), "wattle_power",
+              path=out, checkpoint=str(tmp_path / "ck-power"))
+    q.awaitTermination()
+
+    def profile(clean):
+        return rows(power.active_profile(measures.split(clean, "active")))
+
+    assert profile(spark.read.parquet(out)) == profile(cleaning.clean_power(raw)) != []

@@ -50,10 +50,6 @@ CUSTOMER_SCHEMA = _struct(
     ("DESCSECTOR", _S),
 )
 
-LOADS_LAYER_SCHEMA = _struct(
-    ("IDLOCALIZA", _S), ("NUMEROMEDI", _S), ("OBJECTID", _L), ("x", _D), ("y", _D),
-)
-
 SCENARIO_SCHEMA = _struct(("node", _L), ("ts", _TS), ("P", _D))
 
 # Text dtype names accepted in an external column -> dtype map (pandas-style
