@@ -502,6 +502,21 @@ def scan_table_over_path(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean_consumption(readers.load_readings(spark, table_name=name, data_path=other))
 
 
+def domain_audit_services(spark: SparkSession, sf: str) -> DataFrame:
+    """Service ids of the readings against a layer that has its own."""
+    services = audits.gis_keys(_network(spark, sf, "Services").loads, "NISE")
+    return audits.domain_audit(_consumption(spark, sf), services, domain_label="NISE", a_label="consumption",
+                               b_label="services")
+
+
+def customers_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """Customer master text read with whole numbers, floating numbers and text."""
+    path = scratch_path(spark, "customers_text")
+    build_view(spark, sf, "customers_raw").write.option("sep", ";").option("header", "true").csv(path)
+    kinds = {"NISE": "str", "FEC_INST_NISE": "Int64", "FECHA_LECTURA": "float64", "DESCSECTOR": "str"}
+    return readers.read_customers(spark, path, kinds).select(*kinds)
+
+
 def season_curves_sorted(spark: SparkSession, sf: str) -> DataFrame:
     """Curves in their order for display, with the place of each row."""
     ordered = scenarios.presentation_order(season_curves(spark, sf))
@@ -653,6 +668,8 @@ QUERIES: dict[str, Query] = {
     "scan_table_over_path": scan_table_over_path,
     "season_curves_sorted": season_curves_sorted,
     "labelled_measures": labelled_measures,
+    "domain_audit_services": domain_audit_services,
+    "customers_typed": customers_typed,
     "active_profile_repeats": active_profile_repeats,
     "weekend_curve_ties": weekend_curve_ties,
 }

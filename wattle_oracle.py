@@ -704,3 +704,13 @@ having P_Pdem is not null or P_Pgen is not null or E_Edem is not null or E_Egen
                  "from again where day = 'weekend'",
     }) + "select node, timestep, avg(P) as P from steps group by node, timestep",
 })
+
+ORACLE["domain_audit_services"] = _consumption({**_NETWORK}) + """select NISE, bool_or(a) as in_consumption,
+  bool_or(b) as in_services, case when bool_or(a) and bool_or(b) then 'in_both'
+    when bool_or(a) then 'only_in_consumption' else 'only_in_services' end as domain_status
+from (select cast(NISE as varchar) as NISE, true as a, false as b from clean
+      union all select NISE, false, true from network where layer = 'Services')
+where NISE is not null group by NISE"""
+ORACLE["customers_typed"] = _with(customers_raw=view_sql("customers_raw")) + """select NISE,
+  try_cast(FEC_INST_NISE as bigint) as FEC_INST_NISE, try_cast(FECHA_LECTURA as double) as FECHA_LECTURA, DESCSECTOR
+from customers_raw"""
