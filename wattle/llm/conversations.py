@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattle.functions.joins import null_safe_join
-from wattle.llm.textkit import ship_package
-from wattle.session import scratch_path
+from wattle.llm.textkit import ship_package, stored
 
 # Fixed values of the edits.
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1
@@ -440,23 +439,18 @@ def digest_conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def plan_repair(rows: DataFrame, piece_rows: int = PIECE) -> tuple[DataFrame, DataFrame]:
     """The pieces of all conversations, and their crossings with the numbers
     of each conversation (null but on its last piece); both stored."""
-    spark = rows.sparkSession
-    ship_package(spark)
+    ship_package(rows.sparkSession)
     order = [F.col(c) for c in _KEYS]
     dealt = judged(_keyed(rows)).repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = dealt.select("conv_id", F.spark_partition_id().cast("long").alias("part"), "turn", "role", "sha",
                          "copies", "fault")
-    path = scratch_path(spark, "conversation-pieces")
-    dealt.mapInArrow(cut_runs(piece_rows), PIECE_SCHEMA).write.parquet(path)
-    pieces = spark.read.schema(PIECE_SCHEMA).parquet(path)
+    pieces = stored(dealt.mapInArrow(cut_runs(piece_rows), PIECE_SCHEMA), "conversation-pieces")
     ends = {"begin": F.element_at("initials", 1), "end": F.element_at("initials", -1),
             "low": F.array_min("turns"), "high": F.array_max("turns")}
     own = ["conv_id", "part", "piece"]
     met = pieces.select(*own, "costs", "ranks", "counts", "n_turns", *[c.alias(n) for n, c in ends.items()])
     met = met.repartition("conv_id").sortWithinPartitions(*own)
-    path = scratch_path(spark, "conversation-states")
-    met.mapInArrow(cross_pieces, CROSS_SCHEMA).write.parquet(path)
-    return pieces, spark.read.schema(CROSS_SCHEMA).parquet(path)
+    return pieces, stored(met.mapInArrow(cross_pieces, CROSS_SCHEMA), "conversation-states")
 
 
 def repaired_rows(rows: DataFrame, pieces: DataFrame, states: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattle.functions.joins import null_safe_join
-from wattle.llm.textkit import ship_package, with_carried
+from wattle.llm.textkit import ship_package, stored, with_carried
 from wattle.session import scratch_path
 
 # Bytes that words keep, after A-Z are lower-cased: digits, letters and all of
@@ -133,9 +133,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     """
     spark = docs.sparkSession
     ship_package(spark)
-    path = scratch_path(spark, "benchmark-windows")
-    window_rows(benchmark, width).write.parquet(path)
-    windows = spark.read.schema("window string, size int, items array<string>").parquet(path)
+    windows = stored(window_rows(benchmark, width), "benchmark-windows")
     total = windows.agg(F.sum(F.octet_length("window"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
     kept = [docs.schema[c] for c in carry]

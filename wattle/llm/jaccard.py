@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from wattle.llm import textkit
 from wattle.llm.windows import MAP_SCHEMA, NO_ID, UNIT_BYTES, _HOME, _MAP, HOME_SCHEMA, by_value, pack, rows_of, take, unpack
-from wattle.session import ensure_checkpoint_dir, scratch_path
+from wattle.session import scratch_path
 
 WORDS = 5
 BUCKET_BYTES = 8 << 20
@@ -167,9 +167,9 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """node and root (the component's least node) of all nodes with edges, by
-    alternating large and small stars; every round is checkpointed."""
+    alternating large and small stars; every round is stored."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges, last = edges.checkpoint(), None
+    edges, last = textkit.stored(edges, "edges"), None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
@@ -181,8 +181,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
-        edges = small.select("u", F.col("m").alias("v")).unionByName(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct().checkpoint()
+        edges = textkit.stored(small.select("u", F.col("m").alias("v")).unionByName(
+            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
 
 
 def leader_pairs(nodes: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def signature_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     # left: shared shingles of the set from this one on, in the common order.
     lists = signed.select("set", "root", "n", "shared", "sig", F.posexplode(F.expr("slice(toks, 1, sig)")).alias(
         "at", "key")).withColumn("left", F.col("shared") - F.col("at"))
-    few = outside_largest(lists).checkpoint()
+    few = textkit.stored(outside_largest(lists), "entries")
     scans = few.groupBy("set").agg(F.sum("entries").alias("scan"))
     edge = boundary(signed.join(scans, "set", "left").select("n", "sig", F.coalesce("scan", F.lit(0)).alias("scan")))
 
@@ -269,7 +269,6 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     row, and set and root of the sets that are linked with others."""
     spark = docs.sparkSession
     textkit.ship_package(spark)
-    ensure_checkpoint_dir(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc"),
@@ -284,7 +283,7 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = known.where("kind = 1").select("set", "n", "toks")
 
     roots = connected(verified(leader_pairs(nodes), nodes))
-    more = verified(signature_pairs(nodes, roots), nodes).checkpoint()
+    more = textkit.stored(verified(signature_pairs(nodes, roots), nodes), "links")
     if not more.isEmpty():
         roots = connected(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return rows, roots.withColumnRenamed("node", "set")

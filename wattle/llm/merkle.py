@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattle.functions.joins import null_safe_join
-from wattle.session import scratch_path
+from wattle.llm.textkit import stored
 
 # Nodes that share a parent, hex digits of a node.
 FANOUT, WIDTH = 16, 64
@@ -44,13 +44,6 @@ def tampered_text(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """The rows in ``order`` (nulls first) with ``part``, the range partition
     they fall into, and ``at``, their place in it. Stored, since a second

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattle.session import scratch_path
+
 # ASCII white space of the word rules: \x20 and \x09-\x0D.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 # Bytes of text that one numpy step works on (its arrays take about 80 times that).
@@ -42,6 +44,14 @@ def write_table(df: DataFrame, path: str) -> None:
         conf.set(_CLEANUP, before)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read again, as a checkpoint
+    that leaves no shuffle files behind."""
+    path, schema = scratch_path(df.sparkSession, name), df.schema
+    write_table(df, path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers that do not have it on
     their path (Spark's own file distribution carries it, once a context), and
