@@ -31,7 +31,7 @@ def _brute(points, targets, k, radius, same=False):
     return sorted(out)
 
 
-@pytest.mark.parametrize("k, radius, crowd", [(3, 120.0, 256), (1, 2000.0, 4), (4, 33.3, 2)])
+@pytest.mark.parametrize("k, radius, crowd", [(3, 120.0, 256), (1, 2000.0, 16), (4, 33.3, 6)])
 def test_neighbours_match_all_pairs(spark, k, radius, crowd):
     data = _scattered(1, 120, 1000)
     df = _points(spark, data)
@@ -39,11 +39,11 @@ def test_neighbours_match_all_pairs(spark, k, radius, crowd):
     assert rows(got, "id", "rank", "target", "distance") == _brute(data, data, k, radius, same=True)
 
 
-@pytest.mark.parametrize("start, bound", [(40.0, 300.0), (500.0, 200.0)])
+@pytest.mark.parametrize("start, bound", [(80.0, 300.0), (500.0, 200.0)])
 def test_assignment_matches_all_pairs(spark, start, bound):
     data, targets = _scattered(2, 90, 900), [(100 + i, *p[1:]) for i, p in enumerate(_scattered(3, 12, 2500))]
     targets += [(900, -50.0, 3.5), (901, -50.0, 3.5), (900, -50.0, 3.5)]
-    got = spatial.assign_nearest(_points(spark, data), _points(spark, targets), start, bound, crowd=3)
+    got = spatial.assign_nearest(_points(spark, data), _points(spark, targets), start, bound, crowd=12)
     best = {p: (t, d) for p, _, t, d in _brute(data, targets, 1, bound)}
     assert rows(got, "id", "target", "distance") == sorted((p, *best.get(p, (None, None))) for p, _, _ in data)
 

@@ -376,7 +376,7 @@ def coincident_peaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Rings in metres: the first one, and the farthest transformer a load is given to.
-RING, REACH = 10.0, 400.0
+RING, REACH = 50.0, 400.0
 
 
 def transformer_assignment(spark: SparkSession, sf: str) -> DataFrame:
