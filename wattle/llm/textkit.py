@@ -87,22 +87,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Keys that are joined apart, and the rows of a key from which on it may be.
-HOT_KEYS, HOT_ROWS = 2000, 10_000
-
-
-def join_hot_apart(left: DataFrame, right: DataFrame, key: str, rows: str, least: int = HOT_ROWS) -> DataFrame:
-    """Inner join with a right side of unique keys that knows each key's
-    number of left rows (column ``rows``, dropped). The at most HOT_KEYS keys of
-    the most rows are broadcast, a size bound of its own, so that their left rows
-    stay where they are; all others are few to a key and join by shuffle."""
-    hot = right.where(F.col(rows) >= least).orderBy(F.desc(rows), key).limit(HOT_KEYS)
-    near = left.join(F.broadcast(hot.drop(rows)), key)
-    names = F.broadcast(hot.select(key))
-    far = left.join(names, key, "left_anti").join(right.join(names, key, "left_anti").drop(rows), key)
-    return near.unionByName(far)
-
-
 def with_carried(out: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """The carried columns as one struct, so their names can't clash."""
     if not carry:
