@@ -125,7 +125,7 @@ _HOT = "__hot_"
 # Largest (key, bucket) groups that are cut, and the parts a cut can make. Both
 # bound what is broadcast: MOST_HOT rows of PARTS longs. A group beyond the
 # MOST_HOT largest holds less than one part in MOST_HOT of all rows.
-MOST_HOT, PARTS, _STEP = 2000, 1024, 32
+MOST_HOT, PARTS, _STEP = 2000, 256, 16
 
 
 def _split_hot_keys(df: DataFrame, keys: list[str], order_col: str, bucket: Column,
