@@ -91,6 +91,33 @@ def test_transformer_loading(spark):
                                                                            (80, 1, -4.0, None, None)]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _expanded(spark):
+    """Readings that Spark takes for a few bytes, as each key becomes many rows."""
+    return spark.range(4).selectExpr("id as node", "explode(sequence(timestamp_ntz'2026-01-01 00:00:00', "
+                                     "timestamp_ntz'2026-01-03 23:45:00', interval 15 minutes)) as ts").selectExpr(
+        "*", "cast(node + hour(ts) as double) as P_Pdem", "0.25d as P_Pgen", "1.0d as E_Edem", "0.5d as E_Egen")
+
+
+def test_peaks_gather_no_readings_on_the_driver(spark):
+    got = rollup.coincident_peaks(_expanded(spark), spark.range(4).selectExpr("id as node", "id % 2 as zone"), "zone")
+    assert "Broadcast" not in _plan(got)
+    assert rows(got, "zone", "peak", "node_peaks", "diversity") == [(z, p, p, 1.0) for z, p in ((0, 48.0), (1, 50.0))
+                                                                    for _ in range(3)]
+
+
+def test_loading_gathers_no_readings_on_the_driver(spark):
+    near = spark.range(4).selectExpr("id as node", "if(id = 3, null, id % 2) as transformer")
+    units = spark.range(2).selectExpr("id as OBJECTID", "25.0d as KVA")
+    got = rollup.transformer_loading(_expanded(spark), near, units)
+    assert "Broadcast" not in _plan(got)
+    by = {(r.transformer, r.ts): r for r in got.collect()}
+    assert len(by) == 2 * 3 * 96 and by[0, T0].nodes == 2 and by[1, T0].nodes == 1 and by[0, T0].net == 1.5
+
+
 def test_latest_place(spark):
     data = [(1, 5, 120, T0), (1, 6, 250, T0 + dt.timedelta(1)), (1, 6, 240, T0 + dt.timedelta(1)), (2, None, None, T0)]
     readings = spark.createDataFrame(data, "MEDIDOR long, NISE long, LOCALIZACION_REAL long, FECHA_LECTURA timestamp_ntz")

@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 _OTHER = "__other_"
 
 
+def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+               null_safe: bool = False) -> DataFrame:
+    """Join with a right side of few rows for each key: both sides are dealt
+    out by the keys, and neither passes through the driver.
+
+    Spark takes rows that are expanded or come from a checkpoint for far fewer
+    than they are, and a broadcast that it plans by such an estimate stays in
+    the plan when the true size is known. The left side isn't sorted, and its
+    partitions can be cut where a key is hot.
+    """
+    right = right.hint("shuffle_hash")
+    return null_safe_join(left, right, keys, how) if null_safe else left.join(right, list(keys), how)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
                    small: bool = False) -> DataFrame:
     """Join by keys of which a NULL equals a NULL; the left's keys stay.

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattle.functions.joins import null_safe_join
+from wattle.functions.joins import dealt_join, null_safe_join
 from wattle.operators.reconcile import latest_attribute
 from wattle.sources.schemas import require_columns
 
@@ -26,12 +26,12 @@ def node_places(interval_rows: DataFrame, sectors: DataFrame | None = None, zone
     the latest service id. Either is NULL where it isn't known.
     """
     latest = [latest_attribute(interval_rows, node, c, ts).withColumnRenamed(node, "node") for c in (location, service)]
-    places = latest[0].join(latest[1], "node").select(
+    places = dealt_join(*latest, ["node"]).select(
         "node", service, F.floor(F.col(location) / zone_width).cast("long").alias("zone"))
     if sectors is None:
         return places.select("node", F.lit(None).cast("string").alias("sector"), "zone")
-    return places.join(sectors.select(service, F.col(sector).alias("sector")), service, "left").select(
-        "node", "sector", "zone")
+    named = sectors.select(service, F.col(sector).alias("sector"))
+    return dealt_join(places, named, [service], "left").select("node", "sector", "zone")
 
 
 def load_rollup(active: DataFrame, places: DataFrame, levels: Sequence[str] = ("sector", "zone", "node"),
@@ -73,7 +73,7 @@ def group_load(active: DataFrame, members: DataFrame, group: str) -> DataFrame:
     """
     require_columns(active, ["node", "ts", "P_Pdem", "P_Pgen"], "active profile")
     p = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("P_Pdem", "P_Pgen")}
-    rows = active.where(F.col("ts").isNotNull()).join(members.select("node", group), "node")
+    rows = dealt_join(active.where(F.col("ts").isNotNull()), members.select("node", group), ["node"])
     return rows.groupBy(group, "ts").agg(
         F.count(F.lit(1)).alias("nodes"), F.sum(p["P_Pdem"]).alias("demand"), F.sum(p["P_Pgen"]).alias("generation"),
         F.sum(p["P_Pdem"] - p["P_Pgen"]).alias("net"))
@@ -91,8 +91,9 @@ def coincident_peaks(active: DataFrame, members: DataFrame, group: str, period:
     top = load.groupBy(group, start).agg(F.max("demand").alias("peak"), F.max_by("ts", when).alias("peak_ts"))
     own = active.where(F.col("ts").isNotNull()).groupBy("node", start).agg(
         F.max(F.coalesce(F.col("P_Pdem"), F.lit(0.0))).alias("p"))
-    own = own.join(members.select("node", group), "node").groupBy(group, "period").agg(F.sum("p").alias("node_peaks"))
-    return null_safe_join(top, own, [group, "period"]).withColumn(
+    own = dealt_join(own, members.select("node", group), ["node"]).groupBy(group, "period").agg(
+        F.sum("p").alias("node_peaks"))
+    return dealt_join(top, own, [group, "period"], null_safe=True).withColumn(
         "diversity", F.when(F.col("peak") != 0, F.col("node_peaks") / F.col("peak")))
 
 
@@ -109,5 +110,5 @@ def transformer_loading(active: DataFrame, assigned: DataFrame, transformers: Da
     members = assigned.where(F.col("transformer").isNotNull()).select("node", "transformer")
     load = group_load(active, members, "transformer")
     rated = transformers.groupBy(F.col(transformer_id).alias("transformer")).agg(F.max(rating).alias("kva"))
-    return load.join(rated, "transformer", "left").withColumn(
+    return dealt_join(load, rated, ["transformer"], "left").withColumn(
         "loading", F.when(F.col("kva") > 0, F.abs("net") / F.col("kva")))
