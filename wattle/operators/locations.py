@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattle.functions.columns import try_bigint
+from wattle.functions.joins import dealt_join
 from wattle.operators.sequence import head_per_group
 from wattle.sources.schemas import require_columns
 
@@ -87,8 +88,8 @@ def meter_locations(
     point is NULL drop. When the layer repeats a location the last row
     (largest ``order_by``; ``None``: the largest point) wins. An ``epsg``
     column of the layer stays with the point. The layer side is first reduced to one row per location (a
-    partial aggregate), so the join is many-to-one; Spark broadcasts that
-    side only when its measured size is below the broadcast threshold.
+    partial aggregate), so the join is many-to-one; both sides are dealt out by
+    location.
     """
     require_columns(readings, [node_col, geo_of_col], "readings")
     require_columns(loads, [geo_of_col, *GEOMETRY, *([order_by] if order_by else [])], "loads layer")
@@ -107,4 +108,4 @@ def meter_locations(
         .select(geo_of_col, *[F.col(f"__pt.{c}").alias(c) for c in kept])
         .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     )
-    return pairs.join(spots, geo_of_col, "inner")
+    return dealt_join(pairs, spots, [geo_of_col])
