@@ -35,7 +35,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets become [SECRET]; every document stays."""
+    """Secrets become [SECRET], save values that the counts of owners and
+    repositories over all documents prove to be examples; every document stays."""
     return secret_scan.redact(docs)
 
 

@@ -211,6 +211,24 @@ def test_redaction_of_copied_secrets(spark):
         assert r.text == f"é [SECRET] in {r.doc_id % 10}" and r.n_chars == len(r.text)
 
 
+def test_proven_examples_stay(spark):
+    """A value of several sources and many texts is an example; of several
+    sources, or in many texts of one, it may be a secret. Base kinds all go."""
+    example, two, one = "ghp_" + "q1W2" * 9, "ghp_" + "e3R4" * 9, "xoxb-" + "t5Y6" * 5
+    rows = [(i, f"{i} use {example} or {HEX40}", "ab"[i % 2]) for i in range(51)]
+    rows += [(100 + i, f"{i} has {two}", "ab"[i % 2]) for i in range(49)]
+    rows += [(200 + i, f"{i} has {one}", "a") for i in range(60)]
+    rows += [(300, f"both {example} {two}", "c"), (0, f"0 use {example} or {HEX40}", "a"), (301, None, None)]
+    docs = documents(spark, rows)
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert all(got[i] == f"{i} use {example} or [SECRET]" for i in range(51))
+    assert all(got[100 + i] == f"{i} has [SECRET]" for i in range(49))
+    assert all(got[200 + i] == f"{i} has [SECRET]" for i in range(60))
+    assert got[300] == f"both {example} [SECRET]" and not got[301]
+    assert secret_scan.redact(docs).count() == len(rows)
+    assert secret_scan.redact(docs).columns == docs.columns
+
+
 def labelled(spark, seed=4, count=900):
     draw = random.Random(seed)
     plain = [f"word{i}" for i in range(200)]

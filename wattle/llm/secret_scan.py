@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattle.functions.joins import dealt_join
 from wattle.session import ensure_checkpoint_dir
 
 # The base kinds, in the order of the list: pattern, group that holds the value, its least length.
@@ -168,14 +169,36 @@ def scan_secrets(docs: DataFrame, most_owners: int = 1, most_repositories: int =
         spans.alias("live"), "key")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The rows with every match of every kind replaced by ``mark``, however
-    many documents or sources hold the value: being copied doesn't prove it an
-    example. Matches that overlap are one. n_chars, where there is one, is
+def examples(docs: DataFrame, most_owners: int = 1, most_repositories: int = 50) -> DataFrame:
+    """key (see ``row_key``) and ``examples``: the hashes of the values of
+    further kinds in that row which the corpus proves to be copied examples,
+    held by more than ``most_owners`` sources and in more than
+    ``most_repositories`` different texts. Rows without any are left out."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    found = candidates(docs).checkpoint()
+    copied = ownership(found).where((F.col("n_owners") > most_owners) & (F.col("n_repositories") > most_repositories))
+    further = F.filter("found", lambda s: s["order"] >= len(BASE))
+    held = found.select("key", F.explode(F.array_distinct(F.transform(further, lambda s: F.sha2(
+        s["value"], 256)))).alias("value")).distinct()
+    return dealt_join(held, copied.select("value"), ["value"]).groupBy("key").agg(
+        F.collect_set("value").alias("examples"))
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", most_owners: int = 1, most_repositories: int = 50) -> DataFrame:
+    """The rows with their secrets replaced by ``mark``: every match of the
+    base kinds, and those of the further kinds save values that the counts of
+    owners and repositories prove to be examples (see ``examples``). Being
+    copied on one level alone, by a few sources or in many texts of one, is no
+    proof. Matches that overlap are one. n_chars, where there is one, is
     counted anew for the texts that change; other columns stay as they are."""
-    found = "spans of " + uuid.uuid4().hex  # no column of the caller's
+    found, key, known = (f"{name} of {uuid.uuid4().hex}" for name in ("spans", "key", "examples"))  # no column of the caller's
     text = F.col("text")
-    rows = docs.withColumn(found, F.array_sort(all_matches(F.coalesce(text, F.lit("")))))
+    proven = examples(docs, most_owners, most_repositories).select(
+        F.col("key").alias(key), F.col("examples").alias(known))
+    rows = dealt_join(docs.withColumn(key, row_key()), proven, [key], "left")
+    live = F.filter(all_matches(F.coalesce(text, F.lit(""))), lambda s: (s["order"] < len(BASE)) | ~F.array_contains(
+        F.coalesce(F.col(f"`{known}`"), F.array().cast("array<string>")), F.sha2(s["value"], 256)))
+    rows = rows.withColumn(found, F.array_sort(live))
     spans = F.col(f"`{found}`")
 
     def clean_block(block: Column) -> Column:
