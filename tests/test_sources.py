@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql.utils import AnalysisException
 
 from conftest import rows
-from wattle.sources import readers
+from wattle.sources import fixtures, readers
 
 
 def test_read_layers_merges_skips_and_names(spark, tmp_path):
@@ -107,3 +107,13 @@ def test_null_points_drop(spark):
     assert rows(got, "MEDIDOR", "epsg") == [(1, 5367)]
     with pytest.raises(ValueError, match="nothere"):
         locations.meter_locations(readings, loads, order_by="nothere")
+
+
+def test_views_are_spread_by_the_rows_they_become(spark, tmp_path):
+    """More keys make more tasks, not larger ones."""
+    parts = {}
+    for n in (10, 2000):
+        spark.range(1, n + 1).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / str(n) / "supplier.parquet"))
+        parts[n] = fixtures.build_view(spark, str(tmp_path / str(n)), "power_raw").rdd.getNumPartitions()
+    assert parts[10] == spark.sparkContext.defaultParallelism
+    assert parts[2000] * fixtures.TASK_ROWS >= 2000 * 14 * 96 * 3 * 2

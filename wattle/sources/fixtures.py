@@ -14,6 +14,7 @@ Only timestamp construction differs per engine (``{ts:...}`` macro).
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -233,6 +234,18 @@ def materialize(spark: SparkSession, sf_dir: str, root: str,
     return out
 
 
+# Expanded rows that one task makes at most, about: its sorts and hash tables
+# then stay as large as they are, however many keys there are.
+TASK_ROWS = 1_000_000
+
+
+def _parts(spark: SparkSession, keys: DataFrame, spec: ViewSpec) -> int:
+    """Tasks over which the keys are spread before the expansion; counting
+    them reads the key file's footers."""
+    expanded = keys.count() * math.prod(n for _, n in spec.ranges)
+    return max(default_parallelism(spark), math.ceil(expanded / TASK_ROWS))
+
+
 def build_view(spark: SparkSession, sf_dir: str, spec: ViewSpec | str) -> DataFrame:
     """The derived raw table as a lazy Spark DataFrame over ``sf_dir``."""
     if isinstance(spec, str):
@@ -246,7 +259,7 @@ def build_view(spark: SparkSession, sf_dir: str, spec: ViewSpec | str) -> DataFr
     if spec.ranges:
         # A key table is small (often one row group); spread the keys before
         # the expansion so the generated rows are produced by every core.
-        df = df.repartition(default_parallelism(spark), spec.alias)
+        df = df.repartition(_parts(spark, df, spec), spec.alias)
     for name, n in spec.ranges:
         df = df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     if spec.keep != "true":
