@@ -69,3 +69,14 @@ def test_samples_per_day(spark):
     assert scenarios.presentation_order(
         scenarios.calendar_labels(_df(spark, data)).groupBy("node").count()).count() == 1
     assert F is not None
+
+
+def test_valid_days_are_not_gathered_on_the_driver(spark):
+    """Nor are the rows sorted twice: once for the window."""
+    twice = spark.range(3).selectExpr("id as node", "explode(sequence(timestamp_ntz'2026-03-07 00:00:00', "
+                                      "timestamp_ntz'2026-03-08 23:45:00', interval 15 minutes)) as ts").selectExpr(
+        "node", "ts", "cast(hour(ts) as double) as P", "explode(array(1, 0)) as seq")
+    curve = scenarios.weekend_curve(scenarios.complete_days(twice, samples=192), tie=["seq"])
+    plan = curve._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "ShuffledHashJoin" in plan and plan.count("Sort [") == 1
+    assert curve.count() == 3 * 192

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattle.functions.columns import day_kind, season_of
+from wattle.functions.joins import dealt_join
 
 DAY_KEYS = ["node", "date"]
 
@@ -42,13 +43,13 @@ def complete_days(df: DataFrame, samples: int = 96,
                   seasons: dict[int, str] | None = None) -> DataFrame:
     """Labelled rows of the (node, date) pairs with exactly ``samples`` rows.
 
-    The counts are aggregated before their shuffle. In the semi-join a group
-    far larger than a day is a skewed partition of the left side, which AQE
-    splits; what matches, and so every later window, holds one day at most.
+    The counts are aggregated before their shuffle. In the semi-join, which
+    keeps one row of each valid day in memory and sorts nothing, a group far
+    larger than a day is a skewed partition of the left side, which AQE splits; what matches, and so every later window, holds one day at most.
     """
     labelled = calendar_labels(df, seasons)
     valid = samples_per_day(labelled).filter(F.col("samples") == samples).select(*DAY_KEYS)
-    return labelled.join(valid, on=DAY_KEYS, how="left_semi")
+    return dealt_join(labelled, valid, DAY_KEYS, "left_semi")
 
 
 def _timesteps(days: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
