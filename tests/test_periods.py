@@ -74,3 +74,13 @@ def test_hot_node_is_spread(spark):
     assert "Window [sum" in text and "hashpartitioning(node" in text
     assert plan.count() == 1000 and plan.agg(F.max("samples")).first()[0] == 1
     assert periods.reverse_flow_periods(_table(spark, [])).count() == 0
+
+
+def test_parts_of_runs_are_made_once(spark):
+    """A bucket may hold nothing but the rest of a run, many whole runs, or none."""
+    data = [(n, T0 + dt.timedelta(minutes=15 * i), 0.0, float(i < 70 or i % 7 < 3 or i > 300), 0.0, 0.25)
+            for n in (1, 2, None) for i in range(400) if not 120 < i < 150]
+    got = periods.reverse_flow_periods(_table(spark, data), bucket_seconds=6 * 3600)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [sum(") == 1
+    assert rows(got, "node", "start_ts", "end_ts", "samples", "energy", "peak") == _walk(data, False, 900)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattle.functions.joins import null_safe_join
 from wattle.operators.energy import DEFAULT_BUCKET_SECONDS, HOT_METER_ROWS
 from wattle.operators.sequence import time_bucket, with_previous
 from wattle.sources.schemas import require_columns
@@ -24,7 +23,9 @@ def periods(df: DataFrame, on: Column, node: str, ts: str, max_gap_seconds: int,
     Runs are found inside (node, time bucket), in which a hot node's readings
     are cut further. A bucket that begins inside a run knows so from the
     reading carried into it, and hands its part of the run to the last run
-    begun before; one row per (node, bucket) decides which that is.
+    begun before. Only such parts and the last run begun in each bucket, two
+    rows per (node, bucket) at most, are ordered along the node; the others are
+    whole and stay by bucket. So the parts are made once.
     """
     names = {**sums, **peaks}
     rows = df.where(F.col(ts).isNotNull()).select(
@@ -41,16 +42,15 @@ def periods(df: DataFrame, on: Column, node: str, ts: str, max_gap_seconds: int,
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("samples"),
         *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in peaks])
 
-    latest = parts.groupBy("node", "bucket").agg(F.max("place").alias("last"))
-    before = Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begun = F.last(F.when(F.col("last") > 0, F.struct("bucket", "last")), ignorenulls=True).over(before)
-    owners = latest.select("node", "bucket", begun.alias("owner"))
-    rest = null_safe_join(parts.where("place = 0"), owners, ["node", "bucket"]).withColumns(
-        {"bucket": F.col("owner.bucket"), "place": F.col("owner.last")}).drop("owner")
-    whole = parts.where("place > 0").unionByName(rest)
-    return whole.groupBy("node", "bucket", "place").agg(
+    latest = F.max("place").over(Window.partitionBy("node", "bucket"))
+    linked = parts.withColumn("last", latest).withColumn(
+        "apart", F.when((F.col("place") > 0) & (F.col("place") < F.col("last")), F.col("bucket")))
+    upto = Window.partitionBy("node", "apart").orderBy("bucket", "place").rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.last(F.when(F.col("place") > 0, F.struct("bucket", "place")), ignorenulls=True).over(upto)
+    whole = linked.withColumn("run", begun).drop("bucket", "place", "last", "apart")
+    return whole.groupBy("node", "run").agg(
         F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("samples").alias("samples"),
-        *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in peaks]).drop("bucket", "place")
+        *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in peaks]).drop("run")
 
 
 def reverse_flow_periods(active: DataFrame, max_gap_seconds: int = 900, net: bool = False,
