@@ -2,12 +2,14 @@
 building blocks, one window for the three lags, reused exchanges."""
 
 import json
+import re
 
 import pytest
 
 from conftest import SF_SMALL
 from wattle.plans import catalog
-from wattle.sources import readers
+from wattle.session import pin_session, widen_shuffles
+from wattle.sources import fixtures, readers
 from wattle.sources.schemas import schema_from_dtype_map
 
 
@@ -34,6 +36,45 @@ def test_pivot_exchange_reused_by_carry_branch(spark):
     assert "ReusedExchange" in plan and "SortAggregate" not in plan
 
 
+@pytest.mark.parametrize("key", ["calendar_labels", "flatten_active", "reactive_profile"])
+def test_pivot_has_more_tasks_for_more_rows(spark, tmp_path, key):
+    """The readings of 2,000 meters are too many for two tasks; they are still
+    combined before the shuffle."""
+    spark.range(1, 2001).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    pin_session(spark)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        plan = _plan(catalog.QUERIES[key](spark, str(tmp_path)))
+        (tasks,) = re.findall(r"hashpartitioning\(MEDIDOR#\d+L?, FECHA_LECTURA#\d+, (\d+)\)", plan)
+        assert int(tasks) * fixtures.SHUFFLE_ROWS >= 2000 * 14 * 96 * 3 * 2 > 2 * fixtures.SHUFFLE_ROWS
+        assert "partial_min(" in plan
+        pin_session(spark)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_wider_shuffles_end_with_the_query(spark):
+    key = "spark.sql.shuffle.partitions"
+    pin_session(spark)
+    few = spark.conf.get(key)
+    try:
+        widen_shuffles(spark, int(few) - 1)
+        assert spark.conf.get(key) == few
+        for more in (20, 30, 25):  # several views of one query
+            widen_shuffles(spark, int(few) + more)
+        assert spark.conf.get(key) == str(int(few) + 30)
+        pin_session(spark)
+        assert spark.conf.get(key) == few
+        widen_shuffles(spark, int(few) + 20)
+        spark.conf.set(key, "5")  # by the cluster, meanwhile
+        pin_session(spark)
+        assert spark.conf.get(key) == "5"
+    finally:
+        spark.conf.set(key, few)
+
+
 def test_column_pruning_reaches_scan(spark, tmp_path):
     raw = catalog.build_view(spark, SF_SMALL, "consumption_raw")
     path = str(tmp_path / "raw")

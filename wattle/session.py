@@ -57,10 +57,37 @@ def pin_session(spark: SparkSession) -> None:
     """Apply to an existing session the settings that results depend on.
 
     Partition sizes, broadcast thresholds and the like stay as the cluster
-    has set them: only ``build_session`` brings defaults for those.
+    has set them: only ``build_session`` brings defaults for those. What
+    ``widen_shuffles`` raised for the query before is taken back.
     """
     for key in SESSION_SEMANTICS:
         spark.conf.set(key, SESSION_DEFAULTS[key])
+    widened = spark.conf.get(_WIDENED, None)
+    if widened is not None:
+        before, raised = widened.split()
+        if spark.conf.get(_SHUFFLES) == raised:  # else the cluster has set it anew
+            spark.conf.set(_SHUFFLES, before)
+        spark.conf.unset(_WIDENED)
+
+
+_SHUFFLES = "spark.sql.shuffle.partitions"
+_WIDENED = "wattle.shuffle.widened"  # the number before, and the one it was raised to
+
+
+def widen_shuffles(spark: SparkSession, tasks: int) -> None:
+    """Let shuffles deal their rows to ``tasks`` tasks at least, until the next
+    ``pin_session``.
+
+    An aggregate has no say in the number of tasks behind its own shuffle: with
+    a fixed one, their tables of groups grow with the input. Dealing the rows
+    out beforehand, by a number, would lose what is combined before the shuffle.
+    AQE still merges small partitions.
+    """
+    now = spark.conf.get(_SHUFFLES)
+    if tasks > int(now):
+        before = spark.conf.get(_WIDENED, now).split()[0]
+        spark.conf.set(_SHUFFLES, str(tasks))
+        spark.conf.set(_WIDENED, f"{before} {tasks}")
 
 
 def _context(spark: SparkSession):

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattle.session import default_parallelism
+from wattle.session import default_parallelism, widen_shuffles
 from wattle.sources.schemas import CUSTOMER_DATE_COLUMNS
 
 
@@ -237,13 +237,14 @@ def materialize(spark: SparkSession, sf_dir: str, root: str,
 # Expanded rows that one task makes at most, about: its sorts and hash tables
 # then stay as large as they are, however many keys there are.
 TASK_ROWS = 1_000_000
+# Rows of a view for each task behind a shuffle, likewise. More, since every
+# task of the one kind writes a block for every task of the other.
+SHUFFLE_ROWS = 4_000_000
 
 
-def _parts(spark: SparkSession, keys: DataFrame, spec: ViewSpec) -> int:
-    """Tasks over which the keys are spread before the expansion; counting
-    them reads the key file's footers."""
-    expanded = keys.count() * math.prod(n for _, n in spec.ranges)
-    return max(default_parallelism(spark), math.ceil(expanded / TASK_ROWS))
+def _expanded(keys: DataFrame, spec: ViewSpec) -> int:
+    """Rows that the keys become; counting them reads the key file's footers."""
+    return keys.count() * math.prod(n for _, n in spec.ranges)
 
 
 def build_view(spark: SparkSession, sf_dir: str, spec: ViewSpec | str) -> DataFrame:
@@ -252,14 +253,18 @@ def build_view(spark: SparkSession, sf_dir: str, spec: ViewSpec | str) -> DataFr
         spec = VIEWS[spec]
     stored = _MATERIALIZED.get((sf_dir, spec.name))
     if stored is not None:
-        return spark.read.parquet(stored)
+        df = spark.read.parquet(stored)
+        widen_shuffles(spark, math.ceil(df.count() / SHUFFLE_ROWS))
+        return df
     df = spark.read.parquet(f"{sf_dir}/{spec.table}.parquet").select(
         F.col(spec.key).alias(spec.alias)
     )
     if spec.ranges:
         # A key table is small (often one row group); spread the keys before
         # the expansion so the generated rows are produced by every core.
-        df = df.repartition(_parts(spark, df, spec), spec.alias)
+        rows = _expanded(df, spec)
+        widen_shuffles(spark, math.ceil(rows / SHUFFLE_ROWS))
+        df = df.repartition(max(default_parallelism(spark), math.ceil(rows / TASK_ROWS)), spec.alias)
     for name, n in spec.ranges:
         df = df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     if spec.keep != "true":
