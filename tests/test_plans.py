@@ -5,10 +5,11 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from wattle.plans import catalog
-from wattle.session import pin_session, widen_shuffles
+from wattle.session import MERGED_BYTES, pin_session, widen_shuffles
 from wattle.sources import fixtures, readers
 from wattle.sources.schemas import schema_from_dtype_map
 
@@ -55,6 +56,46 @@ def test_pivot_has_more_tasks_for_more_rows(spark, tmp_path, key):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_pivot_tasks_are_not_merged_into_few(spark, tmp_path):
+    """A large advisory size doesn't give one task all the groups again."""
+    meters = 2000
+    spark.range(1, meters + 1).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    pin_session(spark)
+    given = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1g",
+             "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {key: spark.conf.get(key) for key in given}
+    for key, value in given.items():
+        spark.conf.set(key, value)
+    try:
+        df = catalog.QUERIES["flatten_active"](spark, str(tmp_path))
+        groups = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(groups) > 1 and max(groups) < sum(groups) / 3
+        assert sum(groups) == df.count() > 0.8 * meters * 14 * 96
+        pin_session(spark)
+        assert {key: spark.conf.get(key) for key in given} == given
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("size, kept", [("8m", True), ("16MB", True), ("65536", True), ("67108864b", False),
+                                        ("128MB", False), ("1g", False)])
+def test_merged_size_is_only_lowered(spark, size, kept):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    pin_session(spark)
+    old = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        widen_shuffles(spark, 1)
+        assert spark.conf.get(key) == size
+        widen_shuffles(spark, 2)
+        assert spark.conf.get(key) == (size if kept else f"{MERGED_BYTES}b")
+        pin_session(spark)
+        assert spark.conf.get(key) == size
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_wider_shuffles_end_with_the_query(spark):
     key = "spark.sql.shuffle.partitions"
     pin_session(spark)

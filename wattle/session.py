@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -62,16 +63,36 @@ def pin_session(spark: SparkSession) -> None:
     """
     for key in SESSION_SEMANTICS:
         spark.conf.set(key, SESSION_DEFAULTS[key])
-    widened = spark.conf.get(_WIDENED, None)
-    if widened is not None:
-        before, raised = widened.split()
-        if spark.conf.get(_SHUFFLES) == raised:  # else the cluster has set it anew
-            spark.conf.set(_SHUFFLES, before)
-        spark.conf.unset(_WIDENED)
+    for key, note in _WIDENED.items():
+        widened = spark.conf.get(note, None)
+        if widened is not None:
+            before, ours = widened.split()
+            if spark.conf.get(key) == ours:  # else the cluster has set it anew
+                spark.conf.set(key, before)
+            spark.conf.unset(note)
 
 
 _SHUFFLES = "spark.sql.shuffle.partitions"
-_WIDENED = "wattle.shuffle.widened"  # the number before, and the one it was raised to
+_MERGED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+# Each with the key that notes its value before, and the one that we set.
+_WIDENED = {_SHUFFLES: "wattle.shuffle.widened", _MERGED: "wattle.shuffle.merged"}
+
+# Up to this size AQE merges the partitions of a widened shuffle. A pivot's
+# table of groups takes about eight times the bytes that are read for it.
+MERGED_BYTES = 16 << 20
+
+
+def _widen(spark: SparkSession, key: str, value: str) -> None:
+    now = spark.conf.get(key)
+    before = spark.conf.get(_WIDENED[key], now).split()[0]
+    spark.conf.set(key, value)
+    spark.conf.set(_WIDENED[key], f"{before} {value}")
+
+
+def _bytes(text: str) -> int:
+    """Bytes of a size as Spark writes it (``64MB``, ``8m``, ``67108864b``)."""
+    number, unit = re.fullmatch(r"(\d+)([bkmgtp]?)b?", text.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit or "b")
 
 
 def widen_shuffles(spark: SparkSession, tasks: int) -> None:
@@ -81,13 +102,13 @@ def widen_shuffles(spark: SparkSession, tasks: int) -> None:
     An aggregate has no say in the number of tasks behind its own shuffle: with
     a fixed one, their tables of groups grow with the input. Dealing the rows
     out beforehand, by a number, would lose what is combined before the shuffle.
-    AQE still merges small partitions.
+    AQE still merges small partitions, but only up to ``MERGED_BYTES``: with a
+    large advisory size it would undo this and make a few large tasks again.
     """
-    now = spark.conf.get(_SHUFFLES)
-    if tasks > int(now):
-        before = spark.conf.get(_WIDENED, now).split()[0]
-        spark.conf.set(_SHUFFLES, str(tasks))
-        spark.conf.set(_WIDENED, f"{before} {tasks}")
+    if tasks > int(spark.conf.get(_SHUFFLES)):
+        _widen(spark, _SHUFFLES, str(tasks))
+    if tasks > 1 and _bytes(spark.conf.get(_MERGED)) > MERGED_BYTES:
+        _widen(spark, _MERGED, f"{MERGED_BYTES}b")
 
 
 def _context(spark: SparkSession):
