@@ -89,3 +89,29 @@ def test_connected(spark):
                 seen.add(x)
                 todo.append(x)
         assert root == min(seen)
+
+
+def test_rounds_of_connected_are_few_and_small_plans(spark, monkeypatch):
+    """The driver holds each round's plan, and something of each stage: edges
+    are read four times a round, once for the result, and no round follows stars."""
+    from wattle.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    kind, reads = type(spark.range(0)), []
+    checkpoint = kind.checkpoint
+
+    def noted(df, *args):
+        reads.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return checkpoint(df, *args)
+
+    monkeypatch.setattr(kind, "checkpoint", noted)
+
+    def roots(pairs):
+        reads.clear()
+        return {tuple(r) for r in jaccard.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+
+    assert roots([(3, 1), (1, 2), (9, 7), (5, 5)]) == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
+    assert reads == [1, 1]
+    assert roots([(i, i + 1) for i in range(20)] + [(30, 29), (30, 28)]) == {(i, 0) for i in range(21)} | {
+        (i, 28) for i in (28, 29, 30)}
+    assert len(reads) > 2 and max(reads) <= 4
+    assert roots([(4, 4)]) == set()

@@ -165,24 +165,36 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(100 * common >= 75 * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
+def star_round(edges: DataFrame) -> DataFrame:
+    """One large and one small star of edges (u, v), u > v. Each edge counts
+    once: of a node's neighbours only those below it can be less than itself,
+    and the edge to a node's least neighbour is the one with v = m."""
+    least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    large = edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+    down = large.groupBy("u").agg(F.min("v").alias("m"))
+    return large.join(down, "u").select(
+        F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+
+
+def all_stars(edges: DataFrame) -> bool:
+    """Whether each u has one edge and is no other edge's v, so that rounds
+    change nothing; counted by node before the shuffle."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")),
+                                          F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("end"))
+    held = ends.groupBy("end.node").agg(F.sum("end.up").alias("up"), F.count(F.lit(1)).alias("edges"))
+    return held.where("up > 0 and edges > 1").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node and root (the component's least node) of all nodes with edges, by
-    alternating large and small stars; every round is checkpointed."""
+    alternating large and small stars; every round is checkpointed, and so is
+    the result, which several plans read: the driver holds small plans, and
+    few, since each of their stages takes its memory too."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges, last = edges.checkpoint(), None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        last = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        edges = small.select("u", F.col("m").alias("v")).unionByName(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct().checkpoint()
+    edges = edges.checkpoint()
+    while not all_stars(edges):
+        edges = star_round(edges).checkpoint()
+    return edges.select(F.explode(F.array("u", "v")).alias("node"), F.col("v").alias("root")).distinct().checkpoint()
 
 
 def leader_pairs(nodes: DataFrame) -> DataFrame:
